@@ -254,7 +254,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True) ->
         raise ValueError("window must be odd and at least 3")
     anchor = (window + 1) // 2
     buckets = parts_for(docs, 10 << 20)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # columns of the right type stay as they are: an alias would hide that both joins below need the same exchange of the texts
+    kinds = dict(docs.dtypes)
+    rows = docs.select(*(c if kinds[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))))
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     known = rows.filter("doc_id is not null")
 
