@@ -26,7 +26,7 @@ from sessionloom.llm.shared import parts_for
 
 _PROBE, _WIDE, _NARROW = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407
 #: Words that one map chunk compares among themselves before anything is sent.
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 1_200_000
 ROUTED = "bucket int, settled boolean, payload binary"
 MARKS = "row_key long, marks binary"
 
@@ -76,8 +76,8 @@ def _probes(anchor: int, buckets: int):
             doc, pos, value, base = [], [], [], 0
             for batch, w, hashes in held:
                 at, h = w.windows(anchor, _PROBE, hashes)
-                doc.append(w.doc[at] + base)
-                pos.append(at - w.first[w.doc[at]])
+                doc.append((w.doc[at] + base).astype(np.int32))
+                pos.append((at - w.first[w.doc[at]]).astype(np.int32))
                 value.append(h)
                 base += batch.num_rows
             held.clear()
@@ -177,8 +177,8 @@ def _candidates(anchor: int, window: int, buckets: int):
                 _, h2 = w.windows(window, _NARROW, hashes)
                 keep = near[at]
                 at = at[keep]
-                doc.append(w.doc[at] + base)
-                pos.append(at - w.first[w.doc[at]])
+                doc.append((w.doc[at] + base).astype(np.int32))
+                pos.append((at - w.first[w.doc[at]]).astype(np.int32))
                 wide.append(h[keep])
                 narrow.append((h2[keep] >> np.uint64(32)).astype(np.uint32))
                 base += batch.num_rows
