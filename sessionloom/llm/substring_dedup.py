@@ -26,15 +26,16 @@ from sessionloom.llm.shared import parts_for
 
 _PROBE, _WIDE, _NARROW = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407
 #: Words that one map chunk compares among themselves before anything is sent.
-CHUNK_WORDS = 1_200_000
+CHUNK_WORDS = 900_000
 ROUTED = "bucket int, settled boolean, payload binary"
+ADDRESSED = "target int, payload binary"
 MARKS = "row_key long, marks binary"
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[list[tuple]]:
     """Per map chunk: (batch, words, word hashes) of small pieces."""
     held, n = [], 0
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", 2 << 20):
         w = Words(batch["text"])
         held.append((batch, w, w.hashes()))
         n += len(w.starts)
@@ -58,7 +59,7 @@ def _send(bucket: np.ndarray, buckets: int, doc: np.ndarray, keys: np.ndarray, i
             yield b, pack(keys[head], *([] if ids is None else [ids[head]]), count.astype(np.uint16) if count.max() < 65536 else count, deltas(doc[own], pos[own]), *(v[own] for v in values))
 
 
-def _settled(doc: np.ndarray, pos: np.ndarray, keys: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+def _settled(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     if len(doc):
         order = np.lexsort((pos, doc))
         yield from _send((keys[doc[order]] % np.uint64(buckets)).astype(np.int64), buckets, doc[order], keys, None, pos[order])
@@ -93,7 +94,7 @@ def _probes(anchor: int, buckets: int):
             shared = np.repeat(np.logical_or.reduceat(other, at), size)
             anchored = np.repeat(np.logical_or.reduceat(aligned[order], at), size)
             here = order[shared]
-            for b, payload in _settled(doc[here], pos[here], keys, buckets):
+            for b, payload in _settled(keys, doc[here], pos[here], buckets):
                 yield from _routed([(b, True, payload)])
             go = np.zeros(len(order), bool)
             go[order[~other]] = True
@@ -130,36 +131,50 @@ def _opened(payloads: list[bytes], with_ids: bool) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _match_anchors(table: pa.Table) -> pa.Table:
+def _addressed(table: pa.Table, settled: np.ndarray, buckets: int, key: np.ndarray, pos: np.ndarray) -> pa.Table:
+    """What was settled before, and the hits found here, by the bucket of their document: few rows, however many documents."""
+    found = list(_settled(*_numbered(key), pos, buckets)) if len(key) else []
+    rows = [(b, p) for b, p, s in zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), settled, strict=True) if s] + found
+    return pa.table({"target": pa.array([b for b, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
+
+
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and each row's number among them."""
+    keys, doc = np.unique(key, return_inverse=True)
+    return keys, doc
+
+
+def _match_anchors(buckets: int):
     """Positions of anchors that another document has too, at least one of them a reference block."""
-    settled = np.array(table["settled"].to_pylist(), bool)
-    payloads = table["payload"].to_pylist()
-    key, pos = [], []
-    if settled.any():
-        k, p = _opened([x for x, s in zip(payloads, settled, strict=True) if s], False)
-        key.append(k), pos.append(p)
-    if not settled.all():
-        k, p, value, flag = _opened([x for x, s in zip(payloads, settled, strict=True) if not s], False)
-        order = np.argsort(value, kind="stable")
-        at = runs(value[order])
-        size = np.diff(np.append(at, len(order)))
-        mixed = np.logical_or.reduceat(k[order] != np.repeat(k[order][at], size), at)
-        hit = order[np.repeat(mixed & np.logical_or.reduceat(flag[order] > 0, at), size)]
-        key.append(k[hit]), pos.append(p[hit])
-    return _marks_table(np.concatenate(key), np.concatenate(pos))
-
-
-def _positions(lists: list[bytes] | None) -> np.ndarray:
-    return np.concatenate([undo_deltas(np.zeros(len(d)), d) for d in (unpack(x)[0] for x in lists or [])] or [np.zeros(0, np.int64)])
+
+    def run(table: pa.Table) -> pa.Table:
+        settled = np.array(table["settled"].to_pylist(), bool)
+        key, pos = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if not settled.all():
+            k, p, value, flag = _opened([x for x, s in zip(table["payload"].to_pylist(), settled, strict=True) if not s], False)
+            order = np.argsort(value, kind="stable")
+            at = runs(value[order])
+            size = np.diff(np.append(at, len(order)))
+            mixed = np.logical_or.reduceat(k[order] != np.repeat(k[order][at], size), at)
+            hit = order[np.repeat(mixed & np.logical_or.reduceat(flag[order] > 0, at), size)]
+            key, pos = k[hit], p[hit]
+        return _addressed(table, settled, buckets, key, pos)
+
+    return run
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """The marks of each document of a bucket, once each."""
+    return _marks_table(*_opened(table["payload"].to_pylist(), False))
 
 
 def _spread(w: Words, marks: list, back: int, forth: int) -> np.ndarray:
     """Words from ``back`` before to ``forth`` after any marked position of their document."""
     change = np.zeros(len(w.starts) + 1, np.int64)
-    for d, lists in enumerate(marks):
-        if lists:
-            at = _positions(lists)
-            at = at[at < w.count[d]]
+    for d, mark in enumerate(marks):
+        if mark:
+            gaps = unpack(mark)[0]
+            at = undo_deltas(np.zeros(len(gaps)), gaps)
             np.add.at(change, w.first[d] + np.maximum(at - back, 0), 1)
             np.add.at(change, w.first[d] + np.minimum(at + forth + 1, w.count[d]), -1)
     return np.cumsum(change[:-1]) > 0
@@ -180,7 +195,7 @@ def _candidates(anchor: int, window: int, buckets: int):
                 doc.append((w.doc[at] + base).astype(np.int32))
                 pos.append((at - w.first[w.doc[at]]).astype(np.int32))
                 wide.append(h[keep])
-                narrow.append((h2[keep] >> np.uint64(32)).astype(np.uint32))
+                narrow.append((h2[keep] >> np.uint64(48)).astype(np.uint16))
                 base += batch.num_rows
             held.clear()
             doc, pos, wide, narrow = map(np.concatenate, (doc, pos, wide, narrow))
@@ -192,7 +207,7 @@ def _candidates(anchor: int, window: int, buckets: int):
             mine = ids[doc[order]]
             later = mine > np.repeat(np.minimum.reduceat(mine, at), size)
             here = order[later]
-            for b, payload in _settled(doc[here], pos[here], keys, buckets):
+            for b, payload in _settled(keys, doc[here], pos[here], buckets):
                 yield from _routed([(b, True, payload)])
             go = np.sort(order[~later])
             for b, payload in _send((wide[go] % np.uint64(buckets)).astype(np.int64), buckets, doc[go], keys, ids, pos[go], wide[go], narrow[go]):
@@ -207,21 +222,21 @@ def _pair_code(wide: np.ndarray, narrow: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _match_windows(table: pa.Table) -> pa.Table:
+def _match_windows(buckets: int):
     """Positions of windows that begin in a document of smaller id too."""
-    settled = np.array(table["settled"].to_pylist(), bool)
-    payloads = table["payload"].to_pylist()
-    key, pos = [], []
-    if settled.any():
-        k, p = _opened([x for x, s in zip(payloads, settled, strict=True) if s], False)
-        key.append(k), pos.append(p)
-    if not settled.all():
-        k, i, p, wide, narrow = _opened([x for x, s in zip(payloads, settled, strict=True) if not s], True)
-        order = np.lexsort((narrow, wide))
-        at = runs(_pair_code(wide[order], narrow[order]))
-        hit = order[i[order] > np.repeat(np.minimum.reduceat(i[order], at), np.diff(np.append(at, len(order))))]
-        key.append(k[hit]), pos.append(p[hit])
-    return _marks_table(np.concatenate(key), np.concatenate(pos))
+
+    def run(table: pa.Table) -> pa.Table:
+        settled = np.array(table["settled"].to_pylist(), bool)
+        key, pos = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if not settled.all():
+            k, i, p, wide, narrow = _opened([x for x, s in zip(table["payload"].to_pylist(), settled, strict=True) if not s], True)
+            order = np.lexsort((narrow, wide))
+            at = runs(_pair_code(wide[order], narrow[order]))
+            hit = order[i[order] > np.repeat(np.minimum.reduceat(i[order], at), np.diff(np.append(at, len(order))))]
+            key, pos = k[hit], p[hit]
+        return _addressed(table, settled, buckets, key, pos)
+
+    return run
 
 
 def _kept(window: int, with_text: bool):
@@ -261,13 +276,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True) ->
     known = rows.filter("doc_id is not null")
 
     def matched(routed: DataFrame, match, name: str) -> DataFrame:
-        found = routed.groupBy("bucket").applyInArrow(match, MARKS)
-        return found.groupBy("row_key").agg(F.collect_list("marks").alias("marks")).withColumnRenamed("row_key", name)
+        found = routed.groupBy("bucket").applyInArrow(match(buckets), ADDRESSED)
+        return found.groupBy("target").applyInArrow(_gather, MARKS).withColumnRenamed("row_key", name)
 
     anchors = matched(known.select("row_key", "text").mapInArrow(_probes(anchor, buckets), ROUTED), _match_anchors, "anchor_key")
     around = known.hint("shuffle_merge").join(anchors.hint("shuffle_merge"), known["row_key"] == anchors["anchor_key"]).select("doc_id", "row_key", "text", "marks")
     repeats = matched(around.mapInArrow(_candidates(anchor, window, buckets), ROUTED), _match_windows, "repeat_key")
     joined = known.hint("shuffle_merge").join(repeats.hint("shuffle_merge"), known["row_key"] == repeats["repeat_key"], "left").select("doc_id", "text", "marks")
-    alone = rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks"))
+    alone = rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary").alias("marks"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.unionByName(alone).mapInArrow(_kept(window, with_text), schema)
