@@ -23,6 +23,18 @@ def _web(query):
     return lambda spark, sf_dir: rounded(query(web_events(spark, sf_dir)))
 
 
+def by_day(events: DataFrame) -> DataFrame:
+    """Sessions cut by day: short ones, so that every segment and length class occurs."""
+    return events.withColumn("session", F.col("session") * 100 + F.expr("ts div 86400000 % 100"))
+
+
+def _daily(query):
+    return lambda spark, sf_dir: rounded(query(by_day(web_events(spark, sf_dir))))
+
+
+DAILY_SQL = WEB_SQL.replace("ev AS (", "ev0 AS (", 1) + ", ev AS (SELECT session * 100 + ts // 86400000 % 100 AS session, aid, ts, type FROM ev0)"
+
+
 def with_model(events: DataFrame) -> DataFrame:
     return events.withColumn("model_used", F.concat(F.lit("m"), (F.col("session") % 3).cast("string")))
 
@@ -65,10 +77,10 @@ def _lifespans(events: DataFrame) -> DataFrame:
 
 
 QUERIES = {
-    "session_segments": _web(S.segments),
-    "session_segment_durations": _web(S.segment_durations),
-    "funnel_rates": _web(S.funnel),
-    "model_funnel": _web(lambda e: S.model_funnel(with_model(e))),
+    "session_segments": _daily(S.segments),
+    "session_segment_durations": _daily(S.segment_durations),
+    "funnel_rates": _daily(S.funnel),
+    "model_funnel": _daily(lambda e: S.model_funnel(with_model(e))),
     "popular_items_web": _web(lambda e: I.popular_items(e, 20)),
     "popular_items_purchases": lambda spark, d: rounded(I.popular_items(purchase_events(spark, d), 100)),
     "popular_candidates": _web(I.popular_candidates),
@@ -81,17 +93,17 @@ QUERIES = {
     "traffic_per_minute": _web(I.traffic),
     "traffic_per_hour": _web(lambda e: I.traffic(e, 3_600_000)),
     "bot_sessions": lambda spark, d: rounded(S.bot_sessions(purchase_events(spark, d)).drop("details")),
-    "human_sessions": _web(S.human_sessions),
-    "long_sessions": _web(lambda e: S.long_sessions(e, 60)),
-    "purchase_sessions": _web(S.purchase_sessions),
-    "order_ended_sessions": _web(lambda e: S.purchase_sessions(e, last_is_order=True)),
+    "human_sessions": _daily(S.human_sessions),
+    "long_sessions": _daily(lambda e: S.long_sessions(e, 2)),
+    "purchase_sessions": _daily(S.purchase_sessions),
+    "order_ended_sessions": _daily(lambda e: S.purchase_sessions(e, last_is_order=True)),
     "known_item_sessions": _web(lambda e: S.known_sessions(_weeks(e)[1], _weeks(e)[0])),
     "session_lifespans": _web(_lifespans),
-    "length_histogram": _web(S.length_histogram),
-    "length_stats": _web(S.length_stats),
-    "duration_buckets": _web(S.duration_buckets),
-    "minutes_stats": _web(S.minutes_stats),
-    "short_sessions": _web(lambda e: S.short_sessions(e, 40)),
+    "length_histogram": _daily(S.length_histogram),
+    "length_stats": _daily(S.length_stats),
+    "duration_buckets": _daily(S.duration_buckets),
+    "minutes_stats": _daily(S.minutes_stats),
+    "short_sessions": _daily(lambda e: S.short_sessions(e, 3)),
     "dataset_stats": _web(I.dataset_stats),
     "type_shares": _web(I.type_shares),
     "click_to_order": _web(I.click_to_order_pct),
@@ -128,13 +140,13 @@ def _traffic(width: int) -> str:
 
 
 ORACLES = {
-    "session_segments": _sql(f"SELECT {_SEGMENT} AS session_type, count(*) AS count, round(avg(length), 6) AS avg_length, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct_of_total FROM flags GROUP BY 1", WEB_SQL, _FLAGS),
-    "session_segment_durations": _sql(f"SELECT {_SEGMENT} AS session_type, count(*) AS count, round(avg(length), 6) AS avg_length, round(avg(sec), 6) AS avg_duration_sec, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct_of_total FROM flags JOIN (SELECT session, (max(ts) - min(ts)) / 1000.0 AS sec FROM ev GROUP BY 1) USING (session) GROUP BY 1", WEB_SQL, _FLAGS),
+    "session_segments": _sql(f"SELECT {_SEGMENT} AS session_type, count(*) AS count, round(avg(length), 6) AS avg_length, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct_of_total FROM flags GROUP BY 1", DAILY_SQL, _FLAGS),
+    "session_segment_durations": _sql(f"SELECT {_SEGMENT} AS session_type, count(*) AS count, round(avg(length), 6) AS avg_length, round(avg(sec), 6) AS avg_duration_sec, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct_of_total FROM flags JOIN (SELECT session, (max(ts) - min(ts)) / 1000.0 AS sec FROM ev GROUP BY 1) USING (session) GROUP BY 1", DAILY_SQL, _FLAGS),
     "funnel_rates": _sql("""SELECT *, round(CASE WHEN sessions_with_clicks > 0 THEN sessions_with_carts / sessions_with_clicks ELSE 0 END, 6) AS click_to_cart_rate, round(CASE WHEN sessions_with_carts > 0 THEN sessions_with_orders / sessions_with_carts ELSE 0 END, 6) AS cart_to_order_rate,
         round(CASE WHEN sessions_with_clicks > 0 THEN sessions_with_orders / sessions_with_clicks ELSE 0 END, 6) AS click_to_order_rate
-        FROM (SELECT count(*) AS total_sessions, CAST(sum(has_clicks) AS BIGINT) AS sessions_with_clicks, CAST(sum(has_carts) AS BIGINT) AS sessions_with_carts, CAST(sum(has_orders) AS BIGINT) AS sessions_with_orders FROM flags)""", WEB_SQL, _FLAGS),
+        FROM (SELECT count(*) AS total_sessions, CAST(sum(has_clicks) AS BIGINT) AS sessions_with_clicks, CAST(sum(has_carts) AS BIGINT) AS sessions_with_carts, CAST(sum(has_orders) AS BIGINT) AS sessions_with_orders FROM flags)""", DAILY_SQL, _FLAGS),
     "model_funnel": _sql("""SELECT *, round(CASE WHEN sessions_with_clicks > 0 THEN sessions_with_orders / sessions_with_clicks ELSE 0 END, 6) AS click_to_order_rate FROM (SELECT 'm' || (session % 3) AS model_used, count(DISTINCT session) AS total_sessions,
-        count(DISTINCT session) FILTER (type = 'clicks') AS sessions_with_clicks, count(DISTINCT session) FILTER (type = 'carts') AS sessions_with_carts, count(DISTINCT session) FILTER (type = 'orders') AS sessions_with_orders FROM ev GROUP BY 1)"""),
+        count(DISTINCT session) FILTER (type = 'clicks') AS sessions_with_clicks, count(DISTINCT session) FILTER (type = 'carts') AS sessions_with_carts, count(DISTINCT session) FILTER (type = 'orders') AS sessions_with_orders FROM ev GROUP BY 1)""", DAILY_SQL),
     "popular_items_web": _sql(_POPULAR.format("ev", 20)),
     "popular_items_purchases": _sql(_POPULAR.format("ev", 100), PURCHASE_SQL),
     "popular_candidates": _sql("SELECT DISTINCT aid FROM (" + _POPULAR.format("(SELECT * FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - 604800000)", 20) + ")"),
@@ -150,20 +162,20 @@ ORACLES = {
     "traffic_per_hour": _traffic(3_600_000),
     "bot_sessions": _sql("""SELECT session AS session_id, 'bot_like' AS anomaly_type, minute, n AS event_count, round(mean, 2) AS batch_mean, round(std, 2) AS batch_std FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC, minute) AS r
         FROM c, (SELECT count(*) AS g, avg(n) AS mean, stddev_samp(n) AS std FROM c) WHERE g >= 10 AND std > 0 AND n > mean + 3 * std) WHERE r = 1""", PURCHASE_SQL, "c AS (SELECT ts // 60000 * 60000 AS minute, session, count(*) AS n FROM ev GROUP BY ALL)"),
-    "human_sessions": _sql("SELECT ev.* FROM ev SEMI JOIN (SELECT session FROM (SELECT session, count(*) AS n, (max(ts) - min(ts)) / 1000.0 AS s FROM ev GROUP BY 1) WHERE n / (s + 0.1) <= 2 AND s BETWEEN 1 AND 86400 AND n BETWEEN 2 AND 250) USING (session)"),
-    "long_sessions": _sql("SELECT ev.* FROM ev SEMI JOIN (SELECT session FROM ev GROUP BY 1 HAVING count(*) > 60 OR bool_or(type = 'orders')) USING (session)"),
-    "purchase_sessions": _sql("SELECT session, count(*) AS length FROM ev GROUP BY 1 HAVING count(*) > 1 AND bool_or(type = 'orders')"),
-    "order_ended_sessions": _sql("SELECT session, n AS length FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n, row_number() OVER (PARTITION BY session ORDER BY ts DESC, aid DESC, type DESC) AS r FROM ev) WHERE r = 1 AND n > 1 AND type = 'orders'"),
+    "human_sessions": _sql("SELECT ev.* FROM ev SEMI JOIN (SELECT session FROM (SELECT session, count(*) AS n, (max(ts) - min(ts)) / 1000.0 AS s FROM ev GROUP BY 1) WHERE n / (s + 0.1) <= 2 AND s BETWEEN 1 AND 86400 AND n BETWEEN 2 AND 250) USING (session)", DAILY_SQL),
+    "long_sessions": _sql("SELECT ev.* FROM ev SEMI JOIN (SELECT session FROM ev GROUP BY 1 HAVING count(*) > 2 OR bool_or(type = 'orders')) USING (session)", DAILY_SQL),
+    "purchase_sessions": _sql("SELECT session, count(*) AS length FROM ev GROUP BY 1 HAVING count(*) > 1 AND bool_or(type = 'orders')", DAILY_SQL),
+    "order_ended_sessions": _sql("SELECT session, n AS length FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n, row_number() OVER (PARTITION BY session ORDER BY ts DESC, aid DESC, type DESC) AS r FROM ev) WHERE r = 1 AND n > 1 AND type = 'orders'", DAILY_SQL),
     "known_item_sessions": _sql("SELECT test.* FROM test ANTI JOIN (SELECT DISTINCT session FROM test ANTI JOIN train USING (aid)) USING (session)", WEB_SQL, _WEEKS),
     "session_lifespans": _sql("""SELECT session, min((ts - t0) // 604800000 + 1) AS first_week, max((ts - t0) // 604800000 + 1) AS last_week, bool_or(type = 'orders') AS ordered, count(*) FILTER (type = 'orders') AS n_orders,
         arg_max(type, (ts, aid, type)) AS last_type FROM ev, t GROUP BY session""", WEB_SQL, _WEEKS),
-    "length_histogram": _sql("SELECT CASE WHEN n <= 5 THEN CAST(n AS VARCHAR) WHEN n <= 10 THEN '6-10' WHEN n <= 20 THEN '11-20' ELSE '21+' END AS length, count(*) AS sessions FROM (SELECT count(*) AS n FROM ev GROUP BY session) GROUP BY 1"),
-    "length_stats": _sql("SELECT count(*) AS sessions, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS min, max(n) AS max, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.75), 6) AS p75, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95 FROM (SELECT count(*) AS n FROM ev GROUP BY session)"),
+    "length_histogram": _sql("SELECT CASE WHEN n <= 5 THEN CAST(n AS VARCHAR) WHEN n <= 10 THEN '6-10' WHEN n <= 20 THEN '11-20' ELSE '21+' END AS length, count(*) AS sessions FROM (SELECT count(*) AS n FROM ev GROUP BY session) GROUP BY 1", DAILY_SQL),
+    "length_stats": _sql("SELECT count(*) AS sessions, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS min, max(n) AS max, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.75), 6) AS p75, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95 FROM (SELECT count(*) AS n FROM ev GROUP BY session)", DAILY_SQL),
     "duration_buckets": _sql("""SELECT place, bucket, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events, max(n) AS longest, min(n) AS shortest, round(avg(n), 6) AS mean_length, round(quantile_cont(n, 0.5), 6) AS median_length FROM (SELECT n, CASE WHEN s < 60 THEN 0 WHEN s < 3600 THEN 1 WHEN s < 86400 THEN 2 WHEN s < 604800 THEN 3 ELSE 4 END AS place,
-        CASE WHEN s < 60 THEN 'under_minute' WHEN s < 3600 THEN 'under_hour' WHEN s < 86400 THEN 'under_day' WHEN s < 604800 THEN 'under_week' ELSE 'week_or_more' END AS bucket FROM (SELECT count(*) AS n, (max(ts) - min(ts)) / 1000.0 AS s FROM ev GROUP BY session)) GROUP BY 1, 2"""),
+        CASE WHEN s < 60 THEN 'under_minute' WHEN s < 3600 THEN 'under_hour' WHEN s < 86400 THEN 'under_day' WHEN s < 604800 THEN 'under_week' ELSE 'week_or_more' END AS bucket FROM (SELECT count(*) AS n, (max(ts) - min(ts)) / 1000.0 AS s FROM ev GROUP BY session)) GROUP BY 1, 2""", DAILY_SQL),
     "minutes_stats": _sql("""SELECT max(n) AS max_length, min(n) AS min_length, round(avg(n), 6) AS avg_length, round(max(m), 6) AS max_minutes, round(min(m), 6) AS min_minutes, round(avg(m), 6) AS avg_minutes, round(quantile_cont(n, 0.5), 6) AS median_length, round(quantile_cont(m, 0.5), 6) AS median_minutes
-        FROM (SELECT count(*) AS n, (max(ts) - min(ts)) / 60000.0 AS m FROM ev GROUP BY session)"""),
-    "short_sessions": _sql("SELECT round(100.0 * avg((length < 40)::INT), 6) AS short_pct, count(*) FILTER (length < 40) AS short_sessions, count(*) FILTER (length < 40 AND has_orders > 0) AS short_with_orders, count(*) FILTER (length < 40 AND has_carts > 0) AS short_with_carts FROM flags", WEB_SQL, _FLAGS),
+        FROM (SELECT count(*) AS n, (max(ts) - min(ts)) / 60000.0 AS m FROM ev GROUP BY session)""", DAILY_SQL),
+    "short_sessions": _sql("SELECT round(100.0 * avg((length < 3)::INT), 6) AS short_pct, count(*) FILTER (length < 3) AS short_sessions, count(*) FILTER (length < 3 AND has_orders > 0) AS short_with_orders, count(*) FILTER (length < 3 AND has_carts > 0) AS short_with_carts FROM flags", DAILY_SQL, _FLAGS),
     "dataset_stats": _sql("""SELECT *, round(100.0 * events / sessions / items, 6) AS density_pct FROM (SELECT count(DISTINCT session) AS sessions, count(DISTINCT aid) AS items, count(*) AS events, count(*) FILTER (type = 'clicks') AS n_clicks, count(*) FILTER (type = 'carts') AS n_carts, count(*) FILTER (type = 'orders') AS n_orders, min(ts) AS first_ts, max(ts) AS last_ts FROM ev)"""),
     "type_shares": _sql("SELECT type, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM ev GROUP BY type"),
     "click_to_order": _sql("SELECT round(100.0 * count(*) FILTER (type = 'orders') / count(*) FILTER (type = 'clicks'), 6) AS click_to_order_pct FROM ev"),
@@ -179,5 +191,5 @@ ORACLES = {
     "id_sets": _sql("""SELECT 'both' AS part, count(*) AS items FROM (SELECT aid FROM train INTERSECT SELECT aid FROM test) UNION ALL SELECT 'train_only', count(*) FROM (SELECT aid FROM train EXCEPT SELECT aid FROM test) UNION ALL SELECT 'test_only', count(*) FROM (SELECT aid FROM test EXCEPT SELECT aid FROM train)""", WEB_SQL, _WEEKS),
     "sampling_distribution": _sql("SELECT aid, round(w, 6) AS weight, round(sum(w) OVER (ORDER BY aid) / sum(w) OVER (), 6) AS cumulative FROM (SELECT aid, pow(count(*), 0.75) AS w FROM ev GROUP BY aid)"),
     "training_sequences": _sql("SELECT session, array_to_string(items[:-2], ' ') AS inputs, array_to_string(items[2:], ' ') AS labels, items[-1] AS target FROM seq WHERE len(items) >= 2", WEB_SQL, _SEQ),
-    "padded_sequences": _sql("SELECT session, array_to_string(list_concat(CASE WHEN len(items) < 60 THEN list_transform(range(60 - len(items)), x -> CAST(0 AS BIGINT)) ELSE [] END, items[-60:]), ' ') AS padded, CAST(least(len(items), 60) AS INT) AS real FROM seq", WEB_SQL, _SEQ),
+    "padded_sequences": _sql("SELECT session, array_to_string(list_concat(CASE WHEN len(items) < 60 THEN list_transform(range(60 - len(items)), lambda x: CAST(0 AS BIGINT)) ELSE [] END, items[-60:]), ' ') AS padded, CAST(least(len(items), 60) AS INT) AS real FROM seq", WEB_SQL, _SEQ),
 }
