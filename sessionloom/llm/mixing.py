@@ -67,7 +67,8 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
         left, right = _round(v % rows, F.floor(v / rows), rows, columns, key)
         return (right * rows + left).cast("long")
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(24)), once(x), lambda v, _: F.when(v < n, v).otherwise(once(v)))
+    first = once(x)  # nearly always inside
+    return F.when(first < n, first).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(24)), first, lambda v, _: F.when(v < n, v).otherwise(once(v))))
 
 
 def mix_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
@@ -78,7 +79,9 @@ def mix_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: int)
     rest = F.col("wanted") % size
     t = t.withColumn("rest", rest).withColumn("slots", F.floor(F.col("wanted") / size) * F.col("blocks") + F.ceil(F.col("rest") / b))
     t = t.withColumn("before", F.coalesce(F.sum("slots").over(Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).withColumn("all_slots", F.sum("slots").over(Window.partitionBy()))
-    runs = t.filter("slots > 0").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SLOT_RUN).cast("long")))).repartition("source_rank", "from")
+    runs = t.filter("slots > 0").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SLOT_RUN).cast("long"))))
+    # dealt to a stated number of tasks: these rows are few and small, but much comes of each
+    runs = runs.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_rank", "from")
     s = runs.withColumn("k", F.explode(F.sequence("from", F.least(F.col("from") + SLOT_RUN, "slots") - 1)))
     s = s.withColumn("epoch", F.floor(F.col("k") / F.col("blocks"))).withColumn("x", F.col("k") % F.col("blocks"))
     # the short block comes last in every epoch, so that a cut epoch holds exactly the words that it should
@@ -90,25 +93,27 @@ def mix_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: int)
     return s.withColumn("place", place).select(F.floor(F.col("place") / shard_slots).alias("shard"), (F.col("place") % shard_slots).alias("slot"), "source_rank", "epoch", "block", "words")
 
 
-def placed_documents(docs: DataFrame, weights: Sequence[float], share: float, most: float) -> tuple[DataFrame, DataFrame]:
-    """The rows with size, source_rank and the place ``start`` of their first word in their source's stream; and the targets."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
+def placed_documents(sized: DataFrame, weights: Sequence[float], share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with source_rank, source_size, target and the place ``start`` of their first word in their source's stream; and the targets.
+
+    sized: doc_id, source, size and text_key, a hash of the text, which together say where a row comes.
+    """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     totals = written(totals, "sources")
     rows = totals.agg(F.sum("source_rows")).first()[0] or 0
     chunks = max(1, int(rows**0.5))
     targets = written(source_targets(totals.select("source", "source_size"), weights, share, most), "targets")
-    chunked = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    sums = sized.select("source", "doc_id", "text", "size").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
+    chunked = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(chunks)))
+    sums = chunked.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
     order = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("base", F.coalesce(F.sum("chunk_size").over(order), F.lit(0)))
     bases = bases.select(F.col("source").alias("of_source"), F.col("chunk").alias("of_chunk"), "base")
-    inside = Window.partitionBy("source", "chunk").orderBy("doc_id", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "chunk").orderBy("doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     local = chunked.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = local.join(bases, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("chunk") == F.col("of_chunk")))
     named = targets.select(F.col("source").alias("in_source"), "source_rank", "source_size", "target")
     placed = placed.join(named, F.col("source").eqNullSafe(F.col("in_source"))).withColumn("start", F.col("base") + F.col("local"))
-    return placed.drop("of_source", "of_chunk", "in_source", "base", "local", "chunk"), targets
+    return placed.drop("of_source", "of_chunk", "in_source", "base", "local", "chunk", "text_key"), targets
 
 
 def block_parts(placed: DataFrame, block_words: int) -> DataFrame:
@@ -129,17 +134,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     """
     extra = [c for c in docs.columns if c not in ("doc_id", "text", "source")] if with_text else []
     base = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), *([F.struct(*extra).alias("others")] if extra else []))
-    placed, targets = placed_documents(base, weights, share, most)
+    sized = base.withColumns({"size": word_count(F.col("text")), "text_key": F.xxhash64("text")})
+    if not with_text:  # then texts are read once, and nothing but sizes goes on
+        sized = written(sized.select("doc_id", "source", "size", "text_key"), "sizes")
+    placed, targets = placed_documents(sized, weights, share, most)
     if not with_text:
-        placed = written(placed.select("doc_id", "source", "size", "source_rank", "source_size", "target", "start"), "placed")
+        placed = written(placed, "placed")
     slots = mix_slots(targets, block_words, shard_slots, seed)
     uses = slots.groupBy("source_rank", "block", "words").agg(F.count(F.lit(1)).alias("times"))
     parts = block_parts(placed, block_words)
-    hit = parts.join(uses.withColumnsRenamed({"source_rank": "in_rank", "block": "in_block"}), (F.col("source_rank") == F.col("in_rank")) & (F.col("block") == F.col("in_block")))
+    # slots come of a table of a few sources, whose size says nothing about theirs: never broadcast
+    hit = parts.hint("shuffle_merge").join(uses.withColumnsRenamed({"source_rank": "in_rank", "block": "in_block"}).hint("shuffle_merge"), (F.col("source_rank") == F.col("in_rank")) & (F.col("block") == F.col("in_block")))
     hit = hit.withColumn("got", F.greatest(F.lit(0), F.least("part_words", F.col("words") - F.col("block_from")))).filter("got > 0")
     pieces = [F.collect_list(F.struct("doc_from", "got", "times")).alias("pieces")] if with_text else []
     taken = hit.groupBy(F.col("source_rank").alias("in_rank"), F.col("start").alias("in_start")).agg(F.sum(F.col("got") * F.col("times")).alias("taken"), *pieces)
-    joined = placed.join(taken, (F.col("source_rank") == F.col("in_rank")) & (F.col("start") == F.col("in_start")) & (F.col("size") > 0), "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    joined = placed.join(taken.hint("shuffle_merge"), (F.col("source_rank") == F.col("in_rank")) & (F.col("start") == F.col("in_start")) & (F.col("size") > 0), "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     if with_text:
         words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
         # a piece taken n times belongs to epochs 0 .. n - 1; an epoch of all words, in one go, is the text as it was
