@@ -6,8 +6,11 @@ the buckets are n disjoint pieces of ``width`` bits, which for long fingerprints
 
 In a bucket the fingerprints lie as vertical bit planes; one pass compares every row with the row ``shift`` places on,
 adding up differing bits in carry-save counters, 64 pairs to a machine word. Words whose pairs all exceed the radius
-are abandoned; a bucket whose rows are all connected is left. What leaves a bucket is a spanning forest, not its pairs.
-Buckets over ``SPLIT`` rows are dealt to several tasks as pairs of slices.
+are abandoned; a bucket whose rows are all connected by sure links is left. What leaves a bucket is a spanning forest of its nearest links,
+not its pairs. Buckets over ``SPLIT`` rows are dealt to several tasks as pairs of slices.
+
+With a least similarity, links above the sure radius count only if the shingle sets of their texts are that similar; as the forest
+takes nearest links first, a pair that is alike is hardly ever represented by one that is not.
 """
 
 from __future__ import annotations
@@ -112,84 +115,104 @@ def _majority(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return out
 
 
+def _shingle_hashes(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle, and its document, in order; a document of few words is one shingle."""
+    buffer, at, _ = w.joined()
+    most = max(0, len(w.starts) - shingle + 1)
+    first = np.arange(most)
+    first = first[w.doc[first] == w.doc[first + shingle - 1]]
+    few = w.first[:-1][(w.count > 0) & (w.count < shingle)].astype(np.int64)
+    size = np.concatenate([np.full(len(first), shingle), w.count[w.doc[few]] if len(few) else few])
+    first = np.concatenate([first, few])
+    order = np.argsort(first, kind="stable")
+    first, size = first[order], size[order]
+    return xxh64(buffer, at[first], at[first + size] - 1 - at[first]), w.doc[first]
+
+
 def _fingerprints(shingle: int, words64: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            w = Words(batch["text"], lower=True)
-            buffer, at, per_doc = w.joined()
-            # a document of few words is one shingle
-            first = np.concatenate([np.arange(max(0, len(w.starts) - shingle + 1)), w.first[:-1][(w.count > 0) & (w.count < shingle)]]).astype(np.int64)
-            size = np.minimum(shingle, w.count[w.doc[first]]) if len(first) else first
-            inside = w.doc[np.minimum(first + size - 1, max(0, len(w.starts) - 1))] == w.doc[first] if len(first) else np.zeros(0, bool)
-            short = np.arange(len(first)) >= max(0, len(w.starts) - shingle + 1)
-            inside &= short | (size == shingle)
-            first, size = first[inside], size[inside]
-            order = np.argsort(first, kind="stable")
-            first, size = first[order], size[order]
-            h = xxh64(buffer, at[first], at[first + size] - 1 - at[first])
+            h, doc = _shingle_hashes(Words(batch["text"], lower=True), shingle)
             out = {c: batch[c] for c in batch.schema.names if c != "text"}
             for k in range(words64):
-                out[f"f{k}"] = pa.array(_majority(_remixed(h, _SALTS[k]), w.doc[first], batch.num_rows).view(np.int64))
+                out[f"f{k}"] = pa.array(_majority(_remixed(h, _SALTS[k]), doc, batch.num_rows).view(np.int64))
             yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int, bits: int = 64) -> DataFrame:
-    """doc_id and the words f0, f1, ... (long) of the fingerprint of each row's whole text; null counts as empty, empty gives zeros."""
+    """doc_id, text_key (a hash of the text) and the words f0, f1, ... (long) of the fingerprint of each row's whole text; null counts as empty, empty gives zeros."""
     words64 = bits // 64
     if bits % 64 or not 1 <= words64 <= len(_SALTS):
         raise ValueError("bits must be 64, 128, 192 or 256")
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(f"f{k}", T.LongType()) for k in range(words64))])
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(shingle, words64), schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_key", T.LongType()), *(T.StructField(f"f{k}", T.LongType()) for k in range(words64))])
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(_fingerprints(shingle, words64), schema)
 
 
 # ---- comparison inside buckets
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-    """Least row number in each row's component, by hooking and pointer jumping."""
-    label = np.arange(n) if label is None else label
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Add links to the components in ``label`` (least row number of each), in place; the numbers of links that form a forest with those before."""
+    used = []
+    number = np.arange(len(a))
     while len(a):
         la, lb = label[a], label[b]
         apart = la != lb
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        a, b, number, la, lb = a[apart], b[apart], number[apart], la[apart], lb[apart]
         if not len(a):
             break
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        high, low = np.maximum(la, lb), np.minimum(la, lb)
+        # every component that is not the least of its links hooks on by one of them
+        roots, first = np.unique(high, return_index=True)
+        label[roots] = low[first]
+        used.append(number[first])
         while True:
             up = label[label]
             if (up == label).all():
                 break
-            label = up
-    return label
+            label[:] = up
+    return np.concatenate(used) if used else np.zeros(0, np.int64)
+
+
+def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Numbers of the links of a spanning forest that takes lower levels first; ``label`` becomes its components."""
+    return np.concatenate([rows[_joined(label, a[rows], b[rows])] for rows in (np.flatnonzero(level == v) for v in np.unique(level))] or [np.zeros(0, np.int64)])
+
 
+#: Levels between the sure radius and the radius, in which the forest of links is built.
+LEVELS = 4
 
-def linked_rows(bucket: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
-    """For rows in bucket order: the row number of the representative that each is connected with.
+
+def linked_rows(bucket: np.ndarray, prints: np.ndarray, radius: int, sure: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in bucket order: a spanning forest of their links, as row numbers a, b and level (0: at most ``sure`` bits differ).
 
     prints: one row of 64-bit words a fingerprint. Pairs of one bucket at ``radius`` or fewer differing bits are links.
     """
     n, words64 = prints.shape
+    sure = radius if sure is None else sure
     label = np.arange(n)
-    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if n else np.zeros(0, np.int64)
+    empty = np.zeros(0, np.int64)
+    kept = (empty, empty, empty)
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if n else empty
     size = np.diff(np.append(at, n))
     by_size = np.argsort(-size, kind="stable")
     by_size = by_size[size[by_size] > 1]
     if not len(by_size):
-        return label
+        return kept
     # rows of the largest buckets first: those still at work are always a prefix
     order = np.repeat(at[by_size], size[by_size]) + np.arange(size[by_size].sum()) - np.repeat(np.cumsum(size[by_size]) - size[by_size], size[by_size])
     group = np.repeat(np.arange(len(by_size)), size[by_size])
     sizes = size[by_size]
-    bits_down = radius.bit_length()
+    depth = radius.bit_length()
     shift = 0
     while True:
-        ends = np.cumsum(sizes)
         live = int(np.searchsorted(-sizes, -shift - 1, "right"))  # buckets with more than shift rows
         if not live:
             break
-        m = int(ends[live - 1])
+        m = int(np.cumsum(sizes)[live - 1])
         planes = _planes(prints[order[:m]], words64)
         a_all, b_all = [], []
         until = shift + 64
@@ -198,24 +221,29 @@ def linked_rows(bucket: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarr
             live = int(np.searchsorted(-sizes, -shift, "left"))
             if not live:
                 break
-            m = int(ends[live - 1])
-            hit = _compare(planes, group[:m], shift, radius, bits_down)
-            a_all.append(hit), b_all.append(hit + shift)
-        a, b = np.concatenate(a_all or [np.zeros(0, np.int64)]), np.concatenate(b_all or [np.zeros(0, np.int64)])
-        label = _roots(n, order[a], order[b], label)
-        # buckets that are wholly connected are done
+            m = int(np.cumsum(sizes)[live - 1])
+            hit = _compare(planes, group[:m], shift, radius, depth)
+            a_all.append(order[hit]), b_all.append(order[hit + shift])
+        a, b = np.concatenate(a_all or [empty]), np.concatenate(b_all or [empty])
+        far = np.bitwise_count(prints[a] ^ prints[b]).sum(1, dtype=np.int64)
+        level = np.where(far <= sure, 0, 1 + (far - sure - 1) * LEVELS // max(1, radius - sure))
+        a, b, level = (np.concatenate([x, y]) for x, y in zip(kept, (a, b, level), strict=True))
+        label = np.arange(n)
+        rows = _forest(label, a, b, level)
+        kept = a[rows], b[rows], level[rows]
+        # buckets that sure links connect wholly are done
+        certain = np.arange(n)
+        _joined(certain, *(x[kept[2] == 0] for x in kept[:2]))
         live = int(np.searchsorted(-sizes, -shift - 1, "right"))
         if not live:
             break
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])[:live]
         m = int(np.cumsum(sizes)[live - 1])
-        now = label[order[:m]]
-        whole = np.minimum.reduceat(now, begin) == np.maximum.reduceat(now, begin)
-        stay = ~whole
-        rows = np.repeat(stay, sizes[:live])
-        order, sizes = order[:m][rows], sizes[:live][stay]
+        now = certain[order[:m]]
+        stay = np.minimum.reduceat(now, begin) != np.maximum.reduceat(now, begin)
+        order, sizes = order[:m][np.repeat(stay, sizes[:live])], sizes[:live][stay]
         group = np.repeat(np.arange(len(sizes)), sizes)
-    return label
+    return kept
 
 
 def _planes(prints: np.ndarray, words64: int) -> np.ndarray:
@@ -282,15 +310,15 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def _links(columns: list[str], radius: int):
+def _links(columns: list[str], radius: int, sure: int | None):
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
         key = np.stack([table[c].to_numpy() for c in ("band", "part", "low", "high")], 1).astype(np.int64)
         bucket = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(1))])
         prints = np.stack([table[c].to_numpy() for c in columns], 1).view(np.uint64)
-        label = linked_rows(bucket, prints, radius)
-        rows = np.flatnonzero(label != np.arange(len(label)))
-        yield pa.RecordBatch.from_pydict({"a": pa.array(table["id"].to_numpy()[rows]), "b": pa.array(table["id"].to_numpy()[label[rows]])})
+        a, b, level = linked_rows(bucket, prints, radius, sure)
+        ids = table["id"].to_numpy()
+        yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(ids[a], ids[b])), "b": pa.array(np.minimum(ids[a], ids[b])), "level": pa.array(level, pa.int32())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -337,8 +365,8 @@ def _piece(columns: list[str], first: int, width: int) -> F.Column:
     return low.bitwiseOR(F.shiftleft(F.col(columns[word + 1]).bitwiseAND(F.lit((1 << (width - got)) - 1)), got))
 
 
-def near_links(prints: DataFrame, bits: int, radius: int, bands: tuple[int, int] | None = None) -> DataFrame:
-    """Spanning links (a, b) of ids whose fingerprints share a piece and differ in ``radius`` bits or fewer.
+def near_links(prints: DataFrame, bits: int, radius: int, bands: tuple[int, int] | None = None, sure: int | None = None) -> DataFrame:
+    """Spanning links (a > b, level) of ids whose fingerprints share a piece and differ in ``radius`` bits or fewer; level 0 has at most ``sure``.
 
     prints: ``id`` (any distinct longs) and the words f0, ... of distinct fingerprints.
     """
@@ -353,7 +381,52 @@ def near_links(prints: DataFrame, bits: int, radius: int, bands: tuple[int, int]
     dealt = dealt.filter("slices = 1 or s != t").select("id", *columns, "band", "part", F.least("s", "t").alias("low"), F.greatest("s", "t").alias("high"))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = dealt.repartition(parts, "band", "part", "low", "high").sortWithinPartitions("band", "part", "low", "high", "id")
-    return ready.mapInArrow(_links(columns, radius), "a long, b long").distinct()
+    return ready.mapInArrow(_links(columns, radius, sure), "a long, b long, level int").distinct()
+
+
+def _shingle_sets(shingle: int):
+    """Hashes of each text's distinct shingles, ascending, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            h, doc = _shingle_hashes(Words(batch["text"], lower=True), shingle)
+            cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            sets = [np.unique(h[a:b] >> np.uint64(24)).astype("<u8") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            # five bytes of each are enough to tell the shingles of two texts apart
+            packed = [x.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for x in sets]
+            yield pa.RecordBatch.from_pydict({"set_id": batch["set_id"], "set": pa.array(packed, pa.binary())})
+
+    return run
+
+
+def _similar(least: float):
+    def unpacked(x: bytes) -> np.ndarray:
+        wide = np.zeros((len(x) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+        return wide.reshape(-1).view("<u8")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
+                both = len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True))
+                keep.append(both >= least * ((len(x) + len(y)) // 5 - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def verified(links: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Of links (a, b), those whose texts have shingle sets of that similarity; nodes: id, doc (a doc_id that has the fingerprint) and doc_key, a hash of the text."""
+    ends = links.select(F.col("a").alias("end")).union(links.select(F.col("b").alias("end"))).distinct()
+    asked = written(nodes.join(ends.hint("shuffle_merge"), F.col("id") == F.col("end"), "left_semi").select(F.col("id").alias("set_id"), "text_key"), "asked")
+    keyed = docs.select(F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # one text a key is enough: rows that repeat it give the same set
+    sets = keyed.join(asked, F.col("key") == F.col("text_key")).select("set_id", "text").mapInArrow(_shingle_sets(shingle), "set_id long, set binary").dropDuplicates(["set_id"])
+    sets = written(sets, "sets")
+    one, other = sets.withColumnsRenamed({"set_id": "id_a", "set": "set_a"}), sets.withColumnsRenamed({"set_id": "id_b", "set": "set_b"})
+    both = links.select("a", "b").join(one.hint("shuffle_merge"), F.col("a") == F.col("id_a")).join(other.hint("shuffle_merge"), F.col("b") == F.col("id_b"))
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(_similar(least), "a long, b long")
 
 
 def components(links: DataFrame, what: str = "components") -> DataFrame:
@@ -361,7 +434,8 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
     links = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
 
     def star(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "of")
+        # written, so that both sides of the join are plain exchanges and a star's hot centre can be split
+        least = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "of"), what)
         return pairs.join(least.hint("shuffle_merge"), F.col("u") == F.col("of"))
 
     def state(df: DataFrame) -> tuple:
@@ -383,18 +457,24 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
     return links.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 64, radius: int = 4, bands: tuple[int, int] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 64, radius: int = 4, bands: tuple[int, int] | None = None, sure: int | None = None, least_similarity: float | None = None) -> DataFrame:
     """Each row's fingerprint words f0, ... and ``component_id``, the least doc_id among the documents it is linked with, itself included.
 
     Takes doc_id and text; other columns are ignored. Texts are lower-cased (A-Z) and cut into runs of ``shingle`` words;
     a shorter text is one shingle, a null or empty text has the fingerprint zero and links like any other. Equal
     fingerprints are one node, so copies cost nothing. Rows of null doc_id take part; they give no component id of
-    their own (null if alone).
+    their own (null if alone). Links of ``radius`` or fewer bits count, or, with ``least_similarity``, those of ``sure`` or fewer and those
+    further ones whose shingle sets are so similar.
     """
     columns = [f"f{k}" for k in range(bits // 64)]
     prints = written(fingerprints(docs, shingle, bits), "fingerprints")
-    nodes = written(prints.groupBy(*columns).agg(F.min("doc_id").alias("least_doc")).withColumn("id", F.xxhash64(*columns) if bits > 64 else F.col("f0")), "nodes")
-    found = components(near_links(nodes.select("id", *columns), bits, radius, bands))
+    nodes = written(prints.groupBy(*columns).agg(F.min("doc_id").alias("least_doc"), F.min("text_key").alias("text_key")).withColumn("id", F.xxhash64(*columns) if bits > 64 else F.col("f0")), "nodes")
+    links = near_links(nodes.select("id", *columns), bits, radius, bands, sure)
+    if least_similarity is not None:
+        links = written(links, "links")
+        doubtful = links.filter("level > 0")
+        links = links.filter("level = 0").select("a", "b").union(verified(doubtful, docs, nodes, shingle, least_similarity))
+    found = components(links.select("a", "b"))
     rooted = nodes.join(found.withColumnRenamed("id", "node").hint("shuffle_merge"), F.col("id") == F.col("node"), "left").select(*columns, "least_doc", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")).withColumnRenamed("root", "of")
     named = written(rooted.join(least.hint("shuffle_merge"), F.col("root") == F.col("of")).select(*(F.col(c).alias(f"n_{c}") for c in columns), "component_id"), "named")
