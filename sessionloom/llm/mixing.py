@@ -150,13 +150,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     taken = hit.groupBy(F.col("source_rank").alias("in_rank"), F.col("start").alias("in_start")).agg(F.sum(F.col("got") * F.col("times")).alias("taken"), *pieces)
     joined = placed.join(taken.hint("shuffle_merge"), (F.col("source_rank") == F.col("in_rank")) & (F.col("start") == F.col("in_start")) & (F.col("size") > 0), "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     if with_text:
-        words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
         # a piece taken n times belongs to epochs 0 .. n - 1; an epoch of all words, in one go, is the text as it was
         rounds = F.sequence(F.lit(1).cast("long"), F.greatest(F.array_max(F.transform("pieces", lambda p: p["times"])), F.lit(1)))
-        ordered = F.array_sort(F.col("pieces"))
-        one = F.transform(rounds, lambda r: F.array_join(F.flatten(F.transform(F.filter(ordered, lambda p: p["times"] >= r), lambda p: F.slice("words", (p["doc_from"] + 1).cast("int"), p["got"].cast("int")))), " "))
-        text = F.when(F.col("taken") == 0, F.lit("")).when(F.col("whole"), F.col("text")).otherwise(F.array_join(one, " "))
-        whole = (F.col("taken") == F.col("size")) & F.forall("pieces", lambda p: p["times"] == 1)
-        joined = joined.withColumn("whole", F.coalesce(whole, F.lit(False))).withColumn("words", F.when(F.col("whole") | (F.col("taken") == 0), F.array().cast("array<string>")).otherwise(words)).withColumn("taken_text", text)
+        whole = F.coalesce((F.col("taken") == F.col("size")) & F.forall("pieces", lambda p: p["times"] == 1), F.lit(False))
+
+        def built(words: Column) -> Column:
+            in_round = lambda r: F.filter(F.array_sort("pieces"), lambda p: p["times"] >= r)
+            one = F.transform(rounds, lambda r: F.array_join(F.flatten(F.transform(in_round(r), lambda p: F.slice(words, (p["doc_from"] + 1).cast("int"), p["got"].cast("int")))), " "))
+            return F.array_join(one, " ")
+
+        # the words are the argument of a lambda, so that they are found once a text, not once a piece
+        cut = F.element_at(F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), built), 1)
+        joined = joined.withColumn("taken_text", F.when(F.col("taken") == 0, F.lit("")).when(whole, F.col("text")).otherwise(cut))
         return joined.select("doc_id", "source", "size", "source_size", "target", "taken", "text", "taken_text", *(["others"] if extra else []))
     return joined.select("doc_id", "source", "size", "source_size", "target", "taken")
