@@ -416,11 +416,33 @@ def _similar(least: float):
     return run
 
 
+#: Bits of the sieve through which texts go before they are moved: a fixed size, 1 MB.
+SIEVE_BITS = 1 << 23
+
+
+def _sieve(keys: DataFrame, column: str):
+    """Lets through the rows whose ``key`` may be among the keys. It only saves moving texts: too many keys let all rows through, and the join decides."""
+    slot = F.pmod(F.col(column), F.lit(SIEVE_BITS))
+    words = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits")).collect()
+    table = np.zeros(SIEVE_BITS // 64, np.int64)
+    for r in words:  # SIEVE_BITS / 64 rows at most
+        table[r["word"]] = r["bits"]
+    table = table.view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.mod(batch["key"].to_numpy(zero_copy_only=False), SIEVE_BITS)
+            yield batch.filter(pa.array((table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    return run
+
+
 def verified(links: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
     """Of links (a, b), those whose texts have shingle sets of that similarity; nodes: id, doc (a doc_id that has the fingerprint) and doc_key, a hash of the text."""
     ends = links.select(F.col("a").alias("end")).union(links.select(F.col("b").alias("end"))).distinct()
     asked = written(nodes.join(ends.hint("shuffle_merge"), F.col("id") == F.col("end"), "left_semi").select(F.col("id").alias("set_id"), "text_key"), "asked")
     keyed = docs.select(F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = keyed.mapInArrow(_sieve(asked, "text_key"), keyed.schema)
     # one text a key is enough: rows that repeat it give the same set
     sets = keyed.join(asked, F.col("key") == F.col("text_key")).select("set_id", "text").mapInArrow(_shingle_sets(shingle), "set_id long, set binary").dropDuplicates(["set_id"])
     sets = written(sets, "sets")
