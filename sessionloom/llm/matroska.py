@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.llm.bytetext import chunks
+from sessionloom.llm.bytetext import chunks, tidy
 
 # Fixed values of the format: element ids.
 EBML, EBML_VERSION, EBML_READ, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -234,7 +234,7 @@ def _mux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def mux(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and ``media``, a container of the whole text (UTF-8, null counts as empty) as 8-bit samples, one row an input row."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_mux, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(_mux), schema)
 
 
 def packets(media: DataFrame) -> DataFrame:
@@ -283,4 +283,4 @@ def _demux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def demux(media: DataFrame) -> DataFrame:
     """What the stored bytes of each container hold, read back through its packets' byte ranges."""
     schema = T.StructType([T.StructField("doc_id", media.schema["doc_id"].dataType), *T._parse_datatype_string("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").fields])
-    return media.mapInArrow(_demux, schema)
+    return media.mapInArrow(tidy(_demux), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.llm.bytetext import chunks
+from sessionloom.llm.bytetext import chunks, tidy
 from sessionloom.llm.shared import written
 from sessionloom.llm.tokens import word_tokenizer
 
@@ -33,7 +33,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         tokenizer = word_tokenizer(path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 512 << 10):
             ids, offsets = tokenizer.encode(batch["text"])
             docs = batch.num_rows
             ends = offsets[1:] + np.arange(1, docs + 1)
@@ -66,7 +66,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Each row's ids, then ``end_id``, in pieces of at most ``capacity``: doc_id, piece, start, length, ids_crc32, and a rank of the row among those of its length in its partition."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string(PIECES).fields])
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer_path, capacity, end_id), schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(_pieces(tokenizer_path, capacity, end_id)), schema)
 
 
 def sweeps(counts: dict[int, int], capacity: int) -> np.ndarray:

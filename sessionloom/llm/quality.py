@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.llm.bytetext import Words, chunks
+from sessionloom.llm.bytetext import Words, chunks, tidy
 from sessionloom.llm.shared import written
 
+#: Bytes of text that are measured at once.
+BATCH_BYTES = 256 << 10
 STATISTICS = ("log_words", "word_size", "word_size_spread", "upper", "digits", "symbols", "ends_in_letter", "distinct", "repeated_lines", "short_words", "lines", "beyond_ascii", "stops", "log_longest", "bars", "all_upper")
 #: Random features, kernel width in standard deviations, ridge, bins of the calibration histogram, groups that add up parts.
 FOURIER, WIDTH, RIDGE, BINS, GROUPS = 160, 3.0, 1e-3, 1024, 16
@@ -75,7 +77,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", BATCH_BYTES):
         s = statistics(batch["text"])
         flat = pa.array(s.ravel())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * s.shape[1], pa.int32()), flat)
@@ -86,7 +88,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, row_key (a hash of doc_id and text) and statistics of each row's whole text."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("row_key", T.LongType()), T.StructField("statistics", T.ArrayType(T.DoubleType()))])
     text = F.col("text").cast("string")
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("row_key"), text.alias("text")).mapInArrow(_measure, schema)
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("row_key"), text.alias("text")).mapInArrow(tidy(_measure), schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -212,7 +214,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     model = fit(written(measured(docs), "statistics"), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", BATCH_BYTES):
             yield batch.filter(pa.array(model.score(statistics(batch["text"])) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.llm.bytetext import Words, chunks
+from sessionloom.llm.bytetext import Words, chunks, tidy
 from sessionloom.llm.shared import written
 
 #: Rows of a bucket that one task compares; larger buckets are split into pairs of slices.
 SPLIT = 8192
 #: Rows that are compared at once.
-BATCH_ROWS = 1 << 18
+BATCH_ROWS = 1 << 17
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 _SALTS = [np.uint64(x) for x in (0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -148,7 +148,7 @@ def fingerprints(docs: DataFrame, shingle: int, bits: int = 64) -> DataFrame:
         raise ValueError("bits must be 64, 128, 192 or 256")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text_key", T.LongType()), *(T.StructField(f"f{k}", T.LongType()) for k in range(words64))])
     text = F.col("text").cast("string")
-    return docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(_fingerprints(shingle, words64), schema)
+    return docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(tidy(_fingerprints(shingle, words64)), schema)
 
 
 # ---- comparison inside buckets
@@ -381,7 +381,7 @@ def near_links(prints: DataFrame, bits: int, radius: int, bands: tuple[int, int]
     dealt = dealt.filter("slices = 1 or s != t").select("id", *columns, "band", "part", F.least("s", "t").alias("low"), F.greatest("s", "t").alias("high"))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = dealt.repartition(parts, "band", "part", "low", "high").sortWithinPartitions("band", "part", "low", "high", "id")
-    return ready.mapInArrow(_links(columns, radius, sure), "a long, b long, level int").distinct()
+    return ready.mapInArrow(tidy(_links(columns, radius, sure)), "a long, b long, level int").distinct()
 
 
 def _shingle_sets(shingle: int):
@@ -442,9 +442,9 @@ def verified(links: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     ends = links.select(F.col("a").alias("end")).union(links.select(F.col("b").alias("end"))).distinct()
     asked = written(nodes.join(ends.hint("shuffle_merge"), F.col("id") == F.col("end"), "left_semi").select(F.col("id").alias("set_id"), "text_key"), "asked")
     keyed = docs.select(F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = keyed.mapInArrow(_sieve(asked, "text_key"), keyed.schema)
+    keyed = keyed.mapInArrow(tidy(_sieve(asked, "text_key")), keyed.schema)
     # one text a key is enough: rows that repeat it give the same set
-    sets = keyed.join(asked, F.col("key") == F.col("text_key")).select("set_id", "text").mapInArrow(_shingle_sets(shingle), "set_id long, set binary").dropDuplicates(["set_id"])
+    sets = keyed.join(asked, F.col("key") == F.col("text_key")).select("set_id", "text").mapInArrow(tidy(_shingle_sets(shingle)), "set_id long, set binary").dropDuplicates(["set_id"])
     sets = written(sets, "sets")
     one, other = sets.withColumnsRenamed({"set_id": "id_a", "set": "set_a"}), sets.withColumnsRenamed({"set_id": "id_b", "set": "set_b"})
     both = links.select("a", "b").join(one.hint("shuffle_merge"), F.col("a") == F.col("id_a")).join(other.hint("shuffle_merge"), F.col("b") == F.col("id_b"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.bytetext import Words, chunks, deltas, pack, runs, undo_deltas, unpack
+from sessionloom.llm.bytetext import Words, chunks, deltas, pack, runs, tidy, undo_deltas, unpack
 from sessionloom.llm.shared import parts_for
 
 _PROBE, _WIDE, _NARROW = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407
@@ -279,10 +279,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True) ->
         found = routed.groupBy("bucket").applyInArrow(match(buckets), ADDRESSED)
         return found.groupBy("target").applyInArrow(_gather, MARKS).withColumnRenamed("row_key", name)
 
-    anchors = matched(known.select("row_key", "text").mapInArrow(_probes(anchor, buckets), ROUTED), _match_anchors, "anchor_key")
+    anchors = matched(known.select("row_key", "text").mapInArrow(tidy(_probes(anchor, buckets)), ROUTED), _match_anchors, "anchor_key")
     around = known.hint("shuffle_merge").join(anchors.hint("shuffle_merge"), known["row_key"] == anchors["anchor_key"]).select("doc_id", "row_key", "text", "marks")
-    repeats = matched(around.mapInArrow(_candidates(anchor, window, buckets), ROUTED), _match_windows, "repeat_key")
+    repeats = matched(around.mapInArrow(tidy(_candidates(anchor, window, buckets)), ROUTED), _match_windows, "repeat_key")
     joined = known.hint("shuffle_merge").join(repeats.hint("shuffle_merge"), known["row_key"] == repeats["repeat_key"], "left").select("doc_id", "text", "marks")
     alone = rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary").alias("marks"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.unionByName(alone).mapInArrow(_kept(window, with_text), schema)
+    return joined.unionByName(alone).mapInArrow(tidy(_kept(window, with_text)), schema)
