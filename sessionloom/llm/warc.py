@@ -193,7 +193,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """All captures in order of URL key, timestamp and page_id: CAPTURES. Payloads of responses are digested anew and must agree."""
     found = archives.mapInArrow(_read, ", ".join(x for x in CAPTURES.split(", ") if not x.startswith("url_key")))
     names = [x.split()[0] for x in CAPTURES.split(", ")]
-    runs = found.withColumn("url_key", url_key(F.col("url"))).select(*names)
+    # written, as finding the key ranges reads the runs once more: archives are to be read once
+    runs = written(found.withColumn("url_key", url_key(F.col("url"))).select(*names), "runs")
     parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = runs.repartitionByRange(parts, "url_key", "timestamp", F.col("page_id").asc_nulls_last())
     sorted_runs = ranged.sortWithinPartitions("archive", "url_key", "timestamp", F.col("page_id").asc_nulls_last(), "record_at")
