@@ -66,11 +66,16 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _words(code: np.ndarray) -> np.ndarray:
+    """Codes as 64-bit words, filled up with zeros."""
+    return np.ascontiguousarray(np.pad(code, ((0, 0), (0, -code.shape[1] % 8)))).view(np.uint64)
+
+
 class Index:
     """Per substring, the rows in order of its value and where each value begins."""
 
     def __init__(self, code: np.ndarray):
-        self.code = code
+        self.words = _words(code)
         self.order = np.argsort(code, axis=0, kind="stable")
         self.begin = np.stack([np.searchsorted(code[self.order[:, k], k], np.arange(257)) for k in range(code.shape[1])])
 
@@ -78,7 +83,7 @@ class Index:
         """All rows whose code is within the radius of the query's. Substring radii add up to radius - substrings + 1."""
         m = len(query)
         share, rest = divmod(radius, m)
-        near = np.zeros(len(self.code), bool)
+        near = np.zeros(len(self.words), bool)
         for k in range(m):
             values = np.flatnonzero(_ONES[np.arange(256) ^ query[k]] <= share - (k > rest))
             begin, end = self.begin[k, values], self.begin[k, values + 1]
@@ -88,7 +93,7 @@ class Index:
             if near.all():  # nothing more to fetch
                 break
         rows = np.flatnonzero(near)
-        return rows[_ONES[self.code[rows] ^ query].sum(1, dtype=np.int64) <= radius]
+        return rows[np.bitwise_count(self.words[rows] ^ _words(query[None])).sum(1, dtype=np.int64) <= radius]
 
 
 def _stacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
