@@ -16,7 +16,9 @@ import pyarrow as pa
 from sessionloom.llm.bytetext import _BYTE_CODES, mix, powers, utf8
 
 #: Distinct pre-tokens that a worker remembers; beyond it begins anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
+#: Pre-tokens that are encoded at once.
+ENCODED = 2048
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0]] = _SPACE
@@ -50,14 +52,15 @@ class WordTokenizer:
         number = np.empty(len(hashes), np.int64)
         number[there] = self.place[at[there]]
         if len(new):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([text_of(k) for k in new.tolist()], add_special_tokens=False)]
+            # few at a time: an encoding takes about a kilobyte until its ids are taken out
+            got = [np.array(e.ids, np.uint32) for k in range(0, len(new), ENCODED) for e in self.tokenizer.encode_batch_fast([text_of(x) for x in new[k : k + ENCODED].tolist()], add_special_tokens=False)]
             size = np.array([len(x) for x in got], np.int32)
             number[new] = np.arange(len(self.hashes), len(self.hashes) + len(new))
             self.place = np.insert(self.place, at[new], number[new])
             self.hashes = np.insert(self.hashes, at[new], hashes[new])
             self.sizes = np.concatenate([self.sizes, size])
             self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size, dtype=np.int64) - size])
-            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
+            self.ids = np.concatenate([self.ids, *got])
         return number
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
