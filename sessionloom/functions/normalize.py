@@ -31,7 +31,7 @@ def to_seconds(events: DataFrame, column: str = "ts") -> DataFrame:
     """Epoch seconds, whole: a table whose greatest time is above 1e12 is in milliseconds."""
     top = events.agg(F.max(column).alias("top"))
     unit = F.when(F.col("top") > 10**12, 1000).otherwise(1)
-    return events.crossJoin(F.broadcast(top)).withColumn(column, F.expr(f"{column} div 1").cast("long") if False else F.floor(F.col(column) / unit).cast("long")).drop("top")
+    return events.crossJoin(F.broadcast(top)).withColumn(column, F.floor(F.col(column) / unit).cast("long")).drop("top")
 
 
 def known_keys(events: DataFrame) -> DataFrame:

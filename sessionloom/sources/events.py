@@ -91,7 +91,7 @@ def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events``: users are sessions, the JSON property k is the item; view and click are clicks, signup a cart, purchase an order; errors are left out."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type in ('view', 'click', 'signup', 'purchase')")
     kind = F.when(F.col("event_type").isin("view", "click"), "clicks").when(F.col("event_type") == "signup", "carts").otherwise("orders")
-    return rows.select(F.col("user_id").alias("session"), F.get_json_object("props", "$.k").cast("long").alias("aid"), F.expr(f"{'timestampdiff(MICROSECOND, TIMESTAMP_NTZ' + chr(39) + '1970-01-01 00:00:00' + chr(39) + ', ts)'} div 1000").alias("ts"), kind.alias("type"))
+    return rows.select(F.col("user_id").alias("session"), F.get_json_object("props", "$.k").cast("long").alias("aid"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 1000").alias("ts"), kind.alias("type"))
 
 
 #: The same in DuckDB, as a common table expression named ev.
