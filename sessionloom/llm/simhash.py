@@ -498,7 +498,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 64, radius: i
         links = links.filter("level = 0").select("a", "b").union(verified(doubtful, docs, nodes, shingle, least_similarity))
     found = components(links.select("a", "b"))
     rooted = nodes.join(found.withColumnRenamed("id", "node").hint("shuffle_merge"), F.col("id") == F.col("node"), "left").select(*columns, "least_doc", F.coalesce("root", "id").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")).withColumnRenamed("root", "of")
+    # written, as in ``components``: a component that holds many fingerprints can then be split in the join
+    least = written(rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")).withColumnRenamed("root", "of"), "least")
     named = written(rooted.join(least.hint("shuffle_merge"), F.col("root") == F.col("of")).select(*(F.col(c).alias(f"n_{c}") for c in columns), "component_id"), "named")
     same = F.lit(True)
     for c in columns:
