@@ -5,10 +5,12 @@ import pytest
 from sessionloom.functions import normalize as N
 from sessionloom.operators import covisit as V
 from sessionloom.operators import evaluate as E
+from sessionloom.operators import interactions as N2
 from sessionloom.operators import items as I
 from sessionloom.operators import recommend as R
 from sessionloom.operators import sessions as S
 from sessionloom.operators import splits as P
+from sessionloom.sources.settings import read_settings
 from sessionloom.streaming import sinks as K
 from sessionloom.streaming import unified as U
 
@@ -194,3 +196,30 @@ def test_rank_metrics_in_bounds(spark):
     e = events(spark, [(s, a, s + a, "clicks") for s in range(5) for a in range(4)])
     assert V.typed_edges(e, "clicks").filter("rank >= 20 or rank < 0").count() == 0
     assert V.bipartite_edges(e).count() == 2 * 20
+
+
+def test_interaction_matrices(spark):
+    train = events(spark, [(10, 7, 0, "clicks"), (10, 7, 1, "clicks"), (10, 9, 2, "orders"), (20, 7, 0, "clicks"), (30, 8, 0, "orders"), (40, 5, 0, "orders"), (10, None, 3, "clicks"), (None, 7, 0, "clicks")])
+    test = events(spark, [(40, 6, 9, "clicks"), (10, 7, 9, "clicks"), (10, 6, 10, "orders"), (10, 6, 11, "orders"), (20, 6, 9, "orders"), (40, 99, 9, "orders")])
+    matrix, held_out = N2.interaction_matrices(train, test)
+    # users 10, 40; items 5, 6, 7, 9
+    assert sorted(map(tuple, matrix.collect())) == [("buy", 0, 3), ("buy", 1, 0), ("pv", 0, 2), ("pv", 1, 1)]
+    assert sorted(map(tuple, held_out.collect())) == [(0, 1), (0, 1)]
+    empty = N2.interaction_matrices(train.limit(0), test)
+    assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+def test_samples(spark):
+    e = spark.range(4000).selectExpr("id div 4 AS session", "id AS aid", "id AS ts", "'clicks' AS type")
+    some = N2.session_sample(e, 0.25)
+    sizes = {r["count"] for r in some.groupBy("session").count().collect()}
+    assert sizes == {4} and 150 < some.count() / 4 < 350
+    assert sorted(some.collect()) == sorted(N2.session_sample(e.repartition(5), 0.25).collect()) != sorted(N2.session_sample(e, 0.25, seed=1).collect())
+    assert N2.sessions_by_draw(e, 30).select("session").distinct().count() == 30 and N2.sessions_by_draw(e, 9999).count() == 4000
+    assert N2.session_sample(e, 1.0).count() == 4000 and N2.event_sample(e, 0.0).count() == 0 and 800 < N2.event_sample(e, 0.25).count() < 1200
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "settings.json"
+    path.write_text('{"a": "${HOST:local}:${PORT:1}", "b": ["${NONE}", 3, {"c": "plain"}]}')
+    assert read_settings(str(path), {"PORT": "9"}) == {"a": "local:9", "b": ["", 3, {"c": "plain"}]}
