@@ -239,7 +239,7 @@ def mux(docs: DataFrame) -> DataFrame:
 
 def packets(media: DataFrame) -> DataFrame:
     """One row a frame of each row's container: doc_id, then the fields of PACKETS; times in ticks of the container. A null container has none."""
-    schema = T.StructType([T.StructField("doc_id", media.schema["doc_id"].dataType), *T._parse_datatype_string(PACKETS).fields])
+    schema = T.StructType([T.StructField("doc_id", media.schema["doc_id"].dataType), *T.StructType.fromDDL(PACKETS).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in schema.fields[1:]]
@@ -282,5 +282,5 @@ def _demux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def demux(media: DataFrame) -> DataFrame:
     """What the stored bytes of each container hold, read back through its packets' byte ranges."""
-    schema = T.StructType([T.StructField("doc_id", media.schema["doc_id"].dataType), *T._parse_datatype_string("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").fields])
+    schema = T.StructType([T.StructField("doc_id", media.schema["doc_id"].dataType), *T.StructType.fromDDL("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").fields])
     return media.mapInArrow(tidy(_demux), schema)

@@ -65,7 +65,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Each row's ids, then ``end_id``, in pieces of at most ``capacity``: doc_id, piece, start, length, ids_crc32, and a rank of the row among those of its length in its partition."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string(PIECES).fields])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL(PIECES).fields])
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(_pieces(tokenizer_path, capacity, end_id)), schema)
 
 
@@ -146,5 +146,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     named = bases.select(F.col("length").alias("of_length"), F.col("part").alias("of_part"), "base")
     ranked = pieces.join(named.hint("shuffle_merge"), (F.col("length") == F.col("of_length")) & (F.col("part") == F.col("of_part")))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local_rank")).alias("rank"))
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string("piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").fields])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL("piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").fields])
     return ranked.mapInArrow(_place(plan), schema)

@@ -198,4 +198,4 @@ def read_archives(archives: DataFrame) -> DataFrame:
     parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = runs.repartitionByRange(parts, "url_key", "timestamp", F.col("page_id").asc_nulls_last())
     sorted_runs = ranged.sortWithinPartitions("archive", "url_key", "timestamp", F.col("page_id").asc_nulls_last(), "record_at")
-    return sorted_runs.mapInArrow(_merge, T._parse_datatype_string(CAPTURES))
+    return sorted_runs.mapInArrow(_merge, T.StructType.fromDDL(CAPTURES))
