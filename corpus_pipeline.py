@@ -10,14 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import mixing, packing, pii, quality, simhash
+from sessionloom.llm import alike, mixing, packing, pii, quality
 from sessionloom.llm.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies: word 5-gram sets of similarity 0.8 or more. At 0.8 about 39 of 256 SimHash bits differ (the angle whose cosine is
-#: 2 * 0.8 / 1.8), give or take 6. Up to 22 bits are sure; up to 54 the sets themselves are compared. Twenty pieces of 12 bits
-#: find 0.95 of pairs at 0.8 and 0.998 at 0.9.
-NEAR = {"shingle": 5, "bits": 256, "radius": 54, "bands": (20, 12), "sure": 22, "least_similarity": 0.8}
+#: 2 * 0.8 / 1.8), give or take 6; up to 54 the sets themselves are compared. Pieces of 12 bits
+#: find 0.95 of pairs at 0.8.
+NEAR = {"shingle": 5, "radius": 54, "permutations": 1, "width": 12, "least_similarity": 0.8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of least id. Rows without an id stay; rows that repeat the id that stays do too."""
-    found = simhash.near_duplicates(docs, **NEAR)
+    found = alike.near_copies(docs, **NEAR)
     gone = written(found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
 

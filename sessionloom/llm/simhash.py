@@ -9,8 +9,7 @@ adding up differing bits in carry-save counters, 64 pairs to a machine word. Wor
 are abandoned; a bucket whose rows are all connected by sure links is left. What leaves a bucket is a spanning forest of its nearest links,
 not its pairs. Buckets over ``SPLIT`` rows are dealt to several tasks as pairs of slices.
 
-With a least similarity, links above the sure radius count only if the shingle sets of their texts are that similar; as the forest
-takes nearest links first, a pair that is alike is hardly ever represented by one that is not.
+``alike`` finds near copies by the similarity of the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -437,20 +436,6 @@ def _sieve(keys: DataFrame, column: str):
     return run
 
 
-def verified(links: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Of links (a, b), those whose texts have shingle sets of that similarity; nodes: id, doc (a doc_id that has the fingerprint) and doc_key, a hash of the text."""
-    ends = links.select(F.col("a").alias("end")).union(links.select(F.col("b").alias("end"))).distinct()
-    asked = written(nodes.join(ends.hint("shuffle_merge"), F.col("id") == F.col("end"), "left_semi").select(F.col("id").alias("set_id"), "text_key"), "asked")
-    keyed = docs.select(F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = keyed.mapInArrow(tidy(_sieve(asked, "text_key")), keyed.schema)
-    # one text a key is enough: rows that repeat it give the same set
-    sets = keyed.join(asked, F.col("key") == F.col("text_key")).select("set_id", "text").mapInArrow(tidy(_shingle_sets(shingle)), "set_id long, set binary").dropDuplicates(["set_id"])
-    sets = written(sets, "sets")
-    one, other = sets.withColumnsRenamed({"set_id": "id_a", "set": "set_a"}), sets.withColumnsRenamed({"set_id": "id_b", "set": "set_b"})
-    both = links.select("a", "b").join(one.hint("shuffle_merge"), F.col("a") == F.col("id_a")).join(other.hint("shuffle_merge"), F.col("b") == F.col("id_b"))
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_similar(least), "a long, b long")
-
-
 def components(links: DataFrame, what: str = "components") -> DataFrame:
     """(id, root): the least id in each linked id's component. Alternating large-star and small-star steps until nothing changes."""
     links = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
@@ -479,23 +464,18 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
     return links.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 64, radius: int = 4, bands: tuple[int, int] | None = None, sure: int | None = None, least_similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 64, radius: int = 4, bands: tuple[int, int] | None = None) -> DataFrame:
     """Each row's fingerprint words f0, ... and ``component_id``, the least doc_id among the documents it is linked with, itself included.
 
     Takes doc_id and text; other columns are ignored. Texts are lower-cased (A-Z) and cut into runs of ``shingle`` words;
     a shorter text is one shingle, a null or empty text has the fingerprint zero and links like any other. Equal
     fingerprints are one node, so copies cost nothing. Rows of null doc_id take part; they give no component id of
-    their own (null if alone). Links of ``radius`` or fewer bits count, or, with ``least_similarity``, those of ``sure`` or fewer and those
-    further ones whose shingle sets are so similar.
+    their own (null if alone). Links of ``radius`` or fewer bits count.
     """
     columns = [f"f{k}" for k in range(bits // 64)]
     prints = written(fingerprints(docs, shingle, bits), "fingerprints")
-    nodes = written(prints.groupBy(*columns).agg(F.min("doc_id").alias("least_doc"), F.min("text_key").alias("text_key")).withColumn("id", F.xxhash64(*columns) if bits > 64 else F.col("f0")), "nodes")
-    links = near_links(nodes.select("id", *columns), bits, radius, bands, sure)
-    if least_similarity is not None:
-        links = written(links, "links")
-        doubtful = links.filter("level > 0")
-        links = links.filter("level = 0").select("a", "b").union(verified(doubtful, docs, nodes, shingle, least_similarity))
+    nodes = written(prints.groupBy(*columns).agg(F.min("doc_id").alias("least_doc")).withColumn("id", F.xxhash64(*columns) if bits > 64 else F.col("f0")), "nodes")
+    links = near_links(nodes.select("id", *columns), bits, radius, bands)
     found = components(links.select("a", "b"))
     rooted = nodes.join(found.withColumnRenamed("id", "node").hint("shuffle_merge"), F.col("id") == F.col("node"), "left").select(*columns, "least_doc", F.coalesce("root", "id").alias("root"))
     # written, as in ``components``: a component that holds many fingerprints can then be split in the join
