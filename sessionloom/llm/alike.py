@@ -59,12 +59,11 @@ def _set_keys(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
 def _printed(shingle: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            all_h, all_doc = simhash._shingle_hashes(Words(batch["text"], lower=True), shingle)
-            h, doc = distinct_shingles(all_h, all_doc)
+            h, doc = distinct_shingles(*simhash._shingle_hashes(Words(batch["text"], lower=True), shingle))
             out = {c: batch[c] for c in batch.schema.names if c != "text"}
             out["id"] = pa.array(_set_keys(h, doc, batch.num_rows).view(np.int64))
             for c, salt in zip(COLUMNS, simhash._SALTS, strict=True):
-                out[c] = pa.array(simhash._majority(simhash._remixed(all_h, salt), all_doc, batch.num_rows).view(np.int64))
+                out[c] = pa.array(simhash._majority(simhash._remixed(h, salt), doc, batch.num_rows).view(np.int64))
             out["prefix"] = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(out)
 

@@ -71,3 +71,14 @@ def test_candidates_leave_no_pair_out(n):
     assert near == handed | later
 
 
+def test_repeated_shingles_count_once(spark):
+    r = np.random.default_rng(4)
+    own = lambda n: " ".join(f"w{x}" for x in r.integers(0, 10**6, n))
+    line = "one line of five words "
+    passage, rest = own(60), own(500)
+    texts = [line * 100 + own(60), line * 100 + own(60), f"{passage} " * 12 + rest, f"{passage} " * 2 + rest, own(300), "", None, "A b", "a  B"]
+    want = whole(texts)
+    assert want == [0, 1, 2, 2, 4, 5, 5, 7, 7]
+    assert found(spark, texts) == want
+
+
