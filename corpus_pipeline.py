@@ -15,9 +15,9 @@ from sessionloom.llm.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies: word 5-gram sets of similarity 0.8 or more. At 0.8 about 39 of 256 SimHash bits differ (the angle whose cosine is
-#: 2 * 0.8 / 1.8), give or take 6; up to 54 the sets themselves are compared. Pieces of 12 bits
-#: find 0.95 of pairs at 0.8.
-NEAR = {"shingle": 5, "radius": 54, "permutations": 1, "width": 12, "least_similarity": 0.8}
+#: 2 * 0.8 / 1.8), give or take 6; up to 60 the sets themselves are compared. By the binomial distribution 4 * 21 pieces of 12 bits find 0.9995 of
+#: pairs at exactly 0.8, and more above.
+NEAR = {"shingle": 5, "radius": 60, "permutations": 4, "width": 12, "least_similarity": 0.8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

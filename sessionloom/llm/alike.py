@@ -56,6 +56,14 @@ def _set_keys(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return out
 
 
+def _prefixes(h: np.ndarray, doc: np.ndarray, docs: int, least: float) -> list[list[int]]:
+    """Of each set of up to SHORT values, the least ones, one of which it shares with any set that similar."""
+    count = np.bincount(doc, minlength=docs)
+    begin = np.cumsum(count) - count
+    signed = h.view(np.int64)
+    return [signed[a : a + n - int(np.ceil(least * n - 1e-9)) + 1].tolist() if 0 < n <= SHORT else [] for a, n in zip(begin.tolist(), count.tolist(), strict=True)]
+
+
 def _printed(shingle: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -64,7 +72,7 @@ def _printed(shingle: int, least: float):
             out["id"] = pa.array(_set_keys(h, doc, batch.num_rows).view(np.int64))
             for c, salt in zip(COLUMNS, simhash._SALTS, strict=True):
                 out[c] = pa.array(simhash._majority(simhash._remixed(h, salt), doc, batch.num_rows).view(np.int64))
-            out["prefix"] = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
+            out["prefix"] = pa.array(_prefixes(h, doc, batch.num_rows, least), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(out)
 
     return run

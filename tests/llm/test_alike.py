@@ -82,3 +82,18 @@ def test_repeated_shingles_count_once(spark):
     assert found(spark, texts) == want
 
 
+def pair(r, n, both):
+    """Two texts of n shingles each, with that many in common."""
+    w = [f"w{x}" for x in r.integers(0, 10**9, both + 4)]
+    return [" ".join(w + [f"w{x}" for x in r.integers(0, 10**9, n - both)]) for _ in range(2)]
+
+
+def test_both_sides_of_the_threshold(spark):
+    r = np.random.default_rng(6)
+    # 8/10 and 400/500 are 0.8; one shingle less is below it
+    texts = [t for n, both in ((9, 8), (450, 400)) for _ in range(750) for t in pair(r, n, both)]
+    below = [t for n, both in ((9, 7), (450, 399)) for _ in range(20) for t in pair(r, n, both)]
+    assert similarity(*map(shingles, texts[:2])) == 0.8 == similarity(*map(shingles, texts[-2:]))
+    got = found(spark, texts + below)
+    assert sum(got[k + 1] == k for k in range(0, len(texts), 2)) >= 0.999 * len(texts) / 2
+    assert all(got[k] == k for k in range(len(texts), len(got)))
