@@ -166,8 +166,8 @@ def learned(rows: DataFrame, k: int) -> tuple[np.ndarray, int]:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "embedding") -> DataFrame:
     """The k nearest rows of ``vectors`` to each row of ``queries`` by inner product: query_id, rank (from 1), vec_id, score.
 
-    Both take vec_id and the vector column. A query's own vec_id is no candidate; fewer than k candidates are all returned if the radius holds
-    them, which it is raised to do where there are no more than 2 * k rows. Ties go to the smaller vec_id. Unusable vectors
+    Both take vec_id and the vector column. A query's own vec_id is no candidate; fewer than k candidates are all returned: queries for which the
+    radius holds too few rows are probed again with a wider one, up to the whole code. Ties go to the smaller vec_id. Unusable vectors
     (see ``usable``) take no part. Rows that repeat a vec_id are candidates each; of queries that repeat one, the least vector stands.
     """
     rows = written(usable(vectors, vector), "vectors")
@@ -176,12 +176,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rotation, radius = learned(rows, k)
-    if n <= 2 * k:
-        radius = rotation.shape[1]
-    asked = written(queries.select(F.col("vec_id").alias("asked")).distinct().join(rows.hint("shuffle_merge"), F.col("asked") == F.col("vec_id")).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    asked = queries.select(F.col("vec_id").alias("asked")).distinct().join(rows.hint("shuffle_merge"), F.col("asked") == F.col("vec_id")).groupBy("vec_id").agg(F.min("v").alias("v"), F.least(F.lit(k), F.lit(n) - F.count(F.lit(1))).alias("due"))
+    asked = written(asked, "queries")
+    whole = None
+    while True:
+        found = written(_probed(rows, n, asked, rotation, radius, k), "found")
+        held = found.groupBy("query_id").count()
+        counted = written(asked.join(held.hint("shuffle_merge"), F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "due", (F.coalesce("count", F.lit(0)) < F.col("due")).alias("short")), "counted")
+        short = counted.filter("short")
+        if radius >= rotation.shape[1] or short.isEmpty():
+            return found if whole is None else whole.union(found)
+        # what a wider radius finds replaces a short list
+        kept = found.join(short.select(F.col("vec_id").alias("again")).hint("shuffle_merge"), F.col("query_id") == F.col("again"), "left_anti")
+        whole = kept if whole is None else whole.union(kept)
+        asked, radius = short.select("vec_id", "v", "due"), min(rotation.shape[1], 2 * radius + 8)
+
+
+def _probed(rows: DataFrame, n: int, asked: DataFrame, rotation: np.ndarray, radius: int, k: int) -> DataFrame:
+    """The k best of the n rows within the radius of each query."""
     row_blocks, query_blocks = -(-n // BLOCK_ROWS), max(1, -(-asked.count() // BLOCK_QUERIES))
     left = rows.withColumn("i", F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = asked.withColumn("j", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    right = asked.select("vec_id", "v").withColumn("j", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
     pairs = left.withColumn("i", F.col("i").cast("int")).groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_meet(rotation, radius, k), TOP)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

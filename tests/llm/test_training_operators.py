@@ -187,6 +187,22 @@ def test_nearest(spark):
     assert mih.nearest(df.filter("vec_id = 1001"), df.filter("vec_id = 0")).count() == 0
 
 
+def test_nearest_of_outliers(spark):
+    # a dense cluster sets the radius; the queries far from it have k rows too
+    r = np.random.default_rng(8)
+    dense = np.eye(16)[0] * 10 + r.normal(size=(600, 16)) * 0.05
+    x = np.concatenate([dense, r.normal(size=(6, 16)), -dense[:2]])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = mih.nearest(df, df.filter("vec_id % 20 = 0 or vec_id >= 600"), k=20).collect()
+    by = {q: sorted(r.rank for r in got if r.query_id == q) for q in [*range(0, 600, 20), *range(600, 608)]}
+    assert all(v == list(range(1, 21)) for v in by.values())
+    best = [r.vec_id for r in got if r.query_id == 606 and r.rank == 1]
+    assert best == [int(np.argsort(-np.where(np.arange(608) == 606, -np.inf, x @ x[606]))[0])]
+    for n in (12, 43):
+        few = mih.nearest(df.filter(f"vec_id >= {608 - n}"), df.filter("vec_id >= 600"), k=20).collect()
+        assert {q: sum(r.query_id == q for r in few) for q in range(600, 608)} == dict.fromkeys(range(600, 608), min(20, n - 1))
+
+
 def test_index_finds_every_code_in_the_radius():
     r = np.random.default_rng(2)
     code = r.integers(0, 256, (500, 4)).astype(np.uint8)
