@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -314,16 +314,44 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, cut: np.
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 60, permutations: int = 4, width: int = 12, least_similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id, the least doc_id among the documents that links join with it, itself included.
+    """Per row doc_id, text_key, component_id and ``stays``; text_key is a hash of the text, and component_id the least doc_id among the documents
+    that links join with it, itself included.
 
     Takes doc_id and text; other columns are ignored. Texts are lower-cased (A-Z) and cut into runs of ``shingle`` words; a shorter text is one
     shingle, null and empty texts have the empty set and are alike. Rows of null doc_id take part; they give no component id (null if alone).
+    Of each component the rows of one doc_id and text stay: of the least doc_id (null last), then of the least text_key. So rows that repeat a
+    doc_id are judged each by its own text, and rows that repeat both are all said to stay: ``one_each`` leaves one of them.
     """
     prints = written(printed(docs, shingle, least_similarity), "fingerprints")
-    nodes = written(prints.groupBy("id").agg(F.min("doc_id").alias("least_doc"), F.min("text_key").alias("text_key"), *(F.min(c).alias(c) for c in COLUMNS), F.first("prefix").alias("prefix")), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id"), F.col("text_key"))).alias("first")
+    nodes = prints.groupBy("id").agg(first, *(F.min(c).alias(c) for c in COLUMNS), F.first("prefix").alias("prefix"))
+    nodes = written(nodes.withColumn("text_key", F.col("first.text_key")), "nodes")
     found = links(docs, nodes, shingle, radius, pieces(permutations, width), least_similarity)
-    rooted = nodes.join(found.withColumnRenamed("id", "node").hint("shuffle_merge"), F.col("id") == F.col("node"), "left").select("id", "least_doc", F.coalesce("root", "id").alias("root"))
+    rooted = nodes.join(found.withColumnRenamed("id", "node").hint("shuffle_merge"), F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     # written, as in ``simhash.components``: a component that holds many nodes can then be split in the join
-    least = written(rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")).withColumnRenamed("root", "of"), "least")
-    named = written(rooted.join(least.hint("shuffle_merge"), F.col("root") == F.col("of")).select(F.col("id").alias("n_id"), "component_id"), "named")
-    return prints.join(named.hint("shuffle_merge"), F.col("id") == F.col("n_id")).select("doc_id", "component_id")
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("stay")).withColumnRenamed("root", "of"), "least")
+    named = written(rooted.join(least.hint("shuffle_merge"), F.col("root") == F.col("of")).select(F.col("id").alias("n_id"), "stay"), "named")
+    stays = F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("text_key") == F.col("stay.text_key"))
+    return prints.join(named.hint("shuffle_merge"), F.col("id") == F.col("n_id")).select("doc_id", "text_key", F.col("stay.doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def one_each(docs: DataFrame, **near) -> DataFrame:
+    """The rows, with all their columns, less near copies: of each component of ``near_copies`` one row stays.
+
+    Which of several rows with that doc_id and text it is, where they differ in other columns, is not said.
+    """
+    found = written(near_copies(docs, **near), "copies")
+    gone = written(found.filter("not stays").select("doc_id", "text_key").distinct(), "gone")
+    again = written(found.filter("stays").groupBy("doc_id", "text_key").count().filter("count > 1"), "again")
+
+    def same(rows: DataFrame, keys: DataFrame) -> Column:
+        key = F.xxhash64(F.coalesce(rows["text"].cast("string"), F.lit("")))
+        return rows["doc_id"].eqNullSafe(keys["doc_id"]) & (key == keys["text_key"])
+
+    left = docs.join(gone, same(docs, gone), "left_anti")
+    if again.isEmpty():
+        return left
+    # texts of one key are equal, so the first of them is that of them all
+    row = F.first(F.struct(*(left[c] for c in docs.columns))).alias("row")
+    once = left.join(again, same(left, again)).groupBy(again["doc_id"], again["text_key"]).agg(row).select("row.*")
+    return left.join(again, same(left, again), "left_anti").unionByName(once)

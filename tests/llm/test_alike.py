@@ -97,3 +97,13 @@ def test_both_sides_of_the_threshold(spark):
     got = found(spark, texts + below)
     assert sum(got[k + 1] == k for k in range(0, len(texts), 2)) >= 0.999 * len(texts) / 2
     assert all(got[k] == k for k in range(len(texts), len(got)))
+
+
+def test_rows_that_repeat_an_id(spark):
+    a, b = pair(np.random.default_rng(9), 60, 0)
+    rows = [(1, a), (6, a), (6, b), (6, b), (7, None), (7, ""), (None, a), (None, "alone here"), (None, "alone here"), (8, b)]
+    df = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, gone int, text_key string").repartition(3)
+    got = alike.one_each(df, **corpus_pipeline.NEAR)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == sorted([(1, a), (6, b), (7, ""), (-1, "alone here")])
+    assert alike.one_each(df.limit(0), **corpus_pipeline.NEAR).count() == 0
