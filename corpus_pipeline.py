@@ -26,10 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id. Rows without an id stay; rows that repeat the id that stays do too."""
-    found = alike.near_copies(docs, **NEAR)
-    gone = written(found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One document of each group of near copies: that of least id, null last. Rows that repeat an id are judged each by its own text."""
+    return alike.one_each(docs.select(*COLUMNS), **NEAR)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
