@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two independent codes of the bytes, for two independent hashes of a word.
+_BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[str, np.ndarray] = {}
@@ -97,9 +98,9 @@ class Words:
         self.count = np.bincount(self.doc, minlength=self.docs).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, which: int = 0) -> np.ndarray:
         up, down = powers(len(self.data) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[self.data] * up[:-1])])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[which][self.data] * up[:-1])])
         return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
     def windows(self, words: int, multiplier: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,12 +3,13 @@
 Reference blocks are the non-overlapping runs of ``anchor`` words at word numbers 0, anchor, 2*anchor, ...
 of every document. Every rolling run of ``anchor`` words of every document probes them. A repeat of
 ``window`` = 2*anchor - 1 words always holds one whole reference block, so each repeat has an anchor hit; the hits are
-then extended: all ``window``-word runs around a hit are compared by content, and runs that repeat and
-overlap join into maximal repeats.
+then extended: all ``window``-word runs around a hit are compared, by 64 bits of one hash and 32 of another that has word hashes of its own, and
+runs that repeat and overlap join into maximal repeats.
 
-Scale: text never goes to a group. Anchor hashes travel as packed arrays (about five bytes a word) and
-each map chunk first settles among its own documents what it can, so a passage held by a third of all documents
-sends one representative per chunk. The document exchange is shared by both joins that need texts.
+Scale: text never goes to a group. A map chunk settles among its own documents what it can, so a passage held by a third of all documents
+sends one representative a chunk. What it sends is addressed by its number of the word in the chunk (about six bytes a word, however many
+buckets there are), and hits come back to the chunk, whose directory names the documents. From ``ONE_LEVEL`` buckets on entries
+go by coarse buckets first, so that a chunk's parcels never become small. The document exchange is shared by both joins that need texts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,63 +29,145 @@ from sessionloom.llm.shared import parts_for
 _PROBE, _WIDE, _NARROW = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407
 #: Words that one map chunk compares among themselves before anything is sent.
 CHUNK_WORDS = 900_000
-ROUTED = "bucket int, settled boolean, payload binary"
-ADDRESSED = "target int, payload binary"
+#: Input bytes a bucket, buckets up to which chunks send straight to them, and bytes that are dealt anew at a time beyond that.
+BUCKET_BYTES, ONE_LEVEL, RESPLIT_BYTES = 10 << 20, 16384, 16 << 20
+_LOW = np.uint64(0xFFFFFFFF)
+#: Kinds of rows: entries to be matched; words of a chunk that are hits; the documents of a chunk and their words.
+OPEN, HITS, DIRECTORY = range(3)
+ROUTED = "bucket int, kind int, chunk long, payload binary"
+ADDRESSED = "chunk long, kind int, payload binary"
 MARKS = "row_key long, marks binary"
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[list[tuple]]:
-    """Per map chunk: (batch, words, word hashes) of small pieces."""
-    held, n = [], 0
+class Chunk:
+    """Some documents of a map task that are compared among themselves before anything is sent: words are numbered through the chunk."""
+
+    def __init__(self, number: int, held: list[tuple]):
+        self.id = np.array([TaskContext.get().partitionId() << 32 | number], np.uint64)
+        self.held = held
+        self.keys = np.concatenate([b["row_key"].to_numpy(zero_copy_only=False) for b, _ in held]).view(np.uint64)
+        self.counts = np.concatenate([w.count for _, w in held]).astype(np.uint32)
+
+    def each(self) -> Iterator[tuple[pa.RecordBatch, Words, int, int]]:
+        """Batches, their words, and the number of the first document and word of each."""
+        doc = word = 0
+        for batch, w in self.held:
+            yield batch, w, doc, word
+            doc, word = doc + w.docs, word + len(w.starts)
+
+    def directory(self, buckets: int) -> tuple[int, int, np.uint64, bytes]:
+        return int(self.id[0] % np.uint64(buckets)), DIRECTORY, self.id[0], pack(self.keys, self.counts)
+
+    def settled(self, word: np.ndarray, buckets: int) -> Iterator[tuple[int, int, np.uint64, bytes]]:
+        if len(word):
+            word = np.sort(word)
+            yield int(self.id[0] % np.uint64(buckets)), HITS, self.id[0], pack(deltas(np.zeros(len(word)), word))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[Chunk]:
+    held, n, number = [], 0, 0
     for batch in chunks(batches, "text", 2 << 20):
         w = Words(batch["text"])
-        held.append((batch, w, w.hashes()))
+        held.append((batch, w))
         n += len(w.starts)
         if n >= words_each:
-            yield held
-            held, n = [], 0
+            yield Chunk(number, held)
+            held, n, number = [], 0, number + 1
     if held:
-        yield held
+        yield Chunk(number, held)
+
+
+def _bucket(value: np.ndarray, coarse: int, fine: int) -> np.ndarray:
+    """Coarse bucket by the upper half of a hash, fine bucket in it by the lower half."""
+    return ((value >> np.uint64(32)) % np.uint64(coarse) * np.uint64(fine) + (value & _LOW) % np.uint64(fine)).astype(np.int64)
+
+
+def _rows(rows: list[tuple[int, int, np.uint64, bytes]]) -> pa.RecordBatch:
+    bucket, kind, chunk, payload = zip(*rows, strict=True) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(np.array(chunk, np.uint64).view(np.int64)), pa.array(payload, pa.binary())], ["bucket", "kind", "chunk", "payload"])
+
+
+def _sent(bucket: np.ndarray, chunk: np.ndarray, word: np.ndarray, values: dict[str, np.ndarray]) -> Iterator[tuple[int, int, np.uint64, bytes]]:
+    """Entries in chunk and word order, packed for each bucket: chunks, how many entries of each, gaps between words, values."""
+    order = np.argsort(bucket, kind="stable")
+    at = runs(bucket[order])
+    for own in np.split(order, at[1:]) if len(at) else []:
+        head = runs(chunk[own])
+        count = np.diff(np.append(head, len(own))).astype(np.uint32)
+        arrays = []
+        for name, v in values.items():
+            if name == "flag":
+                arrays.append(np.packbits(v[own]))
+            elif name == "id":
+                base = v[own].min()
+                away = (v[own].astype(np.uint64) - base.astype(np.uint64)).astype(np.uint64)
+                arrays += [np.array([base], np.int64), away.astype(np.uint32) if away.max() <= _LOW else away]
+            else:
+                arrays.append(v[own])
+        yield int(bucket[own[0]]), OPEN, np.uint64(0), pack(chunk[own][head], count, deltas(chunk[own], word[own]), *arrays)
+
+
+def _opened(payloads: list[bytes], names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Chunk, word and values of all entries, payload after payload."""
+    chunk, word, values = [], [], {n: [] for n in names}
+    for payload in payloads:
+        owner, count, gaps, *rest = unpack(payload)
+        group = np.repeat(np.arange(len(owner)), count)
+        chunk.append(owner[group]), word.append(undo_deltas(group, gaps))
+        for n in names:
+            v = rest.pop(0)
+            if n == "flag":
+                v = np.unpackbits(v)[: len(group)]
+            elif n == "id":
+                v = (v.astype(np.uint64) + rest.pop(0).astype(np.uint64)).view(np.int64)
+            values[n].append(v)
+    return np.concatenate(chunk), np.concatenate(word), {n: np.concatenate(v) for n, v in values.items()}
 
 
-def _send(bucket: np.ndarray, buckets: int, doc: np.ndarray, keys: np.ndarray, ids: np.ndarray | None, pos: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Rows in document and position order, packed for each bucket."""
-    order = np.argsort(bucket.astype(np.uint16 if buckets < 65536 else np.uint32), kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        own = order[cuts[b] : cuts[b + 1]]
-        if len(own):
-            at = runs(doc[own])
-            count = np.diff(np.append(at, len(own))).astype(np.uint32)
-            head = doc[own][at]
-            yield b, pack(keys[head], *([] if ids is None else [ids[head]]), count.astype(np.uint16) if count.max() < 65536 else count, deltas(doc[own], pos[own]), *(v[own] for v in values))
+ANCHOR, WINDOW = ("low", "flag"), ("id", "wide", "narrow")
 
 
-def _settled(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    if len(doc):
-        order = np.lexsort((pos, doc))
-        yield from _send((keys[doc[order]] % np.uint64(buckets)).astype(np.int64), buckets, doc[order], keys, None, pos[order])
+def _resplit(names: tuple[str, ...], fine: int):
+    """Entries of coarse buckets, in bucket order, are dealt to the fine ones, many payloads at a time."""
 
+    def dealt(payloads: list[bytes], coarse: int) -> list[tuple]:
+        chunk, word, values = _opened(payloads, names)
+        low = values["low"].astype(np.uint64) if "low" in values else values["wide"] & _LOW
+        order = np.lexsort((word, chunk))
+        bucket = coarse * fine + (low % np.uint64(fine)).astype(np.int64)
+        return list(_sent(bucket[order], chunk[order], word[order], {n: v[order] for n, v in values.items()}))
 
-def _routed(parts: Iterator[tuple[int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
-    for b, settled, payload in parts:
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([settled]), pa.array([payload], pa.binary())], ["bucket", "settled", "payload"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        for batch in batches:
+            for b, kind, chunk, payload in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "chunk", "payload")), strict=True):
+                if kind != OPEN:
+                    yield _rows([(b, kind, np.int64(chunk).astype(np.uint64), payload)])
+                    continue
+                if held and (b // fine != now or size > RESPLIT_BYTES):
+                    yield _rows(dealt(held, now))
+                    held, size = [], 0
+                now = b // fine
+                held.append(payload)
+                size += len(payload)
+        if held:
+            yield _rows(dealt(held, now))
+
+    return run
 
 
-def _probes(anchor: int, buckets: int):
+def _probes(anchor: int, coarse: int, fine: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _gathered(batches, CHUNK_WORDS):
-            keys = np.concatenate([b["row_key"].to_numpy(zero_copy_only=False) for b, _, _ in held]).view(np.uint64)
-            doc, pos, value, base = [], [], [], 0
-            for batch, w, hashes in held:
-                at, h = w.windows(anchor, _PROBE, hashes)
-                doc.append((w.doc[at] + base).astype(np.int32))
-                pos.append((at - w.first[w.doc[at]]).astype(np.int32))
+        for c in _gathered(batches, CHUNK_WORDS):
+            doc, word, value, aligned = [], [], [], []
+            for _, w, first_doc, first_word in c.each():
+                at, h = w.windows(anchor, _PROBE, w.hashes())
+                doc.append((w.doc[at] + first_doc).astype(np.int32))
+                word.append((at + first_word).astype(np.int32))
+                aligned.append((at - w.first[w.doc[at]]) % anchor == 0)
                 value.append(h)
-                base += batch.num_rows
-            held.clear()
-            doc, pos, value = np.concatenate(doc), np.concatenate(pos), np.concatenate(value)
-            aligned = pos % anchor == 0
+            doc, word, value, aligned = map(np.concatenate, (doc, word, value, aligned))
+            c.held.clear()
             order = np.argsort(value, kind="stable")
             at = runs(value[order])
             if not len(at):
@@ -93,79 +177,72 @@ def _probes(anchor: int, buckets: int):
             other = doc[order] != first
             shared = np.repeat(np.logical_or.reduceat(other, at), size)
             anchored = np.repeat(np.logical_or.reduceat(aligned[order], at), size)
-            here = order[shared]
-            for b, payload in _settled(keys, doc[here], pos[here], buckets):
-                yield from _routed([(b, True, payload)])
-            go = np.zeros(len(order), bool)
-            go[order[~other]] = True
-            flag = np.zeros(len(order), np.uint8)
-            flag[order] = anchored
+            # of entries of this chunk that are equal, those of one document go on: entries of two chunks are of two documents
+            go, flag = np.zeros(len(order), bool), np.zeros(len(order), np.uint8)
+            go[order[~other]], flag[order] = True, anchored
             go = np.flatnonzero(go)
-            bucket = (value[go] >> np.uint64(32)) % np.uint64(buckets)
-            for b, payload in _send(bucket.astype(np.int64), buckets, doc[go], keys, None, pos[go], (value[go] & np.uint64(0xFFFFFFFF)).astype(np.uint32), flag[go]):
-                yield from _routed([(b, False, payload)])
+            h = value[go]
+            sent = _sent(_bucket(h, coarse, fine) // fine * fine, np.repeat(c.id, len(go)), word[go], {"low": (h & _LOW).astype(np.uint32), "flag": flag[go]})
+            yield _rows([c.directory(coarse * fine), *c.settled(word[order[shared]], coarse * fine), *sent])
 
     return run
 
 
-def _marks_table(key: np.ndarray, pos: np.ndarray) -> pa.Table:
-    """One row a document: its positions."""
-    if not len(key):
-        return pa.table({"row_key": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
-    order = np.lexsort((pos, key))
-    key, pos = key[order], pos[order]
-    at = runs(key)
-    ends = np.append(at[1:], len(key))
-    return pa.table({"row_key": pa.array(key[at].view(np.int64), pa.int64()), "marks": pa.array([pack(deltas(key[a:e], pos[a:e])) for a, e in zip(at, ends, strict=True)], pa.binary())})
+def _addressed(table: pa.Table, kind: np.ndarray, chunk: np.ndarray, word: np.ndarray) -> pa.Table:
+    """What was settled before, and the hits found here, by the chunk that they came from."""
+    order = np.lexsort((word, chunk))
+    chunk, word = chunk[order], word[order]
+    at = runs(chunk)
+    hits = [(0, HITS, chunk[own[0]], pack(deltas(chunk[own], word[own]))) for own in np.split(np.arange(len(chunk)), at[1:])] if len(at) else []
+    found = pa.Table.from_batches([_rows(hits)])
+    return pa.concat_tables([table.filter(pa.array(kind != OPEN)).select(found.column_names).cast(found.schema), found]).select(["chunk", "kind", "payload"])
 
 
-def _opened(payloads: list[bytes], with_ids: bool) -> list[np.ndarray]:
-    """Keys (and ids) per row, positions, further values."""
-    parts = []
-    for payload in payloads:
-        keys, *rest = unpack(payload)
-        ids = [rest.pop(0)] if with_ids else []
-        count, gaps, *values = rest
-        doc = np.repeat(np.arange(len(keys)), count)
-        parts.append([keys[doc], *(i[doc] for i in ids), undo_deltas(doc, gaps), *values])
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
-
-
-def _addressed(table: pa.Table, settled: np.ndarray, buckets: int, key: np.ndarray, pos: np.ndarray) -> pa.Table:
-    """What was settled before, and the hits found here, by the bucket of their document: few rows, however many documents."""
-    found = list(_settled(*_numbered(key), pos, buckets)) if len(key) else []
-    rows = [(b, p) for b, p, s in zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), settled, strict=True) if s] + found
-    return pa.table({"target": pa.array([b for b, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
+def _matched(names: tuple[str, ...], hits):
+    """Per bucket the entries that ``hits`` finds among the open ones."""
 
+    def run(table: pa.Table) -> pa.Table:
+        kind = np.asarray(table["kind"])
+        chunk, word = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if (kind == OPEN).any():
+            chunk, word, values = _opened([p for p, k in zip(table["payload"].to_pylist(), kind, strict=True) if k == OPEN], names)
+            hit = hits(chunk, **values)
+            chunk, word = chunk[hit], word[hit]
+        return _addressed(table, kind, chunk, word)
 
-def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and each row's number among them."""
-    keys, doc = np.unique(key, return_inverse=True)
-    return keys, doc
+    return run
 
 
-def _match_anchors(buckets: int):
-    """Positions of anchors that another document has too, at least one of them a reference block."""
+def _shared_anchors(chunk: np.ndarray, low: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    """Anchors that another document has too, at least one of them a reference block."""
+    order = np.argsort(low, kind="stable")
+    at = runs(low[order])
+    size = np.diff(np.append(at, len(order)))
+    mixed = np.logical_or.reduceat(chunk[order] != np.repeat(chunk[order][at], size), at)
+    return order[np.repeat(mixed & np.logical_or.reduceat(flag[order] > 0, at), size)]
 
-    def run(table: pa.Table) -> pa.Table:
-        settled = np.array(table["settled"].to_pylist(), bool)
-        key, pos = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if not settled.all():
-            k, p, value, flag = _opened([x for x, s in zip(table["payload"].to_pylist(), settled, strict=True) if not s], False)
-            order = np.argsort(value, kind="stable")
-            at = runs(value[order])
-            size = np.diff(np.append(at, len(order)))
-            mixed = np.logical_or.reduceat(k[order] != np.repeat(k[order][at], size), at)
-            hit = order[np.repeat(mixed & np.logical_or.reduceat(flag[order] > 0, at), size)]
-            key, pos = k[hit], p[hit]
-        return _addressed(table, settled, buckets, key, pos)
 
-    return run
+def _later_windows(chunk: np.ndarray, id: np.ndarray, wide: np.ndarray, narrow: np.ndarray) -> np.ndarray:  # noqa: A002
+    """Windows that begin in a document of smaller id too."""
+    order = np.lexsort((narrow, wide))
+    at = runs(_pair_code(wide[order], narrow[order]))
+    return order[id[order] > np.repeat(np.minimum.reduceat(id[order], at), np.diff(np.append(at, len(order))))]
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """The marks of each document of a bucket, once each."""
-    return _marks_table(*_opened(table["payload"].to_pylist(), False))
+    """The marks of the documents of a chunk."""
+    kind, payload = np.asarray(table["kind"]), table["payload"].to_pylist()
+    found = [undo_deltas(np.zeros(len(gaps)), gaps) for p, k in zip(payload, kind, strict=True) if k == HITS for gaps in unpack(p)]
+    none = pa.table({"row_key": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
+    if not found:
+        return none
+    keys, counts = unpack(payload[int(np.flatnonzero(kind == DIRECTORY)[0])])
+    word = np.unique(np.concatenate(found))
+    first = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+    doc = np.searchsorted(first, word, "right") - 1
+    at = runs(doc)
+    marks = [pack(deltas(doc[own], word[own] - first[doc[own]])) for own in np.split(np.arange(len(doc)), at[1:])]
+    return pa.table({"row_key": pa.array(keys[doc[at]].view(np.int64)), "marks": pa.array(marks, pa.binary())})
 
 
 def _spread(w: Words, marks: list, back: int, forth: int) -> np.ndarray:
@@ -180,61 +257,37 @@ def _spread(w: Words, marks: list, back: int, forth: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _candidates(anchor: int, window: int, buckets: int):
+def _pair_code(wide: np.ndarray, narrow: np.ndarray) -> np.ndarray:
+    """A number for each run of equal pairs in sorted order."""
+    new = np.concatenate([[False], (wide[1:] != wide[:-1]) | (narrow[1:] != narrow[:-1])])
+    return np.cumsum(new)
+
+
+def _candidates(anchor: int, window: int, coarse: int, fine: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _gathered(batches, CHUNK_WORDS):
-            keys = np.concatenate([b["row_key"].to_numpy(zero_copy_only=False) for b, _, _ in held]).view(np.uint64)
-            ids = np.concatenate([b["doc_id"].to_numpy(zero_copy_only=False) for b, _, _ in held])
-            doc, pos, wide, narrow, base = [], [], [], [], 0
-            for batch, w, hashes in held:
+        for c in _gathered(batches, CHUNK_WORDS):
+            ids, word, wide, narrow = [], [], [], []
+            for batch, w, _, first_word in c.each():
                 near = _spread(w, batch["marks"].to_pylist(), window - anchor, 0)
-                at, h = w.windows(window, _WIDE, hashes)
-                _, h2 = w.windows(window, _NARROW, hashes)
+                at, h = w.windows(window, _WIDE, w.hashes())
+                _, h2 = w.windows(window, _NARROW, w.hashes(1))
                 keep = near[at]
                 at = at[keep]
-                doc.append((w.doc[at] + base).astype(np.int32))
-                pos.append((at - w.first[w.doc[at]]).astype(np.int32))
+                ids.append(batch["doc_id"].to_numpy(zero_copy_only=False)[w.doc[at]])
+                word.append((at + first_word).astype(np.int32))
                 wide.append(h[keep])
-                narrow.append((h2[keep] >> np.uint64(48)).astype(np.uint16))
-                base += batch.num_rows
-            held.clear()
-            doc, pos, wide, narrow = map(np.concatenate, (doc, pos, wide, narrow))
-            if not len(doc):
+                narrow.append((h2[keep] >> np.uint64(32)).astype(np.uint32))
+            ids, word, wide, narrow = map(np.concatenate, (ids, word, wide, narrow))
+            c.held.clear()
+            if not len(word):
                 continue
             order = np.lexsort((narrow, wide))
             at = runs(_pair_code(wide[order], narrow[order]))
             size = np.diff(np.append(at, len(order)))
-            mine = ids[doc[order]]
-            later = mine > np.repeat(np.minimum.reduceat(mine, at), size)
-            here = order[later]
-            for b, payload in _settled(keys, doc[here], pos[here], buckets):
-                yield from _routed([(b, True, payload)])
+            later = ids[order] > np.repeat(np.minimum.reduceat(ids[order], at), size)
             go = np.sort(order[~later])
-            for b, payload in _send((wide[go] % np.uint64(buckets)).astype(np.int64), buckets, doc[go], keys, ids, pos[go], wide[go], narrow[go]):
-                yield from _routed([(b, False, payload)])
-
-    return run
-
-
-def _pair_code(wide: np.ndarray, narrow: np.ndarray) -> np.ndarray:
-    """A number for each run of equal pairs in sorted order."""
-    new = np.concatenate([[False], (wide[1:] != wide[:-1]) | (narrow[1:] != narrow[:-1])])
-    return np.cumsum(new)
-
-
-def _match_windows(buckets: int):
-    """Positions of windows that begin in a document of smaller id too."""
-
-    def run(table: pa.Table) -> pa.Table:
-        settled = np.array(table["settled"].to_pylist(), bool)
-        key, pos = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if not settled.all():
-            k, i, p, wide, narrow = _opened([x for x, s in zip(table["payload"].to_pylist(), settled, strict=True) if not s], True)
-            order = np.lexsort((narrow, wide))
-            at = runs(_pair_code(wide[order], narrow[order]))
-            hit = order[i[order] > np.repeat(np.minimum.reduceat(i[order], at), np.diff(np.append(at, len(order))))]
-            key, pos = k[hit], p[hit]
-        return _addressed(table, settled, buckets, key, pos)
+            sent = _sent(_bucket(wide[go], coarse, fine) // fine * fine, np.repeat(c.id, len(go)), word[go], {"id": ids[go], "wide": wide[go], "narrow": narrow[go]})
+            yield _rows([c.directory(coarse * fine), *c.settled(word[order[later]], coarse * fine), *sent])
 
     return run
 
@@ -268,20 +321,26 @@ def remove_repeats(docs: DataFrame, window: int = 13, with_text: bool = True) ->
     if window < 3 or window % 2 == 0:
         raise ValueError("window must be odd and at least 3")
     anchor = (window + 1) // 2
-    buckets = parts_for(docs, 10 << 20)
+    coarse, fine = parts_for(docs, BUCKET_BYTES), 1
+    if coarse > ONE_LEVEL:
+        coarse = fine = int(np.ceil(np.sqrt(coarse)))
     # columns of the right type stay as they are: an alias would hide that both joins below need the same exchange of the texts
     kinds = dict(docs.dtypes)
     rows = docs.select(*(c if kinds[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))))
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     known = rows.filter("doc_id is not null")
 
-    def matched(routed: DataFrame, match, name: str) -> DataFrame:
-        found = routed.groupBy("bucket").applyInArrow(match(buckets), ADDRESSED)
-        return found.groupBy("target").applyInArrow(_gather, MARKS).withColumnRenamed("row_key", name)
+    def matched(routed: DataFrame, names: tuple[str, ...], hits, key: str) -> DataFrame:
+        if fine > 1:
+            routed = routed.repartition(coarse, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_resplit(names, fine)), ROUTED)
+        found = routed.groupBy("bucket").applyInArrow(_matched(names, hits), ADDRESSED)
+        marks = found.groupBy("chunk").applyInArrow(_gather, MARKS)
+        # rows that repeat id and text have equal marks, from more than one chunk perhaps
+        return marks.groupBy(F.col("row_key").alias(key)).agg(F.first("marks").alias("marks"))
 
-    anchors = matched(known.select("row_key", "text").mapInArrow(tidy(_probes(anchor, buckets)), ROUTED), _match_anchors, "anchor_key")
+    anchors = matched(known.select("row_key", "text").mapInArrow(tidy(_probes(anchor, coarse, fine)), ROUTED), ANCHOR, _shared_anchors, "anchor_key")
     around = known.hint("shuffle_merge").join(anchors.hint("shuffle_merge"), known["row_key"] == anchors["anchor_key"]).select("doc_id", "row_key", "text", "marks")
-    repeats = matched(around.mapInArrow(tidy(_candidates(anchor, window, buckets)), ROUTED), _match_windows, "repeat_key")
+    repeats = matched(around.mapInArrow(tidy(_candidates(anchor, window, coarse, fine)), ROUTED), WINDOW, _later_windows, "repeat_key")
     joined = known.hint("shuffle_merge").join(repeats.hint("shuffle_merge"), known["row_key"] == repeats["repeat_key"], "left").select("doc_id", "text", "marks")
     alone = rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary").alias("marks"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text

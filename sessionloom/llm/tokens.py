@@ -119,7 +119,7 @@ class WordTokenizer:
         ends = np.append(bound, n)[np.searchsorted(bound, starts, "right")]
         doc = np.searchsorted(offsets, starts, "right") - 1
         up, down = powers(n + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[points] * up[:-1])])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_CODES[0][points] * up[:-1])])
         hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         raw = points.tobytes()
