@@ -28,7 +28,7 @@ def op2_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "first_shard", "last_shard")
 
 
 def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
