@@ -2,18 +2,24 @@
 
 Writing: digests are grouped without the payloads; payloads are moved at most once, to learn which records are revisits.
 Each task writes archives of bounded size (gzip members, one a record) as rows of a table in the shared folder.
-Reading: each archive gives its captures as one run sorted by URL key and timestamp. Runs are dealt to key ranges, and
-in each range a loser tree merges them, so the ranges one after another are the globally ordered capture histories.
+Reading: the task that reads an archive sorts its captures by URL key, timestamp, page and place: a run, written in packed blocks. The first keys of
+a bounded sample of blocks cut the index into key ranges by its size; blocks are cut there and dealt to their ranges, and in each range a loser
+tree merges the runs, opening a block when its run comes to it. So the ranges one after another are the globally ordered capture histories, and a task
+holds the packed blocks of one range and one open block a run. No two captures have one key, so a range can always be cut.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,17 +27,24 @@ from sessionloom.llm.shared import written
 
 #: Payload bytes from which equal payloads become revisits; bytes of records gathered into one archive.
 LEAST_REVISIT, ARCHIVE_BYTES = 100, 8 << 20
+#: Captures of a packed block, and of a key range; blocks sampled a range to find where ranges begin.
+BLOCK_ROWS, RANGE_ROWS, SAMPLED = 1024, 1 << 18, 32
+#: Bytes that are inflated at once.
+WINDOW = 64 << 10
 CAPTURES = "url_key string, timestamp string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, record_at long, record_size long"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """The rows with digest and, for a revisit, refers_to: of equal payloads of LEAST_REVISIT bytes or more all but the least page_id."""
+    """The rows with digest and, for a revisit, refers_to: of equal payloads of LEAST_REVISIT bytes or more all but the least page_id.
+
+    A row without a page_id revisits the least page_id; where no row of a payload has one, all are responses.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest"))
     large = rows.filter(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     shared = written(large.filter("copies > 1").select(F.col("digest").alias("of_digest"), "first"), "digests")
-    return rows.join(shared, F.col("digest") == F.col("of_digest"), "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).select("page_id", "url", "html", "digest", "refers_to")
+    return rows.join(shared, F.col("digest") == F.col("of_digest"), "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))).select("page_id", "url", "html", "digest", "refers_to")
 
 
 def _one_line(text: str) -> str:
@@ -67,12 +80,14 @@ def _gzip(data: bytes) -> bytes:
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+    held, size, number = [], 0, count()
 
     def archive() -> pa.RecordBatch:
         data = b"".join(held)
         held.clear()
-        return pa.RecordBatch.from_pydict({"archive": pa.array([hashlib.sha1(data).hexdigest()]), "data": pa.array([data], pa.binary())})
+        # archives of the same records have names of their own
+        name = f"{hashlib.sha1(data).hexdigest()}-{TaskContext.get().partitionId()}-{next(number)}"
+        return pa.RecordBatch.from_pydict({"archive": pa.array([name]), "data": pa.array([data], pa.binary())})
 
     for batch in batches:
         for page_id, url, html, digest, refers_to, date in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "date")), strict=True):
@@ -96,11 +111,11 @@ def write_archives(pages: DataFrame) -> DataFrame:
     return written(dated.mapInArrow(_write, "archive string, data binary"), "archives")
 
 
-def url_key(url: Column) -> Column:
-    """Host labels reversed and comma-joined, then the rest, lower-cased; empty for null."""
-    plain = F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://", ""))
-    host = F.regexp_extract(plain, r"(?s)^([^/?#]*)", 1)
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.substring(plain, F.length(host) + 1, F.length(plain)))
+def url_key(url: str | None) -> str:
+    """Host labels reversed and comma-joined, then the rest, lower-cased; ``)`` alone for null."""
+    plain = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", url or "").lower()
+    host = re.match(r"[^/?#]*", plain)[0]
+    return ",".join(reversed(host.split("."))) + ")" + plain[len(host) :]
 
 
 def parse_record(data: bytes) -> dict:
@@ -122,26 +137,83 @@ def _number(urn: str) -> int | None:
     return int(found) if found else None
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("timestamp", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("record_at", pa.int64()), ("record_size", pa.int64())])
+SCHEMA = pa.schema([("url_key", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("record_at", pa.int64()), ("record_size", pa.int64())])
+#: A block's first key, its run and place there, how many captures it has, and they themselves.
+BLOCKS = "url_key string, timestamp string, no_page boolean, page_id long, archive string, record_at long, captures int, data binary"
+
+
+def _key(row: tuple) -> tuple:
+    """URL key, timestamp, page (null last), and the place of the record: the order of captures."""
+    return row[0], row[1], row[2] is None, row[2] or 0, row[8], row[9]
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int]:
+    """The gzip member at ``at``, inflated a window at a time, and its size."""
+    z, out, to = zlib.decompressobj(31), [], at
+    while not z.eof:
+        if to >= len(data):
+            raise ValueError("an archive that is cut off")
+        out.append(z.decompress(data[to : to + WINDOW]))
+        to = min(to + WINDOW, len(data))
+    return b"".join(out), to - len(z.unused_data) - at
+
+
+def _captures(archive: str, data: bytes) -> Iterator[tuple]:
+    at = 0
+    while at < len(data):
+        inflated, size = _member(data, at)
+        f = parse_record(inflated)
+        said = f["warc-payload-digest"].removeprefix("sha256:")
+        if f["warc-type"] == "response":
+            n, digest, refers = len(f["body"]), hashlib.sha256(f["body"]).hexdigest(), None
+            if digest != said:
+                raise ValueError(f"payload of record {f['warc-record-id']} does not have its digest")
+        else:
+            n, digest, refers = int(f["http"].rpartition(b"Content-Length: ")[2]), said, _number(f["warc-refers-to"])
+        url = f.get("warc-target-uri")
+        url = None if url is None else _as_was(url)
+        yield url_key(url), f["warc-date"], _number(f["warc-record-id"]), url, f["warc-type"], n, digest, refers, archive, at, size
+        at += size
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA))
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
+    values = (*_key(rows[0]), len(rows), sink.getvalue().to_pybytes())
+    kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
+
+
+def _opened(data: bytes) -> list[tuple]:
+    batch = pa.ipc.open_stream(data).read_next_batch()
+    return list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for archive, data in zip(batch["archive"].to_pylist(), batch["data"].to_pylist(), strict=True):
-            rows, at, view = [], 0, memoryview(data)
-            while at < len(data):
-                z = zlib.decompressobj(31)
-                f = parse_record(z.decompress(view[at:]))
-                size = len(data) - at - len(z.unused_data)
-                said = f["warc-payload-digest"].removeprefix("sha256:")
-                if f["warc-type"] == "response":
-                    n, digest, refers = len(f["body"]), hashlib.sha256(f["body"]).hexdigest(), None
-                    if digest != said:
-                        raise ValueError(f"payload of record {f['warc-record-id']} does not have its digest")
-                else:
-                    n, digest, refers = int(f["http"].rpartition(b"Content-Length: ")[2]), said, _number(f["warc-refers-to"])
-                url = f.get("warc-target-uri")
-                rows.append((f["warc-date"], _number(f["warc-record-id"]), None if url is None else _as_was(url), f["warc-type"], n, digest, refers, archive, at, size))
-                at += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            run = sorted(_captures(archive, data), key=_key)
+            for at in range(0, len(run), BLOCK_ROWS):
+                yield _packed(run[at : at + BLOCK_ROWS])
+
+
+def _cut(bounds: list[tuple]):
+    """Blocks, cut where a key range begins, with the number of their range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in enumerate(batch["data"].to_pylist()):
+                rows = _opened(data)
+                keys = [_key(r) for r in rows]
+                cuts = sorted({0, *(bisect_left(keys, b) for b in bounds[bisect_left(bounds, keys[0]) : bisect_left(bounds, keys[-1]) + 1]), len(rows)})
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    part = batch.slice(k, 1) if b - a == len(rows) else _packed(rows[a:b])
+                    number = bisect_right(bounds, keys[a])
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *part.columns], ["range", *part.schema.names])
+
+    return run
 
 
 class LoserTree:
@@ -177,25 +249,48 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    batches = list(batches)  # one key range of the index
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches).combine_chunks()
-    run = table["archive"].to_pylist()
-    nulls_last = [(p is None, p or 0) for p in table["page_id"].to_pylist()]
-    keys = list(zip(table["url_key"].to_pylist(), table["timestamp"].to_pylist(), nulls_last, table["record_at"].to_pylist(), strict=True))
-    cuts = [k for k in range(len(run)) if not k or run[k] != run[k - 1]] + [len(run)]
-    order = [k for *_, k in LoserTree([iter([(*keys[k], k) for k in range(a, b)]) for a, b in zip(cuts, cuts[1:], strict=False)])]
-    yield from table.take(pa.array(order, pa.int64())).combine_chunks().to_batches()
+    """Blocks in order of range and first key become the captures in order, range by range."""
+
+    def run(blocks: list[bytes]) -> Iterator[tuple]:
+        for data in blocks:
+            for row in _opened(data):
+                yield _key(row), row
+
+    def merged(runs: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for _, row in LoserTree([run(x) for x in runs.values()]):
+            held.append(row)
+            if len(held) == 4 * BLOCK_ROWS:
+                yield batch_of(held)
+                held = []
+        if held:
+            yield batch_of(held)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+
+    now, runs = None, {}
+    for batch in batches:
+        for number, archive, data in zip(batch["range"].to_pylist(), batch["archive"].to_pylist(), batch["data"].to_pylist(), strict=True):
+            if number != now:
+                yield from merged(runs)
+                now, runs = number, {}
+            runs.setdefault(archive, []).append(data)
+    yield from merged(runs)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """All captures in order of URL key, timestamp and page_id: CAPTURES. Payloads of responses are digested anew and must agree."""
-    found = archives.mapInArrow(_read, ", ".join(x for x in CAPTURES.split(", ") if not x.startswith("url_key")))
-    names = [x.split()[0] for x in CAPTURES.split(", ")]
+    """All captures in order of URL key, timestamp and page_id (null last): CAPTURES. Payloads of responses are digested anew and must agree."""
     # written, as finding the key ranges reads the runs once more: archives are to be read once
-    runs = written(found.withColumn("url_key", url_key(F.col("url"))).select(*names), "runs")
-    parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = runs.repartitionByRange(parts, "url_key", "timestamp", F.col("page_id").asc_nulls_last())
-    sorted_runs = ranged.sortWithinPartitions("archive", "url_key", "timestamp", F.col("page_id").asc_nulls_last(), "record_at")
-    return sorted_runs.mapInArrow(_merge, T.StructType.fromDDL(CAPTURES))
+    runs = written(archives.mapInArrow(_runs, BLOCKS), "runs")
+    ranges = -(-(runs.agg(F.sum("captures")).first()[0] or 1) // RANGE_ROWS)
+    key = ("url_key", "timestamp", "no_page", "page_id", "archive", "record_at")
+    bounds = []
+    if ranges > 1:
+        # a sample in proportion to the number of ranges, as for any range partitioning
+        some = sorted(tuple(r) for r in runs.select(*key).orderBy(F.xxhash64("archive", "record_at"), *key).limit(SAMPLED * ranges).collect())
+        bounds = sorted({some[k * len(some) // ranges] for k in range(1, ranges)})
+    cut = runs.mapInArrow(_cut(bounds), f"range int, {BLOCKS}")
+    parts = max(len(bounds) + 1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut.repartitionByRange(parts, "range").sortWithinPartitions("range", *key)
+    return ranged.mapInArrow(_merge, T.StructType.fromDDL(CAPTURES))
