@@ -1,9 +1,9 @@
-"""Near copies by similarity of shingle sets: SimHash buckets find candidates, the sets themselves decide, components join what is alike.
+"""Near copies by similarity of shingle sets: fingerprints compared bit-sliced in buckets, the sets themselves decide, components join what is alike.
 
-A node is a distinct shingle set; its fingerprint is voted by distinct shingles, as the similarity counts them. Candidates share a piece of the
-fingerprint (``pieces``: disjoint pieces under several fixed permutations, so every bit stands in some) and differ in ``radius`` bits or
-fewer. Sets of up to ``SHORT`` shingles, whose fingerprints spread more, also meet in buckets of the shingles of their prefixes: of two such sets that
-are alike, the least shingles of each have one in common.
+A node is a distinct shingle set; its SimHash fingerprint is voted by distinct shingles, as the similarity counts them. Nodes meet in buckets, one for
+each of ``bands`` keys of ``rows`` least values of their shingles under as many hash functions: two sets share a key with the chance similarity ** rows, so
+unrelated sets hardly ever do, and a bucket is large only where many sets are much alike. In a bucket the fingerprints are compared as bit planes
+(``simhash``); pairs that differ in ``radius`` bits or fewer are candidates.
 
 No link counts unchecked, and none stands for another before it is checked. A bucket hands on all its candidate pairs; only where rows hang together by
 more than ``DENSE`` pairs a row, a spanning forest goes first and the rows are kept as a group. Groups whose rows the checked links
@@ -28,9 +28,6 @@ from sessionloom.llm.shared import written
 DENSE = 8
 #: Places up to which the rows of a group are compared, round by round; the last round has no end.
 WINDOWS = (8, 64, 512, 4096, None)
-#: Shingles up to which a set is also found by its prefix, and the bits in which such sets differ at most (for 0.8: 48 expected at worst, 6 deviation).
-SHORT, SHORT_RADIUS = 40, 80
-PREFIX = -1
 BITS = 256
 COLUMNS = [f"f{k}" for k in range(BITS // 64)]
 
@@ -56,15 +53,25 @@ def _set_keys(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return out
 
 
-def _prefixes(h: np.ndarray, doc: np.ndarray, docs: int, least: float) -> list[list[int]]:
-    """Of each set of up to SHORT values, the least ones, one of which it shares with any set that similar."""
-    count = np.bincount(doc, minlength=docs)
-    begin = np.cumsum(count) - count
-    signed = h.view(np.int64)
-    return [signed[a : a + n - int(np.ceil(least * n - 1e-9)) + 1].tolist() if 0 < n <= SHORT else [] for a, n in zip(begin.tolist(), count.tolist(), strict=True)]
+def band_keys(h: np.ndarray, doc: np.ndarray, docs: int, bands: int, rows: int, seed: int = 11) -> np.ndarray:
+    """Of each document's values, a key for each band: a hash of the least values under ``rows`` functions of its own. No values have the key of the band alone."""
+    random = np.random.default_rng(seed)
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(h) else np.zeros(0, np.int64)
+    out = np.zeros((docs, bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for band in range(bands):
+            key = np.full(len(at), band, np.uint64)
+            out[:, band] = simhash._remixed(np.full(1, band, np.uint64), simhash._P5)
+            for _ in range(rows):
+                salt, factor = random.integers(0, 2**32, 2, dtype=np.uint32)
+                least = np.minimum.reduceat((x ^ salt) * (factor | np.uint32(1)), at) if len(at) else x
+                key = simhash._remixed(key * simhash._P1 ^ least, simhash._P4)
+            out[doc[at], band] = key
+    return out
 
 
-def _printed(shingle: int, least: float):
+def _printed(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             h, doc = distinct_shingles(*simhash._shingle_hashes(Words(batch["text"], lower=True), shingle))
@@ -72,46 +79,25 @@ def _printed(shingle: int, least: float):
             out["id"] = pa.array(_set_keys(h, doc, batch.num_rows).view(np.int64))
             for c, salt in zip(COLUMNS, simhash._SALTS, strict=True):
                 out[c] = pa.array(simhash._majority(simhash._remixed(h, salt), doc, batch.num_rows).view(np.int64))
-            out["prefix"] = pa.array(_prefixes(h, doc, batch.num_rows, least), pa.list_(pa.int64()))
+            keys = band_keys(h, doc, batch.num_rows, bands, rows)
+            out["keys"] = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def printed(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """doc_id, text_key, id (a hash of the shingle set), f0 .. f3 and the prefix of a short set."""
+def printed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, text_key, id (a hash of the shingle set), f0 .. f3 and the keys of the bands."""
     fields = [T.StructField(c, T.LongType()) for c in ("text_key", "id", *COLUMNS)]
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *fields, T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *fields, T.StructField("keys", T.ArrayType(T.LongType()))])
     text = F.col("text").cast("string")
-    return docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(tidy(_printed(shingle, least)), schema)
-
-
-def pieces(permutations: int, width: int, seed: int = 11) -> np.ndarray:
-    """Bits of each piece; each permutation is cut into disjoint pieces, and the bits left over at its end differ from one to the next."""
-    random, n = np.random.default_rng(seed), BITS // width
-    return np.concatenate([random.permutation(BITS)[: n * width].reshape(n, width) for _ in range(permutations)])
-
-
-def parts(prints: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Value of each piece of each fingerprint."""
-    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
-    return np.stack([bits[:, own].astype(np.int64) @ (1 << np.arange(cut.shape[1])) for own in cut], 1)
+    return docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(tidy(_printed(shingle, bands, rows)), schema)
 
 
 def _stacked(table: pa.Table | pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return np.stack([np.asarray(table[c]) for c in columns], 1)
 
 
-def _parted(cut: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = parts(_stacked(batch, COLUMNS).view(np.uint64), cut).astype(np.int32) if batch.num_rows else np.zeros((0, len(cut)), np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(cut), pa.int32()), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_pydict({c: batch[c] for c in ("id", *COLUMNS)} | {"parts": lists})
-
-    return run
-
-
 def _passes(bucket: np.ndarray, prints: np.ndarray, radius: int, done: np.ndarray, after: int = 0, until: int | None = None, step: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For rows in bucket order, pairs of a bucket within the radius that stand more than ``after`` and up to ``until`` places apart, some places at a time.
 
@@ -218,56 +204,43 @@ def _out(a: np.ndarray, b: np.ndarray, group: bool) -> pa.RecordBatch:
 
 def _candidates(radius: int):
     def flush(table: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-        band = np.asarray(table["band"])
-        for own, within in ((band != PREFIX, radius), (band == PREFIX, SHORT_RADIUS)):
-            rows = np.flatnonzero(own)
-            if not len(rows):
-                continue
-            part = table.take(pa.array(rows))
-            ids = np.asarray(part["id"])
-            a, b, group = candidate_pairs(bucket[rows], _stacked(part, COLUMNS).view(np.uint64), within)
-            yield _out(np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), False)
-            at = np.flatnonzero(group >= 0)
-            first = group[at]
-            key = np.zeros(len(at), np.uint64)
-            for c in ("band", "part", "low", "high", "id"):
-                key = simhash._remixed(key ^ np.asarray(part[c]).astype(np.int64)[first].view(np.uint64), simhash._P5)
-            # the last bit says which radius holds; groups that meet under one key would be compared as one: nothing is lost
-            yield _out(ids[at], (key & ~np.uint64(1) | np.uint64(within == SHORT_RADIUS)).view(np.int64), True)
-
-    return _whole(["band", "part", "low", "high"], flush)
-
-
-def candidates(nodes: DataFrame, radius: int, cut: np.ndarray) -> DataFrame:
+        ids = np.asarray(table["id"])
+        a, b, group = candidate_pairs(bucket, _stacked(table, COLUMNS).view(np.uint64), radius)
+        yield _out(np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), False)
+        at = np.flatnonzero(group >= 0)
+        first = group[at]
+        key = np.zeros(len(at), np.uint64)
+        for c in ("key", "low", "high", "id"):
+            key = simhash._remixed(key ^ np.asarray(table[c]).astype(np.int64)[first].view(np.uint64), simhash._P5)
+        # groups that meet under one key would be compared as one: nothing is lost
+        yield _out(ids[at], key.view(np.int64), True)
+
+    return _whole(["key", "low", "high"], flush)
+
+
+def candidates(nodes: DataFrame, radius: int) -> DataFrame:
     """Pairs a > b to check; and, where of_group, rows a of the groups b that are to be compared further."""
-    piece = nodes.select("id", *COLUMNS).mapInArrow(tidy(_parted(cut)), T.StructType([*(T.StructField(c, T.LongType()) for c in ("id", *COLUMNS)), T.StructField("parts", T.ArrayType(T.IntegerType()))]))
-    banded = piece.select("id", *COLUMNS, F.posexplode("parts").alias("band", "part")).withColumn("part", F.col("part").cast("long"))
-    banded = banded.union(nodes.select("id", *COLUMNS, F.lit(PREFIX).alias("band"), F.explode("prefix").alias("part")))
-    slices = F.ceil(F.col("count") / simhash.SPLIT)
-    large = banded.groupBy("band", "part").count().filter(F.col("count") > simhash.SPLIT).select(F.col("band").alias("of_band"), F.col("part").alias("of_part"), slices.alias("slices"))
-    # one row for each SPLIT rows at most
-    sized = banded.join(F.broadcast(large), (F.col("band") == F.col("of_band")) & (F.col("part") == F.col("of_part")), "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("long")))
+    banded = nodes.select("id", *COLUMNS, F.explode("keys").alias("key"))
+    shared = written(banded.groupBy("key").count().filter("count > 1").select(F.col("key").alias("of_key"), F.ceil(F.col("count") / simhash.SPLIT).alias("slices")), "shared")
+    # rows that meet no other are left here
+    sized = banded.join(shared.hint("shuffle_merge"), F.col("key") == F.col("of_key"))
     # slice s meets every slice t, as the unordered pair (s, t); a bucket of one slice has the pair (0, 0)
     dealt = sized.withColumn("s", F.pmod(F.xxhash64("id"), F.col("slices"))).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    dealt = dealt.filter("slices = 1 or s != t").select("id", *COLUMNS, "band", "part", F.least("s", "t").cast("int").alias("low"), F.greatest("s", "t").cast("int").alias("high"))
+    dealt = dealt.filter("slices = 1 or s != t").select("id", *COLUMNS, "key", F.least("s", "t").cast("int").alias("low"), F.greatest("s", "t").cast("int").alias("high"))
     count = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = dealt.repartition(count, "band", "part", "low", "high").sortWithinPartitions("band", "part", "low", "high", "id")
+    ready = dealt.repartition(count, "key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
     return ready.mapInArrow(tidy(_candidates(radius)), "a long, b long, of_group boolean").distinct()
 
 
 def _window(radius: int, after: int, until: int | None):
     def flush(table: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-        odd = np.asarray(table["of"]) & 1
-        for bit, within in ((0, radius), (1, SHORT_RADIUS)):
-            rows = np.flatnonzero(odd == bit)
-            part = table.take(pa.array(rows))
-            ids = np.asarray(part["id"])
-            root = np.unique(np.asarray(part["root"]), return_inverse=True)[1]
-            for a, b in _passes(bucket[rows], _stacked(part, COLUMNS).view(np.uint64), within, root, after, until):
-                apart = root[a] != root[b]
-                a, b = ids[a[apart]], ids[b[apart]]
-                if len(a):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+        ids = np.asarray(table["id"])
+        root = np.unique(np.asarray(table["root"]), return_inverse=True)[1]
+        for a, b in _passes(bucket, _stacked(table, COLUMNS).view(np.uint64), radius, root, after, until):
+            apart = root[a] != root[b]
+            a, b = ids[a[apart]], ids[b[apart]]
+            if len(a):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
 
     return _whole(["of"], flush)
 
@@ -289,9 +262,9 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(tidy(simhash._similar(least)), "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, cut: np.ndarray, least: float) -> DataFrame:
-    """(id, root) of all nodes that a link joins; nodes: id, f0 .. f3, prefix and text_key, that of some text with the set."""
-    found = written(candidates(nodes, radius, cut), "candidates")
+def links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
+    """(id, root) of all nodes that a link joins; nodes: id, f0 .. f3, keys and text_key, that of some text with the set."""
+    found = written(candidates(nodes, radius), "candidates")
     pairs, members = found.filter("not of_group").select("a", "b"), found.filter("of_group").select(F.col("a").alias("member"), F.col("b").alias("of"))
     # each row of a group has a link in its forest, so the sets of later rounds are among these
     sets = _sets(pairs.select(F.col("a").alias("end")).union(pairs.select(F.col("b").alias("end"))).distinct(), docs, nodes, shingle)
@@ -313,7 +286,7 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, cut: np.
     return simhash.components(sure)
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 60, permutations: int = 4, width: int = 12, least_similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 80, bands: int = 18, rows: int = 4, least_similarity: float = 0.8) -> DataFrame:
     """Per row doc_id, text_key, component_id and ``stays``; text_key is a hash of the text, and component_id the least doc_id among the documents
     that links join with it, itself included.
 
@@ -322,11 +295,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 60, permutation
     Of each component the rows of one doc_id and text stay: of the least doc_id (null last), then of the least text_key. So rows that repeat a
     doc_id are judged each by its own text, and rows that repeat both are all said to stay: ``one_each`` leaves one of them.
     """
-    prints = written(printed(docs, shingle, least_similarity), "fingerprints")
+    prints = written(printed(docs, shingle, bands, rows), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id"), F.col("text_key"))).alias("first")
-    nodes = prints.groupBy("id").agg(first, *(F.min(c).alias(c) for c in COLUMNS), F.first("prefix").alias("prefix"))
+    nodes = prints.groupBy("id").agg(first, *(F.min(c).alias(c) for c in COLUMNS), F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("text_key", F.col("first.text_key")), "nodes")
-    found = links(docs, nodes, shingle, radius, pieces(permutations, width), least_similarity)
+    found = links(docs, nodes, shingle, radius, least_similarity)
     rooted = nodes.join(found.withColumnRenamed("id", "node").hint("shuffle_merge"), F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     # written, as in ``simhash.components``: a component that holds many nodes can then be split in the join
     least = written(rooted.groupBy("root").agg(F.min("first").alias("stay")).withColumnRenamed("root", "of"), "least")
