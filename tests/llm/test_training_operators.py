@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sessionloom.llm import matroska, mih, mixing, packing, pii, quality, simhash, substring_dedup, urlfilter, warc
+from sessionloom.llm import matroska, mih, mixing, packing, pii, quality, queries, simhash, substring_dedup, urlfilter, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -73,6 +73,26 @@ def removed(rows, window):
     return out
 
 
+@pytest.mark.parametrize("one_level", [3, 2])
+def test_substring_dedup_by_levels(spark, monkeypatch, one_level):
+    monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", 200)
+    monkeypatch.setattr(substring_dedup, "ONE_LEVEL", one_level)
+    monkeypatch.setattr(substring_dedup, "RESPLIT_BYTES", 300)
+    r = np.random.default_rng(5)
+    rows = [(int(x), " ".join(f"v{x}" for x in r.integers(0, 3, 90)) + " " + SHARED) for x in r.permutation(70)] + [(3, SHARED), (3, SHARED), (200, SHARED)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 13, with_text=False).collect()
+    assert sorted(tuple(r) for r in got) == sorted(removed(rows, 13))
+
+
+def test_what_substring_dedup_sends_grows_with_the_text_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.xxhash64("doc_id").alias("row_key"), "text").coalesce(2)
+    sent = {}
+    for buckets in (4, 400):
+        rows = docs.mapInArrow(substring_dedup._probes(7, buckets, 1), substring_dedup.ROUTED)
+        sent[buckets] = rows.agg(F.sum(F.length("payload"))).first()[0]
+    assert sent[400] < 1.25 * sent[4]
+
+
 @pytest.mark.parametrize("window", [3, 13])
 def test_substring_dedup(docs, none, window):
     key = lambda x: (x[0] is None, *(str(y) for y in x))
@@ -131,6 +151,7 @@ def test_mixing(docs, none):
     assert sum(t for _, t, _ in by.values()) == pytest.approx(1.5 * sum(s for s, _, _ in by.values()))
     key = lambda rs: sorted(map(str, map(tuple, rs)))
     assert key(mixing.mix(docs.repartition(5), block_words=16).collect()) == key(rows)
+    assert all((r.first_shard is None) == (r.taken == 0) and (r.first_shard or 0) <= (r.last_shard or 0) for r in rows)
     texts = mixing.mix(docs, block_words=16, with_text=True).collect()
     assert all(len(words(r.taken_text)) == r.taken for r in texts) and key((r.doc_id, r.size, r.taken) for r in texts) == key((r.doc_id, r.size, r.taken) for r in rows)
     assert mixing.mix(none).count() == 0 and mixing.mix(none, with_text=True).count() == 0
@@ -150,6 +171,31 @@ def test_targets_stop_at_the_cap(spark):
     assert got == pytest.approx(done | {k: left * v / w for k, v in weights.items() if k not in done})
 
 
+def test_shards_draw_their_sources(spark):
+    debts = spark.createDataFrame([(0, 30000), (1, 9000), (2, 1000), (3, 0)], "source_rank int, slots long")
+    share = np.array([30000, 9000, 1000]) / 40000
+    drawn = np.zeros((400, 3))
+    for r in mixing.drawn_counts(debts, 100, 5).collect():
+        drawn[r.shard, r.source_rank] = r.drawn
+    assert (drawn.sum(1) == 100).all()
+    # means and variances of 400 multinomial draws of 100
+    assert np.abs(drawn.mean(0) - 100 * share).max() < 4 * np.sqrt(100 * 0.25 / 400)
+    assert drawn.var(0) == pytest.approx(100 * share * (1 - share), rel=0.35)
+    taken, mixed = {}, np.zeros((400, 3))
+    for r in mixing.shard_segments(debts, 100, 5).collect():
+        taken.setdefault(r.source_rank, []).append((r.first, r.number))
+        mixed[r.shard, r.source_rank] += r.number
+    # each source's numbers are all taken, once; shards stay full, and most counts stay as they were drawn
+    for rank, n in ((0, 30000), (1, 9000), (2, 1000)):
+        at = 0
+        for first, number in sorted(taken[rank]):
+            assert first == at
+            at += number
+        assert at == n
+    assert (mixed.sum(1) == 100).all() and (mixed != drawn).sum() <= 0.1 * drawn.size
+    assert mixing.shard_segments(debts.filter("slots = 0"), 100, 5).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 300, 5000])
 def test_permutation(spark, n):
     got = [r.p for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k")).alias("p")).collect()]
@@ -161,6 +207,8 @@ def test_slots_take_each_block_once_an_epoch(spark):
     rows = mixing.mix_slots(targets, 16, 8, 1).collect()
     assert len({(r.shard, r.slot) for r in rows}) == len(rows) and len({(r.source_rank, r.epoch, r.block) for r in rows}) == len(rows)
     assert sum(r.words for r in rows if r.source_rank == 0) == 1700 and sum(r.words for r in rows if r.source_rank == 1) == 45
+    last = -(-len(rows) // 8) - 1
+    assert {(r.shard, r.slot) for r in rows} == {(k // 8, k % 8) for k in range(len(rows))} and max(r.shard for r in rows) == last
 
 
 def test_nearest(spark):
@@ -203,13 +251,53 @@ def test_nearest_of_outliers(spark):
         assert {q: sum(r.query_id == q for r in few) for q in range(600, 608)} == dict.fromkeys(range(600, 608), min(20, n - 1))
 
 
-def test_index_finds_every_code_in_the_radius():
+@pytest.mark.parametrize("cell_rows", [32768, 100])
+def test_probing_finds_every_code_in_the_pigeonhole_radius(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(mih, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(mih, "CELL_QUERIES", cell_rows)
     r = np.random.default_rng(2)
-    code = r.integers(0, 256, (500, 4)).astype(np.uint8)
-    for radius in (0, 3, 4, 9, 14, 32):
-        far = mih.distances(code[:5], code)
-        for j in range(5):
-            assert np.array_equal(mih.Index(code).within(code[j], radius), np.flatnonzero(far[j] <= radius))
+    code = r.integers(0, 2**64, (500, 1), dtype=np.uint64)
+    code[250:] = code[:250] ^ np.uint64(1) << r.integers(0, 64, (250, 1)).astype(np.uint64)
+    df = spark.createDataFrame([(k, [int(x)]) for k, x in enumerate(code.view(np.int64)[:, 0])], "id long, code array<long>")
+    far = mih.distances(code[:20], code)
+    for near in (0, 2, 7):
+        certain = 8 * (near + 1) - 1
+        plan = mih.Plan(np.zeros((4, 64)), 8, 8, near, certain, 64, 1.0, 1.0)
+        got = {(x.q, x.r) for x in mih.probed(df, 500, df.filter("id < 20"), plan, 500).collect()}
+        assert got == {(int(q), int(n)) for q, n in zip(*np.nonzero(far <= certain), strict=True)}
+
+
+def test_equal_vectors_and_crowded_radii(spark, monkeypatch):
+    # a third of the rows is one vector, another third lies close together; queries in either get whole lists
+    monkeypatch.setattr(mih, "WIDE", 40)
+    r = np.random.default_rng(12)
+    x = r.normal(size=(900, 16))
+    x[:300], x[300:600] = x[0], x[300] + 0.01 * r.normal(size=(300, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = mih.nearest(df, df.filter("vec_id % 20 = 0"), k=20).collect()
+    hits = 0
+    for q in range(0, 900, 20):
+        score = (x[q][None] * x).sum(1)
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(900), -score))[:20].tolist()
+        mine = [y.vec_id for y in sorted((y for y in got if y.query_id == q), key=lambda y: y.rank)]
+        hits += len(set(mine) & set(best))
+        assert len(mine) == 20 and (q >= 300 or mine == best)
+    assert hits >= 0.95 * 20 * 45
+
+
+def test_recall_on_the_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = {r.vec_id: np.array(r.embedding, float) for r in rows.collect()}
+    ids, all_of = np.array(sorted(x)), np.stack([x[k] for k in sorted(x)])
+    got = {}
+    for r in queries.op4_multi_index_hashing(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        score = np.where(ids == q, -np.inf, (x[q][None] * all_of).sum(1))
+        hits += len(got[q] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert {len(v) for v in got.values()} == {20} and hits >= 0.95 * 20 * (ids % 20 == 0).sum()
 
 
 def print_of(text, k):
@@ -300,13 +388,38 @@ def test_warc(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
     got = warc.read_archives(warc.write_archives(df)).collect()
     seen = sorted((r.page_id or -1, r.url or "", r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or 0) for r in got)
-    want = [(i or -1, u or "", len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest(), "revisit" if i == 4 else "response", 2 if i == 4 else 0) for i, u, t, _ in rows]
+    want = [(i or -1, u or "", len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest(), "revisit" if t == long and i != 2 else "response", 2 if t == long and i != 2 else 0) for i, u, t, _ in rows]
     assert seen == sorted(want)
     order = [(r.url_key, r.timestamp) for r in got]
     assert order == sorted(order)
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_warc_ranges_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    monkeypatch.setattr(warc, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    # one URL has a third of the rows, some rows repeat whole, others have no number
+    rows = [(None if k % 11 == 0 else k % 350, f"http://h{k * k % 7}.org/{k % 13}" if k % 3 else "http://hot.org/", f"text {k % 350}", 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(5)
+    got = warc.read_archives(warc.write_archives(df)).collect()
+    key = [(r.url_key, r.timestamp, r.page_id is None, r.page_id or 0) for r in got]
+    assert key == sorted(key) and len({(r.archive, r.record_at) for r in got}) == 400
+    assert sorted((str(r.page_id), r.url) for r in got) == sorted((str(i), u) for i, u, _, _ in rows)
+
+
+def test_warc_members(spark):
+    data = warc._gzip(b"a" * 10**6) + warc._gzip(b"") + warc._gzip(bytes(np.random.default_rng(1).integers(0, 256, 200_000, dtype=np.uint8)))
+    at, found = 0, []
+    while at < len(data):
+        out, size = warc._member(data, at)
+        found.append(len(out))
+        at += size
+    assert found == [10**6, 0, 200_000]
+    with pytest.raises(ValueError):
+        warc._member(data[:-9], len(warc._gzip(b"a" * 10**6)) + len(warc._gzip(b"")))
+
+
 def test_loser_tree():
     r = np.random.default_rng(1)
     for k in (0, 1, 2, 3, 7, 16):
@@ -437,3 +550,62 @@ def test_personal_data(spark):
     assert text[3] == "call [PHONE] now" and text[4] == "mail [EMAIL] please" and text[1] is None and text[2] == ""
     assert text[5] == "[CARD] and 4111-1111-1111-1112"
     assert pii.span_digest(df.limit(0)).count() == 0
+    # columns of the input stay, whatever their names
+    kept = pii.find_spans(df)
+    assert [c for c in kept.columns if c not in ("base", "spans")] == ["doc_id", "text", "c0"] and {r.c0 for r in kept.collect()} == {1}
+
+
+def test_spans_beyond_the_base_rules(spark):
+    """Planted rows, with words that the training examples do not have."""
+    r = np.random.default_rng(21)
+    noise = lambda: passage(int(r.integers(0, 10**6)), 12)
+    digits = lambda n: "".join(map(str, r.integers(0, 10, n)))
+    hexes = lambda n: "".join("0123456789abcdef"[k] for k in r.integers(0, 16, n))
+    said = lambda n: " ".join(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")[k] for k in r.integers(0, 10, n))
+    plant = {
+        "secret": lambda: ('client_secret: "', hexes(40), '"'),
+        "key": lambda: ("export API_KEY=", "pk-" + hexes(29), ""),
+        "spelled": lambda: ("contact me: ", f"mary.smith{digits(2)} [at] uni{digits(1)} [dot] edu", ""),
+        "national": lambda: ("phone ", f"({digits(3)}) {digits(3)}-{digits(4)}", ""),
+        "said": lambda: ("ring ", said(10), ""),
+    }
+    clean = {
+        "commit": lambda: ("commit ", hexes(40), ""),
+        "slug": lambda: ("see /", "winter-sale-2024-page-two", ""),
+        "date": lambda: ("on ", f"20{digits(2)}-0{digits(1)}-1{digits(1)}", ""),
+        "at": lambda: ("", "shown at noon.", ""),
+        "count": lambda: ("page ", f"{digits(3)} 12", ""),
+    }
+    rows, where = [], []
+    for label, kinds in ((1, plant), (0, clean)):
+        for name, make in kinds.items():
+            for _ in range(40):
+                before, value, after = make()
+                head = f"{noise()} {before}"
+                rows.append((len(rows), f"{head}{value}{after} {noise()}"))
+                where.append((label, name, len(head), len(head) + len(value)))
+    got = {x.doc_id: x.spans for x in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    hit = [any(s.start < e and a < s.end for s in got[k]) for k, (_, _, a, e) in enumerate(where)]
+    recall = {n: np.mean([h for h, w in zip(hit, where, strict=True) if w[1] == n]) for n in plant}
+    found = sum(len(x) for x in got.values())
+    right = sum(h for h, w in zip(hit, where, strict=True) if w[0])
+    assert min(recall.values()) >= 0.9, recall
+    assert right / found >= 0.9, (right, found)
+
+
+def test_secrets_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = [(r.doc_id, m.start(1), m.end(1)) for r in docs.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")]
+    got = {r.doc_id: {(s.start, s.end) for s in r.spans if pii.KINDS[s.kind] == "secret"} for r in pii.find_spans(docs.select("doc_id", "text")).collect()}
+    assert planted and np.mean([(a, e) in got[i] for i, a, e in planted]) >= 0.95
+
+
+def test_long_texts_with_many_spans(spark):
+    # more matches than are added up at once, and places far into the text
+    text = " ".join(f"word{k % 7} u{k}@h.org" for k in range(1000)) + " é" * 3000 + " 1.2.3.4"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(s.start, s.kind, s.end) for s in pii.find_spans(df).first().base] == base_spans(text)
+    want, at = "", 0
+    for a, k, e in base_spans(text):
+        want, at = want + text[at:a] + f"[{pii.KINDS[k].upper()}]", e
+    assert pii.redact(df).first().text == want + text[at:]
