@@ -14,10 +14,10 @@ from sessionloom.llm import alike, mixing, packing, pii, quality
 from sessionloom.llm.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near copies: word 5-gram sets of similarity 0.8 or more. At 0.8 about 39 of 256 SimHash bits differ (the angle whose cosine is
-#: 2 * 0.8 / 1.8), give or take 6; up to 60 the sets themselves are compared. By the binomial distribution 4 * 21 pieces of 12 bits find 0.9995 of
-#: pairs at exactly 0.8, and more above.
-NEAR = {"shingle": 5, "radius": 60, "permutations": 4, "width": 12, "least_similarity": 0.8}
+#: Near copies: word 5-gram sets of similarity 0.8 or more. At 0.8 two sets share none of 18 keys of 4 least values with the chance
+#: (1 - 0.8 ** 4) ** 18, which is 8 in 100000. About 39 of 256 SimHash bits differ then (the angle whose cosine is 2 * 0.8 / 1.8), in short texts
+#: up to 48, give or take 6; up to 80 the sets themselves are compared.
+NEAR = {"shingle": 5, "radius": 80, "bands": 18, "rows": 4, "least_similarity": 0.8}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
