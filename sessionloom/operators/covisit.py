@@ -6,12 +6,13 @@ pair all events of a session's tail within a time distance; the exploratory grap
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions import constants as C
 from sessionloom.functions.normalize import gap_bucket
 from sessionloom.operators.items import top_by
+from sessionloom.operators.ordered import running
 
 
 def pair_bonus(a: Column, b: Column) -> Column:
@@ -23,9 +24,12 @@ def pair_bonus(a: Column, b: Column) -> Column:
 
 
 def tails(events: DataFrame, size: int = C.TAIL_SIZE) -> DataFrame:
-    """Per session the last ``size`` events by (ts, aid, type), in time order, as one array."""
-    listed = events.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("ts", "aid", "type"))).alias("e"))
-    return listed.select("session", F.slice("e", F.greatest(F.size("e") - size + 1, F.lit(1)), size).alias("e"))
+    """Per session the last ``size`` events by (ts, aid, type), in time order, as one array.
+
+    Spark limits each session's rows before the shuffle, so the longest session is no more than a short array.
+    """
+    latest = top_by(events.select("session", "ts", "aid", "type"), ["session"], [F.desc("ts"), F.desc("aid"), F.desc("type")], size, "_place")
+    return latest.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("ts", "aid", "type"))).alias("e"))
 
 
 def unified_pairs(events: DataFrame, gap_ms: int = C.DAY_MS, window: int = C.WINDOW_SIZE, tail: int = C.TAIL_SIZE) -> DataFrame:
@@ -79,20 +83,24 @@ def typed_edges(events: DataFrame, kind: str, k: int | None = None, gap_ms: int
         pairs = pairs.withColumn("w", weight)
     else:
         pairs = pairs.withColumn("w", F.lit(1.0))
-    # sums of decimals do not depend on the order of addition, so ranks agree between runs
-    sums = pairs.groupBy("aid", "candidate_aid").agg(F.sum(F.col("w").cast("decimal(28,9)")).cast("double").alias("wgt"))
+    # sums of whole billionths do not depend on the order of addition, so ranks agree between runs
+    sums = pairs.groupBy("aid", "candidate_aid").agg((F.sum(F.round(F.col("w") * 1e9).cast("long")) / F.lit(1e9)).alias("wgt"))
     ranked = top_by(sums, ["aid"], [F.desc("wgt"), F.asc("candidate_aid")], options["k"] if k is None else k)
     return ranked.withColumn("rank", F.col("rank") - 1)
 
 
 def explore_edges(events: DataFrame, gap_ms: int = C.DAY_MS, above: float = 1.0) -> DataFrame:
-    """(aid1, aid2, score): sums over whole sessions of the later item's type weight, those above a score."""
-    a = events.select("session", F.col("aid").alias("aid1"), F.col("ts").alias("ts1"))
-    b = events.select(F.col("session").alias("of"), F.col("aid").alias("aid2"), F.col("ts").alias("ts2"), F.col("type").alias("type2"))
+    """(aid1, aid2, score): sums over whole sessions of the later item's type weight, those above a score.
+
+    Events meet by session and stretch of time as long as the gap, with the stretches before and after: a long session is many keys.
+    """
+    stretch = F.floor(F.col("ts") / gap_ms)
+    a = events.select("session", F.col("aid").alias("aid1"), F.col("ts").alias("ts1"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("at"))
+    b = events.select(F.col("session").alias("of"), F.col("aid").alias("aid2"), F.col("ts").alias("ts2"), F.col("type").alias("type2"), stretch.alias("of_at"))
     weight = F.lit(0)
     for t, w in C.EXPLORE_WEIGHT.items():
         weight = F.when(F.col("type2") == t, w).otherwise(weight)
-    pairs = a.join(b, (F.col("session") == F.col("of")) & (F.col("aid1") != F.col("aid2")) & (F.abs(F.col("ts1") - F.col("ts2")) < gap_ms))
+    pairs = a.join(b, (F.col("session") == F.col("of")) & (F.col("at") == F.col("of_at")) & (F.col("aid1") != F.col("aid2")) & (F.abs(F.col("ts1") - F.col("ts2")) < gap_ms))
     return pairs.groupBy("aid1", "aid2").agg(F.sum(weight).cast("long").alias("score")).filter(F.col("score") > above)
 
 
@@ -119,10 +127,7 @@ def bipartite_edges(events: DataFrame) -> DataFrame:
     return joined.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("i").alias("dst"), "weight"), F.struct(F.col("i").alias("src"), F.col("s").alias("dst"), "weight"))).alias("x")).select("x.*")
 
 
-def dense_ids(rows: DataFrame, column: str, width: int = 65_536) -> DataFrame:
-    """Distinct ids with their place in id order, from 0: places inside ranges of ids plus the sizes of the ranges before."""
-    ids = rows.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("range", F.floor(F.col(column) / width))
-    ranges = ids.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    bases = ranges.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    local = ids.withColumn("local", F.row_number().over(Window.partitionBy("range").orderBy(column)))
-    return local.join(bases, "range").select(column, (F.col("base") + F.col("local") - 1).cast("long").alias("dense"))
+def dense_ids(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct ids with their place in id order, from 0."""
+    ids = rows.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("one", F.lit(1).cast("long"))
+    return running(ids, column, "one", "dense").select(column, F.col("dense").cast("long").alias("dense"))

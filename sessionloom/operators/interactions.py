@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions import constants as C
 from sessionloom.operators.covisit import dense_ids
+from sessionloom.operators.ordered import first_rows
 
 
 def interactions(events: DataFrame, kind: str) -> DataFrame:
@@ -36,6 +38,13 @@ def sessions_by_draw(events: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return events.join(chosen, "session", "left_semi")
 
 
+def row_sample(events: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n distinct (session, aid) pairs (all, if fewer) of the least draws, ties to the smaller session and item."""
+    pairs = events.select("session", "aid").filter("session is not null and aid is not null").distinct()
+    drawn = pairs.withColumn("draw", draw(F.concat_ws(":", "session", "aid"), seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    return first_rows(drawn, [("draw", False), ("session", False), ("aid", False)], n).drop("draw")
+
+
 def common_users(views: DataFrame, purchases: DataFrame) -> DataFrame:
     """Users who have both."""
     return views.select("user").intersect(purchases.select("user"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import constants as C
 from sessionloom.functions.normalize import rate
+from sessionloom.operators.ordered import running
 from sessionloom.operators.sessions import count_type, is_type
 
 
@@ -65,6 +66,15 @@ def long_tail(events: DataFrame) -> DataFrame:
     return events.groupBy("aid").agg(F.count(F.lit(1)).alias("interactions")).groupBy("interactions").agg(F.count(F.lit(1)).alias("items"))
 
 
+def item_places(events: DataFrame) -> DataFrame:
+    """Items with their place, from 0, by number of interactions, ties to the smaller id: (aid, interactions, place)."""
+    counts = events.filter("aid is not null").groupBy("aid").agg(F.count(F.lit(1)).alias("interactions"))
+    counts = counts.withColumns({"one": F.lit(1).cast("long"), "less": -F.col("interactions")})
+    before = running(counts.groupBy("less").agg(F.sum("one").alias("n")), "less", "n").select("less", "before")
+    inside = running(counts, "aid", "one", "nth", ("less",))
+    return inside.join(before, "less").select("aid", "interactions", (F.col("before") + F.col("nth")).alias("place"))
+
+
 def hidden_gems(items: DataFrame, least_clicks: int = 10) -> DataFrame:
     """Of items with enough clicks, those whose conversion is in the upper and whose clicks are in the lower quarter."""
     enough = items.filter(F.col("total_clicks") >= least_clicks)
@@ -85,15 +95,11 @@ def coverage(test: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def sampling_distribution(events: DataFrame, alpha: float = 0.75) -> DataFrame:
-    """Cumulative probability of each item for popularity ** alpha sampling, in item order.
-
-    The running sum is made over ranges of ids: sums of ranges first, then inside each.
-    """
-    counts = events.groupBy("aid").agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(alpha)).alias("w")).withColumn("range", F.floor(F.col("aid") / 4096))
-    ranges = counts.groupBy("range").agg(F.sum("w").alias("range_w"))
-    ranges = ranges.withColumn("base", F.coalesce(F.sum("range_w").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("total", F.sum("range_w").over(Window.partitionBy()))
-    inside = F.sum("w").over(Window.partitionBy("range").orderBy("aid"))
-    return counts.withColumn("local", inside).join(ranges, "range").select("aid", F.col("w").alias("weight"), ((F.col("base") + F.col("local")) / F.col("total")).alias("cumulative"))
+    """Cumulative probability of each item for popularity ** alpha sampling, in item order."""
+    counts = events.filter("aid is not null").groupBy("aid").agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(alpha)).alias("weight"))
+    total = counts.agg(F.sum("weight").alias("total"))
+    sums = running(counts, "aid", "weight").crossJoin(F.broadcast(total))  # one row
+    return sums.select("aid", "weight", ((F.col("before") + F.col("weight")) / F.col("total")).alias("cumulative"))
 
 
 def dataset_stats(events: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import constants as C
 from sessionloom.operators import items as I
 from sessionloom.operators import sessions as S
+from sessionloom.operators.ordered import first_rows
 
 SOURCES = ("history", "popular", "clicks", "cart_order", "buy2buy")
 GRAPHS = SOURCES[2:]
@@ -22,12 +24,15 @@ def reciprocal_rank(history: DataFrame, neighbours: DataFrame, k: int = 20, dept
     goes to orders, carts and clicks in thirds, orders first, the remainder of the division too. Ties to the smaller id.
     """
     seen = history.select("session", "aid").distinct()
-    sizes = seen.groupBy("session").agg(F.count(F.lit(1)).alias("n_seen"))
     found = seen.join(neighbours, "aid").select("session", F.posexplode(F.slice("candidates", 1, depth)).alias("place", "c"))
-    score = F.sum((1 / (F.col("place") + 1)).cast("decimal(20,12)")).cast("double")
-    scored = found.groupBy("session", F.col("c.aid2").alias("aid")).agg(score.alias("score"))
-    ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), "aid"))).join(sizes, "session").filter(F.col("place") <= k + F.col("n_seen"))
-    fresh = ranked.join(seen, ["session", "aid"], "left_anti")
+    # whole billionths of thousandths: their sums do not depend on the order of addition
+    score = F.round(F.lit(1e12) / (F.col("place") + 1)).cast("long")
+    # what a session has seen and what it may be shown are one table, grouped once
+    both = found.select("session", F.col("c.aid2").alias("aid"), score.alias("part"), F.lit(0).alias("was_seen")).unionByName(seen.select("session", "aid", F.lit(None).cast("long").alias("part"), F.lit(1).alias("was_seen")))
+    items = both.groupBy("session", "aid").agg((F.sum("part") / F.lit(1e12)).alias("score"), F.max("was_seen").alias("was_seen"))
+    own = Window.partitionBy("session")
+    places = items.withColumns({"place": F.row_number().over(own.orderBy(F.desc_nulls_last("score"), "aid")), "n_seen": F.sum("was_seen").over(own)})
+    fresh = places.filter("was_seen = 0 and score is not null").filter(F.col("place") <= k + F.col("n_seen"))
     by = Window.partitionBy("session")
     out = fresh.withColumns({"rank": F.row_number().over(by.orderBy("place")), "n": F.count(F.lit(1)).over(by)})
     third = F.floor(F.col("n") / 3)
@@ -99,26 +104,33 @@ def labelled(found: DataFrame, truth: DataFrame, kind: str) -> DataFrame:
 def training_rows(rows: DataFrame, popularity: str = "click_all", per_positive: int = C.NEGATIVES_PER_POSITIVE, popular_share: float = C.POPULAR_SHARE, seed: int | None = 42) -> DataFrame:
     """All positives and min(per_positive times as many, all) negatives: the most popular first half, the rest random among the others.
 
-    Random order is a hash of the keys with the seed (without a seed an arithmetic rule, session * 31 + item modulo 1009).
+    Random order is a hash of the keys with the seed (without a seed an arithmetic rule, session * 31 + item modulo 1009). The rows are kept while
+    the cuts are sought (see ``ordered.first_rows``), so that they are made once.
     """
     draw = F.pmod(F.col("session") * 31 + F.col("candidate_aid"), F.lit(1009)) if seed is None else F.xxhash64("session", "candidate_aid", F.lit(seed))
-    counts = rows.agg(F.sum("label").alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    n = counts.select(F.least(F.coalesce("pos", F.lit(0)) * per_positive, "neg").alias("target")).first()["target"] or 0
+    kept = rows.withColumn("draw", draw).persist(StorageLevel.MEMORY_AND_DISK)
+    positive, negative = kept.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count_if(F.col("label") == 0)).first()
+    n = min(positive * per_positive, negative)
     hard_n = int(popular_share * n)
-    negatives = rows.filter("label = 0").withColumn("draw", draw)
+    negatives = kept.filter("label = 0")
     keys = ["session", "candidate_aid"]
-    hard = negatives.orderBy(F.desc(popularity), *keys).limit(hard_n)
-    rest = negatives.join(hard.select(*keys), keys, "left_anti").orderBy("draw", *keys).limit(n - hard_n)
-    return rows.filter("label = 1").unionByName(hard.drop("draw")).unionByName(rest.drop("draw"))
+    hard = first_rows(negatives, [(popularity, True), *((c, False) for c in keys)], hard_n)
+    rest = negatives.join(hard.select(*keys), keys, "left_anti")
+    rest = first_rows(rest, [("draw", False), *((c, False) for c in keys)], n - hard_n)
+    return kept.filter("label = 1").unionByName(hard).unionByName(rest).drop("draw")
 
 
-def uniform_negatives(history: DataFrame, items: DataFrame, per_session: int = 20, seed: int = 42, unseen: bool = True) -> DataFrame:
+def uniform_negatives(history: DataFrame, items: DataFrame, per_session: int = 20, seed: int | None = 42, unseen: bool = True) -> DataFrame:
     """Random items for each session, by a hash of session and number; ``unseen`` leaves the session's own items out (then there may be fewer).
 
+    Without a seed the draw is an arithmetic rule: session * 7919 + number * 104729, modulo the number of items.
+
     items: (aid, dense) with dense numbers from 0, see ``covisit.dense_ids``.
     """
     n = items.count()
-    draws = history.select("session").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_session - 1)))).withColumn("dense", F.pmod(F.xxhash64("session", "k", F.lit(seed)), F.lit(max(n, 1))))
+    draws = history.select("session").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_session - 1))))
+    draw = F.col("session") * 7919 + F.col("k") * 104729 if seed is None else F.xxhash64("session", "k", F.lit(seed))
+    draws = draws.withColumn("dense", F.pmod(draw, F.lit(max(n, 1))))
     out = draws.join(items, "dense").select("session", "aid").distinct()
     return out.join(history.select("session", "aid").distinct(), ["session", "aid"], "left_anti") if unseen else out
 
@@ -135,16 +147,40 @@ def linear_score(weights: dict[str, float]) -> Callable[[DataFrame], DataFrame]:
     return lambda rows: rows.withColumn("score", sum((F.col(c).cast("double") * float(w) for c, w in weights.items()), F.lit(0.0)))
 
 
-def fit_ranker(rows: DataFrame, features: list[str]) -> Callable[[DataFrame], DataFrame]:
-    """A pointwise ranker (logistic regression of Spark ML) as a scorer that adds ``score``, the probability of a hit."""
+def centred(rows: DataFrame, features: list[str], group: str) -> DataFrame:
+    """Features less their mean in the group, in columns c_...: what differs between the candidates of one session."""
+    means = rows.groupBy(group).agg(*(F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in features))
+    joined = rows.join(means, group)
+    return joined.withColumns({f"c_{c}": F.coalesce(F.col(c).cast("double") - F.col(f"m_{c}"), F.lit(0.0)) for c in features}).drop(*(f"m_{c}" for c in features))
+
+
+def fit_ranker(rows: DataFrame, features: list[str], group: str | None = "session"):
+    """(scorer, model): a ranker by Spark ML, and the pipeline that was fitted; the scorer adds ``score``.
+
+    With a group it ranks inside it: a logistic regression without intercept on the features less their mean in the group, so that what all
+    candidates of a session share has no say, as in a pairwise loss. Without one it is pointwise.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    stages = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep"), StandardScaler(inputCol="_raw", outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="label", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", regParam=0.01, maxIter=30)]
-    model = Pipeline(stages=stages).fit(rows)
-    return lambda d: model.transform(d).withColumn("score", vector_to_array("_p")[1]).drop("_raw", "_x", "_p", "_r", "_c")
+    ready = (lambda d: centred(d, features, group)) if group else (lambda d: d)
+    names = [f"c_{c}" for c in features] if group else features
+    regression = LogisticRegression(featuresCol="_x", labelCol="label", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", regParam=0.01, maxIter=30, fitIntercept=not group)
+    stages = [VectorAssembler(inputCols=names, outputCol="_raw", handleInvalid="keep"), StandardScaler(inputCol="_raw", outputCol="_x"), regression]
+    model = Pipeline(stages=stages).fit(ready(rows))
+    gone = ("_raw", "_x", "_p", "_r", "_c", *(names if group else ()))
+    return (lambda d: model.transform(ready(d)).withColumn("score", vector_to_array("_p")[1]).drop(*gone)), model
+
+
+def recommend_targets(rows: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]], k: int = 20) -> DataFrame:
+    """The k best candidates of each session for each target (event type), each by a scorer of its own: (session, type, rank, aid, score)."""
+    out = None
+    for kind, scorer in scorers.items():
+        best = recommend(scorer(rows), k).select("session", F.lit(kind).alias("type"), "rank", "aid", "score")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def recommend(scored: DataFrame, k: int = 20) -> DataFrame:

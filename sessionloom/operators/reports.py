@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.normalize import rate
+from sessionloom.operators.ordered import quantiles
 
 #: Targets: (metric, pass below, warn below); throughput passes above.
 TARGETS = {"api_p50_ms": (100, 200), "api_p95_ms": (200, 500), "error_rate": (0.001, 0.01), "batch_ms": (5000, 10_000), "e2e_p50_s": (10, 30), "e2e_p95_s": (30, 60)}
@@ -41,7 +42,9 @@ def metric_summary(metrics: DataFrame) -> DataFrame:
 def freshness(events: DataFrame, now_sec: Column, column: str = "created_sec") -> DataFrame:
     """Age of events in seconds: number, mean, interpolated quantiles, greatest, verdict by the median."""
     age = events.select((now_sec - F.col(column)).alias("age"))
-    sums = age.agg(F.count(F.lit(1)).alias("events"), F.avg("age").alias("avg_age"), *(F.expr(f"percentile(age, {q})").alias(f"p{int(100 * q)}") for q in (0.5, 0.9, 0.95)), F.max("age").alias("max_age"))
+    shares = (0.5, 0.9, 0.95)
+    exact = [F.lit(v).cast("double").alias(f"p{int(100 * q)}") for q, v in zip(shares, quantiles(age, "age", shares), strict=True)]
+    sums = age.agg(F.count(F.lit(1)).alias("events"), F.avg("age").alias("avg_age"), *exact, F.max("age").alias("max_age"))
     return sums.withColumn("verdict", F.when(F.col("p50") < 10, "PASS").when(F.col("p50") < 30, "WARN").otherwise("FAIL"))
 
 
@@ -73,10 +76,20 @@ def funnel_display(funnels: DataFrame, hourly: DataFrame) -> DataFrame:
     return row.unpivot([], ["clicks", "carts", "orders"], "stage", "sessions")
 
 
-def last_per_window(hourly: DataFrame) -> DataFrame:
+def weighted_gauge(metrics: DataFrame, name: str = "weighted_recall@20") -> DataFrame:
+    """A gauge in per cent: the mean over models and event types of their mean value of a metric."""
+    each = metric_summary(metrics.filter(F.col("metric_name") == name))
+    return each.agg((100.0 * F.avg("avg_value")).alias("gauge_pct"))
+
+
+def last_per_window(hourly: DataFrame, order: str = "id") -> DataFrame:
     """Of rows that repeat a window the latest written."""
-    order = Window.partitionBy("window_start").orderBy(F.desc("id"))
-    return hourly.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
+    return latest_by(hourly, ["window_start"], order)
+
+
+def latest_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of rows with equal keys the one of greatest order."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
 
 
 def melted(funnel: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import constants as C
 from sessionloom.functions.normalize import rate
+from sessionloom.operators.ordered import running
 
 
 def is_type(kind: str) -> Column:
@@ -179,6 +180,29 @@ def bot_sessions(events: DataFrame, minute: Column | None = None) -> DataFrame:
     return most.select(F.col("session").alias("session_id"), F.lit("bot_like").alias("anomaly_type"), F.col("minute"), F.col("n").alias("event_count"), F.round("mean", 2).alias("batch_mean"), F.round("std", 2).alias("batch_std"), details.alias("details"))
 
 
+def session_offsets(events: DataFrame) -> DataFrame:
+    """Where each session's events begin if all are laid out in session order: (session, length, offset)."""
+    sizes = events.filter("session is not null").groupBy("session").agg(F.count(F.lit(1)).alias("length"))
+    return running(sizes, "session", "length", "offset")
+
+
+def sessions_by_start(events: DataFrame) -> DataFrame:
+    """Sessions with their place, from 0, in order of their first event, ties to the smaller session: (session, start_ts, place)."""
+    starts = events.filter("session is not null").groupBy("session").agg(F.min("ts").alias("start_ts")).withColumn("one", F.lit(1).cast("long"))
+    before = running(starts.groupBy("start_ts").agg(F.sum("one").alias("n")), "start_ts", "n").select("start_ts", "before")
+    inside = running(starts, "session", "one", "nth", ("start_ts",))
+    return inside.join(before, "start_ts").select("session", "start_ts", (F.col("before") + F.col("nth")).alias("place"))
+
+
+def joined_parts(*parts: DataFrame) -> DataFrame:
+    """Events of several parts as one table, sorted by session, item and time, named for sequence toolkits; the time is a float of seconds * 1e9 if seconds came in."""
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    named = union.select(F.col("session").alias("session:token"), F.col("aid").alias("aid:token"), (F.col("ts").cast("double") * 1e9).alias("ts:float"))
+    return named.orderBy("session:token", "aid:token", "ts:float")
+
+
 # ---- sequences
 
 

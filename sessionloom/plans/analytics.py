@@ -76,6 +76,13 @@ def _lifespans(events: DataFrame) -> DataFrame:
     return S.lifespans(events.crossJoin(top), F.col("t0"))
 
 
+#: Queries that are also asked of whole, long sessions.
+_WHOLE = {
+    "session_segments": S.segments, "session_segment_durations": S.segment_durations, "funnel_rates": S.funnel, "human_sessions": S.human_sessions, "length_histogram": S.length_histogram,
+    "length_stats": S.length_stats, "duration_buckets": S.duration_buckets, "minutes_stats": S.minutes_stats, "short_sessions": lambda e: S.short_sessions(e, 3),
+}
+
+
 QUERIES = {
     "session_segments": _daily(S.segments),
     "session_segment_durations": _daily(S.segment_durations),
@@ -119,7 +126,12 @@ QUERIES = {
     "sampling_distribution": _web(I.sampling_distribution),
     "training_sequences": _web(sequences_text),
     "padded_sequences": _web(padded_text),
-}
+    "least_length": _daily(lambda e: S.least_length(e, 3)),
+    "session_offsets": _daily(S.session_offsets),
+    "sessions_by_start": _daily(S.sessions_by_start),
+    "item_places": lambda spark, d: I.item_places(purchase_events(spark, d)),
+    "joined_parts": lambda spark, d: S.joined_parts(*_weeks(web_events(spark, d))),
+} | {f"{name}_whole": _web(query) for name, query in _WHOLE.items()}
 
 
 def _sql(body: str, source: str = WEB_SQL, *more: str) -> str:
@@ -192,4 +204,10 @@ ORACLES = {
     "sampling_distribution": _sql("SELECT aid, round(w, 6) AS weight, round(sum(w) OVER (ORDER BY aid) / sum(w) OVER (), 6) AS cumulative FROM (SELECT aid, pow(count(*), 0.75) AS w FROM ev GROUP BY aid)"),
     "training_sequences": _sql("SELECT session, array_to_string(items[:-2], ' ') AS inputs, array_to_string(items[2:], ' ') AS labels, items[-1] AS target FROM seq WHERE len(items) >= 2", WEB_SQL, _SEQ),
     "padded_sequences": _sql("SELECT session, array_to_string(list_concat(CASE WHEN len(items) < 60 THEN list_transform(range(60 - len(items)), lambda x: CAST(0 AS BIGINT)) ELSE [] END, items[-60:]), ' ') AS padded, CAST(least(len(items), 60) AS INT) AS real FROM seq", WEB_SQL, _SEQ),
+    "least_length": _sql("SELECT session, aid, ts, type FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM ev) WHERE n >= 3", DAILY_SQL),
+    "session_offsets": _sql("SELECT session, n AS length, CAST(sum(n) OVER (ORDER BY session) - n AS BIGINT) AS \"offset\" FROM (SELECT session, count(*) AS n FROM ev GROUP BY session)", DAILY_SQL),
+    "sessions_by_start": _sql("SELECT session, s AS start_ts, row_number() OVER (ORDER BY s, session) - 1 AS place FROM (SELECT session, min(ts) AS s FROM ev GROUP BY session)", DAILY_SQL),
+    "item_places": _sql("SELECT aid, n AS interactions, row_number() OVER (ORDER BY n DESC, aid) - 1 AS place FROM (SELECT aid, count(*) AS n FROM ev GROUP BY aid)", PURCHASE_SQL),
+    "joined_parts": _sql("SELECT session AS \"session:token\", aid AS \"aid:token\", CAST(ts AS DOUBLE) * 1e9 AS \"ts:float\" FROM ev"),
 }
+ORACLES |= {f"{name}_whole": ORACLES[name].replace(DAILY_SQL, WEB_SQL) for name in _WHOLE}

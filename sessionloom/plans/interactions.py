@@ -34,6 +34,7 @@ QUERIES = {
     "session_sample": lambda spark, d: N.session_sample(web_events(spark, d), 0.1),
     "event_sample": lambda spark, d: N.event_sample(web_events(spark, d), 0.1),
     "sampled_recall": sampled_recall,
+    "row_sample": lambda spark, d: N.row_sample(web_events(spark, d), 500),
 }
 
 _WEEK = "w AS (SELECT *, ts < (SELECT min(ts) FROM ev) + 3 * 604800000 AS early FROM ev)"
@@ -52,6 +53,7 @@ ORACLES = {
     "held_out_purchases": _sql("""SELECT "user", item, count(*) AS purchases FROM w JOIN users ON w.session = u JOIN items ON w.aid = i WHERE type = 'orders' AND NOT early GROUP BY ALL""", WEB_SQL, _WEEK, _MATRIX),
     "session_sample": _sql(f"SELECT * FROM ev WHERE {_draw('CAST(session AS VARCHAR)')} < 0.1", WEB_SQL),
     "event_sample": _sql(f"""SELECT * FROM ev WHERE {_draw("concat_ws(':', coalesce(CAST(session AS VARCHAR), ''), coalesce(CAST(aid AS VARCHAR), ''), coalesce(CAST(ts AS VARCHAR), ''), coalesce(type, ''))")} < 0.1""", WEB_SQL),
+    "row_sample": _sql(f"SELECT session, aid FROM (SELECT DISTINCT session, aid FROM ev) ORDER BY {_draw("session || ':' || aid")}, session, aid LIMIT 500", WEB_SQL),
     "sampled_recall": _sql(
         f"""SELECT count(*) AS sessions, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM met SEMI JOIN
         (SELECT session FROM (SELECT DISTINCT session FROM future WHERE session IS NOT NULL) ORDER BY {_draw('CAST(session AS VARCHAR)')}, session LIMIT {SAMPLED_SESSIONS}) USING (session)""", *_BASE, _METRICS,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +17,18 @@ from sessionloom.sources.events import PURCHASE_SQL, WEB_SQL, purchase_events, w
 
 
 def reciprocal_rank(spark: SparkSession, d: str) -> DataFrame:
-    events = purchase_events(spark, d)
-    return rounded(R.reciprocal_rank(events, V.adjacency(V.unified_edges(events, gap_ms=MONTH_MS))))
+    return rounded(_reciprocal(purchase_events(spark, d).persist(StorageLevel.MEMORY_AND_DISK)))
+
+
+def _reciprocal(events: DataFrame) -> DataFrame:
+    return R.reciprocal_rank(events, V.adjacency(V.unified_edges(events, gap_ms=MONTH_MS)))
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     events = web_events(spark, d)
     history, future = P.history_split(events)
+    # three graphs, popular items, what was seen and features are made of it
+    history = history.persist(StorageLevel.MEMORY_AND_DISK)
     graphs = {g: V.typed_edges(history, g) for g in R.GRAPHS}
     return history, future, R.candidates(history, graphs, I.popular_candidates(history))
 
@@ -68,7 +74,26 @@ def fitted_recommend(spark: SparkSession, d: str) -> DataFrame:
     rows = R.assemble(found, history, history)
     train = R.training_rows(R.labelled(rows, P.ground_truth(future), "clicks"))
     features = ["wgt_clicks", "wgt_cart_order", "wgt_buy2buy", "source_history", "source_popular", "click_all", "click_7d", "repetitions", "n_sources_present", "log_recency"]
-    return R.recommend(R.fit_ranker(train, features)(rows))
+    return R.recommend(R.fit_ranker(train, features)[0](rows))
+
+
+#: Weights of the features for each target.
+_TARGET_WEIGHTS = {
+    "clicks": {"wgt_clicks": 1.0, "source_history": 0.25, "source_popular": 0.125},
+    "carts": {"wgt_cart_order": 1.0, "wgt_clicks": 0.25, "source_history": 0.5},
+    "orders": {"wgt_buy2buy": 2.0, "wgt_cart_order": 0.5, "source_history": 1.0},
+}
+
+
+def target_recommend(spark: SparkSession, d: str) -> DataFrame:
+    """The best candidates for each target, by weights of its own."""
+    found = _parts(spark, d)[2]
+    return rounded(R.recommend_targets(found, {kind: R.linear_score(w) for kind, w in _TARGET_WEIGHTS.items()}))
+
+
+def target_submission(spark: SparkSession, d: str) -> DataFrame:
+    found = _parts(spark, d)[2]
+    return R.submission(R.recommend_targets(found, {kind: R.linear_score(w) for kind, w in _TARGET_WEIGHTS.items()}))
 
 
 def recommend_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -82,35 +107,37 @@ def submission(spark: SparkSession, d: str) -> DataFrame:
 
 
 def served_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions with an even number have a cached list (their items), the others a computed one."""
-    events = web_events(spark, d)
+    """Sessions with an even number have a cached list (their first items), all have a computed one."""
+    events = purchase_events(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
     lengths = events.groupBy("session").agg(F.count(F.lit(1)).alias("length"))
     items = events.groupBy("session").agg(F.slice(F.array_sort(F.collect_set("aid")), 1, 3).alias("items"))
-    out = R.serve(items.filter("session % 2 = 0"), items.filter("session % 3 = 0"), lengths, least=60)
+    listed = _reciprocal(events).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("rank", "aid"))).alias("x"))
+    computed = listed.select("session", F.transform("x", lambda y: y["aid"]).alias("items"))
+    out = R.serve(items.filter("session % 2 = 0"), computed, lengths)
     return out.select("session", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"), "from_cache", "recompute")
 
 
 def als_top(spark: SparkSession, d: str) -> DataFrame:
     rows = purchase_events(spark, d).groupBy(F.col("session").cast("int").alias("user"), F.col("aid").cast("int").alias("item")).agg(F.count(F.lit(1)).cast("float").alias("weight"))
-    return R.als_top(rows, 10, rank=8, iterations=3)
+    return R.als_top(rows)
 
 
 def dot_product_top(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of label 0 as users, all vectors as items."""
+    """Vectors whose number 20 divides as users, all vectors as items."""
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    users = rows.filter("label = 0").select(F.col("vec_id").alias("user"), F.col("embedding").alias("v"))
+    users = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("user"), F.col("embedding").alias("v"))
     return rounded(R.dot_product_top(users, rows.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), 10), 5)
 
 
 def uniform_negatives(spark: SparkSession, d: str) -> DataFrame:
     events = web_events(spark, d)
-    return R.uniform_negatives(events, V.dense_ids(events, "aid"), 20)
+    return R.uniform_negatives(events, V.dense_ids(events, "aid"), 20, seed=None)
 
 
 def evaluation_sets(spark: SparkSession, d: str) -> DataFrame:
     events = web_events(spark, d)
     samples = S.leave_one_out(S.sequences(events, shift=0))
-    return R.evaluation_sets(samples, R.uniform_negatives(events, V.dense_ids(events, "aid"), 50))
+    return R.evaluation_sets(samples, R.uniform_negatives(events, V.dense_ids(events, "aid"), 50, seed=None))
 
 
 QUERIES = {
@@ -122,6 +149,8 @@ QUERIES = {
     "batch_recommend": batch_recommend,
     "fallback_recommend": fallback_recommend,
     "fitted_recommend": fitted_recommend,
+    "target_recommend": target_recommend,
+    "target_submission": target_submission,
     "recommend_blocks": recommend_blocks,
     "submission": submission,
     "served_lists": served_lists,
@@ -171,9 +200,36 @@ _FEATURES = (
 )
 _ROUND = ("wgt_clicks", "wgt_cart_order", "wgt_buy2buy", *(f"{c}_{w}" for w in ("all", "7d") for c in _NUMBERS[5:]), "cart_ratio", "order_ratio", "recency_sec", "log_recency", "click_trend_7d", "order_trend_7d", "conversion_trend_diff", "combined_buy_weight", "wgt_b2b_decayed", "wgt_clicks_decayed")
 
+_RECIPROCAL = """SELECT session, CAST(rank AS INT) AS rank, aid, round(score, 6) AS score,
+        CASE WHEN rank <= n // 3 + n % 3 THEN 'orders' WHEN rank <= n // 3 * 2 + n % 3 THEN 'carts' ELSE 'clicks' END AS objective
+    FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY place) AS rank, count(*) OVER (PARTITION BY session) AS n FROM
+        (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, aid) AS place FROM
+            (SELECT session, aid2 AS aid, CAST(sum(CAST(1.0 / rank AS DECIMAL(20, 12))) AS DOUBLE) AS score FROM seen JOIN edges ON seen.aid = edges.aid1 GROUP BY 1, 2))
+        JOIN (SELECT session, count(*) AS n_seen FROM seen GROUP BY 1) USING (session) ANTI JOIN seen USING (session, aid) WHERE place <= 20 + n_seen)"""
+_SEEN = "seen AS (SELECT DISTINCT session, aid FROM ev)"
+
+
+def _targets(body: str) -> str:
+    """``body`` over best: the candidates of each target in order of its score."""
+    parts = []
+    for kind, weights in _TARGET_WEIGHTS.items():
+        score = " + ".join(f"{c} * {w}" for c, w in weights.items())
+        parts.append(f"SELECT session, '{kind}' AS type, candidate_aid AS aid, CAST({score} AS DOUBLE) AS score FROM found")
+    ranked = "SELECT *, row_number() OVER (PARTITION BY session, type ORDER BY score DESC, aid) AS r FROM (" + " UNION ALL ".join(parts) + ")"
+    return _sql(body, *_FOUND, f"targeted AS ({ranked})")
+
+
+_NEGATIVES = """ii AS (SELECT aid, row_number() OVER (ORDER BY aid) - 1 AS dense FROM (SELECT DISTINCT aid FROM ev)),
+    negatives AS (SELECT DISTINCT session, aid FROM (SELECT session, (session * 7919 + k * 104729) % (SELECT count(*) FROM ii) AS dense FROM (SELECT DISTINCT session FROM ev), unnest(range({0})) AS u(k)) JOIN ii USING (dense)
+        ANTI JOIN (SELECT DISTINCT session, aid FROM ev) USING (session, aid))"""
+
 ORACLES = {
-    "reciprocal_rank_recommend": _sql("""SELECT session, CAST(rank AS INT) AS rank, aid, round(score, 6) AS score, CASE WHEN rank <= n // 3 + n % 3 THEN 'orders' WHEN rank <= n // 3 * 2 + n % 3 THEN 'carts' ELSE 'clicks' END AS objective FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY place) AS rank, count(*) OVER (PARTITION BY session) AS n FROM
-        (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, aid) AS place FROM (SELECT session, aid2 AS aid, CAST(sum(CAST(1.0 / rank AS DECIMAL(20, 12))) AS DOUBLE) AS score FROM seen JOIN edges ON seen.aid = edges.aid1 GROUP BY 1, 2)) JOIN (SELECT session, count(*) AS n_seen FROM seen GROUP BY 1) USING (session) ANTI JOIN seen USING (session, aid) WHERE place <= 20 + n_seen)""", PURCHASE_SQL, _unified(MONTH_MS), "seen AS (SELECT DISTINCT session, aid FROM ev)"),
+    "reciprocal_rank_recommend": _sql(_RECIPROCAL, PURCHASE_SQL, _unified(MONTH_MS), _SEEN),
+    "target_recommend": _targets("SELECT session, type, CAST(r AS INT) AS rank, aid, round(score, 6) AS score FROM targeted WHERE r <= 20"),
+    "target_submission": _targets("SELECT session || '_' || type AS session_type, string_agg(CAST(aid AS VARCHAR), ' ' ORDER BY r) AS labels FROM targeted WHERE r <= 20 GROUP BY session, type"),
+    "uniform_negatives": _sql("SELECT session, aid FROM negatives", WEB_SQL, _NEGATIVES.format(20)),
+    "evaluation_sets": _sql("""SELECT session, aid, 1 AS is_target FROM target UNION ALL SELECT session, aid, 0 FROM negatives ANTI JOIN target USING (session, aid)""", WEB_SQL, _NEGATIVES.format(50),
+        "target AS (SELECT session, aid FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, aid DESC, type DESC) AS r, count(*) OVER (PARTITION BY session) AS n FROM ev) WHERE r = 1 AND n >= 2)"),
     "candidates": _sql("SELECT * REPLACE (round(wgt_clicks, 6) AS wgt_clicks, round(wgt_cart_order, 6) AS wgt_cart_order, round(wgt_buy2buy, 6) AS wgt_buy2buy) FROM found", *_FOUND),
     "candidate_features": _sql("SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in _ROUND) + ") FROM wide", *_FEATURES),
     "candidate_labels": _sql("SELECT * FROM labels0", *_FOUND, _LABELS),
@@ -187,6 +243,9 @@ ORACLES = {
         (SELECT session, candidate_aid AS aid, CAST({_SCORE} AS DOUBLE) AS score, 0 AS f FROM found WHERE source_clicks = 1 UNION ALL SELECT session, pop.aid, -99, rank FROM (SELECT DISTINCT session FROM seen), (SELECT * FROM ({_POPULAR.format("history", 20)}) WHERE event_type = 'clicks') AS pop) GROUP BY ALL) ANTI JOIN seen USING (session, aid)) WHERE r <= 20""", *_FOUND),
     "recommend_blocks": _sql("SELECT session, CASE WHEN rank <= 5 THEN 'clicks' WHEN rank <= 10 THEN 'carts' ELSE 'orders' END AS type, CAST((rank - 1) % 5 + 1 AS INT) AS rank, aid FROM best WHERE rank <= 15", *_FOUND, _BEST),
     "submission": _sql("SELECT session || '_' || t AS session_type, string_agg(CAST(aid AS VARCHAR), ' ' ORDER BY rank) AS labels FROM best, unnest(['clicks', 'carts', 'orders']) AS u(t) WHERE rank <= 20 GROUP BY session, t", *_FOUND, _BEST),
-    "served_lists": _sql("SELECT session, CASE WHEN session % 2 = 0 OR session % 3 = 0 THEN array_to_string(list_sort(list_distinct(array_agg(aid)))[:3], ' ') ELSE '' END AS items, session % 2 = 0 AS from_cache, count(*) >= 60 AS recompute FROM ev GROUP BY session"),
-    "dot_product_top": "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT \"user\", CAST(r AS INT) AS rank, item, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY score DESC, item) AS r FROM (SELECT a.vec_id AS \"user\", b.vec_id AS item, list_inner_product(a.v, b.v) AS score FROM e AS a, e AS b WHERE a.label = 0)) WHERE r <= 10",
+    "served_lists": _sql("""SELECT e.session, CASE WHEN e.session % 2 = 0 THEN cached ELSE coalesce(computed, '') END AS items, e.session % 2 = 0 AS from_cache, length >= 5 AS recompute FROM
+        (SELECT session, count(*) AS length, array_to_string(list_sort(list_distinct(array_agg(aid)))[:3], ' ') AS cached FROM ev GROUP BY session) AS e
+        LEFT JOIN (SELECT session, string_agg(CAST(aid AS VARCHAR), ' ' ORDER BY rank) AS computed FROM rr GROUP BY session) AS c ON e.session = c.session""",
+        PURCHASE_SQL, _unified(MONTH_MS), _SEEN, f"rr AS ({_RECIPROCAL})"),
+    "dot_product_top": "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT \"user\", CAST(r AS INT) AS rank, item, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY score DESC, item) AS r FROM (SELECT a.vec_id AS \"user\", b.vec_id AS item, list_inner_product(a.v, b.v) AS score FROM e AS a, e AS b WHERE a.vec_id % 20 = 0)) WHERE r <= 10",
 }

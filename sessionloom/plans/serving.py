@@ -68,6 +68,23 @@ def funnel_stages(spark: SparkSession, d: str) -> DataFrame:
     return B.funnel_display(funnels, I.traffic(events, 3_600_000))
 
 
+def funnel_computed(spark: SparkSession, d: str) -> DataFrame:
+    """With a funnel row the display takes it, not the last hour."""
+    events = web_events(spark, d)
+    return B.funnel_display(S.funnel(events).withColumn("computed_at", F.lit(1)), I.traffic(events, 3_600_000))
+
+
+def gauge(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(B.weighted_gauge(metrics(spark, d), "recall@20"))
+
+
+def rewritten_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly rows written twice, the second time with the events of carts and orders alone: the later row of a window stands."""
+    events = web_events(spark, d)
+    hourly = lambda rows, shift: I.traffic(rows, 3_600_000).select("window_start", "total_events", (F.col("window_start") + shift).alias("id"))
+    return B.last_per_window(hourly(events, 0).unionByName(hourly(events.filter("type != 'clicks'"), 1)))
+
+
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return web_events(spark, d).filter("session = 7").orderBy("ts", "aid")
 
@@ -89,6 +106,9 @@ QUERIES = {
     "metric_trend": lambda s, d: rounded(B.metric_trend(metrics(s, d), "recall@20")),
     "metric_summary": lambda s, d: rounded(B.metric_summary(metrics(s, d))),
     "funnel_stages": funnel_stages,
+    "funnel_computed": funnel_computed,
+    "metric_gauge": gauge,
+    "rewritten_windows": rewritten_windows,
     "funnel_melted": lambda s, d: B.melted(S.funnel(web_events(s, d))),
     "active_sessions": lambda s, d: B.active_sessions(web_events(s, d), F.lit(1_706_000_000_000)),
     "top_predictions": lambda s, d: B.latest(_orders(s, d).select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 20),
@@ -115,6 +135,9 @@ ORACLES = {
     "top_predictions": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
     "best_converting_items": _sql(f"""SELECT aid, total_clicks, total_carts, total_orders, round(CASE WHEN total_clicks > 0 THEN total_carts / total_clicks ELSE 0 END, 6) AS click_to_cart_rate, round(r, 6) AS click_to_order_rate, round(CASE WHEN total_carts > 0 THEN total_orders / total_carts ELSE 0 END, 6) AS cart_to_order_rate
         FROM (SELECT *, CASE WHEN total_clicks > 0 THEN total_orders / total_clicks ELSE 0 END AS r FROM (SELECT aid, {_COUNTS} FROM ev GROUP BY aid)) ORDER BY r DESC, aid LIMIT 20"""),
+    "funnel_computed": _sql("SELECT t AS stage, count(DISTINCT session) FILTER (type = t) AS sessions FROM ev, unnest(['clicks', 'carts', 'orders']) AS u(t) GROUP BY t"),
+    "metric_gauge": _sql("SELECT round(100.0 * avg(v), 6) AS gauge_pct FROM (SELECT avg(aid / 100.0) AS v FROM ev WHERE ts % 2 = 0 GROUP BY session % 3, type)"),
+    "rewritten_windows": _sql("SELECT window_start, CASE WHEN m > 0 THEN m ELSE n END AS total_events, window_start + (m > 0)::INT AS id FROM (SELECT ts // 3600000 * 3600000 AS window_start, count(*) AS n, count(*) FILTER (type <> 'clicks') AS m FROM ev GROUP BY 1)"),
     "session_lookup": _sql("SELECT * FROM ev WHERE session = 7"),
     "recoded_types": _sql("SELECT CASE type WHEN 'clicks' THEN 0 WHEN 'carts' THEN 1 ELSE 2 END AS code, type AS name, " + " + ".join(f"(g > {b})::INT" for b in (1, 10, 60, 300, 1800, 7200, 21600, 43200, 86400, 172800, 345600, 604800, 864000, 1209600, 1814400)) + " AS bucket, count(*) AS events FROM (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY session ORDER BY ts, aid, type)) / 1000.0, 0) AS g FROM ev) GROUP BY ALL"),
 }

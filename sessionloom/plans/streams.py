@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.plans.analytics import WEB_SQL, _sql, rounded, with_model
-from sessionloom.sources.events import micros
+from sessionloom.sources.events import decode_messages, micros, web_events
+from sessionloom.sources.folders import shared_folder
 from sessionloom.streaming import unified as U
-from sessionloom.streaming.sinks import AppendSink, MergeSink
+from sessionloom.streaming.sinks import AppendSink, MergeSink, messages
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sessionloom-streams")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,21 +27,68 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_model(flat)
 
 
-def run_unified(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def quarter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events in four files, one a quarter of their time, each a batch of its own."""
+    base, events = _folder(spark), with_model(web_events(spark, sf_dir)).persist()
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    quarter = F.floor((F.col("ts") - F.lit(first)) * 4 / F.lit(last - first + 1))
+    for k in range(4):
+        events.filter(quarter == k).coalesce(1).write.mode("append").parquet(f"{base}/events")
+    events.unpersist()
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+
+
+KEYS = {"popular_items": ["time_scope", "event_type", "aid"], "stats_items": ["aid"], "stats_sessions": ["session_type"], "advanced_funnel_stats": ["model_used"]}
+
+
+def run_unified(spark: SparkSession, stream: DataFrame, table: str) -> DataFrame:
     base = _folder(spark)
-    keys = {"popular_items": ["time_scope", "event_type", "aid"], "stats_items": ["aid"], "stats_sessions": ["session_type"], "advanced_funnel_stats": ["model_used"]}
-    sink = MergeSink(f"{base}/{table}", keys[table]) if table in keys else AppendSink(f"{base}/{table}")
-    query = U.start_compat(event_stream(spark, sf_dir), {table: sink}, f"{base}/checkpoint", {"availableNow": True})
+    sink = MergeSink(f"{base}/{table}", KEYS[table]) if table in KEYS else AppendSink(f"{base}/{table}")
+    query = U.start_compat(stream, {table: sink}, f"{base}/checkpoint", {"availableNow": True}, exact=True)
     query.awaitTermination()
-    return sink.read(spark)
+    return sink.read(spark).drop("part", "batch_id")
 
 
 def streamed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(run_unified(spark, sf_dir, "stats_items"))
+    return rounded(run_unified(spark, event_stream(spark, sf_dir), "stats_items"))
 
 
 def streamed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(run_unified(spark, sf_dir, "stats_sessions"))
+    return rounded(run_unified(spark, event_stream(spark, sf_dir), "stats_sessions"))
+
+
+def streamed_item_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches: of each item the counters of the last batch that has it."""
+    return rounded(run_unified(spark, quarter_stream(spark, sf_dir), "stats_items"))
+
+
+def streamed_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches: of each item and type the count and rank of the last batch that lists it."""
+    return run_unified(spark, quarter_stream(spark, sf_dir), "popular_items")
+
+
+def streamed_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(run_unified(spark, quarter_stream(spark, sf_dir), "advanced_funnel_stats"))
+
+
+def streamed_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches, each with traffic of its own: a minute that two of them share has two rows."""
+    return rounded(run_unified(spark, quarter_stream(spark, sf_dir), "stats_hourly"))
+
+
+def streamed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON messages, some of them broken, decoded from a stream of text; the time moved by seven hours."""
+    base, events = _folder(spark), web_events(spark, sf_dir)
+    broken = events.limit(5).select(F.lit("no json").alias("value"))
+    messages(events).select("value").union(broken).write.text(f"{base}/messages")
+    stream = spark.readStream.text(f"{base}/messages")
+    return _appended(spark, U.from_messages(decode_messages(stream), 7).drop("model_used"))
+
+
+def streamed_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event twice; repeats within the watermark are dropped."""
+    stream = event_stream(spark, sf_dir).drop("model_used")
+    return _appended(spark, U.without_repeats(stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")))
 
 
 def _appended(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -56,23 +99,78 @@ def _appended(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling windows under a watermark; the last stay open."""
+    """Tumbling windows under a watermark, distinct counts by sketches. Windows that end after the watermark (the last event less two minutes) are not out yet."""
     return _appended(spark, U.windowed_traffic(event_stream(spark, sf_dir), width="1 hour"))
 
 
+def _counted(windows: DataFrame) -> DataFrame:
+    """Windows without the sketches; their ends as milliseconds."""
+    return rounded(windows.select(F.unix_millis("window_start").alias("window_start"), F.unix_millis("window_end").alias("window_end"), "total_events", *(f"total_{t}" for t in ("clicks", "carts", "orders")), "click_to_cart_rate", "cart_to_order_rate"))
+
+
+def streamed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_appended(spark, U.windowed_traffic(event_stream(spark, sf_dir), width="1 hour")))
+
+
+def streamed_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(_appended(spark, U.windowed_traffic(event_stream(spark, sf_dir), width="1 hour", slide="30 minutes")))
+
+
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _appended(spark, U.session_windows(event_stream(spark, sf_dir)))
+    """Sessions that the watermark has closed."""
+    found = _appended(spark, U.session_windows(event_stream(spark, sf_dir)))
+    return found.withColumns({c: F.unix_millis(c) for c in ("session_start", "session_end")})
 
 
 QUERIES = {
     "streamed_items": streamed_items,
     "streamed_segments": streamed_segments,
+    "streamed_item_batches": streamed_item_batches,
+    "streamed_popular": streamed_popular,
+    "streamed_funnel": streamed_funnel,
+    "streamed_traffic": streamed_traffic,
+    "streamed_messages": streamed_messages,
+    "streamed_distinct": streamed_distinct,
     "streamed_windows": streamed_windows,
+    "streamed_hours": streamed_hours,
+    "streamed_slides": streamed_slides,
     "streamed_sessions": streamed_sessions,
 }
+_QUARTERS = "b AS (SELECT *, ((ts - (SELECT min(ts) FROM ev)) * 4) // (SELECT max(ts) - min(ts) + 1 FROM ev) AS q FROM ev)"
+_COUNTED = "count(*) AS total_events, count(*) FILTER (type = 'clicks') AS total_clicks, count(*) FILTER (type = 'carts') AS total_carts, count(*) FILTER (type = 'orders') AS total_orders"
+_RATES = """round(CASE WHEN total_clicks > 0 THEN total_carts / total_clicks ELSE 0 END, 6) AS click_to_cart_rate,
+        round(CASE WHEN total_carts > 0 THEN total_orders / total_carts ELSE 0 END, 6) AS cart_to_order_rate"""
+
+
+def _windows(slide: int, copies: int) -> str:
+    """Windows of an hour that begin every ``slide`` milliseconds and end by the watermark."""
+    return _sql(f"""SELECT *, window_start + 3600000 AS window_end, {_RATES} FROM
+        (SELECT (ts // {slide} - k) * {slide} AS window_start, {_COUNTED} FROM ev, unnest(range({copies})) AS u(k) GROUP BY 1)
+        WHERE window_start + 3600000 <= (SELECT max(ts) - 120000 FROM ev)""")
+
+
 _SESSIONS = "flags AS (SELECT session, count(*) AS length, max((type = 'carts')::INT) AS c, max((type = 'orders')::INT) AS o, (max(ts) - min(ts)) / 1000.0 AS s FROM ev GROUP BY session)"
 ORACLES = {
     "streamed_items": _sql("""SELECT aid, k AS total_clicks, c AS total_carts, o AS total_orders, round(CASE WHEN k > 0 THEN c / k ELSE 0 END, 6) AS click_to_cart_rate, round(CASE WHEN k > 0 THEN o / k ELSE 0 END, 6) AS click_to_order_rate, round(CASE WHEN c > 0 THEN o / c ELSE 0 END, 6) AS cart_to_order_rate
         FROM (SELECT aid, count(*) FILTER (type = 'clicks') AS k, count(*) FILTER (type = 'carts') AS c, count(*) FILTER (type = 'orders') AS o FROM ev GROUP BY aid)"""),
     "streamed_segments": _sql("SELECT CASE WHEN o > 0 THEN 'buyer' WHEN c > 0 THEN 'cart_abandoner' ELSE 'browse_only' END AS session_type, count(*) AS count, round(avg(length), 6) AS avg_length, round(avg(s), 6) AS avg_duration_sec, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct_of_total FROM flags GROUP BY 1", WEB_SQL, _SESSIONS),
+    "streamed_item_batches": _sql("""SELECT aid, k AS total_clicks, c AS total_carts, o AS total_orders, round(CASE WHEN k > 0 THEN c / k ELSE 0 END, 6) AS click_to_cart_rate,
+        round(CASE WHEN k > 0 THEN o / k ELSE 0 END, 6) AS click_to_order_rate, round(CASE WHEN c > 0 THEN o / c ELSE 0 END, 6) AS cart_to_order_rate
+        FROM (SELECT aid, q, count(*) FILTER (type = 'clicks') AS k, count(*) FILTER (type = 'carts') AS c, count(*) FILTER (type = 'orders') AS o, row_number() OVER (PARTITION BY aid ORDER BY q DESC) AS last
+            FROM b GROUP BY aid, q) WHERE last = 1""", WEB_SQL, _QUARTERS),
+    "streamed_popular": _sql("""SELECT 'all_time' AS time_scope, event_type, aid, count, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type, aid ORDER BY q DESC) AS last FROM
+        (SELECT type AS event_type, aid, q, count(*) AS count, CAST(row_number() OVER (PARTITION BY type, q ORDER BY count(*) DESC, aid) AS INT) AS rank FROM b GROUP BY type, aid, q) WHERE rank <= 100) WHERE last = 1""", WEB_SQL, _QUARTERS),
+    "streamed_funnel": _sql("""SELECT model_used, t AS total_sessions, k AS sessions_with_clicks, c AS sessions_with_carts, o AS sessions_with_orders, round(CASE WHEN k > 0 THEN o / k ELSE 0 END, 6) AS click_to_order_rate FROM
+        (SELECT 'm' || (session % 3) AS model_used, q, count(DISTINCT session) AS t, count(DISTINCT session) FILTER (type = 'clicks') AS k, count(DISTINCT session) FILTER (type = 'carts') AS c,
+            count(DISTINCT session) FILTER (type = 'orders') AS o, row_number() OVER (PARTITION BY 'm' || (session % 3) ORDER BY q DESC) AS last FROM b GROUP BY 1, 2) WHERE last = 1""", WEB_SQL, _QUARTERS),
+    "streamed_traffic": _sql(f"""SELECT window_start, window_start + 60000 AS window_end, total_events, total_clicks, total_carts, total_orders, unique_sessions, unique_sessions AS total_sessions, unique_items, {_RATES} FROM
+        (SELECT ts // 60000 * 60000 AS window_start, q, {_COUNTED}, count(DISTINCT session) AS unique_sessions, count(DISTINCT aid) AS unique_items FROM b GROUP BY 1, 2)""", WEB_SQL, _QUARTERS),
+    "streamed_messages": _sql("SELECT session, aid, type, ts + 25200000 AS ts FROM ev"),
+    "streamed_distinct": _sql("SELECT DISTINCT session, aid, type, ts FROM ev"),
+    "streamed_hours": _windows(3_600_000, 1),
+    "streamed_slides": _windows(1_800_000, 2),
+    "streamed_sessions": _sql("""SELECT session, min(ts) AS session_start, max(ts) + 1800000 AS session_end, count(*) AS length, count(*) FILTER (type = 'clicks') AS n_clicks, count(*) FILTER (type = 'carts') AS n_carts, count(*) FILTER (type = 'orders') AS n_orders
+        FROM (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ts, aid, type ROWS UNBOUNDED PRECEDING) AS run FROM
+            (SELECT *, (ts - lag(ts, 1, -1000000000000) OVER (PARTITION BY session ORDER BY ts, aid, type) > 1800000)::INT AS new FROM ev))
+        GROUP BY session, run HAVING max(ts) + 1800000 <= (SELECT max(ts) - 120000 FROM ev)"""),
 }

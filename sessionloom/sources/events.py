@@ -25,6 +25,17 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return flatten(rows) if "events" in rows.columns else rows.select("session", "aid", "ts", "type")
 
 
+def read_flat(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
+    """The four columns of flat sessions; with ``parts`` dealt to so many partitions by session."""
+    rows = spark.read.parquet(path).select("session", "aid", "ts", "type")
+    return rows if parts is None else rows.repartition(parts, "session")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
+    """A text table of a stated schema."""
+    return spark.read.option("sep", sep).option("header", header).schema(schema).csv(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
     """JSON lines of nested sessions, with a fixed schema; ``only`` keeps one event type."""
     rows = flatten(spark.read.schema(NESTED).json(path))

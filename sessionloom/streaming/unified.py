@@ -6,10 +6,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.util import inheritable_thread_target
 
 from sessionloom.functions import constants as C
 from sessionloom.functions.normalize import known_keys, rate
@@ -17,17 +19,19 @@ from sessionloom.operators import items as I
 from sessionloom.operators import sessions as S
 from sessionloom.streaming.sinks import Sink
 
+#: Batches that the checkpoint keeps.
+BATCHES_KEPT = 10
 TABLES = ("stats_hourly", "anomaly_logs", "popular_items", "stats_items", "advanced_funnel_stats", "stats_sessions")
 
 
-def batch_tables(events: DataFrame, k: int = 100) -> dict[str, DataFrame]:
-    """The six aggregates of a batch of (session, aid, type, ts, model_used)."""
+def batch_tables(events: DataFrame, k: int = 100, exact: bool = False) -> dict[str, DataFrame]:
+    """The six aggregates of a batch of (session, aid, type, ts, model_used). ``exact`` counts sessions by model without a sketch."""
     return {
         "stats_hourly": I.traffic(events),
         "anomaly_logs": S.bot_sessions(events),
         "popular_items": I.popular_items(events, k).withColumn("time_scope", F.lit("all_time")),
         "stats_items": I.item_conversion(events),
-        "advanced_funnel_stats": S.model_funnel(events.na.fill("unknown", ["model_used"]), exact=False),
+        "advanced_funnel_stats": S.model_funnel(events.na.fill("unknown", ["model_used"]), exact=exact),
         "stats_sessions": S.segment_durations(events),
     }
 
@@ -37,22 +41,20 @@ def from_messages(stream: DataFrame, offset_hours: int = 0) -> DataFrame:
     return stream.select(F.col("session_id").alias("session"), "aid", "type", (F.col("ts") + offset_hours * 3_600_000).alias("ts"), "model_used")
 
 
-def start_compat(stream: DataFrame, sinks: dict[str, Sink], checkpoint: str, trigger: dict | None = None, k: int = 100) -> StreamingQuery:
-    """Write each micro-batch's six tables. The batch is kept while they are made; a sink that fails does not stop the others, and the batch then fails as a whole and is repeated.
+def start_compat(stream: DataFrame, sinks: dict[str, Sink], checkpoint: str, trigger: dict | None = None, k: int = 100, exact: bool = False) -> StreamingQuery:
+    """Write each micro-batch's six tables, side by side. The batch is kept while they are made; a sink that fails does not stop the others, and the batch then fails as a whole and is repeated.
 
-    Sinks are idempotent by batch id, so a repeated batch leaves no duplicates.
+    Sinks are idempotent by batch id, so a repeated batch leaves no duplicates. Spark keeps the last BATCHES_KEPT batches of the checkpoint.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.minBatchesToRetain", str(BATCHES_KEPT))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         kept = known_keys(batch).persist()
-        failed: list[Exception] = []
+        tables = {name: table for name, table in batch_tables(kept, k, exact).items() if name in sinks}
         try:
-            for name, table in batch_tables(kept, k).items():
-                if name in sinks:
-                    try:
-                        sinks[name].write(table, batch_id)
-                    except Exception as e:  # noqa: BLE001  raised below, after the other sinks had their turn
-                        failed.append(e)
+            with ThreadPoolExecutor(max(1, len(tables))) as pool:
+                jobs = [pool.submit(inheritable_thread_target(sinks[name].write), table, batch_id) for name, table in tables.items()]
+            failed = [e for e in (job.exception() for job in jobs) if e]
         finally:
             kept.unpersist()
         if failed:
@@ -62,6 +64,12 @@ def start_compat(stream: DataFrame, sinks: dict[str, Sink], checkpoint: str, tri
     return writer.trigger(**(trigger or {"processingTime": C.TRIGGER})).start()
 
 
+def start_buffered(stream: DataFrame, sink: Sink, checkpoint: str, seconds: int = 5, trigger: dict | None = None) -> StreamingQuery:
+    """Hand on what has come every few seconds, as one batch: a buffer that Spark keeps, and repeats if the sink fails. Its bound is the source's limit a trigger."""
+    writer = stream.writeStream.outputMode("append").foreachBatch(sink.write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": f"{seconds} seconds"})).start()
+
+
 def windowed_traffic(stream: DataFrame, watermark: str = C.WATERMARK, width: str = C.TUMBLING, slide: str | None = None) -> DataFrame:
     """Traffic by tumbling (or sliding) windows of event time; late data beyond the watermark is dropped. Distinct counts are sketches."""
     timed = stream.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", watermark)
@@ -106,8 +114,3 @@ class ProgressListener(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:  # noqa: N802
         pass
 
-
-def latest_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of rows with equal keys the one of greatest order."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

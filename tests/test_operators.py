@@ -223,3 +223,134 @@ def test_settings(tmp_path):
     path = tmp_path / "settings.json"
     path.write_text('{"a": "${HOST:local}:${PORT:1}", "b": ["${NONE}", 3, {"c": "plain"}]}')
     assert read_settings(str(path), {"PORT": "9"}) == {"a": "local:9", "b": ["", 3, {"c": "plain"}]}
+
+
+def test_first_rows(spark, monkeypatch):
+    from sessionloom.operators import ordered as O
+
+    monkeypatch.setattr(O, "SORTED", 10)
+    monkeypatch.setattr(O, "BINS", 8)
+    rows = [(x * x % 17, x % 5 - 2, x, float(x % 3)) for x in range(300)] + [(5, 1, 1000, 0.0)] * 30
+    df = spark.createDataFrame(rows, "a long, b long, c long, d double").cache()
+    for order in ([("a", True), ("b", False), ("c", False)], [("d", False), ("c", True)], [("c", False)]):
+        key = lambda r: tuple(-r[n] if down else r[n] for n, down in order)
+        want = sorted(df.collect(), key=key)
+        for n in (0, 1, 7, 150, 329, 330, 999):
+            got = sorted(O.first_rows(df, order, n).collect(), key=key)
+            assert [key(r) for r in got] == [key(r) for r in want[:n]], (order, n)
+    assert O.first_rows(df.limit(0), [("a", True)], 5).count() == 0
+
+
+def test_quantiles(spark, monkeypatch):
+    import numpy as np
+
+    from sessionloom.operators import ordered as O
+
+    monkeypatch.setattr(O, "SORTED", 10)
+    monkeypatch.setattr(O, "BINS", 8)
+    values = [float(x) for x in np.random.default_rng(1).lognormal(size=500)] + [3.25] * 100 + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    shares = (0.0, 0.25, 0.5, 0.9, 0.95, 1.0)
+    assert O.quantiles(df, "v", shares) == pytest.approx([float(np.quantile([v for v in values if v is not None], q)) for q in shares])
+    assert O.quantiles(df.filter("v is null"), "v", (0.5,)) == [None]
+
+
+def test_running_sums_of_sparse_ids(spark):
+    from sessionloom.operators import ordered as O
+
+    ids = sorted({-(2**40), -3, 0, 1, 2, 65_536, 65_537, 2**33, 2**33 + 5, 2**52})
+    df = spark.createDataFrame([(i, k + 1) for k, i in enumerate(ids)], "id long, n long")
+    assert {r.id: r.before for r in O.running(df, "id", "n").collect()} == {i: sum(range(1, k + 1)) for k, i in enumerate(ids)}
+    two = df.withColumn("g", df["id"] % 2)
+    got = {r.id: r.before for r in O.running(two, "id", "n", group=("g",)).collect()}
+    n = {i: k + 1 for k, i in enumerate(ids)}
+    sign = lambda i: int(i % 2) if i >= 0 else -int(-i % 2)
+    assert got == {i: sum(n[j] for j in ids if j < i and sign(j) == sign(i)) for i in ids}
+    assert [(r.aid, r.dense) for r in V.dense_ids(df.withColumnRenamed("id", "aid"), "aid").orderBy("aid").collect()] == [(i, k) for k, i in enumerate(ids)]
+
+
+def test_merge_sink_keeps_two_versions(spark, tmp_path):
+    path = tmp_path / "t"
+    sink = K.MergeSink(str(path), ["k"], parts=2)
+    for batch in range(5):
+        sink.write(spark.createDataFrame([(k, batch) for k in range(batch + 1)], "k long, n long"), batch)
+    assert {r.k: r.n for r in sink.read(spark).collect()} == dict.fromkeys(range(5), 4)
+    for part in (0, 1):
+        assert len(list(path.glob(f"version=*/part={part}"))) <= 2
+
+
+def test_failing_sink_does_not_stop_the_others(spark, tmp_path):
+    class Broken(K.Sink):
+        def write(self, table, batch_id):
+            raise ValueError("broken")
+
+    e = spark.createDataFrame([(1, 1, 1, "clicks", "m")], EVENTS + ", model_used string")
+    e.write.parquet(str(tmp_path / "in"))
+    sinks = {"stats_items": Broken(), "stats_hourly": K.AppendSink(str(tmp_path / "h"))}
+    query = U.start_compat(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), sinks, str(tmp_path / "cp"), {"availableNow": True})
+    with pytest.raises(Exception, match="broken"):
+        query.awaitTermination()
+    assert sinks["stats_hourly"].read(spark).count() == 1
+
+
+def test_buffered(spark, tmp_path):
+    e = events(spark, [(s, 1, s, "clicks") for s in range(6)])
+    e.write.parquet(str(tmp_path / "in"))
+    sink = K.AppendSink(str(tmp_path / "out"))
+    U.start_buffered(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")), sink, str(tmp_path / "cp"), trigger={"availableNow": True}).awaitTermination()
+    assert sink.read(spark).count() == 6
+
+
+def test_progress_is_handed_on(spark, tmp_path):
+    import time
+
+    seen = []
+    listener = U.ProgressListener(seen.append)
+    spark.streams.addListener(listener)
+    try:
+        e = events(spark, [(1, 1, 1, "clicks")])
+        e.write.parquet(str(tmp_path / "in"))
+        U.start_buffered(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")), K.AppendSink(str(tmp_path / "out")), str(tmp_path / "cp"), trigger={"availableNow": True}).awaitTermination()
+        for _ in range(50):
+            if seen:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert seen and seen[0]["batch_id"] == 0 and seen[0]["batch_duration_ms"] >= 0
+
+
+def test_grouped_ranker_ignores_what_a_session_shares(spark, tmp_path):
+    rows = [(s, a, float(a + 100 * s), float(a % 2), int(a == 4)) for s in range(30) for a in range(5)]
+    df = spark.createDataFrame(rows, "session long, candidate_aid long, x double, z double, label int")
+    scorer, model = R.fit_ranker(df, ["x", "z"])
+    best = R.recommend(scorer(df), 1).collect()
+    assert len(best) == 30 and all(r.aid == 4 for r in best)
+    K.save_artefacts({"rows": df}, str(tmp_path), {"ranker": model}, ["x", "z"])
+    again = K.load_artefacts(spark, str(tmp_path), ("rows",), ("ranker",))
+    assert again["features"] == ["x", "z"] and again["ranker"].transform(R.centred(df, ["x", "z"], "session")).count() == 150
+
+
+def test_load_stream(spark, tmp_path):
+    from sessionloom.sources import events as X
+
+    stream = X.load_stream(spark, per_second=200, sessions=10, items=50)
+    query = stream.writeStream.format("memory").queryName("load").trigger(processingTime="1 second").start()
+    try:
+        query.processAllAvailable()
+        import time
+
+        for _ in range(30):
+            if spark.table("load").count() >= 100:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    rows = spark.table("load").collect()
+    assert rows and all(0 <= r.session_id < 10 and 0 <= r.aid < 50 and r.type in ("clicks", "carts", "orders") for r in rows)
+
+
+def test_shared_folder_is_stated(spark):
+    from sessionloom.sources.folders import shared_folder
+
+    assert shared_folder(spark, "x") != shared_folder(spark, "x") and shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
