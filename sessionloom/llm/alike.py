@@ -281,7 +281,8 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, least: f
         rows = left.join(nodes.select("id", *COLUMNS).hint("shuffle_merge"), F.col("member") == F.col("id")).select("of", "id", "root", *COLUMNS)
         rows = rows.repartition(count, "of").sortWithinPartitions("of", "id")
         more = written(rows.mapInArrow(tidy(_window(radius, after, until)), "a long, b long").distinct(), "pairs")
-        sure = written(sure.union(_checked(more, sets, least)), "links")
+        # rows and their roots stand for the links before
+        sure = written(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(_checked(more, sets, least)), "links")
         after, members = until, left.select("member", "of")
     return simhash.components(sure)
 

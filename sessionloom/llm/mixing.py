@@ -160,17 +160,17 @@ def mix_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: int)
 def placed_documents(sized: DataFrame, weights: Sequence[float], share: float, most: float) -> tuple[DataFrame, DataFrame]:
     """The rows with source_rank, source_size, target and the place ``start`` of their first word in their source's stream; and the targets.
 
-    sized: doc_id, source, size and text_key, a hash of the text, which together say where a row comes.
+    sized: doc_id, source, size and key_a, key_b, hashes of the row, which together say where a row comes. The keys stay.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     totals = written(totals, "sources")
     rows = totals.agg(F.sum("source_rows")).first()[0] or 0
     chunks = max(1, int(rows**0.5))
     targets = written(source_targets(totals.select("source", "source_size"), weights, share, most), "targets")
-    started = running(sized, ["source"], ["doc_id", "size", "text_key"], "size", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(chunks)), "start")
+    started = running(sized, ["source"], ["doc_id", "size", "key_a", "key_b"], "size", F.pmod("key_a", F.lit(chunks)), "start")
     named = targets.select(F.col("source").alias("in_source"), "source_rank", "source_size", "target")
     placed = started.join(named, F.col("source").eqNullSafe(F.col("in_source")))
-    return placed.drop("in_source", "text_key"), targets
+    return placed.drop("in_source"), targets
 
 
 def block_parts(placed: DataFrame, block_words: int) -> DataFrame:
@@ -204,26 +204,43 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     """
     extra = [c for c in docs.columns if c not in ("doc_id", "text", "source")] if with_text else []
     base = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), *([F.struct(*extra).alias("others")] if extra else []))
-    sized = base.withColumns({"size": word_count(F.col("text")), "text_key": F.xxhash64("text")})
-    if not with_text:  # then texts are read once, and nothing but sizes goes on
-        sized = written(sized.select("doc_id", "source", "size", "text_key"), "sizes")
+    base = base.withColumns({f"key_{k}": F.xxhash64(F.lit(k), "doc_id", "text", F.coalesce("source", F.lit("")), F.col("source").isNull()) for k in "ab"})
+    # texts are read once for their sizes, and nothing but sizes goes on
+    sized = written(base.select("doc_id", "source", word_count(F.col("text")).alias("size"), "key_a", "key_b"), "sizes")
     placed, targets = placed_documents(sized, weights, share, most)
-    if not with_text:
-        placed = written(placed, "placed")
+    placed = written(placed, "placed")
     parts = shard_parts(placed, targets, block_words, shard_slots, seed)
     pieces = [F.collect_list(F.struct("epoch", "doc_from", "got")).alias("pieces")] if with_text else []
     taken = parts.groupBy("in_rank", "in_start").agg(F.sum("got").alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"), *pieces)
     joined = placed.join(taken.hint("shuffle_merge"), (F.col("source_rank") == F.col("in_rank")) & (F.col("start") == F.col("in_start")) & (F.col("size") > 0), "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     names = ["doc_id", "source", "size", "source_size", "target", "taken", "first_shard", "last_shard"]
-    if with_text:
-        # one epoch of all words is the text as it was
-        whole = F.coalesce((F.col("taken") == F.col("size")) & F.forall("pieces", lambda p: p["epoch"] == F.element_at("pieces", 1)["epoch"]), F.lit(False))
-
-        def built(words: Column) -> Column:
-            return F.array_join(F.flatten(F.transform(F.array_sort("pieces"), lambda p: F.slice(words, (p["doc_from"] + 1).cast("int"), p["got"].cast("int")))), " ")
-
-        # the words are the argument of a lambda, so that they are found once a text, not once a piece
-        cut = F.element_at(F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), built), 1)
-        joined = joined.withColumn("taken_text", F.when(F.col("taken") == 0, F.lit("")).when(whole, F.col("text")).otherwise(cut))
-        return joined.select(*names, "text", "taken_text", *(["others"] if extra else []))
-    return joined.select(*names)
+    return _with_texts(joined, base, sized, names) if with_text else joined.select(*names)
+
+
+def _with_texts(joined: DataFrame, base: DataFrame, sized: DataFrame, names: list[str]) -> DataFrame:
+    """What was taken joined with the texts, each moved once, by the keys of the rows; rows that repeat whole are told apart by number."""
+    keys = ["key_a", "key_b"]
+    what = joined.select(*names, "start", "pieces", F.col("key_a").alias("of_a"), F.col("key_b").alias("of_b"))
+    texts = base.drop("doc_id", "source")
+    same = (F.col("key_a") == F.col("of_a")) & (F.col("key_b") == F.col("of_b"))
+    repeats = written(sized.groupBy(*keys).count().filter("count > 1").select(F.col("key_a").alias("again_a"), F.col("key_b").alias("again_b")), "repeats")
+    if repeats.isEmpty():
+        rows = texts.join(what.hint("shuffle_merge"), same)
+    else:
+        again = lambda a, b: (F.col(a) == F.col("again_a")) & (F.col(b) == F.col("again_b"))
+        what = written(what, "taken")
+        once = texts.join(repeats, again(*keys), "left_anti").join(what.join(repeats, again("of_a", "of_b"), "left_anti").hint("shuffle_merge"), same)
+        nth = lambda a, b, order: F.row_number().over(Window.partitionBy(a, b).orderBy(order))
+        left = texts.join(repeats, again(*keys), "left_semi").withColumn("nth", nth(*keys, F.lit(1)))
+        right = what.join(repeats, again("of_a", "of_b"), "left_semi").withColumn("of_nth", nth("of_a", "of_b", "start"))
+        rows = once.unionByName(left.join(right.hint("shuffle_merge"), same & (F.col("nth") == F.col("of_nth"))).drop("nth", "of_nth"))
+    # one epoch of all words is the text as it was
+    whole = F.coalesce((F.col("taken") == F.col("size")) & F.forall("pieces", lambda p: p["epoch"] == F.element_at("pieces", 1)["epoch"]), F.lit(False))
+
+    def built(words: Column) -> Column:
+        return F.array_join(F.flatten(F.transform(F.array_sort("pieces"), lambda p: F.slice(words, (p["doc_from"] + 1).cast("int"), p["got"].cast("int")))), " ")
+
+    # the words are the argument of a lambda, so that they are found once a text, not once a piece
+    cut = F.element_at(F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), built), 1)
+    rows = rows.withColumn("taken_text", F.when(F.col("taken") == 0, F.lit("")).when(whole, F.col("text")).otherwise(cut))
+    return rows.select(*names, "text", "taken_text", *(["others"] if "others" in base.columns else []))

@@ -45,20 +45,21 @@ _PLUS = r"\+[0-9][\x20().0-9-]+[0-9]"
 _AT, _DOT = r"(?:\x20?[\[({<]\x20?(?i:at)\x20?[\])}>]\x20?|\x20(?i:at)\x20|\x20@\x20)", r"(?:\x20?[\[({<]\x20?(?i:dot)\x20?[\])}>]\x20?|\x20(?i:dot)\x20|\.)"
 _SPELLED = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"
 _LOCAL = r"(?<![0-9A-Za-z+./-])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){1,4}(?![0-9A-Za-z])"
-_NUMBER = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_SAID = rf"(?i)(?<![A-Za-z]){_NUMBER}(?:[\x20-]{_NUMBER}){{6,}}+(?![A-Za-z])"
+_NUMBER = "(?:[zZ]ero|[oO]ne|[oO]h|[tT]wo|[tT]hree|[fF]our|[fF]ive|[sS]ix|[sS]even|[eE]ight|[nN]ine)"
+_SAID = rf"(?<![A-Za-z]){_NUMBER}(?:[\x20-]{_NUMBER}){{6,}}+(?![A-Za-z])"
 _SECRET = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+"
 
+
 #: (kind, pattern, what a text must have for the pattern to be tried)
 GENERATORS = (
     ("email", _MAIL, lambda t: F.contains(t, F.lit("@"))),
     ("ip", _QUAD, lambda t: t.rlike(r"[0-9]\.[0-9]")),
     ("card", _DIGITS, lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){7}")),
     ("phone", _PLUS, lambda t: F.contains(t, F.lit("+"))),
-    ("email", _SPELLED, lambda t: t.rlike(r"(?i)at[\])}>]|\x20at\x20[A-Za-z0-9-]+(?:\.|\x20dot\x20)|\x20@\x20")),
+    ("email", _SPELLED, lambda t: t.rlike(r"[\x20\[({<](?:\x20?(?i:at)\x20?[\])}>]|(?i:at)\x20[A-Za-z0-9-]+(?:\.[A-Za-z]|\x20(?i:dot)\x20)|@\x20)")),
     ("phone", _LOCAL, lambda t: t.rlike(r"[0-9]{2}\)?[\x20./-][0-9]{2}")),
-    ("phone", _SAID, lambda t: t.rlike(rf"(?i){_NUMBER}[\x20-]{_NUMBER}[\x20-]{_NUMBER}")),
-    ("secret", _SECRET, lambda t: t.rlike(r"[A-Za-z0-9_-]{16}")),
+    ("phone", _SAID, lambda t: t.rlike(rf"[\x20-]{_NUMBER}[\x20-]{_NUMBER}[\x20-]{_NUMBER}[\x20-]")),
+    ("secret", _SECRET, lambda t: t.rlike("[0-9]")),
 )
 BASE = 4
 #: Words before a span that speak for one kind or against all: a group each.
