@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from sessionloom.llm.shared import written
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Slots that one task makes.
+TASK_SLOTS = 1 << 20
 SEGMENTS = "shard long, source_rank int, first long, number long"
 
 
@@ -143,6 +145,9 @@ def mix_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: int)
     b = F.lit(block_words).cast("long")
     debts = written(owed(targets, block_words), "debts")
     segments = written(shard_segments(debts, shard_slots, seed), "segments")
+    # segments are few and small, but many slots come of each: they are dealt by how many, not by their bytes
+    tasks = max(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), (debts.agg(F.sum("slots")).first()[0] or 0) // TASK_SLOTS)
+    segments = segments.repartition(tasks, "shard")
     inside = Window.partitionBy("shard")
     placed = segments.withColumn("before", F.coalesce(F.sum("number").over(inside.orderBy("source_rank", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("in_shard", F.sum("number").over(inside))
     s = placed.join(F.broadcast(debts.withColumnRenamed("source_rank", "of_rank").drop("slots")), F.col("source_rank") == F.col("of_rank"))  # a row a source
