@@ -27,7 +27,7 @@ from sessionloom.llm.shared import written
 #: Pairs a row up to which connected rows of a bucket are all handed on at once.
 DENSE = 8
 #: Places up to which the rows of a group are compared, round by round; the last round has no end.
-WINDOWS = (8, 64, 512, 4096, None)
+WINDOWS = (64, 1024, None)
 BITS = 256
 COLUMNS = [f"f{k}" for k in range(BITS // 64)]
 
@@ -268,23 +268,24 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, least: f
     pairs, members = found.filter("not of_group").select("a", "b"), found.filter("of_group").select(F.col("a").alias("member"), F.col("b").alias("of"))
     # each row of a group has a link in its forest, so the sets of later rounds are among these
     sets = _sets(pairs.select(F.col("a").alias("end")).union(pairs.select(F.col("b").alias("end"))).distinct(), docs, nodes, shingle)
-    sure = written(_checked(pairs, sets, least), "links")
+    roots = simhash.components(written(_checked(pairs, sets, least), "links"))
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     after = 0
     for until in WINDOWS:
-        roots = simhash.components(sure)
         now = written(members.join(roots.hint("shuffle_merge"), F.col("member") == F.col("id"), "left").select("member", "of", F.coalesce("root", "member").alias("root")), "members")
         apart = now.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter((F.col("n") > after) & (F.col("low") != F.col("high"))).select(F.col("of").alias("open"))
         left = written(now.join(apart.hint("shuffle_merge"), F.col("of") == F.col("open"), "left_semi"), "open")
         if left.isEmpty():
-            return roots
+            break
         rows = left.join(nodes.select("id", *COLUMNS).hint("shuffle_merge"), F.col("member") == F.col("id")).select("of", "id", "root", *COLUMNS)
         rows = rows.repartition(count, "of").sortWithinPartitions("of", "id")
         more = written(rows.mapInArrow(tidy(_window(radius, after, until)), "a long, b long").distinct(), "pairs")
-        # rows and their roots stand for the links before
-        sure = written(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(_checked(more, sets, least)), "links")
+        new = written(_checked(more, sets, least), "links")
+        if not new.isEmpty():
+            # rows and their roots stand for the links before
+            roots = simhash.components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(new))
         after, members = until, left.select("member", "of")
-    return simhash.components(sure)
+    return roots
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 80, bands: int = 18, rows: int = 4, least_similarity: float = 0.8) -> DataFrame:
