@@ -149,6 +149,13 @@ def _frame_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int],
 
 def parse(data: bytes) -> tuple[list[tuple], dict]:
     """Packets (fields of PACKETS) and what the headers and cues say. Raises ValueError on a damaged container."""
+    try:
+        return _parsed(data)
+    except IndexError as e:
+        raise ValueError("a container that is cut off") from e
+
+
+def _parsed(data: bytes) -> tuple[list[tuple], dict]:
     packets: list[tuple] = []
     facts: dict = {"scale": TICK, "clusters": 0, "blocks": 0, "cues": [], "segment_at": 0, "codec": "", "duration": 0.0}
     ends: list[tuple[int, int]] = []  # (end, id) of open masters
@@ -258,6 +265,8 @@ def packets(media: DataFrame) -> DataFrame:
 
 def features(payload: np.ndarray, found: list[tuple], facts: dict) -> str:
     """Features of the sample bytes and the container, as JSON with sorted keys."""
+    if not len(payload):  # a container without frames
+        payload = np.zeros(1, np.uint8)
     share = np.bincount(payload, minlength=256)
     p = share[share > 0] / len(payload)
     middle = payload >= 128
@@ -272,6 +281,9 @@ def _demux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "media"):
         out: list[tuple] = []
         for data in batch["media"].to_pylist():
+            if data is None:
+                out.append((None,) * 6)
+                continue
             found, facts = parse(data)
             view = memoryview(data)
             payload = b"".join(view[p[3] : p[3] + p[4]] for p in found if p[0] == 1)
@@ -281,6 +293,6 @@ def _demux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def demux(media: DataFrame) -> DataFrame:
-    """What the stored bytes of each container hold, read back through its packets' byte ranges."""
+    """What the stored bytes of each container hold, read back through its packets' byte ranges; of a null container nothing is known."""
     schema = T.StructType([T.StructField("doc_id", media.schema["doc_id"].dataType), *T.StructType.fromDDL("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").fields])
     return media.mapInArrow(tidy(_demux), schema)

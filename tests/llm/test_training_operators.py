@@ -122,6 +122,32 @@ def test_matroska(docs, none):
     assert matroska.demux(matroska.mux(none)).count() == 0 and matroska.packets(matroska.mux(none)).count() == 0
 
 
+def test_matroska_damaged_and_null(spark):
+    data = matroska.mux_payload(matroska.padded(b"some text " * 200))
+    for cut in range(1, len(data), 7):
+        try:
+            found, _ = matroska.parse(data[:cut])
+        except ValueError:
+            continue
+        assert all(p[3] + p[4] <= cut for p in found)
+    df = spark.createDataFrame([(1, 5, None), (2, 10, bytearray(data))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in matroska.demux(df).collect()}
+    assert got[1].payload_sha256 is None and got[1].media_bytes is None and got[2].media_bytes == len(data)
+
+
+def test_op2_columns(spark):
+    got = {r.doc_id: r for r in queries.op2_matroska_media(spark, "/root/testdata/sf0.001").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        text = (r.text or "").encode()
+        payload = text + b"\xff" * ((-len(text)) % 576 if text else 576)
+        media = matroska.mux_payload(payload)
+        want = (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())
+        g = got[r.doc_id]
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32, g.media_bytes, g.media_sha256) == want and g.feature
+
+
 @pytest.mark.parametrize("kind", [1, 2, 3])
 def test_matroska_lacing(kind):
     frames = [b"a" * 300, b"b" * 10, b"c" * 700, b"d" * 699]
