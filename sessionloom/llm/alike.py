@@ -12,7 +12,7 @@ leave apart are compared again, in growing windows of places that together hold
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,10 +94,6 @@ def printed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(tidy(_printed(shingle, bands, rows)), schema)
 
 
-def _stacked(table: pa.Table | pa.RecordBatch, columns: list[str]) -> np.ndarray:
-    return np.stack([np.asarray(table[c]) for c in columns], 1)
-
-
 def _passes(bucket: np.ndarray, prints: np.ndarray, radius: int, done: np.ndarray, after: int = 0, until: int | None = None, step: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For rows in bucket order, pairs of a bucket within the radius that stand more than ``after`` and up to ``until`` places apart, some places at a time.
 
@@ -167,37 +163,6 @@ def candidate_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int) -> tupl
     return a, b, np.where(dense, label, -1)
 
 
-def _whole(keys: list[str], flush: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]):
-    """Task function over rows sorted by the keys: ``flush`` gets tables of whole buckets and the bucket of each row."""
-
-    def flushed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        key = _stacked(table, keys).astype(np.int64)
-        yield from flush(table, np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(1))]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if n >= simhash.BATCH_ROWS:
-                # the last bucket of what is held may go on in this batch
-                key = np.concatenate([_stacked(held[-1], keys), _stacked(batch.slice(0, 1), keys)]).astype(np.int64)
-                other = np.flatnonzero((key[:-1] != key[-1]).any(1))
-                cut = int(other[-1]) + 1 if len(other) else 0
-                if cut:
-                    tail = held.pop()
-                    yield from flushed([*held, tail.slice(0, cut)])
-                    held = [tail.slice(cut)] if cut < tail.num_rows else []
-                    n = sum(x.num_rows for x in held)
-            held.append(batch)
-            n += batch.num_rows
-        if n:
-            yield from flushed(held)
-
-    return run
-
-
 def _out(a: np.ndarray, b: np.ndarray, group: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "of_group": pa.array(np.full(len(a), group))})
 
@@ -205,7 +170,7 @@ def _out(a: np.ndarray, b: np.ndarray, group: bool) -> pa.RecordBatch:
 def _candidates(radius: int):
     def flush(table: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids = np.asarray(table["id"])
-        a, b, group = candidate_pairs(bucket, _stacked(table, COLUMNS).view(np.uint64), radius)
+        a, b, group = candidate_pairs(bucket, simhash._stacked(table, COLUMNS).view(np.uint64), radius)
         yield _out(np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), False)
         at = np.flatnonzero(group >= 0)
         first = group[at]
@@ -215,7 +180,7 @@ def _candidates(radius: int):
         # groups that meet under one key would be compared as one: nothing is lost
         yield _out(ids[at], key.view(np.int64), True)
 
-    return _whole(["key", "low", "high"], flush)
+    return simhash._whole(["key", "low", "high"], flush)
 
 
 def candidates(nodes: DataFrame, radius: int) -> DataFrame:
@@ -236,13 +201,13 @@ def _window(radius: int, after: int, until: int | None):
     def flush(table: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids = np.asarray(table["id"])
         root = np.unique(np.asarray(table["root"]), return_inverse=True)[1]
-        for a, b in _passes(bucket, _stacked(table, COLUMNS).view(np.uint64), radius, root, after, until):
+        for a, b in _passes(bucket, simhash._stacked(table, COLUMNS).view(np.uint64), radius, root, after, until):
             apart = root[a] != root[b]
             a, b = ids[a[apart]], ids[b[apart]]
             if len(a):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
 
-    return _whole(["of"], flush)
+    return simhash._whole(["of"], flush)
 
 
 def _sets(ends: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:

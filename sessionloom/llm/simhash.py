@@ -14,7 +14,7 @@ not its pairs. Buckets over ``SPLIT`` rows are dealt to several tasks as pairs o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -436,32 +436,89 @@ def _sieve(keys: DataFrame, column: str):
     return run
 
 
+def _stacked(table: pa.Table | pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    return np.stack([np.asarray(table[c]) for c in columns], 1)
+
+
+def _whole(keys: list[str], flush: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]):
+    """Task function over rows sorted by the keys: ``flush`` gets tables of whole buckets and the bucket of each row."""
+
+    def flushed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        key = _stacked(table, keys).astype(np.int64)
+        yield from flush(table, np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(1))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if n >= BATCH_ROWS:
+                # the last bucket of what is held may go on in this batch
+                key = np.concatenate([_stacked(held[-1], keys), _stacked(batch.slice(0, 1), keys)]).astype(np.int64)
+                other = np.flatnonzero((key[:-1] != key[-1]).any(1))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                if cut:
+                    tail = held.pop()
+                    yield from flushed([*held, tail.slice(0, cut)])
+                    held = [tail.slice(cut)] if cut < tail.num_rows else []
+                    n = sum(x.num_rows for x in held)
+            held.append(batch)
+            n += batch.num_rows
+        if n:
+            yield from flushed(held)
+
+    return run
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The components of these links as stars: each id but the least of its component, with that least."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = np.arange(len(ids))
+    _joined(label, at[: len(a)], at[len(a) :])
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    yield pa.RecordBatch.from_pydict({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[label[own]], pa.int64())})
+
+
+def _stars_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BATCH_ROWS:
+            yield from _stars(*_stacked(pa.Table.from_batches(held), ["a", "b"]).T)
+            held, n = [], 0
+    if n:
+        yield from _stars(*_stacked(pa.Table.from_batches(held), ["a", "b"]).T)
+
+
 def components(links: DataFrame, what: str = "components") -> DataFrame:
-    """(id, root): the least id in each linked id's component. Alternating large-star and small-star steps until nothing changes."""
-    links = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
+    """(id, root): the least id in each linked id's component.
 
-    def star(pairs: DataFrame) -> DataFrame:
-        # written, so that both sides of the join are plain exchanges and a star's hot centre can be split
-        least = written(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "of"), what)
-        return pairs.join(least.hint("shuffle_merge"), F.col("u") == F.col("of"))
+    Each round every id of a link gets the least id that its neighbours lead to, then links that share an id are joined where they meet: in each task,
+    shuffled by their greater id, and in each task again. A task leaves an id one link to a lesser id for ``BATCH_ROWS`` links, so no id is the
+    greater of many. It ends when nothing changes: each id then has one link, to an id that has none.
+    """
+    count = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        met = pairs.mapInArrow(tidy(_stars_held), "a long, b long").repartition(count, "a").sortWithinPartitions("a")
+        return written(met.mapInArrow(tidy(_whole(["a"], lambda table, _: _stars(*_stacked(table, ["a", "b"]).T))), "a long, b long"), what)
 
     def state(df: DataFrame) -> tuple:
-        r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return tuple(r)
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    before = state(links)
+    found = joined(links.select("a", "b"))
+    before = state(found)
     while before[0]:
-        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(both).filter("v > u and v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: neighbours not above u, and u itself, point to the least of them
-        small = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        small = small.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b"))))).select("col.*").filter("a != b").distinct()
-        links = written(small, what)
-        now = state(links)
+        # written, so that both sides of the join are plain exchanges and a star's hot centre can be split
+        least = written(found.groupBy("a").agg(F.min("b").alias("least")).withColumnRenamed("a", "of"), what)
+        found = joined(found.join(least.hint("shuffle_merge"), F.col("b") == F.col("of"), "left").select("a", F.coalesce("least", "b").alias("b")))
+        now = state(found)
         if now == before:
             break
         before = now
-    return links.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    return found.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 64, radius: int = 4, bands: tuple[int, int] | None = None) -> DataFrame:

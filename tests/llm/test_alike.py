@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sessionloom.llm import alike
+from sessionloom.llm import alike, simhash
 
 
 def shingles(text):
@@ -107,3 +107,28 @@ def test_rows_that_repeat_an_id(spark):
     assert got.columns == df.columns
     assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == sorted([(1, a), (6, b), (7, ""), (-1, "alone here")])
     assert alike.one_each(df.limit(0), **corpus_pipeline.NEAR).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["chain", "two chains", "star", "high star", "loose", "self", "none"])
+def test_components(spark, shape):
+    r = np.random.default_rng(3)
+    n = 400
+    name = r.permutation(n).astype(int) * 7 - 1000
+    links = {
+        "chain": [(k, k + 1) for k in range(n - 1)],
+        "two chains": [(k, k + 2) for k in range(n - 2)] + [(n - 1, n - 2)],
+        "star": [(0, k) for k in range(1, n)] * 2,
+        "high star": [(int(np.argmax(name)), k) for k in range(n)],
+        "loose": [tuple(map(int, x)) for x in r.integers(0, n, (n // 3, 2))],
+        "self": [(5, 5)],
+        "none": [],
+    }[shape]
+    # in order for one chain only: others meet in shuffled order, in several tasks
+    links = [(int(name[a]), int(name[b])) for a, b in (links if shape == "chain" else r.permutation(links).astype(int).tolist() if links else [])]
+    root = {int(x): int(x) for x in name}
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    got = simhash.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert len(got) == len({x.id for x in got})
+    assert {x.id: x.root for x in got} == {k: v for k, v in root.items() if k != v}
