@@ -77,15 +77,15 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 class Words:
-    """Words of the texts of a batch: byte ranges, document of each, and number of the first word of each document."""
+    """Words of the texts of a batch: byte ranges, document of each, and number of the first word of each document; ``blank`` says which bytes part them."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, blank: np.ndarray = BLANK):
         self.data, self.offsets = utf8(column)
         data, offsets = self.data, self.offsets
         if lower:
             data = self.data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         self.docs = len(offsets) - 1
-        ink = ~BLANK[data]
+        ink = ~blank[data]
         first, last = ink.copy(), ink.copy()
         first[1:] &= ~ink[:-1]
         last[:-1] &= ~ink[1:]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import matroska, mih, mixing, packing, pii, quality, simhash, substring_dedup, urlfilter, warc
+from sessionloom.llm import line_runs, matroska, mih, mixing, packing, pii, quality, simhash, substring_dedup, urlfilter, warc
 
 #: Tokens a packed sequence, and the vocabulary.
 CAPACITY, VOCABULARY = 4096, "word_bpe_49k.json"
@@ -65,13 +65,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_runs.drop_lines(_table(spark, sf_dir, "documents"), least_length=40, least_documents=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op2_matroska_media, op3_source_mixing, op4_multi_index_hashing, op5_simhash_near_dedup, op6_url_filter, op7_warc_index, op8_quality_classifier, op9_best_fit_packing, op10_personal_data)
+    found = (op1_substring_dedup, op2_matroska_media, op3_source_mixing, op4_multi_index_hashing, op5_simhash_near_dedup, op6_url_filter, op7_warc_index, op8_quality_classifier, op9_best_fit_packing, op10_personal_data, op13_line_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     word = r"[^\x20\x09-\x0D]+"
+    blanks = " || ".join(f"chr({c})" for c in (0x20, *range(0x09, 0x0E)))
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     return {
         "op1_substring_dedup": f"""
@@ -101,4 +107,13 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN n >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
                 CASE WHEN n >= 100 AND page_id <> least THEN least END AS refers_to
             FROM f""",
+        "op13_line_dedup": f"""
+            WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+            l AS (SELECT doc_id, p, ls[p] AS line, translate(trim(ls[p], {blanks}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+                FROM t, unnest(range(1, len(ls) + 1)) AS u(p)),
+            often AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+            kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text, count(*) AS n FROM l LEFT JOIN often USING (k)
+                WHERE keeper IS NULL OR doc_id = keeper GROUP BY doc_id)
+            SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256
+            FROM t LEFT JOIN kept USING (doc_id)""",
     }
