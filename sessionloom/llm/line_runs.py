@@ -130,7 +130,7 @@ def drop_lines(docs: DataFrame, least_length: int = 40, least_documents: int = 5
     places = hits.groupBy(F.col("doc_id").alias("of_doc"), F.col("row_key").alias("of_row")).agg(F.collect_set("place").alias("places"))
     places = written(places, "places")
     rows = docs.withColumn("row_key", _row_key())
-    met = rows.join(places, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row_key") == F.col("of_row")), "left")
+    met = rows.join(places.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("row_key") == F.col("of_row")), "left")
     # a column of its own: lambdas would split the text for each place
     met = met.select("doc_id", _text().alias("text"), "places", F.split(_text(), "\n", -1).alias("lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places"))
