@@ -76,10 +76,14 @@ def online_hits(lists: DataFrame, events: DataFrame, k: int = 20) -> DataFrame:
     lists: (session, clicks, carts, orders), arrays; the result has a row an event: session, aid, event_type, is_hit, recall, mrr, ndcg.
     """
     joined = lists.select("session", F.concat("clicks", "carts", "orders").alias("served"))
-    rows = events.filter(F.col("type").isin(C.CART, C.ORDER)).join(joined, "session")
+    return hits(events.filter(F.col("type").isin(C.CART, C.ORDER)).join(joined, "session"), k)
+
+
+def hits(rows: DataFrame, k: int, *more: str) -> DataFrame:
+    """Of events with the list ``served`` to their session: what ``online_hits`` gives, and the columns ``more``."""
     place = F.array_position(F.slice("served", 1, k), F.col("aid"))
     found = place > 0
     return rows.select(
-        "session", "aid", F.col("type").alias("event_type"), F.array_contains("served", F.col("aid")).alias("is_hit"),
+        "session", "aid", F.col("type").alias("event_type"), *more, F.array_contains("served", F.col("aid")).alias("is_hit"),
         found.cast("double").alias("recall"), F.when(found, 1 / place).otherwise(0.0).alias("mrr"), F.when(found, discount(place)).otherwise(0.0).alias("ndcg"),
     )

@@ -14,13 +14,38 @@ def _with_top(events: DataFrame, *aggregates: Column) -> DataFrame:
     return events.crossJoin(F.broadcast(events.agg(*aggregates)))
 
 
+def future_ranges(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(marks, lists): what follows each event, as ranges into one list a session and type.
+
+    lists: (session, carts, orders), each type's distinct items by their last occurrence. marks: every event but a session's last, with place, next_click,
+    carts_from and orders_from. An item comes after an event if its last occurrence does, so the later carts of an event are the session's
+    carts from place carts_from (counted from 0) to the end. A session's state grows with its events, not with their square.
+    """
+    placed = events.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy("ts", "aid", "type")))
+    session, same = Window.partitionBy("session"), Window.partitionBy("session", "type", "aid").orderBy("place")
+    before = session.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the nearest click that follows is the last one before, counted from the end
+    after = session.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.withColumn("ends", F.lead("place").over(same).isNull())
+    ended = lambda t: F.sum((F.col("ends") & is_type(t)).cast("int")).over(before)
+    rows = rows.withColumns({"carts_from": ended(C.CART), "orders_from": ended(C.ORDER), "next_click": F.last(F.when(is_type(C.CLICK), F.col("aid")), ignorenulls=True).over(after)})
+    marks = rows.withColumn("follows", F.lead("place").over(session.orderBy("place"))).filter("follows is not null").drop("ends", "follows")
+    listed = lambda t: F.transform(F.array_sort(F.collect_list(F.when(is_type(t), F.struct("place", "aid")))), lambda x: x["aid"])
+    last = rows.filter(F.col("ends") & F.col("type").isin(C.CART, C.ORDER))
+    return marks, last.groupBy("session").agg(listed(C.CART).alias("carts"), listed(C.ORDER).alias("orders"))
+
+
 def future_labels(events: DataFrame) -> DataFrame:
-    """For every event but a session's last: the next click, and the sets of later carts and orders (ascending)."""
-    order = Window.partitionBy("session").orderBy("ts", "aid", "type")
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    later = lambda t: F.array_sort(F.collect_set(F.when(is_type(t), F.col("aid"))).over(after))
-    rows = events.withColumns({"next_click": F.first(F.when(is_type(C.CLICK), F.col("aid")), ignorenulls=True).over(after), "later_carts": later(C.CART), "later_orders": later(C.ORDER), "left": F.count(F.lit(1)).over(after)})
-    return rows.filter("left > 0").drop("left")
+    """For every event but a session's last: the next click, and the sets of later carts and orders (ascending); the ranges of ``future_ranges`` written out."""
+    marks, lists = future_ranges(events)
+
+    def later(items: str, begin: str) -> Column:
+        return F.array_sort(F.slice(items, F.col(begin) + 1, F.greatest(F.size(items) - F.col(begin), F.lit(0))))
+
+    sets = {"later_carts": later("carts", "carts_from"), "later_orders": later("orders", "orders_from")}
+    nothing = F.array().cast("array<long>")
+    both = marks.join(lists, "session", "left").withColumns({c: F.coalesce(c, nothing) for c in ("carts", "orders")})
+    return both.withColumns(sets).select(*events.columns, "next_click", *sets)
 
 
 def history_split(events: DataFrame, label_ms: int = C.DAY_MS, history_days: int = 14) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = ("analytics", "graphs", "recommend", "evaluation", "serving", "interactions", "streams", "roundtrips")
+_MODULES = ("analytics", "graphs", "recommend", "ranking", "evaluation", "serving", "interactions", "streams", "roundtrips")
 
 
 def _modules():

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.util import inheritable_thread_target
@@ -114,3 +114,16 @@ class ProgressListener(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:  # noqa: N802
         pass
 
+
+def traffic_sketches(events: DataFrame, width_ms: int = 60_000, lg_size: int = 12) -> DataFrame:
+    """Per tumbling window and model: events, and sketches of the sessions and items among them, which can be united."""
+    start = F.expr(f"ts div {width_ms} * {width_ms}").alias("window_start")
+    sketch = lambda c: F.hll_sketch_agg(c, lg_size).alias(f"{c}_sketch")
+    known = events.na.fill("unknown", ["model_used"])
+    return known.groupBy(start, "model_used").agg(F.count(F.lit(1)).alias("total_events"), sketch("session"), sketch("aid"))
+
+
+def united(sketches: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Events and distinct sessions and items by other keys, from stored sketches alone: hours from minutes, all models together."""
+    distinct = lambda c: F.hll_sketch_estimate(F.hll_union_agg(f"{c}_sketch")).alias(f"unique_{c}s")
+    return sketches.groupBy(*(v.alias(n) for n, v in keys.items())).agg(F.sum("total_events").alias("total_events"), distinct("session"), distinct("aid"))

@@ -45,20 +45,20 @@ def test_entry(spark):
 
 
 def test_which_have_no_sql():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"fitted_recommend", "als_top", "streamed_windows"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"fitted_recommend", "lambdarank_recommend", "als_top", "streamed_windows"}
 
 
 def listed(rows, key):
     by = {}
     for r in rows:
-        by.setdefault(r[key], []).append(r)
+        by.setdefault(tuple(r[k] for k in key) if isinstance(key, tuple) else r[key], []).append(r)
     return {k: sorted(v, key=lambda r: r.rank) for k, v in by.items()}
 
 
-@pytest.mark.parametrize(("name", "key"), [("fitted_recommend", "session"), ("als_top", "user")])
+@pytest.mark.parametrize(("name", "key"), [("fitted_recommend", "session"), ("lambdarank_recommend", ("session", "type")), ("als_top", "user")])
 def test_lists_of_fitted_models(spark, con, name, key):
     lists = listed(catalogue.queries()[name](spark, DATA).collect(), key)
-    item = "aid" if key == "session" else "item"
+    item = "item" if key == "user" else "aid"
     assert lists and all([r.rank for r in v] == list(range(1, len(v) + 1)) and len(v) <= 20 for v in lists.values())
     assert all(len({r[item] for r in v}) == len(v) and all(a.score >= b.score for a, b in zip(v, v[1:], strict=False)) for v in lists.values())
     if name == "als_top":  # what a user bought ranks high with the user's own factors
