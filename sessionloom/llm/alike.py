@@ -3,7 +3,8 @@
 A node is a distinct shingle set; its SimHash fingerprint is voted by distinct shingles, as the similarity counts them. Nodes meet in buckets, one for
 each of ``bands`` keys of ``rows`` least values of their shingles under as many hash functions: two sets share a key with the chance similarity ** rows, so
 unrelated sets hardly ever do, and a bucket is large only where many sets are much alike. In a bucket the fingerprints are compared as bit planes
-(``simhash``); pairs that differ in ``radius`` bits or fewer are candidates.
+(``simhash``); pairs that differ in ``radius`` bits or fewer are candidates if their sizes and sketches allow it. A sketch has a byte of the least
+value of each function: two sets agree in as large a share of the bytes as they are similar, give or take.
 
 No link counts unchecked, and none stands for another before it is checked. A bucket hands on all its candidate pairs; only where rows hang together by
 more than ``DENSE`` pairs a row, a spanning forest goes first and the rows are kept as a group. Groups whose rows the checked links
@@ -29,6 +30,8 @@ DENSE = 8
 #: Places up to which the rows of a group are compared, round by round; the last round has no end.
 WINDOWS = (64, 1024, None)
 BITS = 256
+#: Standard deviations below the least similarity at which sketches rule a pair out: at that similarity one pair in some millions.
+SIGMAS = 5.0
 COLUMNS = [f"f{k}" for k in range(BITS // 64)]
 
 
@@ -53,22 +56,46 @@ def _set_keys(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return out
 
 
-def band_keys(h: np.ndarray, doc: np.ndarray, docs: int, bands: int, rows: int, seed: int = 11) -> np.ndarray:
-    """Of each document's values, a key for each band: a hash of the least values under ``rows`` functions of its own. No values have the key of the band alone."""
+def band_keys(h: np.ndarray, doc: np.ndarray, docs: int, bands: int, rows: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document's values, a key for each band: a hash of the least values under ``rows`` functions of its own; and a byte of each of those least values.
+
+    No values have the key of the band alone, and bytes of 0.
+    """
     random = np.random.default_rng(seed)
     x = (h >> np.uint64(32)).astype(np.uint32)
     at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(h) else np.zeros(0, np.int64)
-    out = np.zeros((docs, bands), np.uint64)
+    out, sketch = np.zeros((docs, bands), np.uint64), np.zeros((docs, bands * rows), np.uint8)
     with np.errstate(over="ignore"):
         for band in range(bands):
             key = np.full(len(at), band, np.uint64)
             out[:, band] = simhash._remixed(np.full(1, band, np.uint64), simhash._P5)
-            for _ in range(rows):
+            for row in range(rows):
                 salt, factor = random.integers(0, 2**32, 2, dtype=np.uint32)
                 least = np.minimum.reduceat((x ^ salt) * (factor | np.uint32(1)), at) if len(at) else x
                 key = simhash._remixed(key * simhash._P1 ^ least, simhash._P4)
+                sketch[doc[at], band * rows + row] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
             out[doc[at], band] = key
-    return out
+    return out, sketch
+
+
+class Gate:
+    """Which pairs of rows sizes and sketches do not rule out."""
+
+    def __init__(self, table: pa.Table, least: float):
+        self.size = np.asarray(table["size"]).astype(np.int64)
+        column = table["sketch"].combine_chunks() if isinstance(table["sketch"], pa.ChunkedArray) else table["sketch"]
+        self.sketch = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(self.size), -1)
+        n = self.sketch.shape[1]
+        self.same, self.least = least * n - SIGMAS * (n * least * (1 - least)) ** 0.5, least
+
+    def open(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = self.size[a], self.size[b]
+        out = np.minimum(x, y) >= self.least * np.maximum(x, y)
+        at = np.flatnonzero(out)
+        for k in range(0, len(at), 1 << 16):
+            part = at[k : k + (1 << 16)]
+            out[part] = (self.sketch[a[part]] == self.sketch[b[part]]).sum(1) >= self.same
+        return out
 
 
 def _printed(shingle: int, bands: int, rows: int):
@@ -79,7 +106,10 @@ def _printed(shingle: int, bands: int, rows: int):
             out["id"] = pa.array(_set_keys(h, doc, batch.num_rows).view(np.int64))
             for c, salt in zip(COLUMNS, simhash._SALTS, strict=True):
                 out[c] = pa.array(simhash._majority(simhash._remixed(h, salt), doc, batch.num_rows).view(np.int64))
-            keys = band_keys(h, doc, batch.num_rows, bands, rows)
+            keys, sketch = band_keys(h, doc, batch.num_rows, bands, rows)
+            out["size"] = pa.array(np.bincount(doc, minlength=batch.num_rows).astype(np.int32))
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * sketch.shape[1]
+            out["sketch"] = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(sketch))])
             out["keys"] = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_pydict(out)
 
@@ -87,8 +117,9 @@ def _printed(shingle: int, bands: int, rows: int):
 
 
 def printed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_key, id (a hash of the shingle set), f0 .. f3 and the keys of the bands."""
+    """doc_id, text_key, id (a hash of the shingle set), f0 .. f3, size and sketch of the set, and the keys of the bands."""
     fields = [T.StructField(c, T.LongType()) for c in ("text_key", "id", *COLUMNS)]
+    fields += [T.StructField("size", T.IntegerType()), T.StructField("sketch", T.BinaryType())]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *fields, T.StructField("keys", T.ArrayType(T.LongType()))])
     text = F.col("text").cast("string")
     return docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(tidy(_printed(shingle, bands, rows)), schema)
@@ -131,7 +162,7 @@ def _passes(bucket: np.ndarray, prints: np.ndarray, radius: int, done: np.ndarra
             yield order[hit], order[hit + shift]
 
 
-def candidate_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidate_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int, gate: Gate | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows in bucket order: pairs to check, as row numbers a, b; and per row the least row of its group, or -1 where all its pairs are among those."""
     n = len(prints)
     label, done, dense = np.arange(n), np.arange(n), np.zeros(n, bool)
@@ -154,6 +185,9 @@ def candidate_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int) -> tupl
         a, b = np.concatenate([a[~of], x[rows]]), np.concatenate([b[~of], y[rows]])
 
     for x, y in _passes(bucket, prints, radius, done):
+        if gate:
+            allowed = gate.open(x, y)
+            x, y = x[allowed], y[allowed]
         more_a.append(x), more_b.append(y)
         more += len(x)
         if more > n:
@@ -167,10 +201,10 @@ def _out(a: np.ndarray, b: np.ndarray, group: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "of_group": pa.array(np.full(len(a), group))})
 
 
-def _candidates(radius: int):
+def _candidates(radius: int, least: float):
     def flush(table: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids = np.asarray(table["id"])
-        a, b, group = candidate_pairs(bucket, simhash._stacked(table, COLUMNS).view(np.uint64), radius)
+        a, b, group = candidate_pairs(bucket, simhash._stacked(table, COLUMNS).view(np.uint64), radius, Gate(table, least))
         yield _out(np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), False)
         at = np.flatnonzero(group >= 0)
         first = group[at]
@@ -183,26 +217,27 @@ def _candidates(radius: int):
     return simhash._whole(["key", "low", "high"], flush)
 
 
-def candidates(nodes: DataFrame, radius: int) -> DataFrame:
+def candidates(nodes: DataFrame, radius: int, least: float) -> DataFrame:
     """Pairs a > b to check; and, where of_group, rows a of the groups b that are to be compared further."""
-    banded = nodes.select("id", *COLUMNS, F.explode("keys").alias("key"))
+    carried = [*COLUMNS, "size", "sketch"]
+    banded = nodes.select("id", *carried, F.explode("keys").alias("key"))
     shared = written(banded.groupBy("key").count().filter("count > 1").select(F.col("key").alias("of_key"), F.ceil(F.col("count") / simhash.SPLIT).alias("slices")), "shared")
     # rows that meet no other are left here
     sized = banded.join(shared.hint("shuffle_merge"), F.col("key") == F.col("of_key"))
     # slice s meets every slice t, as the unordered pair (s, t); a bucket of one slice has the pair (0, 0)
     dealt = sized.withColumn("s", F.pmod(F.xxhash64("id"), F.col("slices"))).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    dealt = dealt.filter("slices = 1 or s != t").select("id", *COLUMNS, "key", F.least("s", "t").cast("int").alias("low"), F.greatest("s", "t").cast("int").alias("high"))
+    dealt = dealt.filter("slices = 1 or s != t").select("id", *carried, "key", F.least("s", "t").cast("int").alias("low"), F.greatest("s", "t").cast("int").alias("high"))
     count = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = dealt.repartition(count, "key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
-    return ready.mapInArrow(tidy(_candidates(radius)), "a long, b long, of_group boolean").distinct()
+    return ready.mapInArrow(tidy(_candidates(radius, least)), "a long, b long, of_group boolean").distinct()
 
 
-def _window(radius: int, after: int, until: int | None):
+def _window(radius: int, after: int, until: int | None, least: float):
     def flush(table: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids = np.asarray(table["id"])
+        ids, gate = np.asarray(table["id"]), Gate(table, least)
         root = np.unique(np.asarray(table["root"]), return_inverse=True)[1]
         for a, b in _passes(bucket, simhash._stacked(table, COLUMNS).view(np.uint64), radius, root, after, until):
-            apart = root[a] != root[b]
+            apart = (root[a] != root[b]) & gate.open(a, b)
             a, b = ids[a[apart]], ids[b[apart]]
             if len(a):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
@@ -228,8 +263,8 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
-    """(id, root) of all nodes that a link joins; nodes: id, f0 .. f3, keys and text_key, that of some text with the set."""
-    found = written(candidates(nodes, radius), "candidates")
+    """(id, root) of all nodes that a link joins; nodes: id, f0 .. f3, size, sketch, keys and text_key, that of some text with the set."""
+    found = written(candidates(nodes, radius, least), "candidates")
     pairs, members = found.filter("not of_group").select("a", "b"), found.filter("of_group").select(F.col("a").alias("member"), F.col("b").alias("of"))
     # each row of a group has a link in its forest, so the sets of later rounds are among these
     sets = _sets(pairs.select(F.col("a").alias("end")).union(pairs.select(F.col("b").alias("end"))).distinct(), docs, nodes, shingle)
@@ -242,9 +277,9 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, least: f
         left = written(now.join(apart.hint("shuffle_merge"), F.col("of") == F.col("open"), "left_semi"), "open")
         if left.isEmpty():
             break
-        rows = left.join(nodes.select("id", *COLUMNS).hint("shuffle_merge"), F.col("member") == F.col("id")).select("of", "id", "root", *COLUMNS)
+        rows = left.join(nodes.select("id", *COLUMNS, "size", "sketch").hint("shuffle_merge"), F.col("member") == F.col("id")).select("of", "id", "root", *COLUMNS, "size", "sketch")
         rows = rows.repartition(count, "of").sortWithinPartitions("of", "id")
-        more = written(rows.mapInArrow(tidy(_window(radius, after, until)), "a long, b long").distinct(), "pairs")
+        more = written(rows.mapInArrow(tidy(_window(radius, after, until, least)), "a long, b long").distinct(), "pairs")
         new = written(_checked(more, sets, least), "links")
         if not new.isEmpty():
             # rows and their roots stand for the links before
@@ -264,7 +299,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 80, bands: int
     """
     prints = written(printed(docs, shingle, bands, rows), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id"), F.col("text_key"))).alias("first")
-    nodes = prints.groupBy("id").agg(first, *(F.min(c).alias(c) for c in COLUMNS), F.first("keys").alias("keys"))
+    nodes = prints.groupBy("id").agg(first, *(F.min(c).alias(c) for c in COLUMNS), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("text_key", F.col("first.text_key")), "nodes")
     found = links(docs, nodes, shingle, radius, least_similarity)
     rooted = nodes.join(found.withColumnRenamed("id", "node").hint("shuffle_merge"), F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
