@@ -162,7 +162,7 @@ def _passes(bucket: np.ndarray, prints: np.ndarray, radius: int, done: np.ndarra
             yield order[hit], order[hit + shift]
 
 
-def candidate_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int, gate: Gate | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidate_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows in bucket order: pairs to check, as row numbers a, b; and per row the least row of its group, or -1 where all its pairs are among those."""
     n = len(prints)
     label, done, dense = np.arange(n), np.arange(n), np.zeros(n, bool)
@@ -185,9 +185,6 @@ def candidate_pairs(bucket: np.ndarray, prints: np.ndarray, radius: int, gate: G
         a, b = np.concatenate([a[~of], x[rows]]), np.concatenate([b[~of], y[rows]])
 
     for x, y in _passes(bucket, prints, radius, done):
-        if gate:
-            allowed = gate.open(x, y)
-            x, y = x[allowed], y[allowed]
         more_a.append(x), more_b.append(y)
         more += len(x)
         if more > n:
@@ -204,7 +201,10 @@ def _out(a: np.ndarray, b: np.ndarray, group: bool) -> pa.RecordBatch:
 def _candidates(radius: int, least: float):
     def flush(table: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids = np.asarray(table["id"])
-        a, b, group = candidate_pairs(bucket, simhash._stacked(table, COLUMNS).view(np.uint64), radius, Gate(table, least))
+        a, b, group = candidate_pairs(bucket, simhash._stacked(table, COLUMNS).view(np.uint64), radius)
+        # the pairs of a group bring its rows' sets, and are checked with them
+        keep = (group[a] >= 0) | Gate(table, least).open(a, b)
+        a, b = a[keep], b[keep]
         yield _out(np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), False)
         at = np.flatnonzero(group >= 0)
         first = group[at]
