@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import constants as C
 from sessionloom.functions.normalize import rate
-from sessionloom.operators.ordered import running
+from sessionloom.operators.ordered import quantiles, running
 from sessionloom.operators.sessions import count_type, is_type
 
 
@@ -78,8 +78,8 @@ def item_places(events: DataFrame) -> DataFrame:
 def hidden_gems(items: DataFrame, least_clicks: int = 10) -> DataFrame:
     """Of items with enough clicks, those whose conversion is in the upper and whose clicks are in the lower quarter."""
     enough = items.filter(F.col("total_clicks") >= least_clicks)
-    cuts = enough.agg(F.expr("percentile(click_to_order_rate, 0.75)").alias("rate_cut"), F.expr("percentile(total_clicks, 0.25)").alias("click_cut"))
-    return enough.crossJoin(F.broadcast(cuts)).filter("click_to_order_rate >= rate_cut and total_clicks <= click_cut").drop("rate_cut", "click_cut")
+    rate_cut, click_cut = quantiles(enough, "click_to_order_rate", (0.75,))[0], quantiles(enough, "total_clicks", (0.25,))[0]
+    return enough.filter((F.col("click_to_order_rate") >= F.lit(rate_cut)) & (F.col("total_clicks") <= F.lit(click_cut)))
 
 
 def cold_start(test: DataFrame, train: DataFrame) -> DataFrame:

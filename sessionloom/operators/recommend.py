@@ -12,6 +12,7 @@ from sessionloom.functions import constants as C
 from sessionloom.operators import items as I
 from sessionloom.operators import sessions as S
 from sessionloom.operators.ordered import first_rows
+from sessionloom.sources.folders import shared_folder
 
 SOURCES = ("history", "popular", "clicks", "cart_order", "buy2buy")
 GRAPHS = SOURCES[2:]
@@ -135,6 +136,35 @@ def uniform_negatives(history: DataFrame, items: DataFrame, per_session: int = 2
     return out.join(history.select("session", "aid").distinct(), ["session", "aid"], "left_anti") if unseen else out
 
 
+def next_prime(n: int) -> int:
+    """The least prime above n."""
+    while True:
+        n += 1
+        if n > 1 and all(n % d for d in range(2, int(n**0.5) + 1)):
+            return n
+
+
+def exact_negatives(history: DataFrame, items: DataFrame, per_session: int = 20, seed: int | None = 42) -> DataFrame:
+    """(session, aid, k): for each session exactly so many different items that it has not seen, in order of k from 1; all of them where there are fewer.
+
+    A session walks over the item numbers by a stride of its own modulo a prime, so no number comes twice; a walk as long as what is asked for, what
+    the session has seen and the numbers without an item always suffices. Start and stride are hashes of the session with the seed;
+    without a seed session * 7919 and session * 104729.
+
+    items: (aid, dense) with dense numbers from 0, see ``covisit.dense_ids``.
+    """
+    n = items.count()
+    prime = next_prime(n)
+    seen = history.select("session", "aid").distinct()
+    sessions = seen.groupBy("session").agg(F.count(F.lit(1)).alias("seen"))
+    start, stride = (F.col("session") * f if seed is None else F.xxhash64("session", F.lit(seed + f)) for f in (7919, 104729))
+    steps = F.least(F.col("seen") + (per_session + prime - n), F.lit(prime))
+    walks = sessions.withColumns({"start": F.pmod(start, F.lit(prime)), "stride": F.pmod(stride, F.lit(prime - 1)) + 1}).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)))
+    drawn = walks.select("session", "step", F.pmod(F.col("start") + F.pmod(F.col("step") * F.col("stride"), F.lit(prime)), F.lit(prime)).alias("dense"))
+    fresh = drawn.join(items, "dense").join(seen, ["session", "aid"], "left_anti")
+    return fresh.withColumn("k", F.row_number().over(Window.partitionBy("session").orderBy("step"))).filter(F.col("k") <= per_session).select("session", "aid", "k")
+
+
 def evaluation_sets(samples: DataFrame, negatives: DataFrame) -> DataFrame:
     """Each session's target and its negatives: (session, aid, is_target)."""
     targets = samples.select("session", F.col("target").alias("aid"), F.lit(1).alias("is_target"))
@@ -239,6 +269,44 @@ def dot_product_top(users: DataFrame, items: DataFrame, k: int = 20, block_rows:
     return I.top_by(met, ["user"], [F.desc("score"), F.asc("item")], k).select("user", "rank", "item", "score")
 
 
+def pruned_top(users: DataFrame, items: DataFrame, k: int = 20, levels: int = 6, block_rows: int = 4096, met: list[tuple[int, int]] | None = None) -> DataFrame:
+    """As ``dot_product_top``, by levels of items from the longest vectors to the shortest.
+
+    The first level has about 1 in 2 ** levels of the items, each further one as many as all before. A score is at most the product of both lengths,
+    so a user whose k-th score is above that for all items still to come is done. ``met`` is told each level's users and items.
+    """
+    spark = users.sparkSession
+    length = F.sqrt(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
+    users, items = users.withColumn("length", length), items.withColumn("length", length)
+    shares = [1 - 2.0 ** (level - levels) for level in range(levels)]
+    cuts = items.agg(F.percentile_approx("length", shares, 10_000)).first()[0] or []
+    best, open_users = None, users
+    for low, high in zip([*cuts, None], [None, *cuts], strict=True):
+        part = items
+        if low is not None:
+            part = part.filter(F.col("length") >= low)
+        if high is not None:
+            part = part.filter(F.col("length") < high)
+        top = part.agg(F.max("length")).first()[0]
+        if top is None:
+            continue
+        if best is not None:
+            last = best.groupBy(F.col("user").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
+            # a little more than the bound, for its rounding
+            may = F.col("n").isNull() | (F.col("n") < k) | (F.col("length") * (top * (1 + 1e-9)) >= F.col("kth"))
+            open_users = users.join(last, F.col("user") == F.col("of"), "left").filter(may).select(users.columns)
+        if met is not None:
+            met.append((open_users.count(), part.count()))
+        found = dot_product_top(open_users.select("user", "v"), part.select("item", "v"), k, block_rows).select("user", "item", "score")
+        found = found if best is None else I.top_by(best.unionByName(found), ["user"], [F.desc("score"), F.asc("item")], k).select("user", "item", "score")
+        path = shared_folder(spark, "best")
+        found.write.parquet(path)
+        best = spark.read.schema(found.schema).parquet(path)
+    if best is None:
+        return spark.createDataFrame([], "user long, rank int, item long, score double")
+    return I.top_by(best, ["user"], [F.desc("score"), F.asc("item")], k).select("user", "rank", "item", "score")
+
+
 def als_top(interactions: DataFrame, k: int = 20, rank: int = 16, iterations: int = 5, seed: int = 42) -> DataFrame:
     """Implicit matrix factorisation and its top k items a user: (user, rank, item, score). interactions: (user int, item int, weight)."""
     from pyspark.ml.recommendation import ALS

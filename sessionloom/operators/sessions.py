@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import constants as C
 from sessionloom.functions.normalize import rate
-from sessionloom.operators.ordered import running
+from sessionloom.operators.ordered import quantiles, running
 
 
 def is_type(kind: str) -> Column:
@@ -155,7 +155,9 @@ def minutes_stats(events: DataFrame) -> DataFrame:
     """Extremes, mean and median of session length and duration in minutes."""
     each = events.groupBy("session").agg(F.count(F.lit(1)).alias("n"), ((F.max("ts") - F.min("ts")) / 60000.0).alias("m"))
     columns = [f(c).alias(f"{f.__name__}_{name}") for c, name in (("n", "length"), ("m", "minutes")) for f in (F.max, F.min, F.avg)]
-    return each.agg(*columns, *(F.expr(f"percentile({c}, 0.5)").alias(f"median_{name}") for c, name in (("n", "length"), ("m", "minutes"))))
+    # lengths have few distinct values, minutes as many as sessions
+    sums = each.agg(*columns, F.expr("percentile(n, 0.5)").alias("median_length"))
+    return sums.withColumn("median_minutes", F.lit(quantiles(each, "m", (0.5,))[0]).cast("double"))
 
 
 def short_sessions(events: DataFrame, below: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions.constants import EVENT_TYPES
+from sessionloom.operators import covisit as V
 from sessionloom.operators import lambdarank as L
 from sessionloom.operators import recommend as R
 from sessionloom.operators import splits as P
@@ -52,7 +53,22 @@ def future_lists(spark: SparkSession, d: str) -> DataFrame:
     return P.future_ranges(web_events(spark, d))[1].select("session", _text("carts").alias("carts"), _text("orders").alias("orders"))
 
 
+def exact_negatives(spark: SparkSession, d: str) -> DataFrame:
+    events = web_events(spark, d)
+    return R.exact_negatives(events, V.dense_ids(events, "aid"), 20, seed=None)
+
+
+def pruned_dot_top(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors whose number 20 divides as users, all vectors as items, longer or shorter by their label."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    users = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("user"), F.col("embedding").alias("v"))
+    items = rows.select(F.col("vec_id").alias("item"), F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("label"))).alias("v"))
+    return R.pruned_top(users, items, 10).withColumn("score", F.round("score", 5))
+
+
 QUERIES = {
+    "exact_negatives": exact_negatives,
+    "pruned_dot_top": pruned_dot_top,
     "lambdarank_recommend": lambdarank_recommend,
     "lambda_gradients": lambda_gradients,
     "future_ranges": future_ranges,
@@ -69,6 +85,23 @@ _LAMBDAS = f"""scored AS (SELECT f.*, label, CAST({_SCORE} AS DOUBLE) AS s FROM
 _PLACED = """placed AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, aid, type) AS place FROM ev),
     lasts AS (SELECT session, type, aid, max(place) AS last FROM placed WHERE type IN ('carts', 'orders') GROUP BY ALL)"""
 ORACLES = {
+    "exact_negatives": _sql(
+        """SELECT session, aid, CAST(k AS INT) AS k FROM (SELECT session, aid, row_number() OVER (PARTITION BY session ORDER BY step) AS k FROM
+            (SELECT session, step, (session * 7919 % p + step * (session * 104729 % (p - 1) + 1)) % p AS dense
+                FROM (SELECT session, count(*) AS seen FROM seen GROUP BY session), prime, unnest(range(least(seen + 20 + p - n, p))) AS u(step))
+            JOIN numbered USING (dense) ANTI JOIN seen USING (session, aid)) WHERE k <= 20""",
+        WEB_SQL,
+        "seen AS (SELECT DISTINCT session, aid FROM ev)",
+        "numbered AS (SELECT aid, row_number() OVER (ORDER BY aid) - 1 AS dense FROM (SELECT DISTINCT aid FROM ev))",
+        """prime AS (SELECT n, min(q) AS p FROM (SELECT n, n + k AS q FROM (SELECT count(*) AS n FROM numbered), range(1, 1000) AS r(k))
+            WHERE q > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 100000) AS f(d) WHERE d * d <= q AND q % d = 0) GROUP BY n)""",
+    ),
+    "pruned_dot_top": """
+        WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        s AS (SELECT a.vec_id AS "user", b.vec_id AS item, list_inner_product(a.v, list_transform(b.v, lambda x: x * (1 + b.label))) AS score
+            FROM e AS a, e AS b WHERE a.vec_id % 20 = 0)
+        SELECT "user", CAST(r AS INT) AS rank, item, round(score, 5) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS r FROM s) WHERE r <= 10""",
     "future_ranges": _sql(
         """SELECT p.session, p.aid, p.ts, p.type, CAST(p.place AS INT) AS place,
             (SELECT count(*) FROM lasts AS l WHERE l.session = p.session AND l.type = 'carts' AND l.last <= p.place) AS carts_from,

@@ -128,3 +128,39 @@ def test_ranges_written_out_are_the_sets_that_follow(spark):
     marks, lists = P.future_ranges(events)
     distinct = events.filter("type != 'clicks'").select("session", "type", "aid").distinct().count()
     assert sum(len(x.carts) + len(x.orders) for x in lists.collect()) == distinct and marks.count() == len(rows) - len({x[0] for x in rows})
+
+
+# ---- negatives and top lists
+
+
+@pytest.mark.parametrize("seed", [None, 42])
+def test_exactly_as_many_negatives(spark, seed):
+    from sessionloom.operators import covisit as V
+
+    items = 37
+    rows = [(1, a) for a in range(items)] + [(2, a) for a in range(items - 3)] + [(3, 5), (4, 36), (4, 36), (-9, 0)]
+    history = spark.createDataFrame(rows, "session long, aid long")
+    found = R.exact_negatives(history, V.dense_ids(history, "aid"), 10, seed).collect()
+    for session, want in ((1, 0), (2, 3), (3, 10), (4, 10), (-9, 10)):
+        own = [r for r in found if r.session == session]
+        assert [r.k for r in sorted(own, key=lambda r: r.k)] == list(range(1, want + 1)) and len({r.aid for r in own}) == want
+        assert not {(session, r.aid) for r in own} & set(rows)
+    assert R.next_prime(1) == 2 and R.next_prime(7) == 11 and R.next_prime(0) == 2
+    assert R.exact_negatives(history.limit(0), V.dense_ids(history, "aid"), 10, seed).count() == 0
+
+
+def test_short_vectors_are_left_where_long_ones_rule_them_out(spark):
+    r = np.random.default_rng(6)
+    size = np.concatenate([np.full(30, 8.0), np.full(470, 0.5)])
+    vectors = [(int(i), [float(x) for x in v / np.linalg.norm(v) * size[i]]) for i, v in enumerate(r.normal(size=(500, 6)))]
+    vectors += [(1000 + k, vectors[0][1]) for k in range(3)] + [(2000, [0.0] * 6)]
+    items = spark.createDataFrame(vectors, "item long, v array<double>")
+    users = spark.createDataFrame([(k, v) for k, (_, v) in enumerate(vectors[:20])] + [(99, [0.0] * 6)], "user long, v array<double>")
+    met = []
+    found = R.pruned_top(users, items, 5, levels=4, met=met)
+    whole = R.dot_product_top(users, items, 5)
+    assert sorted((x.user, x.rank, x.item) for x in found.collect()) == sorted((x.user, x.rank, x.item) for x in whole.collect())
+    assert met[0][0] == 21 and sum(n for _, n in met) == len(vectors)
+    # of the pairs with short vectors only the user without length is left
+    assert sum(a * b for a, b in met) < 0.35 * 21 * len(vectors)
+    assert R.pruned_top(users, items.limit(0)).count() == 0
