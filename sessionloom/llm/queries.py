@@ -41,7 +41,6 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64("f0").alias("fingerprint"), "component_id")
 
 
-
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = "VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     rules = spark.sql(f"SELECT * FROM ({rows}) AS t(host, path, verdict)")
