@@ -8,7 +8,7 @@ value of each function: two sets agree in as large a share of the bytes as they
 
 No link counts unchecked, and none stands for another before it is checked. A bucket hands on all its candidate pairs; only where rows hang together by
 more than ``DENSE`` pairs a row, a spanning forest goes first and the rows are kept as a group. Groups whose rows the checked links
-leave apart are compared again, in growing windows of places that together hold every pair, until all rows are joined or all pairs checked.
+leave apart are compared in full, slice against slice, by the sets themselves, which are brought to the slices and not to each pair.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from sessionloom.llm.shared import written
 
 #: Pairs a row up to which connected rows of a bucket are all handed on at once.
 DENSE = 8
-#: Places up to which the rows of a group are compared, round by round; the last round has no end.
-WINDOWS = (64, 1024, None)
+#: Rows, and values of their sets, of a slice of a group: a task compares two slices, each row with each.
+SLICE_ROWS, SLICE_VALUES = 1024, 1 << 20
 BITS = 256
 #: Standard deviations below the least similarity at which sketches rule a pair out: at that similarity one pair in some millions.
 SIGMAS = 5.0
@@ -125,8 +125,8 @@ def printed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(tidy(_printed(shingle, bands, rows)), schema)
 
 
-def _passes(bucket: np.ndarray, prints: np.ndarray, radius: int, done: np.ndarray, after: int = 0, until: int | None = None, step: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For rows in bucket order, pairs of a bucket within the radius that stand more than ``after`` and up to ``until`` places apart, some places at a time.
+def _passes(bucket: np.ndarray, prints: np.ndarray, radius: int, done: np.ndarray, step: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For rows in bucket order, pairs of a bucket within the radius, some places apart at a time.
 
     A bucket whose rows all have one label in ``done``, which may be changed meanwhile, is left.
     """
@@ -138,8 +138,8 @@ def _passes(bucket: np.ndarray, prints: np.ndarray, radius: int, done: np.ndarra
     at, sizes = at[by_size], sizes[by_size]
     # rows of the largest buckets first: those still at work are always a prefix
     order = np.repeat(at - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    shift = after
-    while until is None or shift < until:
+    shift = 0
+    while True:
         live = int(np.searchsorted(-sizes, -shift - 1, "right"))  # buckets with more than shift rows
         if not live:
             break
@@ -153,7 +153,7 @@ def _passes(bucket: np.ndarray, prints: np.ndarray, radius: int, done: np.ndarra
             break
         group = np.repeat(np.arange(len(sizes)), sizes)
         planes = simhash._planes(prints[order], words64)
-        for _ in range(step if until is None else min(step, until - shift)):
+        for _ in range(step):
             shift += 1
             m = int(sizes[: np.searchsorted(-sizes, -shift, "left")].sum())
             if not m:
@@ -232,17 +232,66 @@ def candidates(nodes: DataFrame, radius: int, least: float) -> DataFrame:
     return ready.mapInArrow(tidy(_candidates(radius, least)), "a long, b long, of_group boolean").distinct()
 
 
-def _window(radius: int, after: int, until: int | None, least: float):
-    def flush(table: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, gate = np.asarray(table["id"]), Gate(table, least)
-        root = np.unique(np.asarray(table["root"]), return_inverse=True)[1]
-        for a, b in _passes(bucket, simhash._stacked(table, COLUMNS).view(np.uint64), radius, root, after, until):
-            apart = (root[a] != root[b]) & gate.open(a, b)
-            a, b = ids[a[apart]], ids[b[apart]]
-            if len(a):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+def alike_rows(ids: np.ndarray, label: np.ndarray, own: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) between rows of different labels that join all rows of similarity ``least`` or more; where ``own`` differs, only across it.
+
+    Rows already joined, by their labels or by links found here, are not linked again.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    ids, own, size, sets = ids[order], own[order], size[order], [sets[k] for k in order]
+    label = np.unique(label[order], return_inverse=True)[1]
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if size.sum() else np.zeros(0, np.int64)
+    common = np.bincount(codes) > 1
+    # values of one row only are in no intersection
+    kept = common[codes] if len(codes) else np.zeros(0, bool)
+    ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(size)])]
+    codes = codes[kept]
+    marked, floor = np.zeros(len(common), np.int32), least * size
+    across = len(np.unique(own)) > 1
+    out_a, out_b = [ids[:0]], [ids[:0]]
+    for k in range(len(ids)):
+        # sizes ascend: each pair is met at its larger row
+        low = int(np.searchsorted(size[:k], floor[k], "left"))
+        other = label[low:k] != label[k]
+        if across:
+            other &= own[low:k] != own[k]
+        if not other.any():
+            continue
+        mine = codes[ends[k] : ends[k + 1]]
+        marked[mine] = 1
+        sums = np.concatenate([[0], np.cumsum(marked[codes[ends[low] : ends[k]]])])
+        marked[mine] = 0
+        cut = ends[low : k + 1] - ends[low]
+        both = sums[cut[1:]] - sums[cut[:-1]]
+        hit = low + np.flatnonzero(other & (both >= least * (size[low:k] + size[k] - both)))
+        if len(hit):
+            found, first = np.unique(label[hit], return_index=True)
+            out_a.append(np.full(len(first), ids[k])), out_b.append(ids[hit[first]])
+            label[np.isin(label, found)] = label[k]
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def _block(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        sets = [simhash.unpacked(x) for x in table["set"].to_pylist()]
+        a, b = alike_rows(*(np.asarray(table[c]) for c in ("id", "root", "s")), sets, least)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return simhash._whole(["of"], flush)
+    return run
+
+
+def grouped_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a > b) of the rows (of, id, root, size) of each group ``of`` whose roots differ: all pairs of a group are compared by their sets, block by block."""
+    n, values = F.count(F.lit(1)), F.sum("size")
+    sized = rows.groupBy("of").agg(F.greatest(F.ceil(n / SLICE_ROWS), F.ceil(values / SLICE_VALUES), F.lit(1)).alias("slices"), F.min("root").alias("low"), F.max("root").alias("high"))
+    apart = written(sized.filter("low != high").select(F.col("of").alias("open"), "slices"), "apart")
+    own = F.pmod(F.xxhash64("id"), F.col("slices"))
+    dealt = rows.join(apart.hint("shuffle_merge"), F.col("of") == F.col("open")).withColumn("s", own).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    dealt = dealt.select("of", "id", "root", "s", F.least("s", "t").alias("low"), F.greatest("s", "t").alias("high"))
+    with_sets = dealt.join(sets.hint("shuffle_merge"), F.col("id") == F.col("set_id")).drop("set_id")
+    return with_sets.groupBy("of", "low", "high").applyInArrow(_block(least), "a long, b long").distinct()
 
 
 def _sets(ends: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -266,26 +315,16 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, radius: int, least: f
     """(id, root) of all nodes that a link joins; nodes: id, f0 .. f3, size, sketch, keys and text_key, that of some text with the set."""
     found = written(candidates(nodes, radius, least), "candidates")
     pairs, members = found.filter("not of_group").select("a", "b"), found.filter("of_group").select(F.col("a").alias("member"), F.col("b").alias("of"))
-    # each row of a group has a link in its forest, so the sets of later rounds are among these
+    # each row of a group has a link in its forest, so the sets of all rows of groups are among these
     sets = _sets(pairs.select(F.col("a").alias("end")).union(pairs.select(F.col("b").alias("end"))).distinct(), docs, nodes, shingle)
     roots = simhash.components(written(_checked(pairs, sets, least), "links"))
-    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    after = 0
-    for until in WINDOWS:
-        now = written(members.join(roots.hint("shuffle_merge"), F.col("member") == F.col("id"), "left").select("member", "of", F.coalesce("root", "member").alias("root")), "members")
-        apart = now.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter((F.col("n") > after) & (F.col("low") != F.col("high"))).select(F.col("of").alias("open"))
-        left = written(now.join(apart.hint("shuffle_merge"), F.col("of") == F.col("open"), "left_semi"), "open")
-        if left.isEmpty():
-            break
-        rows = left.join(nodes.select("id", *COLUMNS, "size", "sketch").hint("shuffle_merge"), F.col("member") == F.col("id")).select("of", "id", "root", *COLUMNS, "size", "sketch")
-        rows = rows.repartition(count, "of").sortWithinPartitions("of", "id")
-        more = written(rows.mapInArrow(tidy(_window(radius, after, until, least)), "a long, b long").distinct(), "pairs")
-        new = written(_checked(more, sets, least), "links")
-        if not new.isEmpty():
-            # rows and their roots stand for the links before
-            roots = simhash.components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(new))
-        after, members = until, left.select("member", "of")
-    return roots
+    rooted = members.join(roots.hint("shuffle_merge"), F.col("member") == F.col("id"), "left").select("member", "of", F.coalesce("root", "member").alias("root"))
+    sized = rooted.join(nodes.select("id", "size").hint("shuffle_merge"), F.col("member") == F.col("id")).select("of", "id", "root", "size")
+    new = written(grouped_links(written(sized, "members"), sets, least), "links")
+    if new.isEmpty():
+        return roots
+    # rows and their roots stand for the links before
+    return simhash.components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(new))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 80, bands: int = 18, rows: int = 4, least_similarity: float = 0.8) -> DataFrame:

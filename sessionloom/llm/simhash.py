@@ -398,12 +398,14 @@ def _shingle_sets(shingle: int):
     return run
 
 
-def _similar(least: float):
-    def unpacked(x: bytes) -> np.ndarray:
-        wide = np.zeros((len(x) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-        return wide.reshape(-1).view("<u8")
+def unpacked(x: bytes) -> np.ndarray:
+    """The values of a packed set."""
+    wide = np.zeros((len(x) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+    return wide.reshape(-1).view("<u8")
+
 
+def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

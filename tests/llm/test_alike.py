@@ -64,11 +64,43 @@ def test_candidates_leave_no_pair_out(n):
     a, b, group = alike.candidate_pairs(np.zeros(n, int), prints, 46)
     handed = {(max(x), min(x)) for x in zip(a.tolist(), b.tolist(), strict=True)}
     assert handed <= near and all(p in handed or group[p[0]] == group[p[1]] >= 0 for p in near)
-    at, later = np.flatnonzero(group >= 0), set()
-    for after, until in zip((0, *alike.WINDOWS[:-1]), alike.WINDOWS, strict=True):
-        for x, y in alike._passes(group[at] * 0, prints[at], 46, np.arange(len(at)), after, until):
-            later |= {(max(p), min(p)) for p in zip(at[x].tolist(), at[y].tolist(), strict=True)}
-    assert near == handed | later
+
+
+@pytest.mark.parametrize("slices", [1, 2])
+@pytest.mark.parametrize("n", [2, 40, 120])
+def test_slices_join_what_all_pairs_join(n, slices):
+    r = np.random.default_rng(n + slices)
+    base = r.choice(10**6, 60, replace=False)
+    sets = [np.unique(np.concatenate([base[r.random(60) < s], r.integers(0, 10**6, int(r.integers(0, 12)))])) for s in r.uniform(0.8, 1, n)] + [base[:0], base[:0]]
+    own, start = r.integers(0, slices, len(sets)), r.integers(0, len(sets), len(sets))
+    want = {k: int(x) for k, x in enumerate(start)}
+    got, alike_pairs = dict(want), 0
+
+    def join(root, i, j):
+        one, other = root[i], root[j]
+        root.update({k: one for k, v in root.items() if v == other})
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both, one = set(sets[i]) & set(sets[j]), set(sets[i]) | set(sets[j])
+            if len(both) >= 0.8 * len(one) and (len(set(own)) == 1 or own[i] != own[j]):
+                alike_pairs += 1
+                join(want, i, j)
+    a, b = alike.alike_rows(np.arange(len(sets)), start, own, sets, 0.8)
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        both, one = set(sets[i]) & set(sets[j]), set(sets[i]) | set(sets[j])
+        assert i > j and len(both) >= 0.8 * len(one) and got[i] != got[j]
+        join(got, i, j)
+    groups = lambda root: {frozenset(k for k in root if root[k] == v) for v in root.values()}
+    assert groups(got) == groups(want) and (n < 3 or alike_pairs)
+
+
+def test_groups_are_cut_into_slices(spark, monkeypatch):
+    monkeypatch.setattr(alike, "SLICE_ROWS", 16)
+    r = np.random.default_rng(8)
+    base = [f"w{x}" for x in r.integers(0, 10**6, 300)]
+    texts = [" ".join(changed(r, base, s)) for s in r.uniform(0.8, 0.93, 90)]
+    assert found(spark, texts) == whole(texts)
 
 
 def test_repeated_shingles_count_once(spark):
