@@ -2,10 +2,11 @@
 
 Writing: digests are grouped without the payloads; payloads are moved at most once, to learn which records are revisits.
 Each task writes archives of bounded size (gzip members, one a record) as rows of a table in the shared folder.
-Reading: the task that reads an archive sorts its captures by URL key, timestamp, page and place: a run, written in packed blocks. The first keys of
-a bounded sample of blocks cut the index into key ranges by its size; blocks are cut there and dealt to their ranges, and in each range a loser
-tree merges the runs, opening a block when its run comes to it. So the ranges one after another are the globally ordered capture histories, and a task
-holds the packed blocks of one range and one open block a run. No two captures have one key, so a range can always be cut.
+Reading: a task sorts the captures of the archives it reads by URL key, timestamp, page and place, ``RUN_ROWS`` at a time: runs, written in packed
+blocks. Where there are more than ``FAN_IN`` runs, groups of that many become one run each, level by level, so that a range of the last merge gets few long
+pieces. In every merge the first keys of a bounded sample of blocks cut the index into key ranges by its size; blocks are cut there and dealt to their
+ranges, and in each range a loser tree merges the runs, opening a block when its run comes to it. So the ranges one after another are the globally ordered
+capture histories, and a task holds the packed blocks of one range and one open block a run. No two captures have one key, so a range can always be cut.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ from sessionloom.llm.shared import written
 
 #: Payload bytes from which equal payloads become revisits; bytes of records gathered into one archive.
 LEAST_REVISIT, ARCHIVE_BYTES = 100, 8 << 20
-#: Captures of a packed block, and of a key range; blocks sampled a range to find where ranges begin.
-BLOCK_ROWS, RANGE_ROWS, SAMPLED = 1024, 1 << 18, 32
+#: Captures of a packed block, of a run that a task sorts, and of a key range; a range has a block's captures or more of each run, on average.
+BLOCK_ROWS, RUN_ROWS, RANGE_ROWS = 1024, 1 << 16, 1 << 18
+#: Runs that are merged at once.
+FAN_IN = 64
+#: Blocks sampled a range to find where ranges begin, ranges at most, and characters of a sampled URL key: what the driver holds is bounded.
+SAMPLED, MOST_RANGES, KEY_CHARS = 32, 4096, 256
 #: Bytes that are inflated at once.
 WINDOW = 64 << 10
 CAPTURES = "url_key string, timestamp string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, record_at long, record_size long"
@@ -79,25 +84,28 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size, number = [], 0, count()
+def _write(archive_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, count()
+
+        def archive() -> pa.RecordBatch:
+            data = b"".join(held)
+            held.clear()
+            # archives of the same records have names of their own
+            name = f"{hashlib.sha1(data).hexdigest()}-{TaskContext.get().partitionId()}-{next(number)}"
+            return pa.RecordBatch.from_pydict({"archive": pa.array([name]), "data": pa.array([data], pa.binary())})
 
-    def archive() -> pa.RecordBatch:
-        data = b"".join(held)
-        held.clear()
-        # archives of the same records have names of their own
-        name = f"{hashlib.sha1(data).hexdigest()}-{TaskContext.get().partitionId()}-{next(number)}"
-        return pa.RecordBatch.from_pydict({"archive": pa.array([name]), "data": pa.array([data], pa.binary())})
+        for batch in batches:
+            for page_id, url, html, digest, refers_to, date in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "date")), strict=True):
+                held.append(_gzip(record(page_id, url, html.encode(), digest, refers_to, date)))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield archive()
+                    size = 0
+        if held:
+            yield archive()
 
-    for batch in batches:
-        for page_id, url, html, digest, refers_to, date in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "date")), strict=True):
-            held.append(_gzip(record(page_id, url, html.encode(), digest, refers_to, date)))
-            size += len(held[-1])
-            if size >= ARCHIVE_BYTES:
-                yield archive()
-                size = 0
-    if held:
-        yield archive()
+    return run
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -108,7 +116,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     """
     second = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.greatest(F.coalesce("page_id", F.lit(0)), F.lit(0)), F.lit(10**10)))
     dated = planned(pages).withColumn("date", F.date_format(second, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return written(dated.mapInArrow(_write, "archive string, data binary"), "archives")
+    return written(dated.mapInArrow(_write(ARCHIVE_BYTES), "archive string, data binary"), "archives")
 
 
 def url_key(url: str | None) -> str:
@@ -138,8 +146,9 @@ def _number(urn: str) -> int | None:
 
 
 SCHEMA = pa.schema([("url_key", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("record_at", pa.int64()), ("record_size", pa.int64())])
-#: A block's first key, its run and place there, how many captures it has, and they themselves.
-BLOCKS = "url_key string, timestamp string, no_page boolean, page_id long, archive string, record_at long, captures int, data binary"
+#: A block's run, its first key, how many captures it has, and they themselves.
+BLOCKS = "run string, url_key string, timestamp string, no_page boolean, page_id long, archive string, record_at long, captures int, data binary"
+KEY = ("url_key", "timestamp", "no_page", "page_id", "archive", "record_at")
 
 
 def _key(row: tuple) -> tuple:
@@ -176,13 +185,13 @@ def _captures(archive: str, data: bytes) -> Iterator[tuple]:
         at += size
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
+def _packed(run: str, rows: list[tuple]) -> pa.RecordBatch:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA))
     names = [x.split()[0] for x in BLOCKS.split(", ")]
-    values = (*_key(rows[0]), len(rows), sink.getvalue().to_pybytes())
-    kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary())
+    values = (run, *_key(rows[0]), len(rows), sink.getvalue().to_pybytes())
+    kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
 
 
@@ -191,12 +200,27 @@ def _opened(data: bytes) -> list[tuple]:
     return list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for archive, data in zip(batch["archive"].to_pylist(), batch["data"].to_pylist(), strict=True):
-            run = sorted(_captures(archive, data), key=_key)
-            for at in range(0, len(run), BLOCK_ROWS):
-                yield _packed(run[at : at + BLOCK_ROWS])
+def _runs(run_rows: int, block_rows: int):
+    """Captures of whole archives, sorted when they are ``run_rows`` or more; a run has the name of its first archive."""
+
+    def packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        name = rows[0][8]
+        rows.sort(key=_key)
+        for at in range(0, len(rows), block_rows):
+            yield _packed(name, rows[at : at + block_rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for archive, data in zip(batch["archive"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                held.extend(_captures(archive, data))
+                if len(held) >= run_rows:
+                    yield from packed(held)
+                    held = []
+        if held:
+            yield from packed(held)
+
+    return run
 
 
 def _cut(bounds: list[tuple]):
@@ -204,12 +228,12 @@ def _cut(bounds: list[tuple]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, data in enumerate(batch["data"].to_pylist()):
+            for k, (name, data) in enumerate(zip(batch["run"].to_pylist(), batch["data"].to_pylist(), strict=True)):
                 rows = _opened(data)
                 keys = [_key(r) for r in rows]
                 cuts = sorted({0, *(bisect_left(keys, b) for b in bounds[bisect_left(bounds, keys[0]) : bisect_left(bounds, keys[-1]) + 1]), len(rows)})
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    part = batch.slice(k, 1) if b - a == len(rows) else _packed(rows[a:b])
+                    part = batch.slice(k, 1) if b - a == len(rows) else _packed(name, rows[a:b])
                     number = bisect_right(bounds, keys[a])
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *part.columns], ["range", *part.schema.names])
 
@@ -248,49 +272,75 @@ class LoserTree:
             self._play(winner)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks in order of range and first key become the captures in order, range by range."""
+def _merge(block_rows: int, level: int | None = None):
+    """Blocks in order of group, range and first key become the captures in order, range by range; or, at a level, the blocks of a run for each group."""
 
-    def run(blocks: list[bytes]) -> Iterator[tuple]:
+    def opened(blocks: list[bytes]) -> Iterator[tuple]:
         for data in blocks:
             for row in _opened(data):
                 yield _key(row), row
 
-    def merged(runs: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def batch_of(group: int, rows: list[tuple]) -> pa.RecordBatch:
+        if level is not None:
+            return _packed(f"level-{level}-{group}", rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+
+    def merged(group: int, runs: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         held = []
-        for _, row in LoserTree([run(x) for x in runs.values()]):
+        for _, row in LoserTree([opened(x) for x in runs.values()]):
             held.append(row)
-            if len(held) == 4 * BLOCK_ROWS:
-                yield batch_of(held)
+            if len(held) == block_rows:
+                yield batch_of(group, held)
                 held = []
         if held:
-            yield batch_of(held)
+            yield batch_of(group, held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, runs = (0, 0), {}
+        for batch in batches:
+            for group, number, name, data in zip(*(batch[c].to_pylist() for c in ("group", "range", "run", "data")), strict=True):
+                if (group, number) != now:
+                    yield from merged(now[0], runs)
+                    now, runs = (group, number), {}
+                runs.setdefault(name, []).append(data)
+        yield from merged(now[0], runs)
+
+    return run
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
-    now, runs = None, {}
-    for batch in batches:
-        for number, archive, data in zip(batch["range"].to_pylist(), batch["archive"].to_pylist(), batch["data"].to_pylist(), strict=True):
-            if number != now:
-                yield from merged(runs)
-                now, runs = number, {}
-            runs.setdefault(archive, []).append(data)
-    yield from merged(runs)
+def _bounds(runs: DataFrame, captures: int, merged: int) -> list[tuple]:
+    """Where key ranges begin, for a merge of so many runs that have so many captures together."""
+    ranges = min(-(-captures // max(RANGE_ROWS, merged * BLOCK_ROWS)), MOST_RANGES)
+    if ranges <= 1:
+        return []
+    # a sample in proportion to the number of ranges, as for any range partitioning
+    short = runs.select(F.substring("url_key", 1, KEY_CHARS).alias("url_key"), *KEY[1:])
+    some = sorted(tuple(r) for r in short.orderBy(F.xxhash64("archive", "record_at"), *KEY).limit(SAMPLED * ranges).collect())
+    return sorted({some[k * len(some) // ranges] for k in range(1, ranges)})
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """Runs (BLOCKS) merged, level by level, until they are ``FAN_IN`` or fewer."""
+    captures, n = runs.agg(F.coalesce(F.sum("captures"), F.lit(0)), F.count_distinct("run")).first()
+    least, level = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0
+    while n > FAN_IN:
+        groups = -(-n // FAN_IN)
+        bounds = _bounds(runs, captures // groups, FAN_IN)
+        cut = runs.mapInArrow(_cut(bounds), f"range int, {BLOCKS}").withColumn("group", F.pmod(F.xxhash64("run"), F.lit(groups)).cast("int"))
+        parts = max(least, min(groups * (len(bounds) + 1), MOST_RANGES))
+        dealt = cut.repartition(parts, "group", "range").sortWithinPartitions("group", "range", *KEY)
+        runs = written(dealt.mapInArrow(_merge(BLOCK_ROWS, level), BLOCKS), "runs")
+        n, level = groups, level + 1
+    return runs
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """All captures in order of URL key, timestamp and page_id (null last): CAPTURES. Payloads of responses are digested anew and must agree."""
     # written, as finding the key ranges reads the runs once more: archives are to be read once
-    runs = written(archives.mapInArrow(_runs, BLOCKS), "runs")
-    ranges = -(-(runs.agg(F.sum("captures")).first()[0] or 1) // RANGE_ROWS)
-    key = ("url_key", "timestamp", "no_page", "page_id", "archive", "record_at")
-    bounds = []
-    if ranges > 1:
-        # a sample in proportion to the number of ranges, as for any range partitioning
-        some = sorted(tuple(r) for r in runs.select(*key).orderBy(F.xxhash64("archive", "record_at"), *key).limit(SAMPLED * ranges).collect())
-        bounds = sorted({some[k * len(some) // ranges] for k in range(1, ranges)})
-    cut = runs.mapInArrow(_cut(bounds), f"range int, {BLOCKS}")
+    runs = merged_runs(written(archives.mapInArrow(_runs(RUN_ROWS, BLOCK_ROWS), BLOCKS), "runs"))
+    captures, n = runs.agg(F.coalesce(F.sum("captures"), F.lit(0)), F.count_distinct("run")).first()
+    bounds = _bounds(runs, captures, n)
+    cut = runs.mapInArrow(_cut(bounds), f"range int, {BLOCKS}").withColumn("group", F.lit(0))
     parts = max(len(bounds) + 1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = cut.repartitionByRange(parts, "range").sortWithinPartitions("range", *key)
-    return ranged.mapInArrow(_merge, T.StructType.fromDDL(CAPTURES))
+    ranged = cut.repartitionByRange(parts, "range").sortWithinPartitions("range", *KEY)
+    return ranged.mapInArrow(_merge(4 * BLOCK_ROWS), T.StructType.fromDDL(CAPTURES))

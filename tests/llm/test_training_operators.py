@@ -434,6 +434,38 @@ def test_warc_ranges_and_blocks(spark, monkeypatch):
     assert sorted((str(r.page_id), r.url) for r in got) == sorted((str(i), u) for i, u, _, _ in rows)
 
 
+def test_warc_levels(spark, monkeypatch):
+    for name, value in {"ARCHIVE_BYTES": 1500, "RUN_ROWS": 12, "BLOCK_ROWS": 4, "RANGE_ROWS": 30, "FAN_IN": 3}.items():
+        monkeypatch.setattr(warc, name, value)
+    # a third of the rows have one URL, some have no number, one has a URL longer than what is sampled of it
+    rows = [(None if k % 50 == 0 else k, "http://hot.org/" if k % 3 else f"http://h{k * k % 7}.org/{k}", f"text {k}") for k in range(400)] + [(1000, "http://h.org/" + "a/" * 5000, "x" * 10**6)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6))
+    first = archives.mapInArrow(warc._runs(warc.RUN_ROWS, warc.BLOCK_ROWS), warc.BLOCKS).select("run").distinct().count()
+    assert first > warc.FAN_IN**2  # so there are two levels or more
+    runs = warc.merged_runs(archives.mapInArrow(warc._runs(warc.RUN_ROWS, warc.BLOCK_ROWS), warc.BLOCKS)).collect()
+    by_run = {}
+    for r in runs:
+        by_run.setdefault(r.run, []).append([warc._key(x) for x in warc._opened(bytes(r.data))])
+    assert len(by_run) <= warc.FAN_IN
+    for blocks in by_run.values():
+        keys = [k for block in sorted(blocks) for k in block]
+        assert keys == sorted(keys)
+    got = warc.read_archives(archives).collect()
+    key = [(r.url_key, r.timestamp, r.page_id is None, r.page_id or 0) for r in got]
+    assert key == sorted(key) and len({(r.archive, r.record_at) for r in got}) == len(rows)
+    assert sorted((str(r.page_id), r.url) for r in got) == sorted((str(i), u) for i, u, _ in rows)
+
+
+def test_warc_ranges_do_not_shred_blocks(spark, monkeypatch):
+    df = spark.range(2500).selectExpr("id AS page_id", "concat('http://h', id % 97, '.org/', id) AS url", "concat('text ', id) AS html")
+    runs = warc.written(warc.write_archives(df.coalesce(1)).mapInArrow(warc._runs(warc.RUN_ROWS, warc.BLOCK_ROWS), warc.BLOCKS), "runs")
+    size = lambda bounds: runs.mapInArrow(warc._cut(bounds), f"range int, {warc.BLOCKS}").selectExpr("sum(length(data))").first()[0]
+    whole = size([])
+    for rows in (2500, 500, 50, 3):
+        monkeypatch.setattr(warc, "RANGE_ROWS", rows)
+        assert size(warc._bounds(runs, 2500, 1)) < 1.3 * whole
+
+
 def test_warc_members(spark):
     data = warc._gzip(b"a" * 10**6) + warc._gzip(b"") + warc._gzip(bytes(np.random.default_rng(1).integers(0, 256, 200_000, dtype=np.uint8)))
     at, found = 0, []
