@@ -28,8 +28,16 @@ def sampled_recall(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.mean_metrics(E.ranking_metrics(predictions, N.sessions_by_draw(future, SAMPLED_SESSIONS))))
 
 
+def activity_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Each item's weight: views count 1 and purchases 3, times how many cells the user has. The matrix in row blocks, multiplied."""
+    cells = matrix(spark, d).select(F.col("user").alias("row"), F.col("item").alias("col"), F.when(F.col("behaviour") == "buy", 3).otherwise(1).alias("value"))
+    active = cells.groupBy("row").agg(F.count(F.lit(1)).alias("factor"))
+    return N.transposed_product(N.row_blocks(cells), active).select(F.col("col").alias("item"), F.col("value").cast("long").alias("weight"))
+
+
 QUERIES = {
     "interaction_matrix": matrix,
+    "activity_weights": activity_weights,
     "held_out_purchases": held_out,
     "session_sample": lambda spark, d: N.session_sample(web_events(spark, d), 0.1),
     "event_sample": lambda spark, d: N.event_sample(web_events(spark, d), 0.1),
@@ -49,6 +57,11 @@ def _draw(key: str) -> str:
 
 
 ORACLES = {
+    "activity_weights": _sql(
+        """SELECT item, CAST(sum(CASE behaviour WHEN 'buy' THEN 3 ELSE 1 END * cells) AS BIGINT) AS weight
+        FROM seen JOIN items USING (i) JOIN (SELECT u, count(*) AS cells FROM seen WHERE i IS NOT NULL GROUP BY u) USING (u) GROUP BY item""",
+        WEB_SQL, _WEEK, _MATRIX,
+    ),
     "interaction_matrix": _sql('SELECT behaviour, "user", item FROM seen JOIN users USING (u) JOIN items USING (i)', WEB_SQL, _WEEK, _MATRIX),
     "held_out_purchases": _sql("""SELECT "user", item, count(*) AS purchases FROM w JOIN users ON w.session = u JOIN items ON w.aid = i WHERE type = 'orders' AND NOT early GROUP BY ALL""", WEB_SQL, _WEEK, _MATRIX),
     "session_sample": _sql(f"SELECT * FROM ev WHERE {_draw('CAST(session AS VARCHAR)')} < 0.1", WEB_SQL),

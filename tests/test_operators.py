@@ -354,3 +354,32 @@ def test_shared_folder_is_stated(spark):
     from sessionloom.sources.folders import shared_folder
 
     assert shared_folder(spark, "x") != shared_folder(spark, "x") and shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_row_blocks(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    # row 6 has a third of the cells, row 40 is alone in its block, rows 16 .. 31 are absent; some cells repeat
+    cells = [(int(a), int(b), float(v)) for a, b, v in zip(r.integers(0, 16, 200), r.integers(0, 90, 200), r.integers(1, 9, 200), strict=True)]
+    cells += [(6, k, 2.0) for k in range(100)] + [(40, 3, 5.0), (40, 3, 5.0)]
+    df = spark.createDataFrame([*cells, (None, 1, 1.0), (1, None, 1.0), (1, 1, None)], "row int, col long, value double").withColumn("block", F.lit("x")).withColumn("piece", F.lit(1))
+    blocks = N2.row_blocks(df, rows=8, most=50)
+    got, most = [], 0
+    for b in blocks.collect():
+        assert len(b.indptr) == 9 and b.indptr[0] == 0 and b.indptr[8] == len(b.indices) == len(b["values"])
+        for k in range(8):
+            part = slice(b.indptr[k], b.indptr[k + 1])
+            assert b.indices[part] == sorted(b.indices[part])
+            got += [(b.block * 8 + k, c, v) for c, v in zip(b.indices[part], b["values"][part], strict=True)]
+        most = max(most, len(b.indices))
+    assert sorted(got) == sorted(cells) and most < 100
+    factor = {k: float(k % 5) for k in range(0, 45) if k != 3}
+    want = {}
+    for a, c, v in cells:
+        want[c] = want.get(c, 0.0) + v * factor.get(a, 0.0)
+    vector = spark.createDataFrame([*factor.items(), (3, None), (None, 2.0)], "row long, factor double")
+    assert {x.col: x.value for x in N2.transposed_product(blocks, vector, rows=8).collect()} == want
+    assert {x.value for x in N2.transposed_product(blocks, vector.limit(0), rows=8).collect()} == {0.0}
+    assert N2.transposed_product(N2.row_blocks(df.limit(0)), vector).count() == 0
