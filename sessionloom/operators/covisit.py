@@ -89,19 +89,73 @@ def typed_edges(events: DataFrame, kind: str, k: int | None = None, gap_ms: int
     return ranked.withColumn("rank", F.col("rank") - 1)
 
 
-def explore_edges(events: DataFrame, gap_ms: int = C.DAY_MS, above: float = 1.0) -> DataFrame:
+def explore_edges(events: DataFrame, gap_ms: int = C.DAY_MS, above: float = 1.0, limit: int = 1024) -> DataFrame:
     """(aid1, aid2, score): sums over whole sessions of the later item's type weight, those above a score.
 
     Events meet by session and stretch of time as long as the gap, with the stretches before and after: a long session is many keys.
+    Sessions with a stretch of more than ``limit`` events take another way to the same sums (``_crowded_sums``), whose keys stay small.
+    Events without a session, item or time are in no pair; an unknown type weighs nothing.
     """
-    stretch = F.floor(F.col("ts") / gap_ms)
-    a = events.select("session", F.col("aid").alias("aid1"), F.col("ts").alias("ts1"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("at"))
-    b = events.select(F.col("session").alias("of"), F.col("aid").alias("aid2"), F.col("ts").alias("ts2"), F.col("type").alias("type2"), stretch.alias("of_at"))
     weight = F.lit(0)
     for t, w in C.EXPLORE_WEIGHT.items():
-        weight = F.when(F.col("type2") == t, w).otherwise(weight)
-    pairs = a.join(b, (F.col("session") == F.col("of")) & (F.col("at") == F.col("of_at")) & (F.col("aid1") != F.col("aid2")) & (F.abs(F.col("ts1") - F.col("ts2")) < gap_ms))
-    return pairs.groupBy("aid1", "aid2").agg(F.sum(weight).cast("long").alias("score")).filter(F.col("score") > above)
+        weight = F.when(F.col("type") == t, w).otherwise(weight)
+    offset = F.pmod(F.col("ts"), F.lit(gap_ms)).cast("long")
+    rows = events.filter(F.col("session").isNotNull() & F.col("aid").isNotNull() & F.col("ts").isNotNull())
+    rows = rows.select("session", "aid", (F.col("ts") - offset).alias("at"), offset.alias("offset"), weight.alias("weight"))
+    crowded = rows.groupBy("session", "at").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("session").distinct()
+    few, many = _told_apart(rows, crowded)
+    sums = _near_sums(few, gap_ms).unionByName(_crowded_sums(many, gap_ms, limit))
+    return sums.groupBy("aid1", "aid2").agg(F.sum("score").cast("long").alias("score")).filter(F.col("score") > above)
+
+
+def _told_apart(rows: DataFrame, crowded: DataFrame, deals: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Rows of other sessions, and of crowded ones. Where the crowded are too many for Spark to broadcast, rows of one are dealt to tasks."""
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("aid", "at", "offset"), F.lit(deals)).cast("int"))
+    keys = crowded.withColumn("deal", F.explode(F.array(*[F.lit(k) for k in range(deals)])))
+    return tuple(dealt.join(keys, ["session", "deal"], how).drop("deal") for how in ("left_anti", "left_semi"))
+
+
+def _near_sums(rows: DataFrame, gap_ms: int) -> DataFrame:
+    """(aid1, aid2, score) of pairs of events less than the gap apart, one by one."""
+    near = F.explode(F.array(F.col("at") - gap_ms, F.col("at"), F.col("at") + gap_ms))
+    a = rows.select("session", F.col("aid").alias("aid1"), (F.col("at") + F.col("offset")).alias("ts1"), near.alias("at"))
+    b = rows.select("session", "at", F.col("aid").alias("aid2"), (F.col("at") + F.col("offset")).alias("ts2"), "weight")
+    pairs = a.join(b, ["session", "at"]).filter((F.col("aid1") != F.col("aid2")) & (F.abs(F.col("ts1") - F.col("ts2")) < gap_ms))
+    return pairs.groupBy("aid1", "aid2").agg(F.sum("weight").alias("score"))
+
+
+def _crowded_sums(rows: DataFrame, gap_ms: int, limit: int) -> DataFrame:
+    """The same sums by items of cells, whose events need not be compared.
+
+    Two events of one stretch are always near. Of two stretches in a row, an event of the second is near those of the first with a greater
+    offset: for each such pair there is one level at which their offsets begin with the same bits and go on with 0 in the second, 1 in the
+    first. So each event is in one cell a level (27 for a day), as an earlier or a later one, and every earlier event of a cell is near
+    every later one. Cells keep a count and a weight of each item; cells of many items are dealt as pairs of slices of about ``limit`` items.
+    """
+    cell = ["session", "at", "level", "prefix"]
+    # level -1 is the stretch itself, where each event is on both sides
+    entries = rows.withColumn("step", F.explode(F.array(*[F.lit(k) for k in range(-2, (gap_ms - 1).bit_length())])))
+    early = F.when(F.col("step") < 0, F.col("step") == -1).otherwise(F.expr("shiftright(offset, step) & 1 = 1"))
+    entries = entries.withColumn("early", early).withColumn("level", F.greatest("step", F.lit(-1)))
+    entries = entries.withColumn("prefix", F.when(F.col("step") < 0, 0).otherwise(F.expr("shiftright(offset, step + 1)")))
+    entries = entries.withColumn("at", F.when((F.col("step") >= 0) & ~F.col("early"), F.col("at") - gap_ms).otherwise(F.col("at")))
+    items = entries.groupBy(*cell, "early", "aid").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    slices = lambda side: F.ceil(F.count_if(side) / limit).cast("int")
+    cells = items.groupBy(*cell).agg(slices(F.col("early")).alias("early_slices"), slices(~F.col("early")).alias("late_slices"))
+    dealt = items.join(cells.filter("early_slices > 0 AND late_slices > 0"), cell)
+
+    def side(early: bool, x: str, own: str, other: str) -> DataFrame:
+        own_slices, other_slices = F.col(f"{own}_slices"), F.col(f"{other}_slices")
+        named = dealt.filter(F.col("early") == early).select(
+            *cell, F.pmod(F.xxhash64("aid"), own_slices).alias(f"{own}_slice"), F.explode(F.sequence(F.lit(0), other_slices - 1)).alias(f"{other}_slice"),
+            F.col("aid").alias(f"aid_{x}"), F.col("n").alias(f"n_{x}"), F.col("weight").alias(f"weight_{x}"))
+        return named.withColumn("early_slice", F.col("early_slice").cast("int")).withColumn("late_slice", F.col("late_slice").cast("int"))
+
+    met = side(True, "e", "early", "late").join(side(False, "l", "late", "early").hint("shuffle_merge"), [*cell, "early_slice", "late_slice"])
+    met = met.filter(F.when(F.col("level") < 0, F.col("aid_e") < F.col("aid_l")).otherwise(F.col("aid_e") != F.col("aid_l")))
+    one_way = lambda x, y: F.struct(F.col(f"aid_{x}").alias("aid1"), F.col(f"aid_{y}").alias("aid2"), (F.col(f"n_{x}") * F.col(f"weight_{y}")).alias("score"))
+    both = met.select(F.explode(F.array(one_way("e", "l"), one_way("l", "e"))).alias("p")).select("p.*")
+    return both.groupBy("aid1", "aid2").agg(F.sum("score").alias("score"))
 
 
 def gap_pairs(events: DataFrame, tail: int = C.TAIL_SIZE) -> DataFrame:

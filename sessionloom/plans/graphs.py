@@ -66,6 +66,8 @@ QUERIES = {
     "covisit_cart_order": _web(lambda e: V.typed_edges(e, "cart_order")),
     "covisit_buy2buy": _web(lambda e: V.typed_edges(e, "buy2buy")),
     "covisit_explore": _web(V.explore_edges),
+    # five sessions hold all events, so that stretches of time are crowded
+    "covisit_explore_crowded": _web(lambda e: V.explore_edges(e.withColumn("session", F.expr("session % 5")), above=3.0, limit=64)),
     "adjacency_text": lambda s, d: V.adjacency(V.unified_edges(purchase_events(s, d), gap_ms=MONTH_MS)).select("aid", F.array_join(F.transform("candidates", lambda x: F.concat_ws(":", x["aid2"].cast("string"), x["wgt"].cast("long").cast("string"))), " ").alias("candidates")),
     "gap_pairs": _web(V.gap_pairs),
     "bipartite_edges": lambda s, d: V.bipartite_edges(purchase_events(s, d)),
@@ -111,13 +113,23 @@ _SCENARIO = """mk AS (SELECT *, ts >= (SELECT min(ts) FROM ev) + 21 * 86400000 A
         CASE WHEN bool_and(late) THEN 3 WHEN bool_or(late) THEN 2 ELSE 1 END AS scenario FROM mk GROUP BY session)"""
 _GAP_BUCKET = " + ".join(f"(g > {b})::INT" for b in (1, 10, 60, 300, 1800, 7200, 21600, 43200, 86400, 172800, 345600, 604800, 864000, 1209600, 1814400))
 
+
+
+def _explore(session: str = "session", above: int = 1) -> str:
+    weight = "CASE y.type WHEN 'clicks' THEN 1 WHEN 'carts' THEN 3 ELSE 6 END"
+    near = f"x.{session} = y.{session} AND x.aid <> y.aid AND abs(x.ts - y.ts) < 86400000"
+    score = f"SELECT x.aid AS aid1, y.aid AS aid2, CAST(sum({weight}) AS BIGINT) AS score FROM ev AS x JOIN ev AS y ON {near}"
+    return _sql(f"{score} GROUP BY 1, 2 HAVING score > {above}")
+
+
 ORACLES = {
     "covisit_unified": _sql("SELECT * FROM edges", PURCHASE_SQL, _unified(86_400_000)),
     "covisit_unified_month": _sql("SELECT * FROM edges", PURCHASE_SQL, _unified(MONTH_MS)),
     "covisit_clicks": _typed(86_400_000, 20, "1.0 + 3.0 * CAST(ts - t0 AS DOUBLE) / greatest(t1 - t0, 1)"),
     "covisit_cart_order": _typed(86_400_000, 15, "CASE type_y WHEN 'clicks' THEN 1 WHEN 'carts' THEN 6 ELSE 3 END"),
     "covisit_buy2buy": _typed(14 * 86_400_000, 15, "1", "WHERE type IN ('carts', 'orders')"),
-    "covisit_explore": _sql("SELECT x.aid AS aid1, y.aid AS aid2, CAST(sum(CASE y.type WHEN 'clicks' THEN 1 WHEN 'carts' THEN 3 ELSE 6 END) AS BIGINT) AS score FROM ev AS x JOIN ev AS y ON x.session = y.session AND x.aid <> y.aid AND abs(x.ts - y.ts) < 86400000 GROUP BY 1, 2 HAVING score > 1"),
+    "covisit_explore": _explore(),
+    "covisit_explore_crowded": _explore("session % 5", 3),
     "adjacency_text": _sql("SELECT aid1 AS aid, string_agg(aid2 || ':' || wgt, ' ' ORDER BY wgt DESC, aid2 DESC) AS candidates FROM edges GROUP BY aid1", PURCHASE_SQL, _unified(MONTH_MS)),
     "gap_pairs": _sql(f"SELECT type1, type2, {_GAP_BUCKET} AS bucket, count(*) AS pairs FROM (SELECT x.type AS type1, y.type AS type2, (y.ts - x.ts) / 1000.0 AS g FROM tail AS x JOIN tail AS y ON x.session = y.session AND x.i > y.i AND x.i <= 30) GROUP BY ALL", WEB_SQL, "tail AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts DESC, aid DESC, type DESC) AS i FROM ev)"),
     "bipartite_edges": _sql("SELECT s AS src, i AS dst, w AS weight FROM e UNION ALL SELECT i, s, w FROM e", PURCHASE_SQL, """ss AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS s FROM (SELECT DISTINCT session FROM ev)), ii AS (SELECT aid, row_number() OVER (ORDER BY aid) - 1 + (SELECT count(*) FROM ss) AS i FROM (SELECT DISTINCT aid FROM ev)),
