@@ -1,7 +1,8 @@
 """SimHash near-dedup: fingerprints of word shingles, bit-sliced comparison, connected components.
 
-Fingerprints are compared inside buckets. With ``bands=None`` the fingerprint is cut into radius + 1 pieces and two
-fingerprints within the radius agree on one piece at least (pigeonhole), so every link is found. With ``bands=(n, width)``
+Fingerprints are compared inside buckets. With ``bands=None`` the fingerprint is cut into radius + c pieces and two
+fingerprints within the radius agree on c pieces at least (pigeonhole); each choice of c pieces is a key, so every link is found. More
+pieces give more and longer keys: c follows the number of fingerprints (``keys``), so that buckets stay small. With ``bands=(n, width)``
 the buckets are n disjoint pieces of ``width`` bits, which for long fingerprints trades a little recall for smaller buckets.
 
 In a bucket the fingerprints lie as vertical bit planes; one pass compares every row with the row ``shift`` places on,
@@ -15,6 +16,8 @@ not its pairs. Buckets over ``SPLIT`` rows are dealt to several tasks as pairs o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
+from math import comb, inf
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from sessionloom.llm.shared import written
 
 #: Rows of a bucket that one task compares; larger buckets are split into pairs of slices.
 SPLIT = 8192
+#: What an entry of a row in a bucket costs, in comparisons of two fingerprints.
+ENTRY = 48
 #: Rows that are compared at once.
 BATCH_ROWS = 1 << 17
 
@@ -343,14 +348,24 @@ def _links(columns: list[str], radius: int, sure: int | None):
     return run
 
 
-def pieces(bits: int, radius: int, bands: tuple[int, int] | None) -> list[tuple[int, int]]:
-    """First bit and width of each piece by which fingerprints are bucketed."""
+def keys(bits: int, radius: int, bands: tuple[int, int] | None, rows: int) -> list[list[tuple[int, int]]]:
+    """For each key of ``rows`` fingerprints the first bit and width of the pieces that it is made of.
+
+    Of radius + c pieces c agree. A row has one entry for each choice of c pieces and is compared with the rows that share one, about
+    rows / 2 ** bits of a key by chance; c is that of least cost, and all give the same links.
+    """
     if bands:
         n, width = bands
-        return [(k * (bits // n), width) for k in range(n)]
-    n = radius + 1
+        return [[(k * (bits // n), width)] for k in range(n)]
+
+    def cost(c: int) -> float:
+        chosen = c * (bits // (radius + c))
+        return comb(radius + c, c) * (ENTRY + rows / 2 ** (chosen + 1)) if c == 1 or chosen <= 56 else inf
+
+    c = min(range(1, 6), key=cost)
+    n = radius + c
     cuts = [k * bits // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [list(x) for x in combinations([(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], c)]
 
 
 def _piece(columns: list[str], first: int, width: int) -> F.Column:
@@ -364,14 +379,28 @@ def _piece(columns: list[str], first: int, width: int) -> F.Column:
     return low.bitwiseOR(F.shiftleft(F.col(columns[word + 1]).bitwiseAND(F.lit((1 << (width - got)) - 1)), got))
 
 
-def near_links(prints: DataFrame, bits: int, radius: int, bands: tuple[int, int] | None = None, sure: int | None = None) -> DataFrame:
-    """Spanning links (a > b, level) of ids whose fingerprints share a piece and differ in ``radius`` bits or fewer; level 0 has at most ``sure``.
+def _key(columns: list[str], chosen: list[tuple[int, int]]) -> F.Column:
+    """The chosen pieces, one after the other, as a long."""
+    out = _piece(columns, *chosen[0])
+    for first, width in chosen[1:]:
+        out = F.shiftleft(out, width).bitwiseOR(_piece(columns, first, width))
+    return out
+
+
+def bucketed(prints: DataFrame, bits: int, radius: int, bands: tuple[int, int] | None = None, rows: int | None = None) -> DataFrame:
+    """Each fingerprint once a key: id, f0, ..., band (the number of the key) and part (its value)."""
+    columns = [f"f{k}" for k in range(bits // 64)]
+    chosen = keys(bits, radius, bands, prints.count() if rows is None and not bands else rows or 0)
+    return prints.select("id", *columns, F.posexplode(F.array(*[_key(columns, x) for x in chosen])).alias("band", "part"))
+
+
+def near_links(prints: DataFrame, bits: int, radius: int, bands: tuple[int, int] | None = None, sure: int | None = None, rows: int | None = None) -> DataFrame:
+    """Spanning links (a > b, level) of ids whose fingerprints share a key and differ in ``radius`` bits or fewer; level 0 has at most ``sure``.
 
-    prints: ``id`` (any distinct longs) and the words f0, ... of distinct fingerprints.
+    prints: ``id`` (any distinct longs) and the words f0, ... of distinct fingerprints, ``rows`` of them (counted if not given).
     """
     columns = [f"f{k}" for k in range(bits // 64)]
-    cut = pieces(bits, radius, bands)
-    banded = prints.select("id", *columns, F.posexplode(F.array(*[_piece(columns, *x) for x in cut])).alias("band", "part"))
+    banded = bucketed(prints, bits, radius, bands, rows)
     size = banded.groupBy("band", "part").count().filter("count > 1").withColumn("slices", F.ceil(F.col("count") / SPLIT)).select(F.col("band").alias("of_band"), F.col("part").alias("of_part"), "slices")
     sized = banded.join(size.hint("shuffle_merge"), (F.col("band") == F.col("of_band")) & (F.col("part") == F.col("of_part")))
     own = F.pmod(F.xxhash64("id"), F.col("slices"))
