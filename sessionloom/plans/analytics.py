@@ -83,6 +83,12 @@ _WHOLE = {
 }
 
 
+def bot_details(events: DataFrame) -> DataFrame:
+    """The JSON of anomaly rows read back by its schema."""
+    read = F.from_json("details", "event_count_per_min long, batch_mean double, batch_std double, z_threshold double")
+    return S.bot_sessions(events).select("session_id", read.alias("d")).select("session_id", "d.*")
+
+
 QUERIES = {
     "session_segments": _daily(S.segments),
     "session_segment_durations": _daily(S.segment_durations),
@@ -100,6 +106,7 @@ QUERIES = {
     "traffic_per_minute": _web(I.traffic),
     "traffic_per_hour": _web(lambda e: I.traffic(e, 3_600_000)),
     "bot_sessions": lambda spark, d: rounded(S.bot_sessions(purchase_events(spark, d)).drop("details")),
+    "bot_details": lambda spark, d: bot_details(purchase_events(spark, d)),
     "human_sessions": _daily(S.human_sessions),
     "long_sessions": _daily(lambda e: S.long_sessions(e, 2)),
     "purchase_sessions": _daily(S.purchase_sessions),
@@ -172,6 +179,12 @@ ORACLES = {
     "interarrival": _sql("SELECT *, round((ts - lag(ts) OVER (PARTITION BY session ORDER BY ts, aid, type)) / 1000.0, 6) AS gap_sec FROM ev"),
     "traffic_per_minute": _traffic(60_000),
     "traffic_per_hour": _traffic(3_600_000),
+    "bot_details": _sql(
+        """SELECT session AS session_id, n AS event_count_per_min, round(mean, 2) AS batch_mean, round(std, 2) AS batch_std, CAST(3 AS DOUBLE) AS z_threshold
+        FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC, minute) AS r
+        FROM c, (SELECT count(*) AS g, avg(n) AS mean, stddev_samp(n) AS std FROM c) WHERE g >= 10 AND std > 0 AND n > mean + 3 * std) WHERE r = 1""",
+        PURCHASE_SQL, "c AS (SELECT ts // 60000 * 60000 AS minute, session, count(*) AS n FROM ev GROUP BY ALL)",
+    ),
     "bot_sessions": _sql("""SELECT session AS session_id, 'bot_like' AS anomaly_type, minute, n AS event_count, round(mean, 2) AS batch_mean, round(std, 2) AS batch_std FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC, minute) AS r
         FROM c, (SELECT count(*) AS g, avg(n) AS mean, stddev_samp(n) AS std FROM c) WHERE g >= 10 AND std > 0 AND n > mean + 3 * std) WHERE r = 1""", PURCHASE_SQL, "c AS (SELECT ts // 60000 * 60000 AS minute, session, count(*) AS n FROM ev GROUP BY ALL)"),
     "human_sessions": _sql("SELECT ev.* FROM ev SEMI JOIN (SELECT session FROM (SELECT session, count(*) AS n, (max(ts) - min(ts)) / 1000.0 AS s FROM ev GROUP BY 1) WHERE n / (s + 0.1) <= 2 AND s BETWEEN 1 AND 86400 AND n BETWEEN 2 AND 250) USING (session)", DAILY_SQL),
