@@ -165,14 +165,14 @@ def added_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _database() -> tuple[str, dict[str, str]]:
-    """A database of the driver's own process: these queries run where driver and executors are one."""
+    """A database of the driver's own process, which tasks cannot reach."""
     return f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
 
 def database_append(spark: SparkSession, d: str) -> DataFrame:
     """Two batches appended, the second twice."""
     url, properties = _database()
-    sink = K.JdbcSink(url, "stats_hourly", properties)
+    sink = K.JdbcSink(url, "stats_hourly", properties, in_process=True)
     for batch, rows in ((0, 0), (1, 1), (1, 1)):
         sink.write(I.traffic(_halves(web_events(spark, d))[rows], 86_400_000).select("window_start", "total_events"), batch)
     return sink.read(spark)
