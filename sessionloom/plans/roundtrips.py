@@ -181,7 +181,7 @@ def database_append(spark: SparkSession, d: str) -> DataFrame:
 def database_replace(spark: SparkSession, d: str) -> DataFrame:
     """A table refilled: what was there is gone."""
     url, properties = _database()
-    sink = K.JdbcSink(url, "popular_items", properties, replace=True)
+    sink = K.JdbcSink(url, "popular_items", properties, replace=True, in_process=True)
     for batch, rows in enumerate(_halves(web_events(spark, d))):
         sink.write(I.popular_items(rows, 20), batch)
     return sink.read(spark).drop("batch_id")
