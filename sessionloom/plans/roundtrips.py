@@ -190,7 +190,7 @@ def database_replace(spark: SparkSession, d: str) -> DataFrame:
 def database_upserts(spark: SparkSession, d: str) -> DataFrame:
     """Counters by item, the second batch twice: clicks are added up, orders are those of the last batch."""
     url, properties = _database()
-    sink = K.JdbcSink(url, "stats_items", properties, keys=("aid",), add=("total_clicks",))
+    sink = K.JdbcSink(url, "stats_items", properties, keys=("aid",), add=("total_clicks",), in_process=True)
     for batch, rows in ((0, 0), (1, 1), (1, 1)):
         sink.write(I.item_conversion(_halves(web_events(spark, d))[rows]).select("aid", "total_clicks", "total_orders"), batch)
     return sink.read(spark).drop("batch_id")
