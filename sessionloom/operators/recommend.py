@@ -312,8 +312,126 @@ def als_top(interactions: DataFrame, k: int = 20, rank: int = 16, iterations: in
     from pyspark.ml.recommendation import ALS
 
     model = ALS(rank=rank, maxIter=iterations, implicitPrefs=True, seed=seed, userCol="user", itemCol="item", ratingCol="weight").fit(interactions)
-    best = model.recommendForAllUsers(k)
-    return best.select("user", F.posexplode("recommendations").alias("p", "r")).select("user", (F.col("p") + 1).alias("rank"), F.col("r.item").alias("item"), F.col("r.rating").cast("double").alias("score"))
+    best = factor_top(model.userFactors, model.itemFactors, k)
+    return best.select(F.col("user").cast("int").alias("user"), "rank", F.col("item").cast("int").alias("item"), "score")
+
+
+#: Users of a block at most, and those and the items whose scores are worked out at once.
+BLOCK_USERS, TILE_USERS, TILE_ITEMS = 65536, 256, 2048
+_PACK = "block int, side int, top double, ids binary, vectors binary"
+
+
+def _packs(side: int):
+    """A batch of (block, id, features) as one row; ``top`` is the greatest length."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ids, x = np.asarray(batch["id"], np.int64), np.asarray(batch["features"].flatten(), np.float32)
+                top = float(np.sqrt((x.reshape(len(ids), -1).astype(float) ** 2).sum(1).max()))
+                yield pa.RecordBatch.from_pydict({"block": batch["block"][:1], "side": pa.array([side], pa.int32()), "top": [top], "ids": [ids.tobytes()], "vectors": [x.tobytes()]})
+
+    return run
+
+
+class _Best:
+    """The k greatest products so far of each user of a block, equal ones by ascending item."""
+
+    def __init__(self, ids, vectors, k: int):
+        import numpy as np
+
+        self.ids, self.x, self.k = ids, vectors, k
+        self.length = np.sqrt((vectors.astype(float) ** 2).sum(1))
+        self.score, self.item = np.full((len(ids), k), -np.inf, np.float32), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, ids, vectors, top: float) -> None:
+        """Items of no more than that length."""
+        import numpy as np
+
+        for at in range(0, len(self.ids), TILE_USERS):
+            here = slice(at, at + TILE_USERS)
+            kth = self.score[here, -1]
+            # a little more than the bound, for rounding
+            if np.all(self.length[here] * top * (1 + 1e-5) < kth):
+                continue
+            rows, items, scores = [], [], []
+            for first in range(0, len(ids), TILE_ITEMS):
+                s = self.x[here] @ vectors[first : first + TILE_ITEMS].T
+                least = kth
+                if s.shape[1] > self.k and np.isneginf(kth).any():
+                    least = np.maximum(kth, np.partition(s, s.shape[1] - self.k, 1)[:, -self.k])
+                row, col = np.divmod(np.flatnonzero(s >= least[:, None]), s.shape[1])
+                if len(row):
+                    rows.append(row), items.append(ids[first + col]), scores.append(s[row, col])
+            if rows:
+                self._merge(at, np.concatenate(rows), np.concatenate(items), np.concatenate(scores))
+
+    def _merge(self, at: int, row, item, score) -> None:
+        import numpy as np
+
+        touched = np.unique(row)
+        row = np.concatenate([np.repeat(touched, self.k), row])
+        item, score = np.concatenate([self.item[at + touched].ravel(), item]), np.concatenate([self.score[at + touched].ravel(), score])
+        order = np.lexsort((item, -score, row))
+        count = np.bincount(np.searchsorted(touched, row))
+        kept = order[np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count) < self.k]
+        self.item[at + touched], self.score[at + touched] = item[kept].reshape(-1, self.k), score[kept].reshape(-1, self.k)
+
+
+def factor_top(users: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
+    """Exact top k items of each user by the product of their factors, ties to the smaller item: (user, rank, item, score). users, items: (id, features).
+
+    A task has a block of users and meets all items in packs, longest first, of which it holds one at a time; what a task keeps are k items a user. Users
+    whose k-th product no shorter item can reach skip the rest. The items move once a block; all pairs are otherwise multiplied, as the job is.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    n = max(1, min(48, -(-users.count() // 4096)), -(-users.count() // BLOCK_USERS))
+    named = "block int, id long, features array<float>"
+    left = users.select(F.col("id").cast("long").alias("id"), "features").repartition(n).select(F.spark_partition_id().alias("block"), "id", "features")
+    length = F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    right = items.withColumn("length", length).orderBy(F.desc("length")).select(F.lit(0).alias("block"), F.col("id").cast("long").alias("id"), "features")
+    packs = right.to(_schema(named)).mapInArrow(_packs(1), _PACK).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    both = left.to(_schema(named)).mapInArrow(_packs(0), _PACK).unionByName(packs)
+
+    def run(batches):
+        block, held, best = None, [], None
+
+        def done():
+            if best is not None:
+                found = np.isfinite(best.score)
+                row, place = np.nonzero(found)
+                for a in range(0, len(row), 65536):
+                    r, p = row[a : a + 65536], place[a : a + 65536]
+                    yield pa.RecordBatch.from_pydict({"user": best.ids[r], "rank": pa.array(p + 1, pa.int32()), "item": best.item[r, p], "score": best.score[r, p].astype(float)})
+
+        for batch in batches:
+            for number, side, top, ids, vectors in zip(*(batch[c] for c in ("block", "side", "top", "ids", "vectors")), strict=True):
+                if number.as_py() != block:
+                    yield from done()
+                    block, held, best = number.as_py(), [], None
+                ids = np.frombuffer(ids.as_buffer(), np.int64)
+                vectors = np.frombuffer(vectors.as_buffer(), np.float32).reshape(len(ids), -1)
+                if side.as_py() == 0:
+                    held.append((ids.copy(), vectors.copy()))
+                    continue
+                if best is None and held:
+                    best = _Best(*(np.concatenate(v) for v in zip(*held, strict=True)), k)
+                if best is not None:
+                    best.add(ids, vectors, top.as_py())
+        yield from done()
+
+    met = both.repartition(n, "block").sortWithinPartitions("block", "side", F.desc("top"))
+    return met.mapInArrow(run, "user long, rank int, item long, score double")
+
+
+def _schema(text: str):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(text)
 
 
 def serve(cache: DataFrame, computed: DataFrame, lengths: DataFrame, least: int = 5) -> DataFrame:
