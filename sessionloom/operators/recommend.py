@@ -18,6 +18,16 @@ SOURCES = ("history", "popular", "clicks", "cart_order", "buy2buy")
 GRAPHS = SOURCES[2:]
 
 
+#: Rows of sessions that a task takes before they are written out as candidates.
+DEALT = 1 << 16
+
+
+def dealt_by_session(rows: DataFrame, n: int) -> DataFrame:
+    """About ``n`` rows by session, in so many parts that what sessions group, join and rank moves no more and stays in a task's memory."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-n // DEALT)), "session")
+
+
 def reciprocal_rank(history: DataFrame, neighbours: DataFrame, k: int = 20, depth: int = 20) -> DataFrame:
     """Score candidates by the sum of 1 / place over the session's distinct items; (session, rank, aid, score, objective).
 
@@ -25,11 +35,13 @@ def reciprocal_rank(history: DataFrame, neighbours: DataFrame, k: int = 20, dept
     goes to orders, carts and clicks in thirds, orders first, the remainder of the division too. Ties to the smaller id.
     """
     seen = history.select("session", "aid").distinct()
-    found = seen.join(neighbours, "aid").select("session", F.posexplode(F.slice("candidates", 1, depth)).alias("place", "c"))
+    near = neighbours.select("aid", F.transform(F.slice("candidates", 1, depth), lambda c: c["aid2"]).alias("near"))
+    # lists move to their session's task as they are; what they hold is grouped and ranked there
+    met = dealt_by_session(seen.join(near, "aid", "left"), history.count())
     # whole billionths of thousandths: their sums do not depend on the order of addition
-    score = F.round(F.lit(1e12) / (F.col("place") + 1)).cast("long")
-    # what a session has seen and what it may be shown are one table, grouped once
-    both = found.select("session", F.col("c.aid2").alias("aid"), score.alias("part"), F.lit(0).alias("was_seen")).unionByName(seen.select("session", "aid", F.lit(None).cast("long").alias("part"), F.lit(1).alias("was_seen")))
+    shown = F.transform("near", lambda aid, at: F.struct(aid.alias("aid"), F.round(F.lit(1e12) / (at + 1)).cast("long").alias("part"), F.lit(0).alias("was_seen")))
+    own_item = F.array(F.struct("aid", F.lit(None).cast("long").alias("part"), F.lit(1).alias("was_seen")))
+    both = met.select("session", F.explode(F.concat(own_item, F.coalesce(shown, F.slice(own_item, 1, 0)))).alias("x")).select("session", "x.*")
     items = both.groupBy("session", "aid").agg((F.sum("part") / F.lit(1e12)).alias("score"), F.max("was_seen").alias("was_seen"))
     own = Window.partitionBy("session")
     places = items.withColumns({"place": F.row_number().over(own.orderBy(F.desc_nulls_last("score"), "aid")), "n_seen": F.sum("was_seen").over(own)})
