@@ -14,15 +14,16 @@ from sessionloom.operators import evaluate as E
 
 FEATURES = "session long, session_start long, last_ts long, length long, n_clicks long, n_carts long, n_orders long, unique_items long, last_aid long"
 _ROW = Row(*(f.split()[0] for f in FEATURES.split(", ")))
-STATE = "session_start long, last_ts long, n_clicks long, n_carts long, n_orders long, last_aid long"
+#: A session's runs of events that the watermark has not passed.
+STATE = "runs array<struct<session_start: long, last_ts: long, n_clicks: long, n_carts: long, n_orders: long, last_aid: long, items: array<long>>>"
 
 
 class SessionFeatures(StatefulProcessor):
     """Of each session its start, last event, events by type and distinct items, in milliseconds; given out when the session ends.
 
-    A session ends where more than the time to live passes without an event: at the next event, or by a timer when the watermark passes. Then its
-    state is deleted. Late events are not dropped: one that joins no open session begins one, and one that comes more than the time to live before the
-    start of the open session is a session by itself.
+    A session ends where more than the time to live passes without an event, and is given out when the watermark has passed that time. Until then it is
+    kept, and events join it in whatever order they come, those that bridge two sessions too. Late events are not dropped: where the session that they
+    would have joined has been given out, they are sessions of their own. A key has one value as its state and one timer, at the first end of a session.
     """
 
     def __init__(self, ttl_ms: int):
@@ -30,46 +31,49 @@ class SessionFeatures(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getValueState("sums", STATE)
-        self.items = handle.getMapState("items", "aid long", "n long")
-
-    def _ended(self, session: int) -> Row:
-        start, last, clicks, carts, orders, aid = self.sums.get()
-        out = _ROW(session, start, last, clicks + carts + orders, clicks, carts, orders, sum(1 for _ in self.items.keys()), aid)
-        self.sums.clear()
-        self.items.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        self.runs = handle.getValueState("runs", STATE)
+
+    def _first_end(self, runs: list[tuple]) -> int:
+        return min(last for _, last, *_ in runs) + self.ttl_ms
+
+    def _joined(self, runs: list[tuple]) -> list[tuple]:
+        """Runs no more than the time to live apart as one."""
+        out: list[tuple] = []
+        for run in sorted(runs, key=lambda r: r[:2]):
+            if out and run[0] <= out[-1][1] + self.ttl_ms:
+                start, last, *counts, aid, items = out[-1]
+                end, aid = max((last, aid), (run[1], run[5]))
+                items.update(run[6])
+                out[-1] = (start, end, *(a + b for a, b in zip(counts, run[2:5], strict=True)), aid, items)
+            else:
+                out.append((*run[:6], set(run[6])))
         return out
 
+    def _given_out(self, session: int, runs: list[tuple], watermark: int) -> Iterator[Row]:
+        """Those that have ended; the others stay, with a timer."""
+        still = [run for run in runs if run[1] + self.ttl_ms > watermark]
+        if still:
+            self.runs.update(([(*run[:6], sorted(run[6])) for run in still],))
+            self.handle.registerTimer(self._first_end(still))
+        else:
+            self.runs.clear()
+        for run in runs:
+            if run[1] + self.ttl_ms <= watermark:
+                start, last, clicks, carts, orders, aid, items = run
+                yield _ROW(session, start, last, clicks + carts + orders, clicks, carts, orders, len(items), aid)
+
+    def _kept(self) -> list[tuple]:
+        return [tuple(run) for run in self.runs.get()[0]] if self.runs.exists() else []
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        session = key[0]
-        # a session's rows of one batch
-        for row in sorted(rows, key=lambda r: (r["ts"], r["aid"], r["type"])):
-            ts, aid, kind = row["ts"], row["aid"], C.TYPE_CODE[row["type"]]
-            counts = [0, 0, 0]
-            counts[kind] = 1
-            if self.sums.exists():
-                start, last = self.sums.get()[:2]
-                if ts < start - self.ttl_ms:
-                    yield _ROW(session, ts, ts, 1, *counts, 1, aid)
-                    continue
-                if ts > last + self.ttl_ms:
-                    yield self._ended(session)
-            if self.sums.exists():
-                start, last, *before, last_aid = self.sums.get()
-                self.sums.update((min(start, ts), max(last, ts), *(a + b for a, b in zip(before, counts, strict=True)), aid if ts >= last else last_aid))
-            else:
-                self.sums.update((ts, ts, *counts, aid))
-            self.items.updateValue((aid,), (1,))
-        if self.sums.exists():
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(self.sums.get()[1] + self.ttl_ms)
+        kept = self._kept()
+        new = [(r["ts"], r["ts"], *(int(C.TYPE_CODE[r["type"]] == k) for k in range(3)), r["aid"], (r["aid"],)) for r in rows]
+        if kept:
+            self.handle.deleteTimer(self._first_end(kept))
+        yield from self._given_out(key[0], self._joined(kept + new), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if self.sums.exists():
-            yield self._ended(key[0])
+        yield from self._given_out(key[0], self._joined(self._kept()), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass

@@ -88,6 +88,30 @@ def test_keyed_sessions_end_by_time_to_live(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
 
 
+def test_keyed_sessions_by_the_watermark_alone(spark, tmp_path):
+    """An event that bridges two sessions joins them, and a session whose time to live ends with the watermark is given out."""
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    keyed.rocksdb(spark)
+    try:
+        minute = 60_000
+        batches = [
+            [(1, 5, 40 * minute, "clicks"), (2, 5, 2 * minute, "clicks"), (2, 6, 2 * minute, "carts")],
+            [(1, 6, 0, "carts"), (1, 5, 20 * minute, "orders"), (3, 1, 72 * minute, "clicks")],  # 0 and 40 are two sessions without 20
+            [(3, 2, 500 * minute, "clicks"), (4, 1, 468 * minute, "clicks"), (4, 1, 468 * minute + 1, "carts"), (5, 1, 468 * minute, "clicks")],
+        ]
+        batches = [[(session, aid, BASE + ts, kind) for session, aid, ts, kind in rows] for rows in batches]
+        found, _ = run(spark, keyed.session_features(batches_of(spark, batches, tmp_path / "in", EVENTS)), tmp_path)
+        found = found.withColumns({"session_start": F.col("session_start") - BASE, "last_ts": F.col("last_ts") - BASE})
+        assert rows_of(found, "session", "session_start", "last_ts", "length", "unique_items", "last_aid") == [
+            (1, 0, 40 * minute, 3, 2, 5),
+            (2, 2 * minute, 2 * minute, 2, 2, 6),
+            (3, 72 * minute, 72 * minute, 1, 1, 1),
+            (5, 468 * minute, 468 * minute, 1, 1, 1),  # 498 minutes: the watermark; 4 ends a millisecond later
+        ]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+
+
 def test_hits_of_streams_are_those_of_the_batch(spark, tmp_path):
     hour = 3_600_000
     shown = [[(1, BASE, [1, 2], [3], [4]), (2, BASE, [9], [], [])], [(1, BASE + 30 * hour, [7], [8], [])]]
