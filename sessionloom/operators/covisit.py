@@ -42,9 +42,17 @@ def unified_pairs(events: DataFrame, gap_ms: int = C.DAY_MS, window: int = C.WIN
     return ordered.distinct()
 
 
-def unified_edges(events: DataFrame, k: int = C.TOP_K, gap_ms: int = C.DAY_MS, **options) -> DataFrame:
-    """(aid1, aid2, wgt, rank): the k strongest neighbours of each item, ties to the greater id."""
+def unified_edges(events: DataFrame, k: int = C.TOP_K, gap_ms: int = C.DAY_MS, parts: int | None = None, **options) -> DataFrame:
+    """(aid1, aid2, wgt, rank): the k strongest neighbours of each item, ties to the greater id.
+
+    With ``parts`` pairs go both ways to so many parts by their first item, and are summed and ranked there.
+    """
     pairs = unified_pairs(events, gap_ms, **options)
+    if parts is not None:
+        bonus = pair_bonus(F.col("type1"), F.col("type2")).alias("bonus")
+        ways = F.explode(F.array(F.struct(F.col("aid1").alias("aid1"), F.col("aid2").alias("aid2")), F.struct(F.col("aid2").alias("aid1"), F.col("aid1").alias("aid2"))))
+        dealt = pairs.select(ways.alias("x"), bonus).select("x.*", "bonus").repartition(parts, "aid1")
+        return top_by(dealt.groupBy("aid1", "aid2").agg(F.sum("bonus").cast("long").alias("wgt")), ["aid1"], [F.desc("wgt"), F.desc("aid2")], k)
     sums = pairs.groupBy("aid1", "aid2").agg(F.sum(pair_bonus(F.col("type1"), F.col("type2"))).cast("long").alias("wgt"))
     both = sums.unionByName(sums.select(F.col("aid2").alias("aid1"), F.col("aid1").alias("aid2"), "wgt"))
     return top_by(both, ["aid1"], [F.desc("wgt"), F.desc("aid2")], k)

@@ -12,6 +12,7 @@ from sessionloom.functions import constants as C
 from sessionloom.operators import items as I
 from sessionloom.operators import sessions as S
 from sessionloom.operators.ordered import first_rows
+from sessionloom.sources.events import parts_for
 from sessionloom.sources.folders import shared_folder
 
 SOURCES = ("history", "popular", "clicks", "cart_order", "buy2buy")
@@ -24,8 +25,7 @@ DEALT = 1 << 16
 
 def dealt_by_session(rows: DataFrame, n: int) -> DataFrame:
     """About ``n`` rows by session, in so many parts that what sessions group, join and rank moves no more and stays in a task's memory."""
-    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(least, -(-n // DEALT)), "session")
+    return rows.repartition(parts_for(rows.sparkSession, n, DEALT), "session")
 
 
 def reciprocal_rank(history: DataFrame, neighbours: DataFrame, k: int = 20, depth: int = 20) -> DataFrame:

@@ -13,15 +13,24 @@ from sessionloom.operators import sessions as S
 from sessionloom.operators import splits as P
 from sessionloom.plans.analytics import _POPULAR, _sql, rounded
 from sessionloom.plans.graphs import _PARTS, MONTH_MS, _unified
-from sessionloom.sources.events import PURCHASE_SQL, WEB_SQL, purchase_events, web_events
+from sessionloom.sources.events import PURCHASE_SQL, WEB_SQL, parts_for, purchase_events, purchase_rows, web_events
 
 
 def reciprocal_rank(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_reciprocal(purchase_events(spark, d).persist(StorageLevel.MEMORY_AND_DISK)))
+    return rounded(_reciprocal(_dealt_purchases(spark, d)))
+
+
+def _dealt_purchases(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases by session, kept: what tails, lists and lengths group by session moves no more."""
+    return R.dealt_by_session(purchase_events(spark, d), purchase_rows(spark, d)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+#: Events whose pairs a task sums; each has about ten.
+PAIRED = 1 << 17
 
 
 def _reciprocal(events: DataFrame) -> DataFrame:
-    return R.reciprocal_rank(events, V.adjacency(V.unified_edges(events, gap_ms=MONTH_MS)))
+    return R.reciprocal_rank(events, V.adjacency(V.unified_edges(events, gap_ms=MONTH_MS, parts=parts_for(events.sparkSession, events.count(), PAIRED))))
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -108,7 +117,7 @@ def submission(spark: SparkSession, d: str) -> DataFrame:
 
 def served_lists(spark: SparkSession, d: str) -> DataFrame:
     """Sessions with an even number have a cached list (their first items), all have a computed one."""
-    events = purchase_events(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    events = _dealt_purchases(spark, d)
     lengths = events.groupBy("session").agg(F.count(F.lit(1)).alias("length"))
     items = events.groupBy("session").agg(F.slice(F.array_sort(F.collect_set("aid")), 1, 3).alias("items"))
     listed = _reciprocal(events).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("rank", "aid"))).alias("x"))

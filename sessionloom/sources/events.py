@@ -111,11 +111,28 @@ WEB_SQL = """ev AS (SELECT user_id AS session, CAST(json_extract_string(props, '
     FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase'))"""
 
 
+#: Rows that a task of a join or sort takes at most.
+TASK_ROWS = 1 << 19
+
+
+def parts_for(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
+    """The session's shuffle partitions, more of them where a part would have more than ``each`` rows: what a task sorts stays in its memory."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def purchase_rows(spark: SparkSession, sf_dir: str) -> int:
+    """How many rows ``purchase_events`` has at most; the files' footers tell it."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+
+
 def purchase_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` with ``orders``: customers are sessions, parts items, the return flag N a click, A a cart, R an order. Also line, to break ties."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_returnflag")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     kind = F.when(F.col("l_returnflag") == "N", "clicks").when(F.col("l_returnflag") == "A", "carts").otherwise("orders")
+    n = parts_for(spark, purchase_rows(spark, sf_dir))
+    if n > parts_for(spark, 0):
+        lines, orders = lines.repartition(n, "l_orderkey"), orders.repartition(n, "o_orderkey")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(F.col("o_custkey").alias("session"), F.col("l_partkey").alias("aid"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate) div 1000").alias("ts"), kind.alias("type"))
 
