@@ -6,6 +6,7 @@ pair all events of a session's tail within a time distance; the exploratory grap
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,13 +178,13 @@ def gap_pairs(events: DataFrame, tail: int = C.TAIL_SIZE) -> DataFrame:
 def bipartite_edges(events: DataFrame) -> DataFrame:
     """(src, dst, weight) both ways between dense session and item numbers, items after sessions; weight is the strongest type's.
 
-    Numbers follow id order. They come from sorted distinct ids by ranges, so no table is sorted in one task.
+    Numbers follow id order. They come from sorted distinct ids by ranges, so no table is sorted in one task. Edges are made once; all ids come from them.
     """
     weight = F.lit(0)
     for t, w in C.GRAPH_WEIGHT.items():
         weight = F.when(F.col("type") == t, w).otherwise(weight)
-    edges = events.groupBy("session", "aid").agg(F.max(weight).alias("weight"))
-    sessions, items = dense_ids(events.select("session"), "session"), dense_ids(events.select("aid"), "aid")
+    edges = events.groupBy("session", "aid").agg(F.max(weight).alias("weight")).persist(StorageLevel.MEMORY_AND_DISK)
+    sessions, items = dense_ids(edges, "session"), dense_ids(edges, "aid")
     n = sessions.agg(F.count(F.lit(1)).alias("n_sessions"))
     joined = edges.join(sessions.withColumnRenamed("dense", "s"), "session").join(items.withColumnRenamed("dense", "i"), "aid").crossJoin(F.broadcast(n)).withColumn("i", F.col("i") + F.col("n_sessions"))
     return joined.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("i").alias("dst"), "weight"), F.struct(F.col("i").alias("src"), F.col("s").alias("dst"), "weight"))).alias("x")).select("x.*")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.operators import covisit as V
 from sessionloom.operators import sessions as S
 from sessionloom.operators import splits as P
 from sessionloom.plans.analytics import _FLAGS, _sql, _web, rounded  # noqa: F401
-from sessionloom.sources.events import PURCHASE_SQL, WEB_SQL, purchase_events, web_events
+from sessionloom.sources.events import PURCHASE_SQL, WEB_SQL, parts_for, purchase_events, purchase_rows, web_events
 
 MONTH_MS = 30 * 86_400_000
 _text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
@@ -57,6 +57,11 @@ def one_week(events: DataFrame) -> DataFrame:
     return events.withColumn("session", F.col("session") * 10 + F.expr("ts div 604800000 % 10"))
 
 
+def bipartite(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases as a graph; in parts by session, so that they are grouped where they are."""
+    return V.bipartite_edges(purchase_events(spark, d).repartition(parts_for(spark, purchase_rows(spark, d)), "session"))
+
+
 WEEKLY_SQL = WEB_SQL.replace("ev AS (", "ev0 AS (", 1) + ", ev AS (SELECT session * 10 + ts // 604800000 % 10 AS session, aid, ts, type FROM ev0)"
 
 QUERIES = {
@@ -70,7 +75,7 @@ QUERIES = {
     "covisit_explore_crowded": _web(lambda e: V.explore_edges(e.withColumn("session", F.expr("session % 5")), above=3.0, limit=64)),
     "adjacency_text": lambda s, d: V.adjacency(V.unified_edges(purchase_events(s, d), gap_ms=MONTH_MS)).select("aid", F.array_join(F.transform("candidates", lambda x: F.concat_ws(":", x["aid2"].cast("string"), x["wgt"].cast("long").cast("string"))), " ").alias("candidates")),
     "gap_pairs": _web(V.gap_pairs),
-    "bipartite_edges": lambda s, d: V.bipartite_edges(purchase_events(s, d)),
+    "bipartite_edges": bipartite,
     "future_labels": _web(labels_text),
     "history_split": _web(history_counts),
     "ground_truth": _web(truth_text),

@@ -27,3 +27,10 @@ def test_dealt_purchases_are_grouped_where_they_are(spark):
     plan = V.tails(dealt)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("InMemoryTableScan")]
     dealt.unpersist()
+
+
+def test_purchases_are_joined_once_for_the_graph(spark):
+    events = spark.createDataFrame([(s, k % 7, k, "carts") for s in range(20) for k in range(9)], EVENTS)
+    plan = V.bipartite_edges(events)._jdf.queryExecution().analyzed().toString()
+    kept = V.bipartite_edges(events)._jdf.queryExecution().withCachedData().toString()
+    assert "LogicalRDD" not in kept and kept.count("InMemoryRelation") == plan.count("LogicalRDD") > 1
