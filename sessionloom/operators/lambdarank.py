@@ -164,17 +164,21 @@ def _piece_sums(weights: np.ndarray, k: int):
     return run
 
 
-def packed(rows: DataFrame, features: list[str], scale: dict[str, float]) -> DataFrame:
+def packed(rows: DataFrame, features: list[str], scale: dict[str, float], labels: int = 1) -> DataFrame:
     """(session, piece, pieces, hits, rows): the candidates of sessions that have both hits and misses; rows: item, label and x, features by their scale.
 
-    rows: session, candidate_aid, label (0 or 1) and the features; null and NaN features count 0.
+    rows: session, candidate_aid, label (0 or 1) and the features; null and NaN features count 0. With more ``labels`` each is a bit of the label, ``hits``
+    an array, and ``n`` the session's candidates; sessions that have both of any of them are packed.
     """
     x = F.array(*(F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) / scale[c] for c in features))
     given = rows.select("session", F.col("candidate_aid").cast("long").alias("item"), F.col("label").cast("long").alias("label"), x.alias("x"))
-    counts = given.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits"))
-    counts = counts.filter((F.col("hits") > 0) & (F.col("hits") < F.col("n"))).select(F.col("session").alias("of"), "hits", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
+    each = [F.sum(F.shiftright("label", b).bitwiseAND(1)) for b in range(labels)]
+    counts = given.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.array(*each).alias("hits"))
+    counts = counts.filter(F.exists("hits", lambda h: (h > 0) & (h < F.col("n"))))
+    counts = counts.select(F.col("session").alias("of"), (F.col("hits") if labels > 1 else F.col("hits")[0]).alias("hits"), F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"), *(["n"] if labels > 1 else []))
     dealt = given.join(counts, F.col("session") == F.col("of")).withColumn("piece", F.pmod(F.xxhash64("item"), F.col("pieces")).cast("int"))
-    return dealt.groupBy("session", "piece", "pieces", "hits").agg(F.collect_list(F.struct("item", "label", "x")).alias("rows"))
+    keys = ["session", "piece", "pieces", "hits", *(["n"] if labels > 1 else [])]
+    return dealt.groupBy(*keys).agg(F.collect_list(F.struct("item", "label", "x")).alias("rows"))
 
 
 def sum_rows(whole: DataFrame, wide: DataFrame | None, weights: np.ndarray, k: int) -> DataFrame:
@@ -216,12 +220,33 @@ def fit(rows: DataFrame, features: list[str], k: int = 20, rounds: int = 12, rid
 
     rows: session, candidate_aid, label and the features. Sessions without a hit or without a miss teach nothing; if none teaches, all weights are 0.
     """
+    return fit_targets(rows, features, {"label": "label"}, k, rounds, ridge)["label"]
+
+
+def fit_targets(rows: DataFrame, features: list[str], labels: dict[str, str], k: int = 20, rounds: int = 12, ridge: float = 0.01) -> dict[str, Ranker]:
+    """As ``fit`` for each of several labels (name: column) of the same rows, which are packed and written once."""
     spark = rows.sparkSession
     spread = rows.agg(*(F.stddev(F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))).alias(c) for c in features)).first()
     scale = {c: float(spread[c]) if spread[c] else 1.0 for c in features}
+    names = list(labels)
+    # a label is a bit
+    bits = sum((F.col(c).cast("long") * (1 << b) for b, c in enumerate(labels.values())), F.lit(0).cast("long"))
     path = shared_folder(spark, "pairs") + "/packed"
-    packed(rows, features, scale).write.parquet(path)
+    packed(rows.select(*(c for c in rows.columns if c != "label"), bits.alias("label")), features, scale, len(names)).write.parquet(path)
     table = spark.read.parquet(path)
+    return {name: _fitted(_of_label(table, b, len(names)), features, scale, k, rounds, ridge) for b, name in enumerate(names)}
+
+
+def _of_label(table: DataFrame, bit: int, many: int) -> DataFrame:
+    """The packed sessions that teach one label."""
+    if many == 1:
+        return table
+    own = F.transform("rows", lambda r: F.struct(r["item"].alias("item"), F.shiftright(r["label"], bit).bitwiseAND(1).alias("label"), r["x"].alias("x")))
+    hits = F.col("hits")[bit]
+    return table.filter((hits > 0) & (hits < F.col("n"))).select("session", "piece", "pieces", hits.alias("hits"), own.alias("rows"))
+
+
+def _fitted(table: DataFrame, features: list[str], scale: dict[str, float], k: int, rounds: int, ridge: float) -> Ranker:
     whole, wide = table.filter("pieces = 1"), table.filter("pieces > 1")
     wide = None if wide.isEmpty() else wide
     best = tried = step = np.zeros(len(features))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import constants as C
 from sessionloom.operators import items as I
 from sessionloom.operators import sessions as S
-from sessionloom.operators.ordered import first_rows
+from sessionloom.operators.ordered import among_first
 from sessionloom.sources.events import parts_for
 from sessionloom.sources.folders import shared_folder
 
@@ -54,37 +54,74 @@ def reciprocal_rank(history: DataFrame, neighbours: DataFrame, k: int = 20, dept
     return out.select("session", "rank", "aid", "score", objective.alias("objective"))
 
 
-def candidates(history: DataFrame, graphs: dict[str, DataFrame], popular: DataFrame) -> DataFrame:
-    """Distinct (session, candidate_aid) of five sources with a flag a source, and for each graph the least rank and greatest weight.
+#: Items whose neighbour lists, and whose features, every task may hold: about 10 MB.
+HELD_LISTS, HELD_ITEMS = 1 << 13, 1 << 16
+#: What candidates may carry of the session's own events with the item.
+CARRIED = ("repetitions", "item_last_ts", "item_first_ts")
+_ENTRY = "struct<candidate_aid: long, source: int, rank: int, wgt: double>"
 
-    One grouping of a tagged union; an absent rank is 999, an absent weight 0. ``popular`` is a short list of items (aid).
-    """
-    seen = history.select("session", "aid").distinct()
-    nothing = {f"{x}_{g}": F.lit(None).cast("double" if x == "wgt" else "int") for g in GRAPHS for x in ("rank", "wgt")}
 
-    def tagged(rows: DataFrame, source: str, own: dict[str, Column] | None = None) -> DataFrame:
-        return rows.select("session", "candidate_aid", F.lit(source).alias("source"), *(v.alias(n) for n, v in (nothing | (own or {})).items()))
+def _entry(aid: str | Column, source: int, rank: str | None = None, wgt: str | None = None) -> Column:
+    value = lambda c: F.lit(None) if c is None else F.col(c)
+    return F.struct((F.col(aid) if isinstance(aid, str) else aid).alias("candidate_aid"), F.lit(source).alias("source"), value(rank).alias("rank"), value(wgt).alias("wgt")).cast(_ENTRY)
 
-    parts = [tagged(seen.withColumnRenamed("aid", "candidate_aid"), "history")]
+
+def candidates(history: DataFrame, graphs: dict[str, DataFrame], popular: DataFrame, truth: DataFrame | None = None, carry: bool = False) -> DataFrame:
+    """Distinct (session, candidate_aid) of five sources with a flag a source, and for each graph the least rank and greatest weight.
+
+    An absent rank is 999, an absent weight 0. ``popular`` is a short list of items (aid). Items seen, with their neighbour lists, move to their session
+    and are written out and grouped there, so candidates themselves do not move; the lists of a small catalogue do not either. With ``carry`` come the
+    session's repetitions and times of the item, with ``truth`` (session, type, ground_truth) flags ``hit_...`` of each type.
+    """
+    near = None
+    for k, g in enumerate(GRAPHS, 2):
+        part = graphs[g].select("aid", _entry("candidate_aid", k, "rank", "wgt").alias("x"))
+        near = part if near is None else near.unionByName(part)
+    near = near.groupBy("aid").agg(F.collect_list("x").alias("near"))
+    seen = S.interaction_features(history).withColumnsRenamed({"last_ts": "item_last_ts", "first_ts": "item_first_ts"}).withColumns({"own": F.lit(True), "more": F.lit(None).cast(f"array<{_ENTRY}>")})
+    n, small = history.count(), history.select("aid").distinct().count() <= HELD_LISTS
     # the popular list has at most a few items a type
-    parts.append(tagged(seen.select("session").distinct().crossJoin(F.broadcast(popular.select(F.col("aid").alias("candidate_aid")))), "popular"))
-    for g in GRAPHS:
-        parts.append(tagged(seen.join(graphs[g], "aid"), g, {f"rank_{g}": F.col("rank").cast("int"), f"wgt_{g}": F.col("wgt")}))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    flags = [F.max((F.col("source") == s).cast("int")).alias(f"source_{s}") for s in SOURCES]
-    best = [c for g in GRAPHS for c in (F.coalesce(F.min(f"rank_{g}"), F.lit(C.RANK_MISSING)).alias(f"rank_{g}"), F.coalesce(F.max(f"wgt_{g}"), F.lit(0.0)).alias(f"wgt_{g}"))]
-    return union.groupBy("session", "candidate_aid").agg(*flags, *best)
+    listed = popular.agg(F.collect_list(_entry("aid", 1)).alias("more"))
+    parts = [history.select("session").distinct().crossJoin(F.broadcast(listed))]
+    types = {t: 2 + len(GRAPHS) + k for k, t in enumerate(C.EVENT_TYPES)}
+    if truth is not None:
+        for t, source in types.items():
+            hits = F.transform("ground_truth", lambda aid: _entry(aid, source))  # noqa: B023
+            parts.append(truth.filter(F.col("type") == t).select("session", hits.alias("more")))
+    moved = seen if small else seen.join(near, "aid", "left")
+    for p in parts:
+        moved = moved.unionByName(p, allowMissingColumns=True)
+    moved = dealt_by_session(moved, n)
+    if small:
+        moved = moved.join(F.broadcast(near), "aid", "left")
+    nothing = F.array().cast(f"array<{_ENTRY}>")
+    own = F.when(F.col("own"), F.array(_entry("aid", 0))).otherwise(nothing)
+    rows = moved.select("session", F.explode(F.concat(own, *(F.coalesce(c, nothing) for c in ("near", "more")))).alias("x"), *CARRIED).select("session", "x.*", *CARRIED)
+    of = lambda k, c: F.when(F.col("source") == k, F.col(c))
+    flags = [F.max((F.col("source") == k).cast("int")).alias(f"source_{s}") for k, s in enumerate(SOURCES)]
+    best = [c for k, g in enumerate(GRAPHS, 2) for c in (F.coalesce(F.min(of(k, "rank")), F.lit(C.RANK_MISSING)).alias(f"rank_{g}"), F.coalesce(F.max(of(k, "wgt")), F.lit(0.0)).alias(f"wgt_{g}"))]
+    also = [F.max(of(0, c)).alias(c) for c in CARRIED] if carry else []
+    if truth is not None:
+        also += [F.max((F.col("source") == k).cast("int")).alias(f"hit_{t}") for t, k in types.items()]
+    found = rows.groupBy("session", "candidate_aid").agg(*flags, *best, *also)
+    return found if truth is None else found.filter(F.greatest(*(f"source_{s}" for s in SOURCES)) == 1)
 
 
 def assemble(found: DataFrame, history: DataFrame, events: DataFrame, recent_days: int = 7) -> DataFrame:
-    """Candidates with item features (all time and recent), session and interaction features, and what derives from them."""
-    of_item = lambda d: d.withColumnRenamed("aid", "candidate_aid")
-    inter = S.interaction_features(history).withColumnRenamed("aid", "candidate_aid").withColumnsRenamed({"last_ts": "item_last_ts", "first_ts": "item_first_ts"})
-    last = S.last_items(history).select("session", "last_aid")
-    rows = found.join(of_item(I.item_features(events, "all")), "candidate_aid", "left").join(of_item(I.item_features(I.recent(events, recent_days), "7d")), "candidate_aid", "left")
-    rows = rows.join(S.session_features(history), "session", "left").join(inter, ["session", "candidate_aid"], "left").join(last, "session", "left")
+    """Candidates with item features (all time and recent), session and interaction features, and what derives from them.
+
+    Interaction features are taken from candidates that carry them; then candidates of a catalogue of up to HELD_ITEMS items do not move.
+    """
+    carried = [c for c in CARRIED if c in found.columns]
+    items = I.item_features(events, "all").join(I.item_features(I.recent(events, recent_days), "7d"), "aid", "left").withColumnRenamed("aid", "candidate_aid")
+    if events.select("aid").distinct().count() <= HELD_ITEMS:
+        items = F.broadcast(items)
+    of_session = S.session_features(history).join(S.last_items(history).select("session", "last_aid"), "session", "left")
+    rows = found.join(items, "candidate_aid", "left").join(of_session, "session", "left")
+    if not carried:
+        inter = S.interaction_features(history).withColumnRenamed("aid", "candidate_aid").withColumnsRenamed({"last_ts": "item_last_ts", "first_ts": "item_first_ts"})
+        rows = rows.join(inter, ["session", "candidate_aid"], "left")
+    rows = rows.select("session", "candidate_aid", *(c for c in rows.columns if c not in ("session", "candidate_aid", "last_aid", *CARRIED)), *CARRIED, "last_aid")
     r = {g: F.col(f"rank_{g}") for g in GRAPHS}
     least, most = F.least(*r.values()), F.greatest(*r.values())
     filled = [c for c in rows.columns if c not in ("session", "candidate_aid", "item_last_ts", "item_first_ts", "last_aid")]
@@ -109,7 +146,9 @@ def assemble(found: DataFrame, history: DataFrame, events: DataFrame, recent_day
 
 
 def labelled(found: DataFrame, truth: DataFrame, kind: str) -> DataFrame:
-    """Candidates with ``label``: 1 if the item comes with that type. truth: (session, type, ground_truth)."""
+    """Candidates with ``label``: 1 if the item comes with that type. truth: (session, type, ground_truth); candidates that have flags of it need no join."""
+    if f"hit_{kind}" in found.columns:
+        return found.withColumn("label", F.col(f"hit_{kind}"))
     hits = truth.filter(F.col("type") == kind).select("session", F.explode("ground_truth").alias("candidate_aid")).distinct().withColumn("hit", F.lit(1))
     return found.join(hits, ["session", "candidate_aid"], "left").withColumn("label", F.coalesce("hit", F.lit(0))).drop("hit")
 
@@ -118,7 +157,7 @@ def training_rows(rows: DataFrame, popularity: str = "click_all", per_positive:
     """All positives and min(per_positive times as many, all) negatives: the most popular first half, the rest random among the others.
 
     Random order is a hash of the keys with the seed (without a seed an arithmetic rule, session * 31 + item modulo 1009). The rows are kept while
-    the cuts are sought (see ``ordered.first_rows``), so that they are made once.
+    the cuts are sought (see ``ordered.among_first``), so that they are made once; (session, candidate_aid) are distinct.
     """
     draw = F.pmod(F.col("session") * 31 + F.col("candidate_aid"), F.lit(1009)) if seed is None else F.xxhash64("session", "candidate_aid", F.lit(seed))
     kept = rows.withColumn("draw", draw).persist(StorageLevel.MEMORY_AND_DISK)
@@ -127,10 +166,9 @@ def training_rows(rows: DataFrame, popularity: str = "click_all", per_positive:
     hard_n = int(popular_share * n)
     negatives = kept.filter("label = 0")
     keys = ["session", "candidate_aid"]
-    hard = first_rows(negatives, [(popularity, True), *((c, False) for c in keys)], hard_n)
-    rest = negatives.join(hard.select(*keys), keys, "left_anti")
-    rest = first_rows(rest, [("draw", False), *((c, False) for c in keys)], n - hard_n)
-    return kept.filter("label = 1").unionByName(hard).unionByName(rest).drop("draw")
+    hard = among_first(negatives, [(popularity, True), *((c, False) for c in keys)], hard_n)
+    rest = among_first(negatives.filter(~hard), [("draw", False), *((c, False) for c in keys)], n - hard_n)
+    return kept.filter((F.col("label") == 1) | ((F.col("label") == 0) & (hard | rest))).drop("draw")
 
 
 def uniform_negatives(history: DataFrame, items: DataFrame, per_session: int = 20, seed: int | None = 42, unseen: bool = True) -> DataFrame:

@@ -24,17 +24,17 @@ ROUNDS = 6
 
 def lambdarank_recommend(spark: SparkSession, d: str) -> DataFrame:
     """For each target a ranker fitted to all labelled candidates, and the 20 best of each session."""
-    history, future, found = _parts(spark, d)
+    history, _, found = _parts(spark, d, labels=True, carry=True)
     rows = R.assemble(found, history, history).persist(StorageLevel.MEMORY_AND_DISK)
-    features = [c for c in rows.columns if c not in KEYS]
-    truth = P.ground_truth(future)
-    rankers = {kind: L.fit(R.labelled(rows, truth, kind), features, rounds=ROUNDS) for kind in EVENT_TYPES}
+    hits = {kind: f"hit_{kind}" for kind in EVENT_TYPES}
+    features = [c for c in rows.columns if c not in (*KEYS, *hits.values())]
+    rankers = L.fit_targets(rows, features, hits, rounds=ROUNDS)
     return R.recommend_targets(rows, {kind: ranker.score for kind, ranker in rankers.items()})
 
 
 def lambda_gradients(spark: SparkSession, d: str) -> DataFrame:
     """Of the pairs that NDCG@20 weights, the gradient by feature at fixed weights; NDCG and the number of sessions beside it."""
-    _, future, found = _parts(spark, d)
+    _, future, found = _parts(spark, d, labels=True)
     rows = R.labelled(found, P.ground_truth(future), "clicks")
     features = list(_WEIGHTS)
     packed = L.packed(rows, features, dict.fromkeys(features, 1.0)).persist(StorageLevel.MEMORY_AND_DISK)

@@ -33,13 +33,13 @@ def _reciprocal(events: DataFrame) -> DataFrame:
     return R.reciprocal_rank(events, V.adjacency(V.unified_edges(events, gap_ms=MONTH_MS, parts=parts_for(events.sparkSession, events.count(), PAIRED))))
 
 
-def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _parts(spark: SparkSession, d: str, labels: bool = False, carry: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     events = web_events(spark, d)
     history, future = P.history_split(events)
     # three graphs, popular items, what was seen and features are made of it
     history = history.persist(StorageLevel.MEMORY_AND_DISK)
     graphs = {g: V.typed_edges(history, g) for g in R.GRAPHS}
-    return history, future, R.candidates(history, graphs, I.popular_candidates(history))
+    return history, future, R.candidates(history, graphs, I.popular_candidates(history), P.ground_truth(future) if labels else None, carry)
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -47,17 +47,17 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidate_features(spark: SparkSession, d: str) -> DataFrame:
-    history, _, found = _parts(spark, d)
+    history, _, found = _parts(spark, d, carry=True)
     return rounded(R.assemble(found, history, history))
 
 
 def candidate_labels(spark: SparkSession, d: str) -> DataFrame:
-    _, future, found = _parts(spark, d)
+    _, future, found = _parts(spark, d, labels=True)
     return R.labelled(found, P.ground_truth(future), "clicks").select("session", "candidate_aid", "label")
 
 
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
-    history, future, found = _parts(spark, d)
+    history, future, found = _parts(spark, d, labels=True, carry=True)
     rows = R.labelled(R.assemble(found, history, history), P.ground_truth(future), "clicks").select("session", "candidate_aid", "click_all", "label")
     return R.training_rows(rows, seed=None)
 
@@ -79,10 +79,10 @@ def fallback_recommend(spark: SparkSession, d: str) -> DataFrame:
 
 def fitted_recommend(spark: SparkSession, d: str) -> DataFrame:
     """Fit the ranker on labelled candidates and recommend with it."""
-    history, future, found = _parts(spark, d)
-    rows = R.assemble(found, history, history)
-    train = R.training_rows(R.labelled(rows, P.ground_truth(future), "clicks"))
+    history, future, found = _parts(spark, d, labels=True, carry=True)
     features = ["wgt_clicks", "wgt_cart_order", "wgt_buy2buy", "source_history", "source_popular", "click_all", "click_7d", "repetitions", "n_sources_present", "log_recency"]
+    rows = R.assemble(found, history, history).select("session", "candidate_aid", *features, "hit_clicks").persist(StorageLevel.MEMORY_AND_DISK)
+    train = R.training_rows(R.labelled(rows, P.ground_truth(future), "clicks"))
     return R.recommend(R.fit_ranker(train, features)[0](rows))
 
 
