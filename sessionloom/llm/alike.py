@@ -220,10 +220,11 @@ def _candidates(radius: int, least: float):
 def candidates(nodes: DataFrame, radius: int, least: float) -> DataFrame:
     """Pairs a > b to check; and, where of_group, rows a of the groups b that are to be compared further."""
     carried = [*COLUMNS, "size", "sketch"]
-    banded = nodes.select("id", *carried, F.explode("keys").alias("key"))
+    banded = nodes.select("id", F.explode("keys").alias("key"))
     shared = written(banded.groupBy("key").count().filter("count > 1").select(F.col("key").alias("of_key"), F.ceil(F.col("count") / simhash.SPLIT).alias("slices")), "shared")
-    # rows that meet no other are left here
-    sized = banded.join(shared.hint("shuffle_merge"), F.col("key") == F.col("of_key"))
+    # rows that meet no other are left here, before fingerprints and sketches move: those come to the rows that are left
+    met = banded.join(shared.hint("shuffle_merge"), F.col("key") == F.col("of_key")).select(F.col("id").alias("met_id"), "key", "slices")
+    sized = met.join(nodes.select("id", *carried).hint("shuffle_merge"), F.col("met_id") == F.col("id"))
     # slice s meets every slice t, as the unordered pair (s, t); a bucket of one slice has the pair (0, 0)
     dealt = sized.withColumn("s", F.pmod(F.xxhash64("id"), F.col("slices"))).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     dealt = dealt.filter("slices = 1 or s != t").select("id", *carried, "key", F.least("s", "t").cast("int").alias("low"), F.greatest("s", "t").cast("int").alias("high"))
@@ -362,10 +363,19 @@ def one_each(docs: DataFrame, **near) -> DataFrame:
         key = F.xxhash64(F.coalesce(rows["text"].cast("string"), F.lit("")))
         return rows["doc_id"].eqNullSafe(keys["doc_id"]) & (key == keys["text_key"])
 
-    left = docs.join(gone, same(docs, gone), "left_anti")
+    aside, maybe = _apart(docs, gone)
+    left = aside.unionByName(maybe.join(gone.hint("shuffle_merge"), same(maybe, gone), "left_anti"))
     if again.isEmpty():
         return left
+    aside, maybe = _apart(left, again)
     # texts of one key are equal, so the first of them is that of them all
-    row = F.first(F.struct(*(left[c] for c in docs.columns))).alias("row")
-    once = left.join(again, same(left, again)).groupBy(again["doc_id"], again["text_key"]).agg(row).select("row.*")
-    return left.join(again, same(left, again), "left_anti").unionByName(once)
+    row = F.first(F.struct(*(maybe[c] for c in docs.columns))).alias("row")
+    once = maybe.join(again.hint("shuffle_merge"), same(maybe, again)).groupBy(again["doc_id"], again["text_key"]).agg(row).select("row.*")
+    return aside.unionByName(maybe.join(again.hint("shuffle_merge"), same(maybe, again), "left_anti")).unionByName(once)
+
+
+def _apart(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that are surely not among the keys (doc_id, text_key), which no join needs to move, and those that may be."""
+    bits = simhash._sieve_bits(keys.select(F.xxhash64("doc_id", "text_key").alias("key")), "key")
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    return tuple(keyed.mapInArrow(tidy(simhash._sifted(bits, among)), keyed.schema).drop("key") for among in (False, True))

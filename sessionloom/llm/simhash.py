@@ -450,23 +450,32 @@ def _similar(least: float):
 SIEVE_BITS = 1 << 23
 
 
-def _sieve(keys: DataFrame, column: str):
-    """Lets through the rows whose ``key`` may be among the keys. It only saves moving texts: too many keys let all rows through, and the join decides."""
+def _sieve_bits(keys: DataFrame, column: str) -> np.ndarray:
+    """The bits of the sieve that the keys set, 64 a word."""
     slot = F.pmod(F.col(column), F.lit(SIEVE_BITS))
     words = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 64))")).alias("bits")).collect()
     table = np.zeros(SIEVE_BITS // 64, np.int64)
     for r in words:  # SIEVE_BITS / 64 rows at most
         table[r["word"]] = r["bits"]
-    table = table.view(np.uint64)
+    return table.view(np.uint64)
+
+
+def _sifted(table: np.ndarray, among: bool = True):
+    """Lets through the rows whose ``key`` may be among the keys of the sieve; with ``among`` false the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.mod(batch["key"].to_numpy(zero_copy_only=False), SIEVE_BITS)
-            yield batch.filter(pa.array((table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            yield batch.filter(pa.array((table[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool) == among))
 
     return run
 
 
+def _sieve(keys: DataFrame, column: str):
+    """Lets through the rows whose ``key`` may be among the keys. It only saves moving texts: too many keys let all rows through, and the join decides."""
+    return _sifted(_sieve_bits(keys, column))
+
+
 def _stacked(table: pa.Table | pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return np.stack([np.asarray(table[c]) for c in columns], 1)
 

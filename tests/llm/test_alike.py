@@ -164,3 +164,25 @@ def test_components(spark, shape):
     got = simhash.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
     assert len(got) == len({x.id for x in got})
     assert {x.id: x.root for x in got} == {k: v for k, v in root.items() if k != v}
+
+
+def test_texts_that_stay_are_not_moved(spark):
+    """The pipeline check: with no broadcast, all texts were shuffled to meet the few that go."""
+    texts = [f"a{k} b{k} c{k} d{k} e{k} f{k} g{k}" for k in range(300)] + [f"a{k} b{k} c{k} d{k} e{k} f{k} g{k}" for k in range(0, 300, 30)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (299, texts[5]), (6, None), (None, None)], "doc_id long, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = alike.one_each(docs, **corpus_pipeline.NEAR)
+        got = left.collect()
+        branches = left._jdf.queryExecution().sparkPlan().children()
+        plain = [branches.apply(k).toString() for k in range(branches.size())]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    want = [*((k, texts[k]) for k in range(300)), (6, None)]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+    assert any("Join" not in p and "Aggregate" not in p for p in plain)
+    gone = docs.filter("doc_id < 40").select("doc_id", simhash.F.xxhash64(simhash.F.coalesce("text", simhash.F.lit(""))).alias("text_key"))
+    aside, maybe = alike._apart(docs, gone)
+    assert {r.doc_id for r in maybe.collect()} >= set(range(40))
+    assert aside.count() + maybe.count() == docs.count() and aside.count() > 200
