@@ -142,13 +142,15 @@ def _crowded_sums(rows: DataFrame, gap_ms: int, limit: int) -> DataFrame:
     every later one. Cells keep a count and a weight of each item; cells of many items are dealt as pairs of slices of about ``limit`` items.
     """
     cell = ["session", "at", "level", "prefix"]
+    # events of an item at one time are in the same cells: they go there as one row
+    rows = rows.groupBy("session", "at", "offset", "aid").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
     # level -1 is the stretch itself, where each event is on both sides
     entries = rows.withColumn("step", F.explode(F.array(*[F.lit(k) for k in range(-2, (gap_ms - 1).bit_length())])))
     early = F.when(F.col("step") < 0, F.col("step") == -1).otherwise(F.expr("shiftright(offset, step) & 1 = 1"))
     entries = entries.withColumn("early", early).withColumn("level", F.greatest("step", F.lit(-1)))
     entries = entries.withColumn("prefix", F.when(F.col("step") < 0, 0).otherwise(F.expr("shiftright(offset, step + 1)")))
     entries = entries.withColumn("at", F.when((F.col("step") >= 0) & ~F.col("early"), F.col("at") - gap_ms).otherwise(F.col("at")))
-    items = entries.groupBy(*cell, "early", "aid").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    items = entries.groupBy(*cell, "early", "aid").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
     slices = lambda side: F.ceil(F.count_if(side) / limit).cast("int")
     cells = items.groupBy(*cell).agg(slices(F.col("early")).alias("early_slices"), slices(~F.col("early")).alias("late_slices"))
     dealt = items.join(cells.filter("early_slices > 0 AND late_slices > 0"), cell)
