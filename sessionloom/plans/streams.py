@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.plans.analytics import _POPULAR, WEB_SQL, _sql, rounded, with_model
 from sessionloom.plans.analytics import ORACLES as _analytics
 from sessionloom.plans.graphs import _unified
-from sessionloom.sources.events import PURCHASE_SQL, decode_messages, micros, web_events
+from sessionloom.sources.events import PURCHASE_SQL, TASK_ROWS, decode_messages, micros, web_events
 from sessionloom.sources.folders import shared_folder
 from sessionloom.streaming import keyed
 from sessionloom.streaming import unified as U
@@ -31,15 +31,23 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_model(flat)
 
 
+#: Rows of a file that a stream reads, so that a batch of many rows is many tasks.
+FILE_ROWS = 1 << 17
+
+
 def quarter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same events in four files, one a quarter of their time, each a batch of its own."""
+    """The same events in four parts, one a quarter of their time, each a batch of its own, of as many files as any other."""
     base, events = _folder(spark), with_model(web_events(spark, sf_dir)).persist()
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
-    quarter = F.floor((F.col("ts") - F.lit(first)) * 4 / F.lit(last - first + 1))
+    first, last, rows = events.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
+    files = min(events.rdd.getNumPartitions(), max(1, -(-rows // (4 * FILE_ROWS))))
+    starts = [first + -(-(last - first + 1) * k // 4) for k in range(5)]
     for k in range(4):
-        events.filter(quarter == k).coalesce(1).write.mode("append").parquet(f"{base}/events")
+        events.filter((F.col("ts") >= starts[k]) & (F.col("ts") < starts[k + 1])).coalesce(files).write.mode("append").parquet(f"{base}/events")
+        # tasks without rows write no file, and a batch is told by its number of files
+        for _ in range(files * (k + 1) - len(spark.read.schema(events.schema).parquet(f"{base}/events").inputFiles())):
+            events.limit(0).coalesce(1).write.mode("append").parquet(f"{base}/events")
     events.unpersist()
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/events")
 
 
 KEYS = {"popular_items": ["time_scope", "event_type", "aid"], "stats_items": ["aid"], "stats_sessions": ["session_type"], "advanced_funnel_stats": ["model_used"]}
@@ -160,7 +168,8 @@ def streamed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unified graph after four batches, each of which changes what its sessions touch."""
     base = _folder(spark)
-    sink = GraphSink(f"{base}/graph", gap_ms=30 * 86_400_000)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    sink = GraphSink(f"{base}/graph", gap_ms=30 * 86_400_000, parts=max(8, -(-rows // TASK_ROWS)))
     writer = quarter_stream(spark, sf_dir).writeStream.foreachBatch(sink.write).option("checkpointLocation", f"{base}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
     return sink.read(spark)
