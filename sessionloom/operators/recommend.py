@@ -357,17 +357,29 @@ def pruned_top(users: DataFrame, items: DataFrame, k: int = 20, levels: int = 6,
     return I.top_by(best, ["user"], [F.desc("score"), F.asc("item")], k).select("user", "rank", "item", "score")
 
 
+#: Interactions of a block of the factorisation, on average at most.
+RATED = 1 << 22
+
+
 def als_top(interactions: DataFrame, k: int = 20, rank: int = 16, iterations: int = 5, seed: int = 42) -> DataFrame:
-    """Implicit matrix factorisation and its top k items a user: (user, rank, item, score). interactions: (user int, item int, weight)."""
+    """Implicit matrix factorisation and its top k items a user: (user, rank, item, score). interactions: (user int, item int, weight).
+
+    A task of the fit holds a block of users or items with all their interactions, and the factors that these ask for: there are ten blocks, and more
+    where they would have more than RATED interactions. With a checkpoint folder an iteration's shuffles need not stay until the fit ends.
+    """
     from pyspark.ml.recommendation import ALS
 
-    model = ALS(rank=rank, maxIter=iterations, implicitPrefs=True, seed=seed, userCol="user", itemCol="item", ratingCol="weight").fit(interactions)
+    # kept, as the fit would make them once more only to log their partitions
+    rows = interactions.persist(StorageLevel.DISK_ONLY)
+    als = ALS(rank=rank, maxIter=iterations, implicitPrefs=True, seed=seed, userCol="user", itemCol="item", ratingCol="weight", checkpointInterval=1)
+    model = als.setNumBlocks(max(10, -(-rows.count() // RATED))).fit(rows)
+    rows.unpersist()
     best = factor_top(model.userFactors, model.itemFactors, k)
     return best.select(F.col("user").cast("int").alias("user"), "rank", F.col("item").cast("int").alias("item"), "score")
 
 
-#: Users of a block at most, and those and the items whose scores are worked out at once.
-BLOCK_USERS, TILE_USERS, TILE_ITEMS = 65536, 256, 2048
+#: Users of a block at most, and those and the items whose products are worked out at once.
+BLOCK_USERS, TILE_USERS, TILE_ITEMS = 1 << 18, 512, 1024
 _PACK = "block int, side int, top double, ids binary, vectors binary"
 
 
@@ -394,52 +406,77 @@ class _Best:
 
         self.ids, self.x, self.k = ids, vectors, k
         self.length = np.sqrt((vectors.astype(float) ** 2).sum(1))
-        self.score, self.item = np.full((len(ids), k), -np.inf, np.float32), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.score, self.item = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.open = np.arange(len(ids))
+        self.product, self.hit = np.empty(TILE_USERS * TILE_ITEMS, np.float32), np.zeros(TILE_USERS * TILE_ITEMS, bool)
+        # for an item of length 1, above the error of a product in single precision
+        self.slack = self.length * (vectors.shape[1] * 2.0**-22)
 
     def add(self, ids, vectors, top: float) -> None:
-        """Items of no more than that length."""
+        """Items of no more than that length, which is at most that of the call before."""
         import numpy as np
 
-        for at in range(0, len(self.ids), TILE_USERS):
-            here = slice(at, at + TILE_USERS)
-            kth = self.score[here, -1]
-            # a little more than the bound, for rounding
-            if np.all(self.length[here] * top * (1 + 1e-5) < kth):
-                continue
-            rows, items, scores = [], [], []
+        most = (self.length[self.open] + self.slack[self.open]) * top
+        self.open = self.open[most >= self.score[self.open, -1]]
+        for at in range(0, len(self.open), TILE_USERS):
+            here = self.open[at : at + TILE_USERS]
+            x, slack = self.x[here], self.slack[here] * top
+            least, found, n = self.score[here, -1] - slack, [], 0
             for first in range(0, len(ids), TILE_ITEMS):
-                s = self.x[here] @ vectors[first : first + TILE_ITEMS].T
-                least = kth
-                if s.shape[1] > self.k and np.isneginf(kth).any():
-                    least = np.maximum(kth, np.partition(s, s.shape[1] - self.k, 1)[:, -self.k])
-                row, col = np.divmod(np.flatnonzero(s >= least[:, None]), s.shape[1])
+                y = vectors[first : first + TILE_ITEMS]
+                s = np.matmul(x, y.T, out=self.product[: len(x) * len(y)].reshape(len(x), len(y)))
+                if len(y) > self.k and np.isneginf(least).any():
+                    least = np.maximum(least, np.partition(s, len(y) - self.k, 1)[:, -self.k] - 2 * slack)
+                row, col = self._reach(s, least.astype(np.float32))
                 if len(row):
-                    rows.append(row), items.append(ids[first + col]), scores.append(s[row, col])
-            if rows:
-                self._merge(at, np.concatenate(rows), np.concatenate(items), np.concatenate(scores))
+                    found.append((here[row], first + col))
+                    n += len(row)
+                if n and (n >= self.k * len(here) or first + TILE_ITEMS >= len(ids)):
+                    row, col = (np.concatenate(v) for v in zip(*found, strict=True))
+                    # what single precision let through is worked out in double, the same whatever else is in the tile
+                    self._merge(row, ids[col], (self.x[row].astype(float) * vectors[col]).sum(1))
+                    least, found, n = self.score[here, -1] - slack, [], 0
+
+    def _reach(self, s, least):
+        """Row and column of what is not below its row's least."""
+        import numpy as np
 
-    def _merge(self, at: int, row, item, score) -> None:
+        some = np.flatnonzero(s.max(1) >= least)
+        if 2 * len(some) < len(s):
+            s, least = s[some], least[some]
+        else:
+            some = np.arange(len(s))
+        # they are few: eight at a time
+        n = -(-s.size // 8) * 8
+        np.greater_equal(s, least[:, None], out=self.hit[: s.size].reshape(s.shape))
+        self.hit[s.size : n] = False
+        near = (np.flatnonzero(self.hit[:n].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+        row, col = np.divmod(near[self.hit[near]], s.shape[1])
+        return some[row], col
+
+    def _merge(self, row, item, score) -> None:
         import numpy as np
 
         touched = np.unique(row)
         row = np.concatenate([np.repeat(touched, self.k), row])
-        item, score = np.concatenate([self.item[at + touched].ravel(), item]), np.concatenate([self.score[at + touched].ravel(), score])
+        item, score = np.concatenate([self.item[touched].ravel(), item]), np.concatenate([self.score[touched].ravel(), score])
         order = np.lexsort((item, -score, row))
         count = np.bincount(np.searchsorted(touched, row))
         kept = order[np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count) < self.k]
-        self.item[at + touched], self.score[at + touched] = item[kept].reshape(-1, self.k), score[kept].reshape(-1, self.k)
+        self.item[touched], self.score[touched] = item[kept].reshape(-1, self.k), score[kept].reshape(-1, self.k)
 
 
 def factor_top(users: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     """Exact top k items of each user by the product of their factors, ties to the smaller item: (user, rank, item, score). users, items: (id, features).
 
     A task has a block of users and meets all items in packs, longest first, of which it holds one at a time; what a task keeps are k items a user. Users
-    whose k-th product no shorter item can reach skip the rest. The items move once a block; all pairs are otherwise multiplied, as the job is.
+    whose k-th product no shorter item can reach are left out, one by one. The items move once a block; all pairs are otherwise multiplied, as the job is.
     """
     import numpy as np
     import pyarrow as pa
 
-    n = max(1, min(48, -(-users.count() // 4096)), -(-users.count() // BLOCK_USERS))
+    n_users = users.count()
+    n = max(1, min(24, -(-n_users // 4096)), -(-n_users // BLOCK_USERS))
     named = "block int, id long, features array<float>"
     left = users.select(F.col("id").cast("long").alias("id"), "features").repartition(n).select(F.spark_partition_id().alias("block"), "id", "features")
     length = F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
@@ -456,7 +493,7 @@ def factor_top(users: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
                 row, place = np.nonzero(found)
                 for a in range(0, len(row), 65536):
                     r, p = row[a : a + 65536], place[a : a + 65536]
-                    yield pa.RecordBatch.from_pydict({"user": best.ids[r], "rank": pa.array(p + 1, pa.int32()), "item": best.item[r, p], "score": best.score[r, p].astype(float)})
+                    yield pa.RecordBatch.from_pydict({"user": best.ids[r], "rank": pa.array(p + 1, pa.int32()), "item": best.item[r, p], "score": best.score[r, p]})
 
         for batch in batches:
             for number, side, top, ids, vectors in zip(*(batch[c] for c in ("block", "side", "top", "ids", "vectors")), strict=True):

@@ -127,8 +127,9 @@ def served_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def als_top(spark: SparkSession, d: str) -> DataFrame:
-    rows = purchase_events(spark, d).groupBy(F.col("session").cast("int").alias("user"), F.col("aid").cast("int").alias("item")).agg(F.count(F.lit(1)).cast("float").alias("weight"))
-    return R.als_top(rows)
+    bought = purchase_events(spark, d).select(F.col("session").cast("int").alias("user"), F.col("aid").cast("int").alias("item"))
+    dealt = bought.repartition(parts_for(spark, purchase_rows(spark, d)), "user", "item")
+    return R.als_top(dealt.groupBy("user", "item").agg(F.count(F.lit(1)).cast("float").alias("weight")))
 
 
 def dot_product_top(spark: SparkSession, d: str) -> DataFrame:
